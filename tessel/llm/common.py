@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once for each context, so that tasks can
+    import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tessel_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        out = Path(tempfile.mkdtemp(prefix="tessel-")) / "tessel.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for f in sorted((root / "tessel").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(out))
+        sc._tessel_shipped = True
+    return spark
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -38,7 +55,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def remainder(key: Column, divisor: int) -> Column:
