@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, perplexity, simhash, warc
+from . import bpe, lattice, packing, perplexity, simhash, warc
 from .common import table
 
 
@@ -53,6 +53,12 @@ FROM p JOIN f USING (h)
 """
 
 
+def op9_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice.likelihoods(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
