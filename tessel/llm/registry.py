@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, packing, perplexity, simhash, warc
+from . import bpe, langid, lattice, packing, perplexity, simhash, warc
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op9_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.likelihoods(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected", "margin")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
