@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lattice, nbsvm, packing, perplexity, simhash, warc
+from . import bpe, langid, lattice, nbsvm, packing, perplexity, simhash, toxicity, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
