@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from tessel.plans import documents, media, raster, relational, scalar, sequence  # noqa: F401
+    from tessel.plans import documents, media, raster, relational, scalar, sequence, stream  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
