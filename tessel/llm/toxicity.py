@@ -221,7 +221,10 @@ def scored(documents: DataFrame, labels: DataFrame, label: str = "toxic", rest:
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that score below CUT, with the same columns."""
+    """The rows of ``documents`` that score below CUT, with the same columns; all rows if the
+    labels hold fewer than two classes, as nothing tells toxic rows apart then."""
     shipped(documents.sparkSession)
-    body = documents.select(*documents.columns)
-    return Model(documents, labels).scored(body, documents.columns).filter(F.col("_score") < CUT).select(documents.columns)
+    model = Model(documents, labels)
+    if model.trees is None:
+        return documents
+    return model.scored(documents, documents.columns).filter(F.col("_score") < CUT).select(documents.columns)

@@ -1,0 +1,468 @@
+"""Each operator: nulls, empty and very long texts, ties, repeated rows, empty tables, columns
+with clashing names; and results against brute force or public libraries."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessel.llm import bpe, langid, lattice, nbsvm, packing, perplexity, registry, simhash, syncmers, toxicity, warc
+from tessel.llm.components import components
+
+public = pytest.importorskip("public_tokenizers")
+BPE, PIECES = public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = "the cat sat on the mat and ran " * 6000
+#: doc_id, text, and columns whose names clash with what operators make
+ROWS = [
+    (1, "The cat sat on the mat, and then it ran away from the dog."),
+    (2, None),
+    (3, ""),
+    (4, LONG),
+    (5, "The cat sat on the mat, and then it ran away from the dog."),
+    (5, "The cat sat on the mat, and then it ran away from the dog."),
+    (6, "été  naïve — 日本語 🙂 <|endoftext|> a\n\n  b\t"),
+    (None, "no id here"),
+    (8, " \n\t "),
+    (9, "x" * 3000),
+    (10, "Der Hund lief über die Straße und bellte laut in der Nacht."),
+]
+SCHEMA = "doc_id bigint, text string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    return df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(0).cast("bigint"), "row": F.lit(1), "sketch": F.lit(1), "word": F.lit("w"), "at": F.lit(2)})
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def texts():
+    return [t or "" for _, t in ROWS]
+
+
+# 1
+
+
+def plain_syncmers(hashes, k, s):
+    h2 = lambda *x: xxh(*x)
+    if not hashes:
+        return set()
+    if len(hashes) < k:
+        acc = k
+        for x in hashes:
+            acc = h2(acc, x)
+        return {acc}
+    inner = hashes
+    for i in range(1, s):
+        inner = [h2(a, b) for a, b in zip(inner, hashes[i:])]
+    width, out = k - s + 1, set()
+    covers = sorted({*range(0, width, s), width - 1})
+    for i in range(len(hashes) - k + 1):
+        w = inner[i : i + width]
+        if min(w) in (w[0], w[-1]):
+            out.add(h2(*(w[c] for c in covers)))
+    return out
+
+
+def xxh(*longs):
+    """Spark's xxhash64 of several bigints: each one's hash is the next one's seed."""
+    seed = 42
+    for x in longs:
+        seed = xxhash.xxh64_intdigest((x & (2**64 - 1)).to_bytes(8, "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def string_hash(s):
+    h = xxhash.xxh64_intdigest(s.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_sketch(text):
+    found = plain_syncmers([string_hash(w.lower()) for w in WORDS.findall(text)], syncmers.K, syncmers.S)
+    if len(text) <= syncmers.SHORT:
+        found |= plain_syncmers([string_hash(c) for c in text.lower()], syncmers.CHARACTERS_K, syncmers.CHARACTERS_S)
+    short = sorted({h >> 32 for h in found})[: syncmers.SKETCH]
+    return "".join(f"{h & 0xFFFFFFFF:08x}" for h in short)
+
+
+def test_fingerprints_by_brute_force(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(syncmers, "RANGE", 3)
+    got = syncmers.fingerprints(docs).collect()
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    want = Counter()
+    for i, (d, t) in enumerate(order):
+        t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
+        k = len(t) // 3
+        edited = t[: len(t) - k] + nxt[:k]
+        want[d, len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_sketch(t), plain_sketch(edited)] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == want
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert syncmers.fingerprints(none).count() == 0
+    one = syncmers.fingerprints(docs.filter("doc_id = 1")).first()
+    assert one.near_next == 1.0
+
+
+def test_anchors_do_not_depend_on_context(spark):
+    a, b = "one two three four five six seven eight nine ten", "zero one two three four five six seven eight nine ten"
+    df = syncmers.with_anchors(spark.createDataFrame([(a,), (b,)], "text string"), "text", "a").select(F.expr("transform(a, x -> x.hash)").alias("h"))
+    x, y = (set(r.h) for r in df.collect())
+    assert len(x & y) >= 0.7 * len(x)
+
+
+# 2 and 3
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+
+
+def training(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 8)))
+    rows, marks = [], []
+    for i in range(300):
+        w = [word() for _ in range(60)]
+        bad, toxic = i % 3 == 0, i % 4 == 0
+        if bad:
+            w = [f"{x}###" for x in w]
+        if toxic:
+            w[7], w[9], w[30] = "idiot", "you", "scum"
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(not bad), int(toxic)))
+    return spark.createDataFrame(rows, SCHEMA), labels_of(spark, marks)
+
+
+@pytest.mark.parametrize("scored, label", [(nbsvm.scored, "quality"), (toxicity.scored, "toxic")])
+def test_classifiers(spark, docs, none, scored, label):
+    train, labels = training(spark)
+    got = scored(train, labels).join(labels, "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert {r.doc_id for r in held} == {i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sum(r.predicted == r[label] for r in held) >= 0.9 * len(held)
+    odd = scored(docs, labels_of(spark, [(1, 1, 1), (5, 1, 1), (None, 0, 0), (4, None, None)])).collect()
+    assert len(odd) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in odd)
+    assert len({r.score for r in odd if r.doc_id == 5}) == 1
+    assert scored(docs, labels_of(spark, [])).count() == len(ROWS)
+    assert scored(none, labels_of(spark, [])).count() == 0
+
+
+def test_coordinate_descent_separates():
+    rows = [(np.array([i % 2, 2]), np.array([1.0, 0.1])) for i in range(20)]
+    y = np.array([i % 2 for i in range(20)])
+    w, b = nbsvm.descend(rows, y)
+    assert all((w[at] @ v + b > 0) == (k == 1) for (at, v), k in zip(rows, y))
+
+
+def test_toxic_features_see_through_disguise():
+    f = toxicity.Features(frozenset())
+    at = toxicity.NAMES.index("fixed_hits")
+    assert f.of("what an 1d10t")[at] == 1 and f.of("STUPID!!! you")[at] == 1 and f.of("i d i o t")[toxicity.NAMES.index("apart")] == 1
+    assert f.of("a clean text about studies")[at] == 0
+
+
+# 4
+
+
+def test_packing(spark, docs, none):
+    got = packing.packed_documents(docs, BPE, 64).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    want = Counter()
+    for d, text in ROWS:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        first = len(ids) % 64 or 64
+        cuts = [0, *range(first, len(ids), 64), len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for o, n in sorted(places):
+            assert o == at
+            at += n
+        assert at <= 64
+    assert packing.packed_documents(none, BPE).count() == 0
+
+
+def test_sum_of_squares_takes_the_least_sum():
+    r = random.Random(1)
+    lengths = np.array([r.randint(1, 12) for _ in range(300)])
+    where, offset = packing.sum_of_squares(lengths, 12)
+    levels: dict[int, int] = {}
+    for i, s in enumerate(lengths.tolist()):
+        gaps = Counter(12 - v for v in levels.values() if v < 12)
+        cost = {}
+        for g in [*(g for g in gaps if g >= s), 12]:
+            now = gaps.copy()
+            if g < 12:
+                now[g] -= 1
+            if g - s:
+                now[g - s] += 1
+            cost[g] = sum(v * v for v in now.values())
+        gap = 12 - levels.get(int(where[i]), 0)
+        assert cost[gap] == min(cost.values()) and offset[i] == 12 - gap
+        levels[int(where[i])] = 12 - gap + s
+
+
+# 5
+
+
+def plain_metrics(text):
+    words = WORDS.findall(text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    n = Counter(windows)
+    inside = {i + j for i, w in enumerate(windows) if n[w] > 1 for j in range(5)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORDS.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside)
+
+
+def test_metrics(spark, docs, none):
+    r = random.Random(2)
+    more = ["".join(r.choice("ab #|\n\t\x0b ") for _ in range(200)) for _ in range(200)] + ["a b c d e f a b c d e g\na b c d e f", " x y\x1cz\n\nq\nq"]
+    for t in [*texts()[:3], *texts()[4:], *more]:
+        assert perplexity.metrics(t) == plain_metrics(t)
+    got = perplexity.quality(docs).collect()
+    assert len(got) == len(ROWS) and perplexity.quality(none).count() == 0
+    for x in got:
+        assert x.base_failed == (x.n_words < 10 or 100 * x.n_repeat_words > 20 * x.n_words) and not (x.base_failed and x.kept)
+
+
+def test_model_sums_to_one():
+    r = np.random.default_rng(1)
+    codes, n = np.unique(perplexity.trigrams("".join(r.choice(list("abcab \n"), 3000))), return_counts=True)
+    m = perplexity.estimate(codes, n)
+    for context in (codes[5] >> 6, codes[40] >> 6, 63 * 64 + 63):
+        every = (int(context) << 6) + np.arange(64)
+        assert math.isclose(np.exp(perplexity.log_probabilities(m, every)).sum(), 1, rel_tol=1e-6)
+
+
+# 6
+
+
+def test_bpe_equals_the_library(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(BPE), bpe.ByteBpe(BPE)
+    r = random.Random(4)
+    more = ["".join(r.choice(" \n\t ab1.'s é<|🙂") for _ in range(r.randint(1, 60))) for _ in range(500)]
+    for x in [*texts(), *more]:
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert own.encode(x) == ids and own.decode(ids) == t.decode(ids, skip_special_tokens=False)
+    got = Counter(map(tuple, bpe.digests(docs, BPE).collect()))
+    want = Counter()
+    for d, x in ROWS:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want[d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()] += 1
+    assert got == want and bpe.encode(docs, BPE).count() == len(ROWS) and bpe.digests(none, BPE).count() == 0
+
+
+# 7
+
+
+def plain_components(prints):
+    parent = {f: f for f in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = sorted(prints)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if (a ^ b).bit_count() <= 2:
+                parent[find(a)] = find(b)
+    return {f: find(f) for f in keys}
+
+
+@pytest.mark.parametrize("pairs", [64, 2])
+def test_links_by_brute_force(spark, pairs):
+    r = random.Random(9)
+    centre, prints = r.getrandbits(64), set()
+    for _ in range(120):  # a crowd of near fingerprints, and some that stand alone
+        f = centre
+        for _ in range(r.randint(0, 6)):
+            f ^= 1 << r.choice([0, 5, 13, 27, 40, 41, 63])
+        prints |= {f, r.getrandbits(64)}
+    df = spark.createDataFrame([(simhash.signed(f),) for f in prints], "fp bigint")
+    root = {x.node: x.root for x in components(simhash.links(df, pairs)).collect()}
+    got, want = defaultdict(set), defaultdict(set)
+    for f in prints:
+        got[root.get(simhash.signed(f), simhash.signed(f))].add(f)
+    for f, top in plain_components(prints).items():
+        want[top].add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_near_duplicates(spark, docs, none):
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(ROWS) and {r.component_id for r in got if r.doc_id in (1, 5)} == {1}
+    assert {r.component_id for r in got if r.doc_id in (2, 3, 8)} == {2}
+    assert {r.fp for r in got if r.doc_id in (2, 3, 8)} == {0}
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 4, 6, 9, 10]
+    assert simhash.near_duplicates(none).count() == 0 and simhash.representatives(none).count() == 0
+
+
+def test_long_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (5, 5), (None, 3)], "a bigint, b bigint")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {i: 0 for i in range(1, 201)} | {901: 900}
+
+
+# 8
+
+
+PAGES = [(1, "http://a", "<p>x</p>"), (2, None, None), (3, "http://c\r\nX: y", ""), (4, "u", "<p>x</p>"), (4, "u", "<p>x</p>"), (5, "u", "WARC/1.1\r\n\r\nWARC/1.1 é\r\n\r\n" * 50), (None, "u", "<p>x</p>")]
+
+
+def test_warc_round_trip(spark):
+    pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").withColumn("first", F.lit(1))
+    got = sorted(map(tuple, warc.round_trip(pages).select("record_id", "record_type", "refers_to", "payload_bytes", "payload_digest").collect()), key=str)
+    first: dict[str, int] = {}
+    for p, _, h in PAGES:
+        if p is not None:
+            first[h or ""] = min(first.get(h or "", p), p)
+    want = []
+    for p, _, h in PAGES:
+        raw, lead = (h or "").encode(), first[h or ""]
+        again = p != lead
+        want.append((None if p is None else str(p), "revisit" if again else "response", str(lead) if again else None, len(raw), warc.sha1_base32(raw)))
+    assert got == sorted(want, key=str)
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_salvage_logs_the_gap(zipped):
+    import gzip
+
+    records = [warc.record_text(i, "u", f"<p>{i} WARC/1.1\n</p>" * 20, None).encode() + warc.END for i in range(5)]
+    if zipped:
+        records = [gzip.compress(r) for r in records]
+    whole = b"".join(records)
+    assert [x[0] for x in warc.salvage(whole)] == ["record"] * 5
+    at = len(records[0]) + len(records[1]) // 2
+    hurt = bytearray(whole)
+    hurt[at : at + 4] = b"\x00\x00\x00\x00"
+    found = list(warc.salvage(bytes(hurt)))
+    ids = [x[2]["warc-record-id"] for x in found if x[0] == "record"]
+    assert ids == [f"<urn:page:{i}>" for i in (0, 2, 3, 4)]
+    gaps = [x for x in found if x[0] == "gap"]
+    assert [(g[1], g[2]) for g in gaps] == [(len(records[0]), len(records[1]))] and gaps[0][3]
+    cut = list(warc.salvage(whole[:-10]))
+    assert [x[0] for x in cut] == ["record"] * 4 + ["gap"]
+
+
+# 9
+
+
+def test_lattice_by_brute_force():
+    p = lattice.loaded(PIECES)
+    score = np.append(p.start, [p.start.min() - 5, -np.inf])
+    of = {n: i for i, n in enumerate(p.names)}
+
+    def every(t):
+        if not t:
+            return 1.0
+        total = 0.0
+        for k in range(1, len(t) + 1):
+            if t[:k] in of:
+                total += math.exp(score[of[t[:k]]]) * every(t[k:])
+            elif k == 1:
+                total += math.exp(score[len(of)]) * every(t[1:])
+        return total
+
+    words = ["the", "nation", "zß語x", "a", "ererth,", ""]
+    assert np.allclose(lattice.spelt(p, words, score), [math.log(every(lattice.MARK + w)) for w in words])
+    uses = lattice.expected(p, ["nation"], score)
+    assert abs(sum(len(p.names[i]) * u for i, u in enumerate(uses[: len(p.names)])) - len("▁nation")) < 1e-6
+
+
+@pytest.mark.parametrize("share", [1e-6, 0.05])
+def test_base_scores(spark, docs, none, monkeypatch, share):
+    monkeypatch.setattr(lattice, "SHARE", share)
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    count, learned = Counter(), [t for d, t in ROWS if d is not None and zlib.crc32(str(d).encode()) % 5 != 1]
+    for t in learned:
+        count.update([*WORDS.findall(lower(t)), None])
+    n, v = sum(count.values()), len(count)
+    want = Counter()
+    for d, t in ROWS:
+        w = [*WORDS.findall(lower(t)), None]
+        base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        want[d, d is not None and zlib.crc32(str(d).encode()) % 5 == 1, len(w), sum(count[x] > 0 for x in w), n, round(base, 5)] += 1
+    got = lattice.likelihoods(docs, PIECES).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert lattice.likelihoods(none, PIECES).count() == 0
+
+
+# 10
+
+
+def test_languages(spark, docs, none):
+    r = random.Random(8)
+    make = lambda parts: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(40))
+    rows = [(i, make(["th", "er", "on"]), "en") if i % 2 else (i, make(["sch", "ei", "un"]), "de") for i in range(80)]
+    rows += [(900, "12 34 !!", "en"), (901, None, "de"), (902, make(["sch", "ei", "un"]), None), (None, make(["th", "er", "on"]), "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {x.doc_id: x for x in langid.identified(df).collect()}
+    assert all(got[i].lang_pred == ("en" if i % 2 else "de") and 0 <= got[i].score <= 1 for i in range(80))
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[900].score == 0 and got[902].lang_pred == "de" and got[None].lang_pred == "en"
+    assert got[3].held_out == (zlib.crc32(b"3") % 4 == 2) and not got[None].held_out
+    assert langid.identified(docs).count() == len(ROWS) and langid.identified(none).count() == 0
+    kept = langid.accepted(df)
+    assert kept.columns == df.columns and kept.count() >= 78
+    strange = df.unionByName(spark.createDataFrame([(999, "zzzxq qqqzx xxxzq " * 30, None)], df.schema))
+    last = {x.doc_id: x for x in langid.identified(strange).collect()}
+    assert last[999].rejected and last[999].lang_pred in ("de", "en") and not last[1].rejected
+    assert langid.accepted(strange).filter("doc_id = 999").count() == 0
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.join(docs, "doc_id", "left_anti").count() == 0
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert all(d == c for d, c in near.items())  # one of each group is left
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {r.doc_id for r in last.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_takes_odd_rows(spark, docs, tmp_path):
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels_of(spark, [(1, 1, 0), (4, 1, 0)]).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {1, 2, 4, 9, 10, None} <= got and 5 not in got  # 5 is a copy of 1, 3 and 8 of 2
+
+
+def test_names():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
