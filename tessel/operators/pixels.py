@@ -181,3 +181,26 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """L1 difference of two images of one size, alpha ignored."""
     side = b.select("x", "y", *(F.col(c).alias(f"_{c}") for c in RGBA[:3]))
     return a.join(side, ["x", "y"]).agg(F.sum(sum((F.abs(F.col(c) - F.col(f"_{c}")) for c in RGBA[:3]), F.lit(0))).alias("l1"))
+
+
+def blended(px: DataFrame, patch: DataFrame) -> DataFrame:
+    """``px`` with the pixels of ``patch`` laid over its own, by their alpha."""
+    p = patch.select("img", "x", "y", F.struct(*RGBA).alias("_top"))
+    own = F.struct(*RGBA)
+    mixed = F.when(F.col("_top").isNotNull(), over(F.col("_top"), own)).otherwise(own)
+    return px.join(p, ["img", "x", "y"], "left").select("img", "x", "y", mixed.alias("_p")).select("img", "x", "y", "_p.*")
+
+
+def merged_down(upper: DataFrame, lower: DataFrame, opacity: int) -> DataFrame:
+    """The upper layer, at its opacity, drawn into the lower one, whose own opacity and the
+    upper one's visibility don't matter; the lower one's attributes stay."""
+    return blended(lower, upper.withColumn("a", channel(F.col("a") * opacity / 100)))
+
+
+def quantised(px: DataFrame, levels: int = 6) -> DataFrame:
+    """Colours rounded to a cube of ``levels`` steps a channel, and their index in it. A fixed
+    cube, so results differ from adaptive palettes: an approximation."""
+    step = 255 / (levels - 1)
+    index = [F.floor(F.col(c) / step + 0.5).cast("int") for c in RGBA[:3]]
+    at = index[0] * levels * levels + index[1] * levels + index[2]
+    return px.withColumn("index", at).withColumns({c: channel(i * step) for c, i in zip(RGBA, index)})

@@ -128,3 +128,24 @@ def history_cap(snapshot_bytes: Column, budget: int = 20 * 1024 * 1024, least: i
 def after_quiet(events: DataFrame, key: str, ts: str, value: str, gap: str) -> DataFrame:
     """Extension: the last value of each burst, a burst ending with a pause of ``gap``."""
     return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.max_by(value, F.struct(ts, value)).alias(value), F.max(ts).alias("last_ts")).drop("w")
+
+
+def looked_up(order: DataFrame, frames: DataFrame, seq: str, key: str) -> DataFrame:
+    """Frames in the order given; ids without a frame are dropped."""
+    return order.join(frames, [seq, key])
+
+
+def restored(frames: DataFrame, backup: DataFrame, seq: str, key: str, columns: list[str]) -> DataFrame:
+    """Frames with the backup's columns where it has them."""
+    old = backup.select(seq, key, *(F.col(c).alias(f"_{c}") for c in columns))
+    out = frames.join(old, [seq, key], "left")
+    return out.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in frames.columns))
+
+
+def extracted(frames: DataFrame, seq: str, pos: str, signature: str, similarity: float) -> DataFrame:
+    """Frames that stay at a similarity of 0 to 100 percent (0: all), numbered without gaps."""
+    if similarity > 0:
+        width = F.size(signature)
+        scaled = frames.withColumn("_s", F.transform(signature, lambda x: x / width))
+        frames = frames.join(kept_frames(scaled, seq, pos, "_s", (100 - similarity) / 2), [seq, pos], "left_semi")
+    return renumbered(frames, seq, [F.col(pos)], "frame_id")

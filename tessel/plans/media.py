@@ -70,3 +70,16 @@ def flatten_on_white(spark, d):
 @query(f"WITH {PX}, k AS (SELECT img, CAST(y // 8 * 2 + x // 8 AS INTEGER) AS cell, max(a) AS most FROM px GROUP BY ALL) SELECT * FROM k WHERE most > 250")
 def opaque_cells(spark, d):
     return P.split_sheet(image(spark, d), SIDE, SIDE, 2, 2).groupBy("img", "cell").agg(F.max("a").alias("most")).filter("most > 250")
+
+
+@query(f"WITH {PX} SELECT img, true AS done, CASE WHEN length(img) % 2 = 0 THEN 4 ELSE 54 + 16 * 48 END AS n FROM px GROUP BY img")
+def convert_pending(spark, d):
+    px = image(spark, d)
+    jobs = px.select("img").distinct().withColumn("done", F.length("img") % 2 == 0).withColumn("out", F.when(F.col("done"), F.lit("kept").cast("binary")))
+    return K.converted(jobs, px, "bmp").select("img", "done", F.octet_length("out").alias("n"))
+
+
+@query()
+def encode_animation(spark, d):
+    frames = P.quantised(image(spark, d)).select(F.lit("all").alias("seq"), F.regexp_extract("img", "([0-9]+)$", 1).cast("int").alias("pos"), "x", "y", "index")
+    return K.animated(frames.filter("pos <= 8"), 12)

@@ -126,3 +126,22 @@ def image_sizes(spark, d):
     w, h = (F.col("p_size") * 11).cast("double"), (50 + F.col("p_size")).cast("double")
     fw, _, left, _ = P.fitted_size(w, h, 100, 80)
     return table(spark, d, "part").select("p_partkey", fw.cast("bigint").alias("fw"), left.cast("bigint").alias("left"), P.thumbnail_size(w, h)[0].cast("bigint").alias("thumb"), P.other_side(w, F.lit(1.5), 256).cast("bigint").alias("other"), F.floor(w * 35 / 100 + 0.5).alias("export"))
+
+
+@query(f"""WITH {PX}, s AS (SELECT *, {channel('a * 40 / 100')} AS t FROM px) SELECT img, x, y, CASE WHEN t = 0 THEN 100 ELSE {channel('r * (t / 255) + 100 * (1 - t / 255)')} END AS r FROM s""")
+def merge_down(spark, d):
+    px = image(spark, d)
+    lower = px.select("img", "x", "y", *(F.lit(100).alias(c) for c in "rgb"), F.lit(255).alias("a"))
+    return P.merged_down(px, lower, 40).select("img", "x", "y", "r")
+
+
+@query(f"WITH {PX} SELECT img, x, y, CAST(floor(r / 51 + 0.5) * 36 + floor(g / 51 + 0.5) * 6 + floor(b / 51 + 0.5) AS INTEGER) AS index, CAST(floor(r / 51 + 0.5) * 51 AS INTEGER) AS r FROM px")
+def quantise_colours(spark, d):
+    return P.quantised(image(spark, d)).select("img", "x", "y", "index", "r")
+
+
+@query("SELECT n_nationkey, {'r': 9, 'g': 8, 'b': 7, 'a': n_nationkey * 10}.a AS alpha, 1 AS first, 9 AS second FROM nation")
+def edit_colours(spark, d):
+    both = table(spark, d, "nation").withColumn("one", F.struct(F.lit(9).alias("r"), F.lit(8).alias("g"), F.lit(7).alias("b"), F.lit(255).alias("a"))).withColumn("two", F.struct(F.lit(1).alias("r")))
+    edited = both.withColumn("one", F.col("one").withField("a", F.col("n_nationkey") * 10))
+    return edited.select("n_nationkey", F.col("one.a").alias("alpha"), F.col("two.r").alias("first"), F.col("one.r").alias("second"))

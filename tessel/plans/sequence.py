@@ -141,3 +141,23 @@ def layer_edits(spark, d):
     swapped = F.concat(F.array(F.get("layers", F.lit(1)), F.get("layers", F.lit(0))), F.slice("layers", 3, 1 << 20))
     text = lambda x: F.concat_ws(":", x["name"], (~x["visible"]).cast("string"), F.greatest(F.lit(0), x["opacity"] - 50).cast("string"))
     return rows.select("conv_id", (F.size("layers") + 1).cast("bigint").alias("n_added"), F.greatest(F.lit(1), F.size("layers") - 1).cast("bigint").alias("n_removed"), F.get(swapped, F.lit(0))["name"].alias("first_after_swap"), F.concat_ws(" ", F.transform("layers", text)).alias("edited"))
+
+
+@query(f"SELECT o.label, o.vec_id, o.pos FROM (SELECT label, vec_id + 3 AS vec_id, pos FROM ({FRAMES})) o JOIN embeddings e ON e.label = o.label AND e.vec_id = o.vec_id")
+def order_lookup(spark, d):
+    order = frames(spark, d).withColumn("vec_id", F.col("vec_id") + 3)
+    return Q.looked_up(order, table(spark, d, "embeddings").select("label", "vec_id"), "label", "vec_id").select("label", "vec_id", "pos")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'before' ELSE role END AS role FROM conversations")
+def backup_overlay(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return Q.restored(c, c.filter("turn % 2 = 0").withColumn("role", F.lit("before")), "conv_id", "turn", ["role"])
+
+
+EXTRACTED = KEPT.format(least=0.14).replace("abs(e.v[k] - f.ref[k])", "abs(e.v[k] / len(e.v) - f.ref[k] / len(e.v))")
+
+
+@query(EXTRACTED.replace("WITH RECURSIVE", "WITH RECURSIVE k AS (WITH RECURSIVE", 1) + ") SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_id FROM k")
+def extract_frames(spark, d):
+    return Q.extracted(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 99.72).select("label", "vec_id", "frame_id")

@@ -133,3 +133,24 @@ def test_orphans_are_kept_when_asked(spark):
     every = listing.page_with_authors(items, users, q, "user", "uid", ["name"], orphans=True)
     assert [x["id"] for x in some.collect()] == [1]
     assert {x["id"]: x["author"] and x["author"]["name"] for x in every.collect()} == {1: "a", 2: None, 3: None}
+
+
+def test_gif_reads_back():
+    """A plain GIF decoder of 9-bit literal codes gives the indices back."""
+    r = np.random.default_rng(1)
+    frames = [r.integers(0, 216, (7, 90)) for _ in range(3)]
+    data = kernels.gif(frames, 10)
+    assert data[:6] == b"GIF89a" and data[6:10] == bytes([90, 0, 7, 0]) and data[-1:] == b";"
+    at, got = 13 + 768 + 19, []
+    while data[at] != 0x3B:
+        assert data[at : at + 2] == b"\x21\xf9" and data[at + 4 : at + 6] == bytes([10, 0])
+        at += 8 + 10 + 1
+        bits = b""
+        while data[at]:
+            bits += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        b = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+        codes = b[: len(b) // 9 * 9].reshape(-1, 9) @ (1 << np.arange(9))
+        got.append(codes[codes < 256][: 7 * 90].reshape(7, 90))
+    assert len(got) == 3 and all((x == y).all() for x, y in zip(got, frames))
