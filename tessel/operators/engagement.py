@@ -56,12 +56,12 @@ def updated(table: DataFrame, changes: DataFrame, key: str, owner: str, columns:
 
 def deleted(table: DataFrame, tombstones: DataFrame, keys: list[str]) -> DataFrame:
     """``table`` without the rows that ``tombstones`` names (key and owner)."""
-    return table.join(tombstones.select(*keys).distinct(), keys, "left_anti")
+    return table.join(tombstones.select(*keys), keys, "left_anti")
 
 
 def cascade(parents: DataFrame, children: DataFrame, key: str, foreign: str) -> DataFrame:
     """Children whose parent is still there."""
-    return children.join(parents.select(F.col(key).alias(foreign)).distinct(), foreign, "left_semi")
+    return children.join(parents.select(F.col(key).alias(foreign)), foreign, "left_semi")
 
 
 def allowed(operation: str, owner: Column, user: Column, policies: dict[str, str]) -> Column:

@@ -79,8 +79,7 @@ def free_names(spark, d):
 
 @query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 10 = 3 ORDER BY conv_id, turn")
 def comments_of(spark, d):
-    items = table(spark, d, "conversations").select("conv_id").distinct().filter("conv_id % 10 = 3")
-    return table(spark, d, "conversations").join(items, "conv_id", "left_semi").orderBy("conv_id", F.col("turn").asc_nulls_last()).select("conv_id", "turn", "role", "text")
+    return table(spark, d, "conversations").filter("conv_id % 10 = 3").orderBy("conv_id", F.col("turn").asc_nulls_last()).select("conv_id", "turn", "role", "text")
 
 
 @query("""SELECT conv_id, count(*) AS comments, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id""")
