@@ -117,17 +117,21 @@ def centroids(train: DataFrame, idf: np.ndarray) -> DataFrame:
     draw = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1)) / F.lit(float(1 << 31)))
     sample = train.join(size, "lang").filter(draw * F.col("docs") < SAMPLE)
 
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [c.astype(np.int32).tobytes() if (c := trigram_counts(t.as_py())) is not None else None for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["doc_id", "lang", "counts"])
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"])
-        found = [c for t in pdf["text"] if (c := trigram_counts(t)) is not None]
-        if not found:
-            return pd.DataFrame({"lang": [], "centroids": [], "least": []})
-        x = np.stack([vector(c, idf) for c in found])
+        pdf = pdf.sort_values(["doc_id", "counts"])
+        x = np.stack([vector(np.frombuffer(c, np.int32), idf) for c in pdf["counts"]])
         c = clustered(x)
         least = 1 - REACH * (1 - float(np.quantile((x @ c.T).max(axis=1), OUTSIDE)))
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "centroids": [c.astype(np.float32).tobytes()], "least": [least]})
 
-    return sample.select("doc_id", "lang", "text").groupBy("lang").applyInPandas(run, "lang string, centroids binary, least double")
+    # texts become counts where they are read, so a group holds 32 kB for each text, however long
+    rows = sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").mapInArrow(counts, "doc_id bigint, lang string, counts binary")
+    return rows.filter("counts is not null").groupBy("lang").applyInPandas(run, "lang string, centroids binary, least double")
 
 
 def identified(df: DataFrame, keep: list[str] | None = None, rest: int = 2, divisor: int = 4) -> DataFrame:
