@@ -154,3 +154,29 @@ def test_gif_reads_back():
         codes = b[: len(b) // 9 * 9].reshape(-1, 9) @ (1 << np.arange(9))
         got.append(codes[codes < 256][: 7 * 90].reshape(7, 90))
     assert len(got) == 3 and all((x == y).all() for x, y in zip(got, frames))
+
+
+def test_folders_sounds_and_text_sinks(spark, tmp_path):
+    for d in ("a", "b/c"):
+        (tmp_path / "site" / d).mkdir(parents=True)
+        (tmp_path / "site" / d / "index.html").write_text("x")
+    assert {x["route"] for x in files.listing(spark, f"{tmp_path}/site").collect()} == {"a", "c"}
+    wav = b"RIFF" + bytes(24) + (8000).to_bytes(4, "little") + bytes(12) + bytes(16000)
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "x.wav").write_bytes(wav[:44] + bytes(16000))
+    (tmp_path / "s" / "y.mp3").write_bytes(b"no")
+    got = {x["media"]: x["sec"] for x in files.files(spark, f"{tmp_path}/s").select("media", files.wav_seconds("content").alias("sec")).collect()}
+    assert got == {"audio/wav": 2.0, "audio/mpeg": 0.0}
+    df = spark.createDataFrame([("en", "x"), ("de", "y")], "lang string, value string")
+    files.append(df, f"{tmp_path}/t", ["lang"])
+    files.append(df, f"{tmp_path}/t", ["lang"])
+    assert spark.read.parquet(f"{tmp_path}/t").filter("lang = 'en'").count() == 2
+    files.write_text(df, f"{tmp_path}/txt")
+    assert {x["value"] for x in spark.read.text(f"{tmp_path}/txt").collect()} == {"x", "y"}
+
+
+def test_accepted_colours_round_trip(spark):
+    df = spark.createDataFrame([(0, 128, 255)], "r int, g int, b int")
+    h = S.hex_colour(F.col("r"), F.col("g"), F.col("b"))
+    row = df.select(h.alias("h"), *(S.colour_channel(h, i).alias(f"c{i}") for i in range(3))).first()
+    assert tuple(row) == ("#0080ff", 0, 128, 255)
