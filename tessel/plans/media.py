@@ -33,9 +33,11 @@ def draw_line(spark, d):
     return K.drawn(spark, "line", K.line(0, 0, 15, 5), (0, 0, 0, 255), SIDE, SIDE).select("x", "y")
 
 
-@query()
+@query("""WITH p AS (SELECT 8 + s * floor(6 * sqrt(1 - (j / 4) ** 2) + 0.5) AS x, 8 + j AS y FROM range(-4, 5) a(j), (VALUES (-1), (1)) v(s)
+UNION SELECT 8 + i, 8 + s * floor(4 * sqrt(1 - (i / 6) ** 2) + 0.5) FROM range(-6, 7) b(i), (VALUES (-1), (1)) v(s))
+SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM p""")
 def draw_ellipse(spark, d):
-    return K.drawn(spark, "ellipse", K.ellipse(8, 8, 6, 4), (0, 0, 0, 255), SIDE, SIDE)
+    return K.drawn(spark, "ellipse", K.ellipse(8, 8, 6, 4), (0, 0, 0, 255), SIDE, SIDE).select("x", "y")
 
 
 @query("SELECT CAST(8 + i AS INTEGER) AS x, CAST(8 + j AS INTEGER) AS y FROM range(-2, 3) a(i), range(-2, 3) b(j) WHERE i * i + j * j <= 6.25")
