@@ -77,17 +77,30 @@ class Features:
     """Dense features, with what each word counts for kept by word."""
 
     def __init__(self, learned: frozenset[str]):
-        self.learned = frozenset(e[1:] for e in learned if e[0] == "1")
-        self.twice = {e: i for i, e in enumerate(sorted(e[1:] for e in learned if e[0] == "2"), 1)}
+        # bit 1: one use counts; from bit 5 on the number of an entry that must be used twice
+        self.entries: dict[str, int] = {}
+        for i, e in enumerate(sorted(learned), 1):
+            self.entries[e[1:]] = self.entries.get(e[1:], 0) | (2 if e[0] == "1" else i << 5)
+        self.stems = len(learned) + 1
         self.kept: dict[str, int] = {}
 
     def kind(self, word: str) -> int:
         """1: fixed lexicon, 2: learned lexicon, 4: second person, 8: shouted, 16: hidden; from
         bit 5 on the number of the first entry that must be used twice."""
-        w = plain(word)
-        got = (w in INSULTS) | 2 * any(b in self.learned for b in beginnings(w)) | 4 * (w in SECOND)
-        got |= 32 * next((self.twice[b] for b in beginnings(w) if b in self.twice), 0)
-        got |= 8 * (len(word) > 2 and word.isupper()) | 16 * bool(HIDDEN.search(word))
+        got = 0
+        if word.isalpha():
+            w = RUN.sub(r"\1", word.lower())
+        else:
+            w, got = plain(word), 16 * bool(HIDDEN.search(word))
+        if w in INSULTS:
+            got |= 1
+        if w in SECOND:
+            got |= 4
+        if len(word) > 2 and word.isupper():
+            got |= 8
+        for b in beginnings(w):
+            if e := self.entries.get(b):
+                got |= e if got < 32 else e & 2
         if len(word) <= 64:
             if len(self.kept) >= CACHE:
                 self.kept.clear()
@@ -108,7 +121,7 @@ class Features:
         if SINGLES.search(text):
             apart = sum(1 for m in APART.finditer(text) if self.kind(re.sub(r"[ .\-_*]", "", m[0])) & 3)
         stem = k >> 5
-        uses = np.bincount(stem, minlength=len(self.twice) + 1)
+        uses = np.bincount(stem, minlength=self.stems)
         uses[0] = 0
         again = uses[stem] > 1
         hit, second = np.flatnonzero(((k & 3) > 0) | again), np.flatnonzero(k & 4)
@@ -125,6 +138,17 @@ class Features:
         return [*(float(min(x, MOST)) for x in (fixed, learned)), fixed / n, learned / n, float(again.sum()) / n, float(min(uses.max(), MOST)), float(min(len(hit) + apart, MOST)), float(min(densest, MOST)), len(second) / n, float(near), capitals / c, float((k & 8).astype(bool).sum()) / n, marks / c, text.count("!") / c, float((k & 16).astype(bool).sum()) / n, runs / c, float(apart), math.log1p(n)]
 
 
+LOADED: dict[frozenset[str], Features] = {}
+
+
+def loaded(learned: frozenset[str]) -> Features:
+    """One instance for each Python worker, so that its words are kept from task to task."""
+    if learned not in LOADED:
+        LOADED.clear()
+        LOADED[learned] = Features(learned)
+    return LOADED[learned]
+
+
 def learned_lexicon(sample: DataFrame) -> frozenset[str]:
     """Entries from (text, y): a shuffle on the entry after each task has summed its own."""
 
@@ -171,7 +195,7 @@ def featured(df: DataFrame, keep: list[str], learned: frozenset[str]) -> DataFra
     names = chosen.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Features(shared.value)
+        f = loaded(shared.value)
         for b in batches:
             rows = [f.of(t.as_py()) for t in b.column(b.num_columns - 1)]
             x = np.array(rows, np.float64).reshape(-1, len(NAMES))
