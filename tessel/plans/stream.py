@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessel.catalog import ORACLES, query, table
@@ -15,14 +13,15 @@ from tessel.streaming import counters
 def stream_counters(spark, d):
     like = table(spark, d, "events")
     step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1)
-    events = counters.stream(spark, d, "events.parquet", like).withColumn("step", step).filter("step is not null")
-    name = f"counters_{uuid.uuid4().hex}"
-    last = counters.drained(counters.saturating(events, "user_id", "ts", "event_id", "step"), name, "update")
-    # the counter of a key may be told once for each batch: the largest batch is one here
-    return last.groupBy("user_id").agg(F.last("counter").alias("counter"))
+    events = counters.stream(spark, f"{d}/events.parquet", like).withColumn("step", step).filter("step is not null")
+    told = counters.drained(counters.saturating(events, "user_id", "ts", "event_id", "step"), "counters", "update")
+    # a key's counter is told by each batch that has rows of it
+    return told.groupBy("user_id").agg(F.max_by("counter", "batch").alias("counter"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, d):
-    events = counters.stream(spark, d, "events.parquet", table(spark, d, "events"))
-    return counters.drained(counters.windowed(events, "ts", "event_type", "1 day", "1 hour"), f"daily_{uuid.uuid4().hex}", "complete")
+    events = counters.stream(spark, f"{d}/events.parquet", table(spark, d, "events"))
+    told = counters.drained(counters.windowed(events, "ts", "event_type", "1 day", "1 hour"), "daily", "complete")
+    # each batch tells all counts anew
+    return told.join(F.broadcast(told.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")

@@ -1,5 +1,5 @@
 """Counters over streams. The saturating counter is state of a key; late rows of a batch are
-ordered within it. Windowed counts with a watermark are an extension."""
+ordered within it, and rows of a later batch count as later. Windowed counts with a watermark are an extension."""
 
 from __future__ import annotations
 
@@ -8,12 +8,20 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessel.llm.common import new_folder
 
-def stream(spark: SparkSession, folder: str, files: str, like: DataFrame) -> DataFrame:
-    """Files of ``folder`` whose names match, as they come."""
-    return spark.readStream.schema(like.schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", 64).parquet(folder)
+
+def stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The files of a table as they come. ``path`` is a folder of part files or a single file;
+    Spark streams from folders only, so a single file is named by a glob that fits just it."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        path = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 64).parquet(path)
 
 
 def saturating(events: DataFrame, key: str, ts: str, tie: str, step: str) -> DataFrame:
@@ -38,8 +46,16 @@ def windowed(events: DataFrame, ts: str, key: str, width: str, late: str) -> Dat
 
 
 def drained(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there now, for tests and small results: the rows are held by
-    the driver. Deployments write to a table instead."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there now. What each batch tells is written by the tasks to the
+    shared folder, with the column ``batch``, its number; a batch that is told again replaces
+    itself. Without input the table is empty."""
+    spark = df.sparkSession
+    out = new_folder(spark, name)
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/batch=-1")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    q = df.writeStream.foreachBatch(write).option("checkpointLocation", new_folder(spark, f"{name}-state")).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)

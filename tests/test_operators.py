@@ -1,5 +1,7 @@
 """Kernels and folds against hand-made results and plain versions."""
 
+import datetime
+import os
 import random
 
 import numpy as np
@@ -180,3 +182,22 @@ def test_accepted_colours_round_trip(spark):
     h = S.hex_colour(F.col("r"), F.col("g"), F.col("b"))
     row = df.select(h.alias("h"), *(S.colour_channel(h, i).alias(f"c{i}") for i in range(3))).first()
     assert tuple(row) == ("#0080ff", 0, 128, 255)
+
+
+def test_streams_read_folders_in_batches(spark, tmp_path):
+    """A table of more part files than a batch takes: all rows are read, and the last batch's
+    counter is the one that holds."""
+    from tessel import catalog
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, i % 2, start + datetime.timedelta(hours=i), "error" if i >= 100 else "signup") for i in range(140)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string")
+    df.repartitionByRange(70, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    for i, f in enumerate(sorted((tmp_path / "events.parquet").glob("part-*"))):
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken in the order of their times
+    got = catalog.queries()["stream_counters"](spark, str(tmp_path))
+    assert {x["user_id"]: x["counter"] for x in got.collect()} == {0: 30, 1: 30}
+    daily = catalog.queries()["stream_daily_counts"](spark, str(tmp_path)).collect()
+    assert sum(x["n"] for x in daily) == 140 and len(daily) == 7
+    df.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    assert catalog.queries()["stream_counters"](spark, str(tmp_path)).count() == 0
