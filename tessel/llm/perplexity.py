@@ -1,18 +1,24 @@
 """Quality rules with an n-gram perplexity model (operator 5).
 
 Base rules count words, symbols, repeated lines and repeated five-word windows of each text.
-The model is a modified Kneser-Ney trigram over 64 character classes, one for each language:
-
-* Spark counts trigrams of all texts (each task sums before it shuffles), so counts cover the
-  whole corpus and rows in the shuffle stay below tasks x languages x 64^3.
-* Each language's counts (64^3 = 262,144 at most) are smoothed in a task of their own and kept as
-  arrays sorted by hash, the trigram and bigram codes, of at most 4 MB a language. That is the
-  proven bound of what is broadcast for each language.
-* A second pass looks up every position of every text by binary search.
+The model is a modified Kneser-Ney model of character 5-grams, for each language:
+
+* Texts fall into ``FOLDS`` halves by their hash, so copies of a text are in one half. A text is
+  scored by the counts of the other half: its own n-grams don't vouch for it.
+* Spark counts the n-grams of all texts (each task sums before it shuffles). Orders 4 to 1 use
+  continuation counts. Every n-gram of the corpus gets its probability by joins with its context
+  and its suffix, so no order of any language has to fit a task.
+* The n-grams are kept by 64-bit hash. The ``FREQUENT`` most frequent at most (12 bytes each) are
+  broadcast, as arrays sorted by hash; a second pass looks them up by binary search. The others
+  of a text are joined by hash in a shuffle; each of them occurs in at most 1 / ``FREQUENT`` of all
+  places, so no key is hot.
 * Bands: per language, around the median of log perplexity, as wide as ``SPREADS`` robust
   spreads plus what chance allows in a text of that length. Texts below or above are rejected.
 
-Classes are a rule of the code point, not fitted, so every script has a place. Null texts and
+The order of words farther apart than five characters isn't seen. The class trigram (``trigrams``,
+``estimate``) was the model before; only tests use it.
+
+Null texts and
 texts without words fail the base rules. Null languages form a group of their own. A language
 with fewer than ``LEAST`` documents gives no verdict: its documents are kept unless a base rule
 fails. Only id, text and lang are read; repeated rows and ties give equal results.
@@ -23,9 +29,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_SPACES, stored, text_of
@@ -36,7 +43,14 @@ LEAST = 30
 SPREADS = 3.5
 CHANCE = 2.5
 #: Code points that are handled at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
+ORDER = 5
+FOLDS = 2
+#: n-grams that are broadcast, at most.
+FREQUENT = 1_000_000
+#: Distinct n-grams that a task keeps while it counts.
+KEPT = 1_000_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -66,34 +80,96 @@ def trigrams(text: str) -> np.ndarray:
     return (c[:-2] << 2 * CLASS_BITS) | (c[1:-1] << CLASS_BITS) | c[2:]
 
 
+def key_of(lang: str | None) -> str:
+    """A language as a key that isn't null."""
+    return "" if lang is None else f"={lang}"
+
+
+def fold_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode(), 7) % FOLDS
+
+
+def padded(text: str) -> np.ndarray:
+    return np.concatenate([np.zeros(ORDER - 1, np.uint32), points(text)])
+
+
+def gram_hashes(c: np.ndarray, key: str, fold: int) -> np.ndarray:
+    """A hash for each run of ``ORDER`` code points."""
+    n = len(c) - ORDER + 1
+    h = np.full(n, xxhash.xxh64_intdigest(f"{fold}{key}".encode()), np.uint64)
+    for i in range(ORDER):
+        h ^= c[i : i + n]
+        h *= MIX
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and code points of n-grams, each n-gram once."""
+    h, first, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    return h, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64), np.concatenate([p[2] for p in parts])[first]
+
+
+def tallied(waiting: list[np.ndarray], key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``merged``, for texts that are padded."""
+    c = np.concatenate(waiting)
+    ends = np.concatenate([np.arange(len(w)) >= ORDER - 1 for w in waiting])[ORDER - 1 :]
+    at = np.flatnonzero(ends)
+    h, first, n = np.unique(gram_hashes(c, key, 0)[at], return_index=True, return_counts=True)
+    return h, n, c[at[first][:, None] + np.arange(ORDER)]
+
+
 def counted(df: DataFrame) -> DataFrame:
-    """(lang, code, n) over all texts of ``df`` (lang, text)."""
+    """(key, fold, gram, n, freq) over all texts of ``df`` (lang, text): how often the texts of
+    the other folds have the n-gram, and those of the fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str | None, np.ndarray] = {}
+        waiting: dict[tuple, list] = {}
+        parts: dict[tuple, list] = {}
+        points_waiting = kept = 0
         for b in batches:
             for lang, t in zip(b.column(0).to_pylist(), b.column(1)):
-                if lang not in total:
-                    total[lang] = np.zeros(1 << 3 * CLASS_BITS, np.int64)
-                codes = trigrams(t.as_py())
-                for at in range(0, len(codes), AT_ONCE):
-                    part = codes[at : at + AT_ONCE]
-                    if len(part) > 20_000:
-                        total[lang] += np.bincount(part, minlength=1 << 3 * CLASS_BITS)
-                    else:
-                        np.add.at(total[lang], part, 1)
-            if len(total) > 32:  # many languages: what has been counted goes out
-                yield from out(total)
-                total = {}
-        yield from out(total)
-
-    def out(total: dict) -> Iterator[pa.RecordBatch]:
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "code", "n"])
-
-    return df.select("lang", text_of(df).alias("text")).mapInArrow(run, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+                text = t.as_py()
+                if not text:
+                    continue
+                c = padded(text)
+                for at in range(0, len(c) - ORDER + 1, AT_ONCE):
+                    piece = c[at : at + AT_ONCE + ORDER - 1]
+                    waiting.setdefault((key_of(lang), fold_of(text)), []).append(piece)
+                    points_waiting += len(piece)
+                    if points_waiting >= AT_ONCE:
+                        kept += tally(waiting, parts)
+                        points_waiting = 0
+                    if kept >= KEPT:
+                        parts = {k: [merged(p)] for k, p in parts.items()}
+                        kept = sum(len(p[0][0]) for p in parts.values())
+                        if kept >= KEPT // 2:
+                            yield from out(parts)
+                            parts, kept = {}, 0
+        tally(waiting, parts)
+        yield from out({k: [merged(p)] for k, p in parts.items()})
+
+    def tally(waiting: dict, parts: dict) -> int:
+        n = 0
+        for k, texts in waiting.items():
+            parts.setdefault(k, []).append(tallied(texts, k[0]))
+            n += len(parts[k][-1][0])
+        waiting.clear()
+        return n
+
+    def out(parts: dict) -> Iterator[pa.RecordBatch]:
+        for (key, fold), [(_, n, c)] in parts.items():
+            for at in range(0, len(n), 1 << 16):
+                some = c[at : at + (1 << 16)]
+                line = some.astype("<u4").tobytes().decode("utf-32-le")
+                grams = [line[i : i + ORDER] for i in range(0, len(line), ORDER)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.string()), pa.array([fold] * len(some), pa.int32()), pa.array(grams, pa.string()), pa.array(n[at : at + (1 << 16)])], ["key", "fold", "gram", "n"])
+
+    found = df.select("lang", text_of(df).alias("text")).mapInArrow(run, "key string, fold int, gram string, n bigint")
+    each = [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)).cast("bigint") for f in range(FOLDS)]
+    sums = found.groupBy("key", "gram").agg(F.sum("n").alias("all"), *(e.alias(f"n{f}") for f, e in enumerate(each)))
+    folds = F.array(*(F.struct(F.lit(f).alias("fold"), (F.col("all") - F.col(f"n{f}")).alias("n"), F.col(f"n{f}").alias("freq")) for f in range(FOLDS)))
+    return sums.select("key", "gram", F.inline(folds))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -132,17 +208,66 @@ def estimate(codes: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     return {"one": np.log(all1), "k2": pairs, "p2": np.log(p2), "c1": c1, "w1": np.log(w1), "k3": codes, "p3": np.log(p3), "c2": c2, "w2": np.log(w2)}
 
 
-KINDS = {"one": np.float32, "k2": np.int32, "p2": np.float32, "c1": np.int32, "w1": np.float32, "k3": np.int32, "p3": np.float32, "c2": np.int32, "w2": np.float32}
+def fold_discounts(levels: list[DataFrame]) -> DataFrame:
+    """(key, fold, order, d1, d2, d3) as ``discounts``, a row for each order of each language."""
+    few = [t.select("key", "fold", F.lit(k).alias("order"), "n").filter("n between 1 and 4") for k, t in enumerate(levels, 1)]
+    all_few = few[0]
+    for t in few[1:]:
+        all_few = all_few.unionByName(t)
+    have = all_few.groupBy("key", "fold", "order").agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)))
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+
+    def d(k: int) -> Column:
+        n, more = F.col(f"n{k}"), F.col(f"n{k + 1}")
+        raw = F.when((n > 0) & (more > 0), k - (k + 1) * y * more / n).otherwise(k * y)
+        return F.least(F.greatest(raw, F.lit(0.05 * k)), F.lit(float(k)))
+
+    return have.select("key", "fold", "order", *(d(k).alias(f"d{k}") for k in (1, 2, 3)))
 
 
 def models(counts: DataFrame) -> DataFrame:
-    """One row for each language: its arrays."""
+    """(h, logp, freq): each n-gram of a fold with its log probability by the other folds."""
+    levels = [stored(counts, "grams5")]
+    for k in range(ORDER - 1, 0, -1):
+        suffix = levels[0].select("key", "fold", F.substring("gram", 2, k).alias("gram"), "n")
+        levels.insert(0, stored(suffix.groupBy("key", "fold", "gram").agg(F.count_if(F.col("n") > 0).alias("n")), f"grams{k}"))
+    d = stored(fold_discounts(levels), "discounts")
+    below = None
+    for k, t in enumerate(levels, 1):
+        own = F.broadcast(d.filter(F.col("order") == k).drop("order"))  # a row for each language and fold
+        x = t.join(own, ["key", "fold"], "left")
+        cut = F.when(F.col("n") == 0, 0.0)
+        for i in (1, 2, 3):
+            of = F.coalesce(F.col(f"d{i}"), F.lit(0.5 * i))
+            cut = cut.when(F.col("n") == i, of) if i < 3 else cut.otherwise(of)
+        w = Window.partitionBy("key", "fold", F.substring("gram", 1, k - 1))
+        x = x.withColumn("cut", cut).withColumn("total", F.sum("n").over(w)).withColumn("weight", F.sum("cut").over(w))
+        if below is None:  # the rest is even over the language's characters and one more
+            x = x.withColumn("low", 1 / (F.count("*").over(w) + 1))
+        else:
+            x = x.withColumn("suffix", F.substring("gram", 2, k - 1)).join(below, ["key", "fold", "suffix"])
+        p = F.when(F.col("total") > 0, (F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") / F.col("total") * F.col("low")).otherwise(F.col("low"))
+        x = x.withColumn("p", p)
+        below = x.select("key", "fold", F.col("gram").alias("suffix"), F.col("p").alias("low"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [gram_hashes(points(g), key, fold)[0] for key, fold, g in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), b.column(3), b.column(4)], ["h", "logp", "freq"])
+
+    return x.filter("freq > 0").select("key", "fold", "gram", F.ln("p").cast("float").alias("logp"), "freq").mapInArrow(run, "h bigint, logp float, freq bigint")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = estimate(pdf["code"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame([{"lang": pdf["lang"].iloc[0]} | {k: m[k].astype(t).tobytes() for k, t in KINDS.items()}])
 
-    return counts.groupBy("lang").applyInPandas(run, "lang string, " + ", ".join(f"{k} binary" for k in KINDS))
+def least_frequent(model: DataFrame, most: int) -> int:
+    """The smallest count such that at most ``most`` n-grams occur as often."""
+    sizes = model.groupBy(F.least("freq", F.lit(1 << 16)).alias("freq")).count().orderBy(F.col("freq").desc()).collect()  # 65,536 rows at most
+    n, least = 0, 1 << 62
+    for x in sizes:
+        n += x["count"]
+        if n > most:
+            break
+        least = x["freq"]
+    return least
 
 
 def looked_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
@@ -194,35 +319,55 @@ def metrics(text: str) -> tuple[int, int, int, int, int]:
 
 
 def scored(df: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, METRICS, n_chars and log perplexity (null without characters or model),
-    and the sum of squared log probabilities, for each row."""
-    rows = model.collect()  # a row of at most 4 MB for each language
-    shared = df.sparkSession.sparkContext.broadcast({r["lang"]: {k: bytes(r[k]) for k in KINDS} for r in rows})
+    """doc_id, lang, METRICS, n_chars and log perplexity (null without characters), and the mean
+    of squared log probabilities, for each row."""
+    least = least_frequent(model, FREQUENT)
+    top = model.filter(F.col("freq") >= least).select("h", "logp").toArrow()  # 12 bytes each
+    keys = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    shared = df.sparkSession.sparkContext.broadcast((keys[order], top.column("logp").to_numpy()[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = {lang: {k: np.frombuffer(v, KINDS[k]) for k, v in m.items()} for lang, m in shared.value.items()}
+        known, values = shared.value
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            got, mean, square, chars = [], [], [], []
+            got, sums, squares, chars, rest, times = [], [], [], [], [], []
             for lang, text in zip(b.column(1).to_pylist(), b.column(2)):
                 t = text.as_py()
                 got.append(metrics(t))
                 chars.append(len(t))
-                codes = trigrams(t)
-                if lang not in of or not len(codes):
-                    mean.append(None)
-                    square.append(None)
-                    continue
-                s = q = 0.0
-                for at in range(0, len(codes), AT_ONCE):
-                    p = log_probabilities(of[lang], codes[at : at + AT_ONCE]).astype(np.float64)
-                    s, q = s + p.sum(), q + (p * p).sum()
-                mean.append(-s / len(codes))
-                square.append(q / len(codes))
+                c, s, q, others, ns = padded(t), 0.0, 0.0, [], []
+                for at in range(0, len(t), AT_ONCE):
+                    h = gram_hashes(c[at : at + AT_ONCE + ORDER - 1], key_of(lang), fold_of(t))
+                    h.sort()
+                    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                    n, h = np.diff(np.append(first, len(h))), h[first]
+                    if len(known):
+                        p, hit = looked_up(known, values, h, 0.0)
+                        p = p.astype(np.float64)
+                        s, q = s + (n * p).sum(), q + (n * p * p).sum()
+                        n, h = n[~hit], h[~hit]
+                    others.append(h)
+                    ns.append(n)
+                sums.append(s)
+                squares.append(q)
+                rest.append(np.concatenate(others).view(np.int64) if others else np.empty(0, np.int64))
+                times.append(np.concatenate(ns).astype(np.int32) if ns else np.empty(0, np.int32))
             cols = [pa.array(c, pa.int64()) for c in zip(*got)] if got else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(chars, pa.int64()), pa.array(mean, pa.float64()), pa.array(square, pa.float64())], ["doc_id", "lang", *METRICS, "n_chars", "log_ppl", "square"])
-
-    schema = "doc_id bigint, lang string, " + ", ".join(f"{m} bigint" for m in METRICS) + ", n_chars bigint, log_ppl double, square double"
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of(df).alias("text")).mapInArrow(run, schema)
+            rows = pa.array(range(row, row + len(got)), pa.int64())
+            row += len(got)
+            lists = [pa.array(rest, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([rows, b.column(0), b.column(1), *cols, pa.array(chars, pa.int64()), pa.array(sums, pa.float64()), pa.array(squares, pa.float64()), *lists], ["row", "doc_id", "lang", *METRICS, "n_chars", "s", "q", "rest", "times"])
+
+    schema = "row bigint, doc_id bigint, lang string, " + ", ".join(f"{m} bigint" for m in METRICS) + ", n_chars bigint, s double, q double, rest array<bigint>, times array<int>"
+    part = stored(df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of(df).alias("text")).mapInArrow(run, schema), "parts")
+    rare = part.select("row", F.inline(F.arrays_zip(F.col("rest").alias("h"), F.col("times").alias("n"))))
+    p = F.col("logp").cast("double")
+    more = rare.join(model.filter(F.col("freq") < least).select("h", "logp"), "h").groupBy("row").agg(F.sum(F.col("n") * p).alias("s2"), F.sum(F.col("n") * p * p).alias("q2"))
+    whole = part.drop("rest", "times").join(more, "row", "left")
+    mean = F.when(F.col("n_chars") > 0, -(F.col("s") + F.coalesce("s2", F.lit(0.0))) / F.col("n_chars"))
+    square = F.when(F.col("n_chars") > 0, (F.col("q") + F.coalesce("q2", F.lit(0.0))) / F.col("n_chars"))
+    return whole.select("doc_id", "lang", *METRICS, "n_chars", mean.alias("log_ppl"), square.alias("square"))
 
 
 def bands(scores: DataFrame) -> DataFrame:

@@ -257,6 +257,69 @@ def test_model_sums_to_one():
         assert math.isclose(np.exp(perplexity.log_probabilities(m, every)).sum(), 1, rel_tol=1e-6)
 
 
+def plain_log_perplexity(rows, order=5):
+    """Modified Kneser-Ney over dictionaries: the texts of one half score those of the other."""
+
+    def grams(text):
+        t = "\0" * (order - 1) + text
+        return [t[i : i + order] for i in range(len(t) - order + 1)]
+
+    every, out = {g for t in rows for g in grams(t)}, {}
+    for fold in range(2):
+        counts = [Counter(g for t in rows if perplexity.fold_of(t) != fold for g in grams(t))]
+        for k in range(order - 1, 0, -1):
+            counts.insert(0, Counter(g[1:] for g, n in counts[0].items() if n > 0))
+        n_chars = len({g[-1:] for g in every})
+        low = dict.fromkeys([""], 1 / (n_chars + 1))
+        for k, c in enumerate(counts, 1):
+            d = perplexity.discounts(np.array(list(c.values()), np.int64))
+            total, weight = Counter(), Counter()
+            for g, n in c.items():
+                total[g[:-1]] += n
+                weight[g[:-1]] += d[min(n, 3)]
+            now = {}
+            for g in {g[order - k :] for g in every}:
+                n, t, below = c[g], total[g[:-1]], low[g[1:]]
+                now[g] = (n - d[min(n, 3)]) / t + weight[g[:-1]] / t * below if t else below
+            low = now
+        out |= {t: -sum(math.log(low[g]) for g in grams(t)) / len(t) for t in rows if t and perplexity.fold_of(t) == fold}
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1_000_000, 40, 0])
+def test_perplexity_by_brute_force(spark, monkeypatch, frequent):
+    """With all, some or no n-grams broadcast."""
+    monkeypatch.setattr(perplexity, "FREQUENT", frequent)
+    monkeypatch.setattr(perplexity, "AT_ONCE", 64)
+    monkeypatch.setattr(perplexity, "KEPT", 50)
+    r = random.Random(5)
+    rows = ["", "a", *(" ".join(r.choice(["sun", "moon", "rise", "été", "日本", "🙂", "se\0t"]) for _ in range(r.randint(1, 40))) for _ in range(60))]
+    want = plain_log_perplexity(rows)
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], "doc_id bigint, text string, lang string")
+    got = {x.doc_id: x.log_ppl for x in perplexity.quality(df).collect()}
+    assert got.keys() == set(range(len(rows))) and got[0] is None
+    assert all(math.isclose(got[i], want[t], rel_tol=1e-5) for i, t in enumerate(rows) if t)
+
+
+def test_bands_see_more_than_three_characters(spark):
+    """Text of the language's own class trigrams, but not of its words, is rejected."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(150)]
+    rows = [" ".join(r.choice(words) for _ in range(60)) for _ in range(200)]
+    after = defaultdict(list)
+    for t in rows:
+        for i in range(len(t) - 2):
+            after[t[i : i + 2]].append(t[i + 2])
+    odd = rows[0][:2]
+    while len(odd) < 450:
+        odd += r.choice(after[odd[-2:]])
+    assert len(odd.split()) > 10
+    df = spark.createDataFrame([(i, t, "xx") for i, t in enumerate([*rows, odd])], "doc_id bigint, text string, lang string")
+    got = {x.doc_id: x for x in perplexity.quality(df).collect()}
+    assert not got[200].base_failed and not got[200].kept and got[200].log_ppl > got[200].upper
+    assert sum(got[i].kept for i in range(200)) >= 195
+
+
 # 6
 
 
