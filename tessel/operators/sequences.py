@@ -6,6 +6,9 @@ windows and folds are partitioned by sequence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +31,36 @@ def spread_times(videos: DataFrame, most: int, rate: float = 30.0) -> DataFrame:
 def kept_frames(frames: DataFrame, seq: str, pos: str, signature: str, least: float) -> DataFrame:
     """Positions that stay when a frame must differ from the last kept one by at least ``least``
     in the L1 norm of its signature. An ordered fold: the reference only moves when a frame is
-    kept, so lag() doesn't do. One task folds a sequence, with memory for its signatures."""
-    items = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.transform(signature, lambda x: x.cast("double")).alias("s"))))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(None).cast("array<double>").alias("ref"))
-
-    def step(acc: Column, x: Column) -> Column:
-        far = F.aggregate(F.zip_with(acc["ref"], x["s"], lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, d: s + d)
-        keep = acc["ref"].isNull() | (far >= least)
-        return F.when(keep, F.struct(F.array_append(acc["kept"], x["p"]).alias("kept"), x["s"].alias("ref"))).otherwise(acc)
-
-    return frames.groupBy(seq).agg(items.alias("_i")).select(seq, F.explode(F.aggregate("_i", start, step, lambda a: a["kept"])).alias(pos))
+    kept, so lag() doesn't do. One task reads a sequence in order, holding the last kept
+    signature and a batch; Spark's sort spills. Frames that can't be compared with it (nulls,
+    other lengths) are dropped."""
+    rows = frames.select(F.col(seq), F.col(pos).cast("bigint").alias(pos), F.transform(signature, lambda x: x.cast("double")).alias("_s"))
+
+    def far_enough(ref: list, now: list | None) -> bool:
+        if now is None or len(ref) != len(now):
+            return False
+        far = 0.0
+        for a, b in zip(ref, now):
+            if a is None or b is None:
+                return False
+            far += abs(a - b)
+        return far >= least or far != far  # as in Spark, NaN is above all numbers
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, current, ref = False, None, None
+        for b in batches:
+            stay = []
+            for i, (s, x) in enumerate(zip(b.column(0).to_pylist(), b.column(2))):
+                if not started or s != current:
+                    started, current, ref = True, s, None
+                now = x.as_py()
+                if ref is None or far_enough(ref, now):
+                    stay.append(i)
+                    ref = now
+            yield b.select([0, 1]).take(pa.array(stay, pa.int64()))
+
+    in_order = rows.repartition(seq).sortWithinPartitions(seq, pos, "_s")
+    return in_order.mapInArrow(fold, rows.drop("_s").schema)
 
 
 def renumbered(df: DataFrame, seq: str, order: list[Column], pos: str = "pos") -> DataFrame:

@@ -33,6 +33,24 @@ def test_kept_frames_compare_with_the_last_kept(spark):
     assert sequences.kept_frames(df.limit(0), "seq", "pos", "sig", 2.0).count() == 0
 
 
+def test_kept_frames_hold_no_sequence(spark, capsys):
+    """Long sequences over many batches, against a plain fold; no row holds a sequence."""
+    r = random.Random(6)
+    rows = [(s, i, [r.random(), r.random()]) for s in ("a", "b", None) for i in range(25_000 if s == "a" else 50)]
+    rows += [("c", 0, None), ("c", 1, [0.0]), ("c", 2, [5.0, 5.0]), ("c", 3, [None]), ("c", 4, [9.0])]
+    want = {("c", 0), ("c", 1), ("c", 4)}
+    last = {}
+    for s, i, x in rows[:-5]:
+        if s not in last or sum(abs(a - b) for a, b in zip(last[s], x)) >= 0.7:
+            last[s] = x
+            want.add((s, i))
+    r.shuffle(rows)
+    got = sequences.kept_frames(spark.createDataFrame(rows, "seq string, pos bigint, sig array<double>"), "seq", "pos", "sig", 0.7)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    got.explain()
+    assert "collect_list" not in capsys.readouterr().out
+
+
 def test_ping_pong_has_2n_minus_2(spark):
     df = spark.createDataFrame([("s", i, i) for i in range(5)] + [("one", 0, 0)], "seq string, id bigint, pos bigint")
     out = sequences.ping_pong(df, "seq", "id")
