@@ -9,8 +9,11 @@ Work in tasks is a mapInArrow over batches of documents; the vocabulary (50k ent
 size) is read once in each Python worker from the path given. Results for chunks of text are
 kept in a dictionary that is emptied when it holds ``CACHE`` entries, which bounds memory.
 
-Null texts count as empty: no ids, hash of the empty string. Columns other than the id and the
-text aren't read, so clashing names do no harm; repeated rows give repeated results.
+Null texts count as empty: no ids, hash of the empty string. Very long texts take memory in
+proportion to their longest pre-token (some 190 bytes a character while its queue is worked off;
+0.2 GB for a word of 1 MB), besides their ids. Equal ranks are merged from left to right, as the
+library does. Columns other than the id and the text aren't read, so clashing names do no harm;
+repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations

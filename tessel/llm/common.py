@@ -16,11 +16,14 @@ WORD_SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests on one machine) a new temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a new temporary folder is
+    set; on a cluster it is an error to name none.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessel.shared.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tessel-")
         spark.conf.set("tessel.shared.dir", named)
     return named.rstrip("/")
@@ -51,7 +54,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` made and nothing needs any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: no column can clash with an operator's own."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str:
+    """The name that column ``name`` of ``df`` has in ``numbered``: the column of just that name,
+    else one that differs in case."""
+    names = df.columns
+    return f"c{names.index(name) if name in names else [n.lower() for n in names].index(name)}"
+
+
+#: A key with more rows than this share of a table counts as hot, so hot keys are few.
+HOT = 1e-4
+
+
+def with_looked_up(rows: DataFrame, few: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``few`` (one row a key, column ``size``: how many of ``rows`` have it).
+    Keys with at least HOT of the ``total`` rows, 1 / HOT at most, are broadcast, so no task gets
+    all rows of a hot key; the others are joined in a shuffle."""
+    least = max(1000, int(HOT * total))
+    hot = F.broadcast(few.filter(F.col(size) >= least).drop(size))
+    rest = few.filter(F.col(size) < least).drop(size)
+    if total < least:
+        return rows.join(rest, key)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

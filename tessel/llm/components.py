@@ -10,33 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored, with_looked_up
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour (or to itself)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return with_looked_up(both.filter("b > a"), least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node's smaller neighbours, and the node itself, are linked to the smallest."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return with_looked_up(down, least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node that has an edge and isn't the smallest of its component.
     ``edges``: columns a, b of one orderable type; loops and repeated edges do no harm, and
-    rows with a null are left out."""
+    rows with a null are left out. A hub's neighbours are joined by broadcast, so its edges stay
+    spread out; tables of past rounds are deleted."""
     now = stored(edges.select("a", "b").filter("a <> b"), "edges")
-    last = None
-    for _ in range(rounds):
-        now = stored(small_star(large_star(now)), "edges")
-        n = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    total, last = now.count(), None
+    while True:
+        between = stored(large_star(now, total), "edges")
+        after = stored(small_star(between, total), "edges")
+        discard(now)
+        discard(between)
+        now, n = after, after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if n == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        last = n
-    raise RuntimeError(f"components: no end after {rounds} rounds")
+        total, last = n[0], n

@@ -1,19 +1,24 @@
 """Language identification by nearest centroid (operator 10).
 
 A text is the vector of its letter trigrams (hashed into ``BUCKETS``), weighted by log counts
-and inverse document frequency and normalised. Each language has ``CENTROIDS`` centroids, found
-by spherical k-means, as its texts differ in kind. The nearest centroid by cosine gives the
-language; a text whose nearest centroid is farther than ``REACH`` times what all but
-``OUTSIDE`` of the language's own training texts need is rejected.
+and inverse document frequency and normalised. Each language has up to ``CENTROIDS`` centroids,
+found by spherical k-means, as its texts differ in kind; starts are drawn as in k-means++, the
+best of ``TRIES`` counts, and a cluster with less than ``SMALL`` of the sample is given up, so an
+odd text doesn't become a centroid. The nearest centroid by cosine gives the language; a text
+whose nearest centroid is farther than ``REACH`` times what all but ``OUTSIDE`` of the language's
+own training texts need is rejected.
 
 Document frequencies are counted over all training texts, summed in each task. k-means is fitted
-on at most ``SAMPLE`` texts of a language, a documented bound, drawn by a hash of doc_id, each
-language in a task of its own. The broadcast is bounded by languages x CENTROIDS x BUCKETS
-numbers (0.1 MB for each language).
-
-A text that is null or has no letter is ``und`` with score 0 and isn't rejected. Null languages
-and null ids aren't learned from. Without any training text all others are ``und`` too. Ties go
-to the language that sorts first. Only id, text and lang are read.
+on at most ``SAMPLE`` texts of a language, a documented bound, those whose id and text have the
+smallest hashes, each language in a task of its own. The ``LANGUAGES`` most frequent values of
+lang are learned at most, a documented bound on the model (0.1 MB for each), which is collected
+and broadcast; every row gets one of them, whatever its own lang.
+
+A text that is null or has no letter is ``und`` with score 0; in ``identified`` it isn't rejected
+as too far, and ``accepted`` leaves it out. Texts are read whole, however long. Null languages and
+null ids aren't learned from. Without any training text all others are ``und`` too. Ties go to the
+language that sorts first. Repeated rows are counted and returned as often as they occur. Extra
+columns may have any name; ``accepted`` returns them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,16 +28,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, shipped, stored
+from .common import numbered, place, remainder, shipped, stored
 
 BUCKETS = 8192
 CENTROIDS = 3
 ROUNDS = 10
-#: Texts of a language that k-means sees at most (on average over the hash).
+TRIES = 4
+#: Least share of the sample that a cluster needs.
+SMALL = 0.02
+#: Texts of a language that k-means sees at most.
 SAMPLE = 1000
+#: Languages that are learned, at most.
+LANGUAGES = 1000
 #: Share of a language's training texts beyond the reach that calibrates rejection.
 OUTSIDE = 0.01
 REACH = 1.25
@@ -78,6 +88,19 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (v / max(np.sqrt(v @ v), 1e-12)).astype(np.float32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Numbers of the buckets in use, and their counts."""
+    at = np.flatnonzero(counts)
+    return np.concatenate([at, counts[at]]).astype(np.int32).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    at, n = np.frombuffer(raw, np.int32).reshape(2, -1)
+    out = np.zeros(BUCKETS, np.int64)
+    out[at] = n
+    return out
+
+
 def frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     """Inverse document frequency of each bucket over all training texts."""
 
@@ -96,42 +119,58 @@ def frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     return np.log((1 + n) / (1 + np.array([got.get(i, 0) for i in range(BUCKETS)]))) + 1, n
 
 
-def clustered(x: np.ndarray) -> np.ndarray:
-    """Spherical k-means; each start is the vector that is farthest from those before."""
-    centre = x.mean(axis=0)[None]
-    first = int((x @ centre[0]).argmax())
-    starts = [first]
-    while len(starts) < min(CENTROIDS, len(x)):
-        starts.append(int((x @ x[starts].T).max(axis=1).argmin()))
-    c = x[starts]
-    for _ in range(ROUNDS):
-        near = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[near == k].mean(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+def clustered(x: np.ndarray, k: int = CENTROIDS) -> np.ndarray:
+    """Centres by spherical k-means: of ``TRIES`` runs the one whose vectors lie nearest. Starts
+    are drawn in proportion to the distance from those before. Clusters with less than ``SMALL``
+    of the vectors are given up and their vectors dealt to the others."""
+    best, best_sum = None, -np.inf
+    for seed in range(TRIES):
+        draw = np.random.default_rng(seed)
+        starts = [int(draw.integers(len(x)))]
+        while len(starts) < min(k, len(x)):
+            apart = np.maximum(1 - (x @ x[starts].T).max(axis=1), 0).astype(np.float64)
+            if apart.sum() < 1e-6:
+                break
+            starts.append(int(draw.choice(len(x), p=apart / apart.sum())))
+        c = x[starts]
+        for _ in range(ROUNDS):
+            size = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c))
+            if len(c) > 1 and size.min() < SMALL * len(x):
+                c = np.delete(c, size.argmin(), axis=0)
+            near = (x @ c.T).argmax(axis=1)
+            c = np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        if (got := float((x @ c.T).max(axis=1).sum())) > best_sum:
+            best, best_sum = c, got
+    return best
 
 
 def centroids(train: DataFrame, idf: np.ndarray) -> DataFrame:
     """(lang, centroids binary, least): centroids and the least cosine that is accepted."""
-    size = F.broadcast(train.groupBy("lang").agg(F.count("*").alias("docs")))  # a row for each language
-    draw = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1)) / F.lit(float(1 << 31)))
-    sample = train.join(size, "lang").filter(draw * F.col("docs") < SAMPLE)
+    size = train.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(LANGUAGES)
+    lot = F.xxhash64("doc_id", "text")
+    draw = lot.bitwiseAND(F.lit((1 << 31) - 1)) / F.lit(float(1 << 31))
+    # a draw by hash leaves some twice the number, and the smallest hashes of these are kept
+    drawn = train.join(F.broadcast(size), "lang").filter(draw * F.col("docs") < 2 * SAMPLE).withColumn("lot", lot)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [c.astype(np.int32).tobytes() if (c := trigram_counts(t.as_py())) is not None else None for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["doc_id", "lang", "counts"])
+            made = [packed(c) if (c := trigram_counts(t.as_py())) is not None else None for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.binary())], ["doc_id", "lang", "lot", "counts"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "counts"])
-        x = np.stack([vector(np.frombuffer(c, np.int32), idf) for c in pdf["counts"]])
+        pdf = pdf.sort_values(["lot", "doc_id"])
+        x = np.stack([vector(unpacked(c), idf) for c in pdf["counts"]])
         c = clustered(x)
         least = 1 - REACH * (1 - float(np.quantile((x @ c.T).max(axis=1), OUTSIDE)))
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "centroids": [c.astype(np.float32).tobytes()], "least": [least]})
 
-    # texts become counts where they are read, so a group holds 32 kB for each text, however long
-    rows = sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").mapInArrow(counts, "doc_id bigint, lang string, counts binary")
-    return rows.filter("counts is not null").groupBy("lang").applyInPandas(run, "lang string, centroids binary, least double")
+    # texts become counts where they are read, so a group holds at most SAMPLE rows of 64 kB
+    rows = drawn.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "lot", "text").mapInArrow(counts, "doc_id bigint, lang string, lot bigint, counts binary")
+    # each task drops what exceeds SAMPLE before the shuffle, so repeats of one row can't fill a group
+    kept = rows.filter("counts is not null").withColumn("turn", turn).filter(F.col("turn") <= SAMPLE).drop("turn")
+    return kept.groupBy("lang").applyInPandas(run, "lang string, centroids binary, least double")
 
 
 def identified(df: DataFrame, keep: list[str] | None = None, rest: int = 2, divisor: int = 4) -> DataFrame:
@@ -169,15 +208,15 @@ def identified(df: DataFrame, keep: list[str] | None = None, rest: int = 2, divi
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], schema=None, names=[*out_names, "lang_pred", "score", "rejected", "margin"])
 
     held = F.coalesce(part == rest, F.lit(False)).alias("held_out")
-    chosen = df.select(*keep, held, F.col("text").alias("_text"))
+    chosen = df.select(*keep, held, df["text"].alias("_text"))
     out_names = chosen.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean, margin double")
 
 
 def accepted(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` that aren't rejected, with the same columns."""
-    clash = [c for c in df.columns if c in ("held_out", "lang_pred", "score", "rejected", "margin")]
-    if clash:
-        raise ValueError(f"columns {clash} clash with the results")
-    return identified(df, df.columns).filter("not rejected").select(df.columns)
+    """The rows of ``df`` whose language is told and near enough, with the same columns."""
+    own = numbered(df)
+    names = {f"_{n}": F.col(place(df, n)) for n in ("doc_id", "text", "lang")}
+    rows = own.withColumns(names).select(*own.columns, *(F.col(n).alias(n[1:]) for n in names))
+    return identified(rows, own.columns).filter((F.col("lang_pred") != UND) & ~F.col("rejected")).select(own.columns).toDF(*df.columns)

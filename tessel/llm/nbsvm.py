@@ -7,12 +7,15 @@ log ratio of its smoothed counts in the two classes; a linear model with hinge l
 the scaled vectors by dual coordinate descent; a sigmoid over held-out margins gives the score.
 
 The model is fitted in one task on at most ``SAMPLE`` labelled documents (whole texts), a
-documented bound; it is ``BUCKETS`` numbers (1 MB), which is what is broadcast. Scoring is one
-pass over the texts without a shuffle.
-
-Null and empty texts have no features and the score of the intercept. Null ids aren't held out
-and not learned from. Labels, lang, source and doc_id are no input of a score. If the labels
-hold fewer than two classes the score is their smoothed mean. Repeated rows score alike.
+documented bound; a row of the sample is at most ``BUCKETS`` buckets of 4 bytes however long its
+text. The model is ``BUCKETS`` numbers (1 MB), which is what is broadcast. Scoring is one pass
+over the texts without a shuffle.
+
+Null and empty texts have no features and the score of the intercept; very long texts are read
+whole. Null ids aren't held out and not learned from. Labels, lang, source and doc_id are no
+input of a score, and no other column is read, so clashing names do no harm. If the labels hold
+fewer than two classes the score is their smoothed mean; without labels it is 0.5. Rows of equal
+texts score alike, and repeated rows come back as often. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +35,6 @@ from .labelled import training_rows
 
 BUCKETS = 1 << 18
 SAMPLE = 8000
-#: An indicator that fewer training documents have is left out.
-LEAST = 3
 COST = 1.0
 EPOCHS = 12
 #: Share of the sample that the sigmoid is fitted on.
@@ -46,7 +47,7 @@ KEPT: dict[str, tuple[int, int]] = {}
 
 
 def shape(word: str) -> str:
-    marked = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c for c in word[:64])
+    marked = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c for c in word)
     return RUNS.sub(r"\1\1", marked)
 
 
@@ -87,11 +88,11 @@ def features(text: str) -> np.ndarray:
 
 
 def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Log ratio of each bucket's smoothed share in class 1 to that in class 0; zero where
-    fewer than LEAST documents have it."""
+    """Log ratio of each bucket's smoothed share in class 1 to that in class 0; zero for a bucket
+    that no document has, as it tells nothing."""
     n = [np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(y == k)] or [np.empty(0, np.int32)]), minlength=BUCKETS) for k in (0, 1)]
     p = [(1.0 + x) / (2.0 + (y == k).sum()) for k, x in enumerate(n)]
-    return np.where(n[0] + n[1] >= LEAST, np.log(p[1] / p[0]), 0.0)
+    return np.where(n[0] + n[1] > 0, np.log(p[1] / p[0]), 0.0)
 
 
 def unit(buckets: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,13 +5,15 @@ needed. Each item goes where the sum over gaps of the squared number of open seq
 that gap becomes smallest: either into an open sequence or into a new one.
 
 Scale: tokens are made and digested in the task that reads the text; what is shuffled is some
-40 bytes for each piece. Pieces that fill a sequence need no packing. The others are dealt by a
-hash into groups of about ``GROUP`` items, each packed on its own in one task (longest first),
-so memory and time of a task are bounded and the loss is a few sequences for each group.
-
-Null texts count as empty: one piece with the end token only. Repeated rows are packed as often
-as they occur. Null ids are kept. Only id and text are read, so extra columns do no harm. Equal
-lengths are ordered by id, piece and digest.
+40 bytes for each piece. Pieces that fill a sequence need no packing. The others are dealt in
+turn into groups of at most about ``GROUP`` items, each packed on its own in one task (longest
+first), so memory and time of a task are bounded and the loss is a few sequences for each group.
+
+Null texts count as empty: one piece with the end token only. Very long texts become many pieces;
+their ids are held by the task that reads them. Repeated rows are packed as often as they occur,
+also where a whole table consists of one row. Null ids are kept. Only id and text are read, so
+extra columns do no harm. Equal lengths are ordered by id, piece and digest. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -128,9 +130,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     groups = max(1, -(-rest.count() // group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches)
-        if not whole.num_rows:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
+        whole = pa.Table.from_batches(got)
         whole = whole.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         where, offset = sum_of_squares(whole["length"].to_numpy(), capacity)
         base = whole["task"][0].as_py() << 32
@@ -138,7 +141,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         yield from out.to_batches(max_chunksize=20_000)
 
     schema = f"{PIECES}, sequence_id bigint, offset bigint"
-    packed = rest.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("task", F.spark_partition_id().cast("bigint")).mapInArrow(run, schema)
+    # dealt in turn (after a sort of each task's rows, so a repeated task deals alike): equal rows
+    # don't meet in one group
+    packed = rest.repartition(groups).withColumn("task", F.spark_partition_id().cast("bigint")).mapInArrow(run, schema)
     # numbers of full sequences: negative, so that they meet none of the packed ones
     alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
     return packed.unionByName(alone)

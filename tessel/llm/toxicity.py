@@ -6,15 +6,18 @@ marks and obfuscation (digits or signs within words, letters spelt apart, runs o
 
 The learned lexicon holds words and word beginnings of 4 to 8 letters that labelled toxic texts
 use far more often than others, once or (entries of their own) at least twice, by a likelihood
-ratio beyond what chance gives among as many candidates. Its counts are summed in Spark over the labelled sample; it is bounded by the
-sample's words and by ``LEXICON`` entries, best first.
+ratio beyond what chance gives among as many candidates. Its counts are summed in Spark over the
+labelled sample, whose bound bounds it.
 
 Trees and calibration are Spark's own (``pyspark.ml``), fitted on at most ``SAMPLE`` labelled
-documents, a documented bound. Scoring is one pass over the texts without a shuffle.
-
-Null and empty texts have features of zero. Null ids aren't held out and not learned from.
-Labels, lang, source and doc_id are no input of a score. If the labels hold fewer than two
-classes the score is their smoothed mean. Repeated rows score alike.
+documents, a documented bound; words and trees are learned from one share of it, the calibration
+from the other. Scoring is one pass over the texts without a shuffle.
+
+Null and empty texts have features of zero; very long texts and words are read whole, in time
+that grows with their length. Null ids aren't held out and not learned from. Labels, lang, source
+and doc_id are no input of a score. If the labels hold fewer than two classes the score is their
+smoothed mean. Rows of equal texts score alike, and repeated rows come back as often. Extra
+columns may have any name; ``accepted`` returns them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,18 +36,17 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, shipped, stored, text_of
+from .common import numbered, place, remainder, shipped, stored, text_of
 from .labelled import training_rows
 
 SAMPLE = 20_000
-LEXICON = 2000
 #: Share of the sample that the calibration is fitted on.
 CALIBRATION = 0.3
 CUT = 0.5
 TREES, DEPTH, STEP = 15, 3, 0.3
+#: Counts of uses are told apart in as many bins.
+BINS = 128
 WINDOW = 50
-#: Counts of uses are told apart up to this.
-MOST = 8
 NEAR = 5
 CACHE = 300_000
 
@@ -52,7 +54,6 @@ CACHE = 300_000
 INSULTS = frozenset("idiot idiots stupid moron morons loser losers trash scum clown clowns pathetic worthless disgusting dumb imbecile jerk bastard bitch asshole fool garbage filth filthy vermin ugly retard crap shit fuck fucking damn freak".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes tus vosotros".split())
 SIGNS = str.maketrans("013457@$!", "oieastasi")
-STRIP = re.compile(r"^\W+|[\W_]+$")
 RUN = re.compile(r"(.)\1\1+")
 HIDDEN = re.compile(r"[^\W\d_][0-9@$!*]+[^\W\d_]|[^\W\d_]\*{2,}(?:\s|$)")
 SINGLES = re.compile(r"(?<!\S)\w[ .\-_*]\w[ .\-_*]\w[ .\-_*]")
@@ -62,7 +63,13 @@ NAMES = ["fixed_hits", "learned_hits", "fixed_density", "learned_density", "repe
 
 def plain(word: str) -> str:
     """Lower case, without marks at the ends, signs read as letters, long runs cut to one."""
-    w = STRIP.sub("", word.lower())
+    w = word.lower()
+    start, end = 0, len(w)
+    while end and not w[end - 1].isalnum():
+        end -= 1
+    while start < end and not (w[start].isalnum() or w[start] == "_"):
+        start += 1
+    w = w[start:end]
     if not w.isalpha():
         w = w.translate(SIGNS)
     return RUN.sub(r"\1", w)
@@ -134,8 +141,7 @@ class Features:
         marks = int(((points > 32) & (points < 127)).sum()) - capitals - int(((points >= 97) & (points <= 122)).sum()) - int(((points >= 48) & (points <= 57)).sum())
         runs = int(((points[2:] == points[1:-1]) & (points[1:-1] == points[:-2]) & (points[2:] > 64)).sum())
         fixed, learned = int((k & 1).sum()), int((k & 2).astype(bool).sum())
-        # small whole numbers: the trees' bins keep none apart from one
-        return [*(float(min(x, MOST)) for x in (fixed, learned)), fixed / n, learned / n, float(again.sum()) / n, float(min(uses.max(), MOST)), float(min(len(hit) + apart, MOST)), float(min(densest, MOST)), len(second) / n, float(near), capitals / c, float((k & 8).astype(bool).sum()) / n, marks / c, text.count("!") / c, float((k & 16).astype(bool).sum()) / n, runs / c, float(apart), math.log1p(n)]
+        return [float(fixed), float(learned), fixed / n, learned / n, float(again.sum()) / n, float(uses.max()), float(len(hit) + apart), float(densest), len(second) / n, float(near), capitals / c, float((k & 8).astype(bool).sum()) / n, marks / c, text.count("!") / c, float((k & 16).astype(bool).sum()) / n, runs / c, float(apart), math.log1p(n)]
 
 
 LOADED: dict[frozenset[str], Features] = {}
@@ -184,7 +190,7 @@ def learned_lexicon(sample: DataFrame) -> frozenset[str]:
     both = lambda x, n: part(x, F.lit(float(n))) + part(F.lit(n) - x, F.lit(float(n)))
     ratio = 2 * (both(yes, n1) + both(no, n0) - both(all_, n0 + n1))
     often = (yes / n1) / ((no + 0.5) / n0)
-    best = got.filter("yes >= 3").withColumn("g", ratio).filter((often >= 10) & (F.col("g") >= 2 * math.log(max(tried, 2)) + 6)).orderBy(F.desc("g"), "entry").limit(LEXICON)
+    best = got.filter("yes >= 3").withColumn("g", ratio).filter((often >= 10) & (F.col("g") >= 2 * math.log(max(tried, 2)) + 6))
     return frozenset(r["entry"] for r in best.collect())
 
 
@@ -211,37 +217,41 @@ class Model:
         n0, n1 = sample.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") > 0)).first()
         self.trees = self.steps = None
         self.mean = (n1 + 1) / (n0 + n1 + 2)
-        self.learned = learned_lexicon(sample)
+        # the calibration's rows stay unseen: neither words nor trees are learned from them
+        shares = [F.col("fold") < CALIBRATION, F.col("fold") >= CALIBRATION]
+        if sample.groupBy(shares[0], "y").count().count() < 4:
+            shares = [F.lit(True), F.lit(True)]
+        self.learned = learned_lexicon(sample.filter(shares[1]))
         if not n0 or not n1:
             return
         rows = stored(featured(sample, ["y", "fold"], self.learned).withColumn("y", F.col("y").cast("double")), "dense")
-        held, fit = rows.filter(F.col("fold") < CALIBRATION), rows.filter(F.col("fold") >= CALIBRATION)
-        if held.select("y").distinct().count() < 2 or fit.select("y").distinct().count() < 2:
-            held = fit = rows
-        trees = GBTClassifier(featuresCol="_x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, predictionCol="_class")
+        held, fit = rows.filter(shares[0]), rows.filter(shares[1])
+        trees = GBTClassifier(featuresCol="_x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=BINS, seed=7, predictionCol="_class")
         self.trees = trees.setRawPredictionCol("_raw").setProbabilityCol("_p").fit(fit)
-        self.steps = IsotonicRegression(featuresCol="_q", labelCol="y", predictionCol="_score").fit(self.raw(held).select("_q", "y"))
+        # rows of one probability are one point with their number as weight: the fit is the same
+        points = stored(self.raw(held).groupBy("_q").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w")), "points")
+        self.steps = IsotonicRegression(featuresCol="_q", labelCol="y", weightCol="w", predictionCol="_score").fit(points)
 
     def raw(self, rows: DataFrame) -> DataFrame:
         return self.trees.transform(rows).withColumn("_q", vector_to_array("_p")[1]).drop("_class", "_raw", "_p", "_x")
 
     def scored(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """The columns ``keep`` of ``df`` and _score, 0 to 1. Steps of the calibration hold
-        many rows of one value; the trees' own probability orders them within a step."""
+        """The columns ``keep`` of ``df``, _score (calibrated) and _q (the trees' own), 0 to 1."""
         if self.trees is None:
-            return df.select(*keep, F.lit(self.mean).alias("_score"))
+            return df.select(*keep, F.lit(self.mean).alias("_score"), F.lit(self.mean).alias("_q"))
         out = self.steps.transform(self.raw(featured(df, keep, self.learned)))
-        blend = 0.98 * F.col("_score") + 0.02 * F.col("_q")
-        return out.withColumn("_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), blend))).drop("_q")
+        return out.withColumn("_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_score")))
 
 
 def scored(documents: DataFrame, labels: DataFrame, label: str = "toxic", rest: int = 0, divisor: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of ``documents``."""
+    """doc_id, held_out, score, predicted and raw (the trees' probability before calibration) of
+    each row of ``documents``."""
     shipped(documents.sparkSession)
     held = F.coalesce(remainder(documents["doc_id"], divisor) == rest, F.lit(False))
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), "text")
     got = Model(documents, labels, label).scored(rows, ["doc_id", "held_out"])
-    return got.withColumnRenamed("_score", "score").withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    score = F.col("_score").alias("score")
+    return got.select("doc_id", "held_out", score, (score >= CUT).cast("int").alias("predicted"), F.col("_q").alias("raw"))
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -251,4 +261,6 @@ def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     model = Model(documents, labels)
     if model.trees is None:
         return documents
-    return model.scored(documents, documents.columns).filter(F.col("_score") < CUT).select(documents.columns)
+    own = numbered(documents)
+    rows = own.withColumn("text", F.col(place(documents, "text")))
+    return model.scored(rows, own.columns).filter(F.col("_score") < CUT).select(own.columns).toDF(*documents.columns)
