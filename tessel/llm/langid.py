@@ -148,11 +148,11 @@ def clustered(x: np.ndarray, k: int = CENTROIDS) -> np.ndarray:
 def centroids(train: DataFrame, idf: np.ndarray) -> DataFrame:
     """(lang, centroids binary, least): centroids and the least cosine that is accepted."""
     size = train.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(LANGUAGES)
-    lot = F.xxhash64("doc_id", "text")
-    draw = lot.bitwiseAND(F.lit((1 << 31) - 1)) / F.lit(float(1 << 31))
-    # a draw by hash leaves some twice the number, and the smallest hashes of these are kept
-    drawn = train.join(F.broadcast(size), "lang").filter(draw * F.col("docs") < 2 * SAMPLE).withColumn("lot", lot)
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id"))
+    lots = train.withColumn("lot", F.xxhash64("doc_id", "text"))
+    first = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order)) <= SAMPLE
+    # each task keeps its smallest hashes of a language before the shuffle; no text goes along
+    least = lots.select("lang", "lot").withColumn("in", first("lot")).filter("in").groupBy("lang").agg(F.max("lot").alias("last")).join(F.broadcast(size), "lang").select("lang", "last")
+    drawn = lots.join(F.broadcast(least), "lang").filter("lot <= last")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,8 +168,8 @@ def centroids(train: DataFrame, idf: np.ndarray) -> DataFrame:
 
     # texts become counts where they are read, so a group holds at most SAMPLE rows of 64 kB
     rows = drawn.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "lot", "text").mapInArrow(counts, "doc_id bigint, lang string, lot bigint, counts binary")
-    # each task drops what exceeds SAMPLE before the shuffle, so repeats of one row can't fill a group
-    kept = rows.filter("counts is not null").withColumn("turn", turn).filter(F.col("turn") <= SAMPLE).drop("turn")
+    # repeats of one row share a hash: what exceeds SAMPLE is dropped, again before the shuffle
+    kept = rows.filter("counts is not null").withColumn("in", first("lot", "doc_id")).filter("in").drop("in")
     return kept.groupBy("lang").applyInPandas(run, "lang string, centroids binary, least double")
 
 

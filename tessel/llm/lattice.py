@@ -1,30 +1,34 @@
 """Subword lattice likelihood (operator 9).
 
 The model gives each text the sum over all its segmentations. A word's lattice has an arc for
-each piece of an existing public vocabulary that matches at a place, an arc for each single
-character outside it, and an arc over the whole word if training documents hold the word. No
-piece crosses a word's end, so every segmentation of a text passes there and the forward
-recursion of a text is the sum of its words' logarithms plus the end's; the recursion itself runs
-over each distinct word once, in log space.
-
-Arc weights. A word is read whole with probability 1 - t and is spelt with probability t, where t
-comes from the training words that occur once (Good-Turing). Whole words have their relative
-counts. Pieces start from the vocabulary's own scores and get their expected counts in all
-segmentations of the training words that occur once (``ROUNDS`` forward-backward passes); after
-each piece a spelt word ends with a stop probability.
+each piece of an existing public vocabulary that matches at a place, weighted by the vocabulary's
+own score, and an arc for each single character outside it. A piece begins a word or goes on with
+it, as its mark tells, so every segmentation of a text passes through the ends of its words: the
+forward recursion of a text is the sum of its words' logarithms plus the end's, and the recursion
+itself runs over each distinct word once, in log space, whole, however long. ``lattice_score`` is
+that, and the end at its share of the training tokens.
+
+``score`` adds what the corpus knows: where training holds a word, one arc over the whole word
+with its relative count. The vocabulary's lattice has the weight t and the whole-word arcs 1 - t,
+where t is the share of training tokens that occur once (Good-Turing).
+
+The scores of a unigram vocabulary are taken as they are. A merge vocabulary has ranks instead
+(0, -1, -2, ...); rank r then stands for a share of about 1 / (r + 2), as in Zipf's law, a rule
+that looks at no corpus.
 
 Scale. (1) Words are counted in each task and summed by a shuffle on the word. (2) Lattices run
 over the distinct words, spread over the cluster. (3) Words whose share of the tokens is at
-least ``SHARE`` are at most 1 / SHARE and are broadcast, with words over ``LONG`` bytes kept out,
-so the broadcast is bounded by 1 / SHARE * (LONG + 24) bytes at any input size. Their part of
-each text is added up in the task that reads it. (4) All other words go out as one row for each
-text and distinct word and are joined by a shuffle; none of them holds more than SHARE of the
-tokens, so no key is hot. What is collected to the driver: 3 totals and one number for each
-piece of the vocabulary.
-
-Null texts count as empty: the end alone. Null ids are never held out and never learned from.
-Rows are told apart by a number of their own, so repeated ids and rows are scored one by one.
-Only id and text are read.
+least ``SHARE`` are at most 1 / SHARE and are broadcast, those over ``LONG`` bytes by their
+128-bit hash, so the broadcast is bounded by 1 / SHARE * (LONG + 32) bytes at any input size.
+Their part of each text is added up in the task that reads it. (4) All other words go out as one
+row for each text and distinct word and are joined by a shuffle; none of them holds more than
+SHARE of the tokens, so no key is hot. What is collected to the driver besides: 4 totals.
+
+Null texts count as empty: the end alone. Very long texts are counted whole; a word of n
+characters takes time and memory in proportion to n. Null ids are never held out and never
+learned from. Rows are told apart by a number of their own, so repeated ids and rows are scored
+one by one, each with the same result. Only id and text are read, so clashing names do no harm. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +49,11 @@ SHARE = 1e-6
 LONG = 64
 #: Distinct words that a task counts before it passes them on.
 HELD = 300_000
-#: A word's lattice is cut into stretches of so many characters, which bounds the work on very
-#: long words; the cut is part of the model, at every size alike.
-STRETCH = 256
 MARK = "▁"
-#: Rounds of expected counts, and the count that each piece has beforehand.
-ROUNDS = 3
-FLOOR = 0.01
+#: What a character outside the vocabulary scores below its least piece.
+UNKNOWN = 10.0
+#: Characters that are worked on at once, all words together.
+CELLS = 1 << 18
 #: Multiplier of the hash of a stretch of code points.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,17 +100,16 @@ def loaded(path: str) -> Pieces:
     return LOADED[path]
 
 
-def stretches(words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: which word each stretch belongs to, and its code points, a row each."""
-    rows: dict[int, tuple[list[int], list[str]]] = {}
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which words have one length, and their code points, a row each; ``CELLS`` at a time."""
+    rows: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        w = MARK + w
-        for at in range(0, len(w), STRETCH):
-            part = w[at : at + STRETCH]
-            which, parts = rows.setdefault(len(part), ([], []))
-            which.append(i)
-            parts.append(part)
-    return {n: (np.array(which), np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)) for n, (which, parts) in rows.items()}
+        rows.setdefault(len(w) + 1, []).append(i)
+    for n, which in rows.items():
+        step = max(1, CELLS // n)
+        for at in range(0, len(which), step):
+            part = which[at : at + step]
+            yield np.array(part), np.frombuffer("".join(MARK + words[i] for i in part).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
 
 
 def lattice(p: Pieces, codes: np.ndarray) -> list[np.ndarray]:
@@ -121,55 +123,35 @@ def lattice(p: Pieces, codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def log_sum(x: np.ndarray) -> np.ndarray:
-    """Log of the summed exponentials of each row."""
-    top = x.max(axis=1)
-    safe = np.where(np.isfinite(top), top, 0.0)
-    with np.errstate(divide="ignore"):
-        return np.log(np.exp(x - safe[:, None]).sum(axis=1)) + safe
-
-
-def forward(weights: list[np.ndarray]) -> np.ndarray:
-    """Log of the summed weights of all paths to each place."""
-    rows, n = weights[0].shape
-    a = np.full((rows, n + 1), -np.inf)
+def forward(p: Pieces, codes: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Log of the summed weights of all paths through each row: every place passes its sum on
+    along the arcs that begin there. Arcs are looked up for a block of places at a time."""
+    rows, n = codes.shape
+    a = np.full((rows, n + p.longest + 1), -np.inf)
     a[:, 0] = 0
-    for j in range(1, n + 1):
-        k = range(1, min(j, len(weights)) + 1)
-        a[:, j] = log_sum(np.stack([a[:, j - i] + weights[i - 1][:, j - i] for i in k], axis=1))
-    return a
-
-
-def backward(weights: list[np.ndarray]) -> np.ndarray:
-    rows, n = weights[0].shape
-    b = np.full((rows, n + 1), -np.inf)
-    b[:, n] = 0
-    for i in range(n - 1, -1, -1):
-        k = range(1, min(n - i, len(weights)) + 1)
-        b[:, i] = log_sum(np.stack([b[:, i + j] + weights[j - 1][:, i] for j in k], axis=1))
-    return b
+    block = max(p.longest, CELLS // (rows * p.longest))
+    for start in range(0, n, block):
+        end = min(start + block, n)
+        arcs = np.full((rows, end - start, p.longest), -np.inf)
+        for k, x in enumerate(lattice(p, codes[:, start : end + p.longest - 1])):
+            x = x[:, : end - start]
+            arcs[:, : x.shape[1], k] = score[x]
+        for i in range(start, end):
+            a[:, i + 1 : i + 1 + p.longest] = np.logaddexp(a[:, i + 1 : i + 1 + p.longest], a[:, i, None] + arcs[:, i - start])
+    return a[:, n]
 
 
 def spelt(p: Pieces, words: list[str], score: np.ndarray) -> np.ndarray:
     """Log probability of each word's letters over all segmentations. ``score``: of the pieces,
     of a single character outside them, and of no arc (minus infinity)."""
     out = np.zeros(len(words))
-    for which, codes in stretches(words).values():
-        np.add.at(out, which, forward([score[x] for x in lattice(p, codes)])[:, -1])
+    for which, codes in by_length(words):
+        out[which] = forward(p, codes, score)
     return out
 
 
-def expected(p: Pieces, words: list[str], score: np.ndarray) -> np.ndarray:
-    """Uses of each piece, summed over the words and weighted over their segmentations."""
-    uses = np.zeros(len(score))
-    for _, codes in stretches(words).values():
-        pieces = lattice(p, codes)
-        weights = [score[x] for x in pieces]
-        a, b = forward(weights), backward(weights)
-        for k, (x, w) in enumerate(zip(pieces, weights), 1):
-            use = np.exp(a[:, : w.shape[1]] + w + b[:, k:] - b[:, :1])
-            uses += np.bincount(x.ravel(), use.ravel(), len(score))
-    return uses
+def scores(p: Pieces) -> np.ndarray:
+    return np.append(p.start, [p.start.min() - UNKNOWN, -np.inf])
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -212,56 +194,46 @@ def together(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-def piece_counts(words: DataFrame, path: str, score: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over ``words``: one sum for each piece of each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, uses = loaded(path), np.zeros(len(score))
-        for t in together(batches):
-            uses += expected(p, t["word"].to_pylist(), score)
-        at = np.flatnonzero(uses)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(uses[at])], ["piece", "uses"])
-
-    got = words.select("word").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-    out = np.zeros(len(score))
-    for r in got:
-        out[r["piece"]] = r["uses"]
-    return out
-
-
 def weighed(words: DataFrame, path: str, docs_in: int) -> tuple[DataFrame, dict[str, float]]:
-    """(word, c, base, model): each word's log10 under the base and under the lattice model,
-    and the totals N, V and the end's logarithms."""
-    total, distinct, once, types_all = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count("*")).first()
+    """(word, c, base, model, lattice): each word's log10 under the base, the model with and the
+    model without whole words, and the totals N, V and the end's logarithms."""
+    total, distinct, once = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
     n, v, once = (total or 0) + docs_in, (distinct or 0) + (docs_in > 0), once or 0
-    # what is spelt is new, so the words that occur once stand for it; one count each
-    p, rare = loaded(path), stored(words.filter("c = 1").select("word"), "once")
-    score = np.append(p.start, [p.start.min() - 5.0, -np.inf])
-    stop = 0.5
-    for _ in range(ROUNDS):
-        uses = piece_counts(rare, path, score)[:-1]
-        stop = min(max((once + 1) / (uses.sum() + 2), 1e-3), 0.9)  # a word ends after a piece with this chance
-        score = np.log((uses + FLOOR) / (uses + FLOOR).sum()) + math.log(1 - stop)
-        score[-1] -= math.log(0x110000)  # any code point
-        score = np.append(score, -np.inf)
-    ending = math.log(stop) - math.log(1 - stop)
-    new = (once + 0.5) / (n + 1)  # mass of words that are spelt, at each token
+    new = (once + 0.5) / (n + 1)  # the lattice's weight at each token
     low = -math.log10(n + 0.5 * (v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = loaded(path)
+        score = scores(p)
         for t in together(batches):
             c = t["c"].to_numpy()
-            whole = np.log(np.maximum(c * (1 - new) / n, 1e-300))
-            x = math.log(new) + spelt(loaded(path), t["word"].to_pylist(), score) + ending
-            t = t.append_column("base", pa.array(np.log10(c + 0.5) + low)).append_column("model", pa.array(np.where(c > 0, np.logaddexp(x, whole), x) / math.log(10)))
+            x = spelt(p, t["word"].to_pylist(), score)
+            with np.errstate(divide="ignore"):
+                both = np.logaddexp(math.log(new) + x, np.log(c * (1 - new) / max(n, 1)))
+            for name, y in (("base", np.log10(c + 0.5) + low), ("model", both / math.log(10)), ("lattice", x / math.log(10))):
+                t = t.append_column(name, pa.array(y))
             yield from t.to_batches(max_chunksize=20_000)
 
-    end = {"n": n, "v": v, "base": math.log10(docs_in + 0.5) + low, "model": math.log10(max(docs_in, 0.5) * (1 - new) / max(n, 1)), "known": int(docs_in > 0)}
-    return words.select("word", "c").mapInArrow(run, "word string, c bigint, base double, model double"), end
+    share = math.log10(max(docs_in, 0.5) / max(n, 1))
+    end = {"n": n, "v": v, "base": math.log10(docs_in + 0.5) + low, "model": share + math.log10(1 - new), "lattice": share, "known": int(docs_in > 0)}
+    return words.select("word", "c").mapInArrow(run, "word string, c bigint, base double, model double, lattice double"), end
+
+
+SCORES = ["base", "model", "lattice"]
+
+
+def short(word: bytes) -> bytes:
+    """What a word is looked up by: itself, or a hash if it is long."""
+    return word if len(word) <= LONG else b"\0" + xxhash.xxh128_digest(word)
+
+
+#: Numbers of the broadcast words, in this Python worker, by the query they are for.
+NUMBERS: dict[str, dict[bytes, int]] = {}
 
 
 def likelihoods(df: DataFrame, path: str, train_rest: int = 1, divisor: int = 5) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score of each
+    row."""
     spark = shipped(df.sparkSession)
     rest = remainder(df["doc_id"], divisor)
     texts = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(rest == train_rest, F.lit(False)).alias("held_out"), F.coalesce(rest != train_rest, F.lit(False)).alias("train"), text_of(df).alias("text"))
@@ -271,40 +243,47 @@ def likelihoods(df: DataFrame, path: str, train_rest: int = 1, divisor: int = 5)
     weights = stored(weights, "weights")
     # c + 0.5 and the like: the share is taken of all tokens, so held-out texts count too
     seen = words.agg(F.sum("seen")).first()[0] or 0
-    often = words.filter((F.col("seen") >= max(2, math.ceil(SHARE * seen))) & (F.octet_length("word") <= LONG)).select("word")
-    frequent = weights.join(often, "word", "left_semi").toPandas()  # at most 1 / SHARE rows
-    shared = spark.sparkContext.broadcast((frequent["word"].str.encode("utf-8").tolist(), frequent["c"].to_numpy() > 0, frequent["base"].to_numpy(), frequent["model"].to_numpy()))
+    least = max(2, math.ceil(SHARE * seen))
+    often = words.filter(F.col("seen") >= least).select("word")
+    frequent = weights.join(often, "word", "left_semi").toArrow()  # at most 1 / SHARE rows
+    names = [short(w.encode()) for w in frequent["word"].to_pylist()]
+    shared = spark.sparkContext.broadcast((names, frequent["c"].to_numpy() > 0, np.stack([frequent[k].to_numpy() for k in SCORES], axis=1).reshape(-1, len(SCORES))))
     folder = new_folder(spark, "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, known, base, model = shared.value
-        at = {w: i for i, w in enumerate(names)}
+        names, known, logs = shared.value
+        if folder not in NUMBERS:
+            NUMBERS.clear()
+            NUMBERS[folder] = {w: i for i, w in enumerate(names)}
+        at = NUMBERS[folder]
+        ends = [end[k] for k in SCORES]
         for b in batches:
-            row, ids, held, word, tf, sums = [], [], [], [], [], []
+            rows: list[tuple] = []
             for r, d, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 tally = Counter(words_of(text.as_py()))
-                n, found = sum(tally.values()), [(i, c) for w, c in tally.items() if (i := at.get(w)) is not None]
-                i, c = (np.array(x, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-                row.append(r), ids.append(d), held.append(h), word.append(None), tf.append(n + 1)
-                sums.append((int(c @ known[i]) + end["known"], float(c @ base[i]) + end["base"], float(c @ model[i]) + end["model"]))
-                for w, k in tally.items():
-                    if w not in at:
-                        row.append(r), ids.append(None), held.append(None), word.append(w.decode()), tf.append(k), sums.append((None, None, None))
-                if len(row) > 100_000:
-                    yield out(row, ids, held, word, tf, sums)
-                    row, ids, held, word, tf, sums = [], [], [], [], [], []
-            yield out(row, ids, held, word, tf, sums)
-
-    def out(row, ids, held, word, tf, sums) -> pa.RecordBatch:
-        k, x, y = zip(*sums) if sums else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(word, pa.string()), pa.array(tf, pa.int64()), pa.array(k, pa.int64()), pa.array(x, pa.float64()), pa.array(y, pa.float64())], ["row", "doc_id", "held_out", "word", "tf", "known", "base", "model"])
+                places = [at.get(w if len(w) <= LONG else short(w)) for w in tally]
+                counts = list(tally.values())
+                i = np.array([x for x in places if x is not None], np.int64)
+                c = np.array([n for x, n in zip(places, counts) if x is not None], np.int64)
+                rows.append((r, d, h, None, sum(counts) + 1, int(c @ known[i]) + end["known"], *(c @ logs[i] + ends).tolist()))
+                rows += [(r, None, None, w.decode(), n, None, None, None, None) for (w, n), x in zip(tally.items(), places) if x is None]
+                if len(rows) > 100_000:
+                    yield out(rows)
+                    rows = []
+            if rows:
+                yield out(rows)
+
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "word": pa.string(), "tf": pa.int64(), "known": pa.int64(), **dict.fromkeys(SCORES, pa.float64())}
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
 
     # written before it is used twice: row numbers are the same then
-    schema = "row bigint, doc_id bigint, held_out boolean, word string, tf bigint, known bigint, base double, model double"
+    schema = "row bigint, doc_id bigint, held_out boolean, word string, tf bigint, known bigint, base double, model double, lattice double"
     texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(run, schema).write.parquet(folder)
     parts = spark.read.schema(schema).parquet(folder)
     rare = parts.filter("word is not null").select("row", "word", "tf").join(weights, "word")
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known_r"), F.sum(F.col("tf") * F.col("base")).alias("base_r"), F.sum(F.col("tf") * F.col("model")).alias("model_r"))
-    heads = parts.filter("word is null").select("row", "doc_id", "held_out", F.col("tf").alias("n_tokens"), "known", "base", "model")
-    zero = F.lit(0.0)
-    return heads.join(rare, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known_r", F.lit(0))).alias("n_known"), F.lit(end["n"]).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("base_r", zero)).alias("base_score"), (F.col("model") + F.coalesce("model_r", zero)).alias("score"))
+    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known_r"), *(F.sum(F.col("tf") * F.col(k)).alias(f"{k}_r") for k in SCORES))
+    heads = parts.filter("word is null").select("row", "doc_id", "held_out", F.col("tf").alias("n_tokens"), "known", *SCORES)
+    sums = {k: F.col(k) + F.coalesce(f"{k}_r", F.lit(0.0)) for k in SCORES}
+    return heads.join(rare, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known_r", F.lit(0))).alias("n_known"), F.lit(end["n"]).cast("bigint").alias("train_tokens"), sums["base"].alias("base_score"), sums["model"].alias("score"), sums["lattice"].alias("lattice_score"))

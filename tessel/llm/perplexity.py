@@ -15,13 +15,13 @@ The model is a modified Kneser-Ney model of character 5-grams, for each language
 * Bands: per language, around the median of log perplexity, as wide as ``SPREADS`` robust
   spreads plus what chance allows in a text of that length. Texts below or above are rejected.
 
-The order of words farther apart than five characters isn't seen. The class trigram (``trigrams``,
-``estimate``) was the model before; only tests use it.
+The order of words farther apart than five characters isn't seen. What a task holds of n-grams
+while it counts is bounded by ``KEPT``, and of a long text's code points by ``AT_ONCE``.
 
-Null texts and
-texts without words fail the base rules. Null languages form a group of their own. A language
-with fewer than ``LEAST`` documents gives no verdict: its documents are kept unless a base rule
-fails. Only id, text and lang are read; repeated rows and ties give equal results.
+Null texts and texts without words fail the base rules; very long texts are read whole. Null
+languages form a group of their own. Every language has a band, by one rule. Repeated rows count
+as often as they occur and get equal results; a value on a band's limit is kept. Only id, text
+and lang are read, so clashing names do no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SPACES, stored, text_of
 
-CLASS_BITS = 6
 SYMBOLS = "#*$%&|<>"
-LEAST = 30
-SPREADS = 3.5
-CHANCE = 2.5
+#: Documents that the spread of all languages counts for beside a language's own.
+PRIOR = 30
+SPREADS = 3.0
+CHANCE = 1.5
+#: Rows of a table of languages that are broadcast, at most; more are joined in a shuffle.
+FEW = 10_000
 #: Code points that are handled at once.
 AT_ONCE = 1 << 20
 ORDER = 5
@@ -49,40 +51,24 @@ FOLDS = 2
 #: n-grams that are broadcast, at most.
 FREQUENT = 1_000_000
 #: Distinct n-grams that a task keeps while it counts.
-KEPT = 1_000_000
+KEPT = 4_000_000
+#: Distinct code points that a task tells apart at a time, and the bits for one.
+BITS = 12
+NUMBERED = 1 << BITS
+#: Code points of a text that get their numbers together.
+PART = NUMBERED - ORDER
 MIX = np.uint64(0x9E3779B97F4A7C15)
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def classes() -> np.ndarray:
-    """Class 1..63 of each code point (0 is the place before a text): a letter a-z each, one for
-    A-Z, one for digits, one for space and line end, one each for common marks, and the rest by
-    code point modulo 16."""
-    own = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz", 1)}
-    own |= dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 27) | dict.fromkeys("0123456789", 28) | dict.fromkeys(" \t\r\x0b\x0c", 29) | {"\n": 30}
-    own |= {c: i for i, c in enumerate(".,!?-'\"#*$%&|<>:/", 31)}
-    table = (48 + np.arange(0x110000) % 16).astype(np.uint8)
-    for c, i in own.items():
-        table[ord(c)] = i
-    return table
-
-
-CLASS = classes()
-
-
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Codes of the trigrams that end at each position of the text."""
-    c = np.concatenate([np.zeros(2, np.int32), CLASS[points(text)].astype(np.int32)])
-    return (c[:-2] << 2 * CLASS_BITS) | (c[1:-1] << CLASS_BITS) | c[2:]
-
-
-def key_of(lang: str | None) -> str:
-    """A language as a key that isn't null."""
-    return "" if lang is None else f"={lang}"
+def key_of(lang: str | None) -> int:
+    """A language as a key that isn't null: a signed 64-bit hash."""
+    h = xxhash.xxh64_intdigest("" if lang is None else f"={lang}")
+    return h - (1 << 64) if h >> 63 else h
 
 
 def fold_of(text: str) -> int:
@@ -90,86 +76,140 @@ def fold_of(text: str) -> int:
 
 
 def padded(text: str) -> np.ndarray:
-    return np.concatenate([np.zeros(ORDER - 1, np.uint32), points(text)])
+    return np.concatenate([np.zeros(ORDER - 1, np.uint32), points(text)]).astype(np.uint64)
 
 
-def gram_hashes(c: np.ndarray, key: str, fold: int) -> np.ndarray:
-    """A hash for each run of ``ORDER`` code points."""
-    n = len(c) - ORDER + 1
-    h = np.full(n, xxhash.xxh64_intdigest(f"{fold}{key}".encode()), np.uint64)
-    for i in range(ORDER):
-        h ^= c[i : i + n]
-        h *= MIX
-        h ^= h >> np.uint64(32)
-    return h
+def seed_of(key: int, fold: int) -> int:
+    return xxhash.xxh64_intdigest(f"{fold}{key}".encode())
 
 
-def merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, counts and code points of n-grams, each n-gram once."""
-    h, first, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-    return h, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64), np.concatenate([p[2] for p in parts])[first]
+def mixed(grams: list[np.ndarray], seed) -> np.ndarray:
+    """A hash for each n-gram: ``grams`` holds its first code points, its second ones, and so on;
+    ``seed`` is one number or one for each n-gram."""
+    h = np.full(len(grams[0]), seed, np.uint64) if np.isscalar(seed) else seed.copy()
+    for x in grams:
+        h += x
+        h *= MIX
+    h ^= h >> np.uint64(29)  # a product's lower bits depend on few of its factor's
+    h *= MIX
+    return h ^ (h >> np.uint64(32))
 
 
-def tallied(waiting: list[np.ndarray], key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``merged``, for texts that are padded."""
-    c = np.concatenate(waiting)
-    ends = np.concatenate([np.arange(len(w)) >= ORDER - 1 for w in waiting])[ORDER - 1 :]
-    at = np.flatnonzero(ends)
-    h, first, n = np.unique(gram_hashes(c, key, 0)[at], return_index=True, return_counts=True)
-    return h, n, c[at[first][:, None] + np.arange(ORDER)]
+def gram_hashes(c: np.ndarray, key: int, fold: int) -> np.ndarray:
+    """A hash for each run of ``ORDER`` code points."""
+    n = len(c) - ORDER + 1
+    return mixed([c[i : i + n] for i in range(ORDER)], np.uint64(seed_of(key, fold)))
+
+
+class Tally:
+    """n-gram counts of one task by (key, fold), of texts as they come. Code points get numbers in
+    order of appearance, ``NUMBERED`` at most at a time, so an n-gram is one exact integer."""
+
+    def __init__(self):
+        self.number = np.full(0x110000, -1, np.int64)
+        self.alphabet = np.empty(0, np.int64)
+        self.parts: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.kept = 0
+
+    def takes(self, c: np.ndarray) -> bool:
+        """Numbers the new code points of ``c``; False if there are too many."""
+        new = np.unique(c[self.number[c] < 0])
+        if len(self.alphabet) + len(new) > NUMBERED:
+            return False
+        self.number[new] = np.arange(len(self.alphabet), len(self.alphabet) + len(new))
+        self.alphabet = np.concatenate([self.alphabet, new.astype(np.int64)])
+        return True
+
+    def add(self, where: tuple, texts: list[np.ndarray]) -> None:
+        """Counts n-grams of padded ``texts``, whose code points have numbers."""
+        c = self.number[np.concatenate(texts)]
+        n = len(c) - ORDER + 1
+        code = np.zeros(n, np.int64)
+        for i in range(ORDER):
+            code = code << BITS | c[i : i + n]
+        if len(texts) > 1:  # those that reach into the next text aren't n-grams
+            own = np.ones(n, bool)
+            for end in np.cumsum([len(t) for t in texts])[:-1].tolist():
+                own[end - ORDER + 1 : end] = False
+            code = code[own]
+        found = np.unique(code, return_counts=True)
+        self.parts.setdefault(where, []).append(found)
+        self.kept += len(found[0])
+        if self.kept > KEPT:
+            for k in self.parts:
+                self.parts[k] = [self.merged(k)]
+            self.kept = sum(len(p[0][0]) for p in self.parts.values())
+
+    def merged(self, where: tuple) -> tuple[np.ndarray, np.ndarray]:
+        code, n = (np.concatenate(x) for x in zip(*self.parts[where]))
+        order = np.argsort(code)
+        code, n = code[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        return code[first], np.add.reduceat(n, first)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        for key, fold in self.parts:
+            codes, counts = self.merged((key, fold))
+            for at in range(0, len(codes), 1 << 16):
+                code, n = codes[at : at + (1 << 16)], counts[at : at + (1 << 16)]
+                hi = lo = np.zeros(len(code), np.int64)
+                for i in range(ORDER):
+                    c = self.alphabet[(code >> BITS * (ORDER - 1 - i)) & (NUMBERED - 1)]
+                    hi, lo = (hi << 21 | c, lo) if i < ORDER - 3 else (hi, lo << 21 | c)
+                cols = [np.full(len(code), key), np.full(len(code), fold, np.int32), hi, lo, n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "fold", "hi", "lo", "n"])
 
 
 def counted(df: DataFrame) -> DataFrame:
-    """(key, fold, gram, n, freq) over all texts of ``df`` (lang, text): how often the texts of
-    the other folds have the n-gram, and those of the fold."""
+    """(key, fold, hi, lo, n, freq) over all texts of ``df`` (lang, text): how often the texts of
+    the other folds have the n-gram, and those of the fold. ``key``: hash of the language; hi, lo:
+    the n-gram's code points, 21 bits each, the last three in lo."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[tuple, list] = {}
-        parts: dict[tuple, list] = {}
-        points_waiting = kept = 0
+        tally, waiting, n = Tally(), {}, 0
         for b in batches:
             for lang, t in zip(b.column(0).to_pylist(), b.column(1)):
                 text = t.as_py()
                 if not text:
                     continue
-                c = padded(text)
-                for at in range(0, len(c) - ORDER + 1, AT_ONCE):
-                    piece = c[at : at + AT_ONCE + ORDER - 1]
-                    waiting.setdefault((key_of(lang), fold_of(text)), []).append(piece)
-                    points_waiting += len(piece)
-                    if points_waiting >= AT_ONCE:
-                        kept += tally(waiting, parts)
-                        points_waiting = 0
-                    if kept >= KEPT:
-                        parts = {k: [merged(p)] for k, p in parts.items()}
-                        kept = sum(len(p[0][0]) for p in parts.values())
-                        if kept >= KEPT // 2:
-                            yield from out(parts)
-                            parts, kept = {}, 0
-        tally(waiting, parts)
-        yield from out({k: [merged(p)] for k, p in parts.items()})
-
-    def tally(waiting: dict, parts: dict) -> int:
-        n = 0
+                where, c = (np.int64(key_of(lang)), fold_of(text)), padded(text)
+                for at in range(0, len(text), PART):
+                    piece = c[at : at + PART + ORDER - 1]
+                    if not tally.takes(piece) or tally.kept > KEPT // 2:
+                        for k, texts in waiting.items():
+                            tally.add(k, texts)
+                        waiting, n = {}, 0
+                        if not tally.takes(piece) or tally.kept > KEPT // 2:
+                            yield from tally.out()
+                            tally = Tally()
+                            tally.takes(piece)
+                    waiting.setdefault(where, []).append(piece)
+                    n += len(piece)
+                if n >= AT_ONCE:
+                    for k, texts in waiting.items():
+                        tally.add(k, texts)
+                    waiting, n = {}, 0
         for k, texts in waiting.items():
-            parts.setdefault(k, []).append(tallied(texts, k[0]))
-            n += len(parts[k][-1][0])
-        waiting.clear()
-        return n
-
-    def out(parts: dict) -> Iterator[pa.RecordBatch]:
-        for (key, fold), [(_, n, c)] in parts.items():
-            for at in range(0, len(n), 1 << 16):
-                some = c[at : at + (1 << 16)]
-                line = some.astype("<u4").tobytes().decode("utf-32-le")
-                grams = [line[i : i + ORDER] for i in range(0, len(line), ORDER)]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.string()), pa.array([fold] * len(some), pa.int32()), pa.array(grams, pa.string()), pa.array(n[at : at + (1 << 16)])], ["key", "fold", "gram", "n"])
-
-    found = df.select("lang", text_of(df).alias("text")).mapInArrow(run, "key string, fold int, gram string, n bigint")
+            tally.add(k, texts)
+        yield from tally.out()
+
+    found = df.select("lang", text_of(df).alias("text")).mapInArrow(run, "key bigint, fold int, hi bigint, lo bigint, n bigint")
     each = [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)).cast("bigint") for f in range(FOLDS)]
-    sums = found.groupBy("key", "gram").agg(F.sum("n").alias("all"), *(e.alias(f"n{f}") for f, e in enumerate(each)))
+    sums = found.groupBy("key", "hi", "lo").agg(F.sum("n").alias("all"), *(e.alias(f"n{f}") for f, e in enumerate(each)))
     folds = F.array(*(F.struct(F.lit(f).alias("fold"), (F.col("all") - F.col(f"n{f}")).alias("n"), F.col(f"n{f}").alias("freq")) for f in range(FOLDS)))
-    return sums.select("key", "gram", F.inline(folds))
+    return sums.select("key", "hi", "lo", F.inline(folds))
+
+
+def prefix() -> tuple[Column, Column]:
+    """hi, lo of an n-gram without its last code point."""
+    hi, lo = F.col("hi"), F.col("lo")
+    return F.shiftright(hi, 21), F.shiftright(lo, 21).bitwiseOR(F.shiftleft(hi.bitwiseAND(F.lit((1 << 21) - 1)), 42))
+
+
+def last(k: int) -> tuple[Column, Column]:
+    """hi, lo of an n-gram's last ``k`` code points."""
+    bits = lambda n: F.lit((1 << 21 * n) - 1).cast("bigint")
+    return F.col("hi").bitwiseAND(bits(max(k - 3, 0))), F.col("lo").bitwiseAND(bits(min(k, 3)))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -180,34 +220,6 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05 * k), k) for k, x in enumerate(d, 1))])
 
 
-def smoothed(codes: np.ndarray, n: np.ndarray, below: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probabilities of the codes, and contexts with their back-off weights. ``below``: the
-    lower order's probability of each code."""
-    d = discounts(n)
-    context, at = np.unique(codes >> bits, return_inverse=True)
-    total = np.bincount(at, n)
-    weight = np.bincount(at, d[np.minimum(n, 3)]) / total
-    return (n - d[np.minimum(n, 3)]) / total[at] + weight[at] * below, context, weight
-
-
-def estimate(codes: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """The model of one language from its trigram counts: sorted codes and log probabilities,
-    sorted contexts and log weights; lower orders use continuation counts."""
-    order = np.argsort(codes)
-    codes, n = codes[order].astype(np.int64), n[order].astype(np.int64)
-    low, mid = (1 << CLASS_BITS) - 1, (1 << 2 * CLASS_BITS) - 1
-    pairs, pair_n = np.unique(codes & mid, return_counts=True)
-    ones, one_n = np.unique(pairs & low, return_counts=True)
-    uniform = 1 / (1 << CLASS_BITS)
-    p1, _, w0 = smoothed(ones, one_n, np.full(len(ones), uniform), CLASS_BITS)
-    all1 = np.full(1 << CLASS_BITS, w0[0] * uniform)
-    all1[ones] = p1
-    p2, c1, w1 = smoothed(pairs, pair_n, all1[pairs & low], CLASS_BITS)
-    at = np.searchsorted(pairs, codes & mid)
-    p3, c2, w2 = smoothed(codes, n, p2[at], CLASS_BITS)
-    return {"one": np.log(all1), "k2": pairs, "p2": np.log(p2), "c1": c1, "w1": np.log(w1), "k3": codes, "p3": np.log(p3), "c2": c2, "w2": np.log(w2)}
-
-
 def fold_discounts(levels: list[DataFrame]) -> DataFrame:
     """(key, fold, order, d1, d2, d3) as ``discounts``, a row for each order of each language."""
     few = [t.select("key", "fold", F.lit(k).alias("order"), "n").filter("n between 1 and 4") for k, t in enumerate(levels, 1)]
@@ -227,35 +239,42 @@ def fold_discounts(levels: list[DataFrame]) -> DataFrame:
 
 def models(counts: DataFrame) -> DataFrame:
     """(h, logp, freq): each n-gram of a fold with its log probability by the other folds."""
-    levels = [stored(counts, "grams5")]
+    levels = [stored(counts, f"grams{ORDER}")]
     for k in range(ORDER - 1, 0, -1):
-        suffix = levels[0].select("key", "fold", F.substring("gram", 2, k).alias("gram"), "n")
-        levels.insert(0, stored(suffix.groupBy("key", "fold", "gram").agg(F.count_if(F.col("n") > 0).alias("n")), f"grams{k}"))
+        hi, lo = last(k)
+        suffix = levels[0].select("key", "fold", hi.alias("hi"), lo.alias("lo"), "n")
+        levels.insert(0, stored(suffix.groupBy("key", "fold", "hi", "lo").agg(F.count_if(F.col("n") > 0).alias("n")), f"grams{k}"))
     d = stored(fold_discounts(levels), "discounts")
+    broadcast = d.count() <= FEW * FOLDS * ORDER
     below = None
     for k, t in enumerate(levels, 1):
-        own = F.broadcast(d.filter(F.col("order") == k).drop("order"))  # a row for each language and fold
-        x = t.join(own, ["key", "fold"], "left")
+        own = d.filter(F.col("order") == k).drop("order")  # a row for each language and fold
+        x = t.join(F.broadcast(own) if broadcast else own, ["key", "fold"], "left")
         cut = F.when(F.col("n") == 0, 0.0)
         for i in (1, 2, 3):
             of = F.coalesce(F.col(f"d{i}"), F.lit(0.5 * i))
             cut = cut.when(F.col("n") == i, of) if i < 3 else cut.otherwise(of)
-        w = Window.partitionBy("key", "fold", F.substring("gram", 1, k - 1))
+        w = Window.partitionBy("key", "fold", *prefix())
         x = x.withColumn("cut", cut).withColumn("total", F.sum("n").over(w)).withColumn("weight", F.sum("cut").over(w))
         if below is None:  # the rest is even over the language's characters and one more
             x = x.withColumn("low", 1 / (F.count("*").over(w) + 1))
         else:
-            x = x.withColumn("suffix", F.substring("gram", 2, k - 1)).join(below, ["key", "fold", "suffix"])
+            hi, lo = last(k - 1)
+            x = x.withColumn("hi_", hi).withColumn("lo_", lo).join(below, ["key", "fold", "hi_", "lo_"]).drop("hi_", "lo_")
         p = F.when(F.col("total") > 0, (F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") / F.col("total") * F.col("low")).otherwise(F.col("low"))
         x = x.withColumn("p", p)
-        below = x.select("key", "fold", F.col("gram").alias("suffix"), F.col("p").alias("low"))
+        below = x.select("key", "fold", F.col("hi").alias("hi_"), F.col("lo").alias("lo_"), F.col("p").alias("low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = [gram_hashes(points(g), key, fold)[0] for key, fold, g in zip(*(b.column(i).to_pylist() for i in range(3)))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), b.column(3), b.column(4)], ["h", "logp", "freq"])
+            seeds: dict[tuple, int] = {}
+            each = [seeds.get(k) or seeds.setdefault(k, seed_of(*k)) for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            hi, lo = (b.column(i).to_numpy().view(np.uint64) for i in (2, 3))
+            c = [(hi if i > 2 else lo) >> np.uint64(21 * (i % 3)) & np.uint64((1 << 21) - 1) for i in reversed(range(ORDER))]
+            h = mixed(c, np.array(each, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(4), b.column(5)], ["h", "logp", "freq"])
 
-    return x.filter("freq > 0").select("key", "fold", "gram", F.ln("p").cast("float").alias("logp"), "freq").mapInArrow(run, "h bigint, logp float, freq bigint")
+    return x.filter("freq > 0").select("key", "fold", "hi", "lo", F.ln("p").cast("float").alias("logp"), "freq").mapInArrow(run, "h bigint, logp float, freq bigint")
 
 
 def least_frequent(model: DataFrame, most: int) -> int:
@@ -270,21 +289,33 @@ def least_frequent(model: DataFrame, most: int) -> int:
     return least
 
 
-def looked_up(keys: np.ndarray, values: np.ndarray, want: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-    hit = keys[at] == want
-    return np.where(hit, values[at], missing), hit
-
-
-def log_probabilities(m: dict[str, np.ndarray], codes: np.ndarray) -> np.ndarray:
-    out, hit = looked_up(m["k3"], m["p3"], codes, 0.0)
-    if not hit.all():
-        rest = codes[~hit]
-        p2, hit2 = looked_up(m["k2"], m["p2"], rest & 4095, 0.0)
-        w1, _ = looked_up(m["c1"], m["w1"], (rest >> CLASS_BITS) & 63, 0.0)
-        w2, _ = looked_up(m["c2"], m["w2"], rest >> CLASS_BITS, 0.0)
-        out[~hit] = w2 + np.where(hit2, p2, w1 + m["one"][rest & 63])
-    return out
+class SortedHashes:
+    """An array of values in order of their 64-bit hashes, and where the hashes with the same
+    upper bits begin, so that a search looks at a handful of neighbours."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        bits = len(keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, want: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.keys):
+            return np.full(len(want), -1, np.int64)
+        top = (want >> self.shift).astype(np.int32)
+        at = self.start[top]
+        out = np.where(self.keys[np.minimum(at, len(self.keys) - 1)] == want, at, -1)
+        left = np.flatnonzero(out < 0)
+        end, at = self.start[top[left] + 1], at[left] + 1
+        while len(left):
+            go = at < end
+            left, at, end = left[go], at[go], end[go]
+            hit = self.keys[at] == want[left]
+            out[left[hit]] = at[hit]
+            left, at, end = left[~hit], at[~hit] + 1, end[~hit]
+        return out
 
 
 def repeats(words: list[bytes], width: int = 5) -> int:
@@ -296,6 +327,12 @@ def repeats(words: list[bytes], width: int = 5) -> int:
     x = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
     if len(ids) == len(words):
         return 0
+    code = x[:n].astype(np.uint64)
+    for i in range(1, width):
+        code = code * MIX + x[i : i + n].astype(np.uint64)
+    code.sort()
+    if not (code[1:] == code[:-1]).any():  # equal windows have equal hashes
+        return 0
     code = x[:n]
     for i in range(1, width):  # exact: pairs (code so far, next word) are numbered anew
         code = np.unique(code * len(ids) + x[i : i + n], return_inverse=True)[1]
@@ -323,12 +360,10 @@ def scored(df: DataFrame, model: DataFrame) -> DataFrame:
     of squared log probabilities, for each row."""
     least = least_frequent(model, FREQUENT)
     top = model.filter(F.col("freq") >= least).select("h", "logp").toArrow()  # 12 bytes each
-    keys = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    shared = df.sparkSession.sparkContext.broadcast((keys[order], top.column("logp").to_numpy()[order]))
+    shared = df.sparkSession.sparkContext.broadcast(SortedHashes(top.column("h").to_numpy().view(np.uint64), top.column("logp").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, values = shared.value
+        known = shared.value
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             got, sums, squares, chars, rest, times = [], [], [], [], [], []
@@ -336,23 +371,19 @@ def scored(df: DataFrame, model: DataFrame) -> DataFrame:
                 t = text.as_py()
                 got.append(metrics(t))
                 chars.append(len(t))
-                c, s, q, others, ns = padded(t), 0.0, 0.0, [], []
+                c, s, q, others = padded(t), 0.0, 0.0, []
                 for at in range(0, len(t), AT_ONCE):
                     h = gram_hashes(c[at : at + AT_ONCE + ORDER - 1], key_of(lang), fold_of(t))
-                    h.sort()
-                    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                    n, h = np.diff(np.append(first, len(h))), h[first]
-                    if len(known):
-                        p, hit = looked_up(known, values, h, 0.0)
-                        p = p.astype(np.float64)
-                        s, q = s + (n * p).sum(), q + (n * p * p).sum()
-                        n, h = n[~hit], h[~hit]
-                    others.append(h)
-                    ns.append(n)
+                    found = known.find(h)
+                    hit = found >= 0
+                    p = np.where(hit, known.values[found], 0.0).astype(np.float64) if len(known.values) else np.zeros(len(h))
+                    s, q = s + p.sum(), q + p @ p
+                    others.append(h[~hit])
                 sums.append(s)
                 squares.append(q)
-                rest.append(np.concatenate(others).view(np.int64) if others else np.empty(0, np.int64))
-                times.append(np.concatenate(ns).astype(np.int32) if ns else np.empty(0, np.int32))
+                h, n = np.unique(np.concatenate(others), return_counts=True) if others else (np.empty(0, np.uint64), np.empty(0))
+                rest.append(h.view(np.int64))
+                times.append(n.astype(np.int32))
             cols = [pa.array(c, pa.int64()) for c in zip(*got)] if got else [pa.array([], pa.int64())] * 5
             rows = pa.array(range(row, row + len(got)), pa.int64())
             row += len(got)
@@ -372,18 +403,32 @@ def scored(df: DataFrame, model: DataFrame) -> DataFrame:
 
 def bands(scores: DataFrame) -> DataFrame:
     """Per language: the middle and spread of log perplexity of documents that pass the base
-    rules, and the deviation of a single character's log probability."""
+    rules, and the deviation of a single character's log probability. A language's spread and
+    deviation are averaged with those of all documents, which weigh as ``PRIOR`` of its own, so a
+    language with few documents has a band too."""
     good = scores.filter("log_ppl is not null and not base_failed")
-    q = good.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"), F.count("*").alias("docs"), (F.sum(F.col("n_chars") * F.col("square")) / F.sum("n_chars") - F.pow(F.sum(F.col("n_chars") * F.col("log_ppl")) / F.sum("n_chars"), 2)).alias("var"))
-    return q.select("lang", "docs", F.col("q")[1].alias("middle"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("spread"), F.sqrt(F.greatest("var", F.lit(0.0))).alias("dev"))
+    var = F.sum(F.col("n_chars") * F.col("square")) / F.sum("n_chars") - F.pow(F.sum(F.col("n_chars") * F.col("log_ppl")) / F.sum("n_chars"), 2)
+    found = [F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"), F.count("*").alias("docs"), F.greatest(var, F.lit(0.0)).alias("var")]
+    own = good.groupBy("lang").agg(*found).select("lang", "docs", F.col("q")[1].alias("middle"), (F.col("q")[2] - F.col("q")[0]).alias("range"), "var")
+    own = stored(own, "bands")
+    every = own.agg(F.sum(F.col("docs") * F.col("range")) / F.sum("docs"), F.sum(F.col("docs") * F.col("var")) / F.sum("docs")).first()  # one row
+    share = F.col("docs") / (F.col("docs") + PRIOR)
+    mean = lambda x, of: share * F.col(x) + (1 - share) * F.lit(of or 0.0)
+    return own.select("lang", "middle", (mean("range", every[0]) / 1.349).alias("spread"), F.sqrt(mean("var", every[1])).alias("dev"))
+
+
+def if_few(df: DataFrame) -> DataFrame:
+    """``df``, a row for each language or a few, to be broadcast if it has at most ``FEW`` rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def quality(df: DataFrame) -> DataFrame:
     """Metrics, base_failed, kept, log_ppl, and the band's lower and upper limit."""
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scores = stored(scored(df, stored(models(counted(df)), "models")).withColumn("base_failed", base), "scores")
-    band = F.broadcast(bands(scores))  # a row for each language
+    band = if_few(bands(scores))
     half = SPREADS * F.col("spread") + CHANCE * F.col("dev") / F.sqrt(F.greatest("n_chars", F.lit(1)))
     out = scores.alias("s").join(band.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("lower", F.col("middle") - half).withColumn("upper", F.col("middle") + half)
-    fits = F.when(F.col("docs") >= LEAST, F.col("log_ppl").between(F.col("lower"), F.col("upper")))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True))).select("doc_id", *METRICS, "base_failed", "kept", "log_ppl", "lower", "upper", "lang")
+    # a language without any document that passes the base rules has no band, and none that needs it
+    fits = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & fits).select("doc_id", *METRICS, "base_failed", "kept", "log_ppl", "lower", "upper", "lang")

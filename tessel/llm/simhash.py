@@ -1,28 +1,44 @@
 """SimHash near-duplicates with pivot distance tables (operator 7).
 
-1. A 64-bit fingerprint of each whole text, from its word shingles (in the task that reads it).
+``near_duplicates`` links texts whose 64-bit fingerprints differ in at most ``BITS`` bits:
+
+1. A fingerprint of each whole text, from its word shingles (in the task that reads it).
 2. Equal fingerprints are one node, so thousands of copies cost one row from here on.
-3. Candidates: two fingerprints with at most ``BITS`` differing bits agree on at least
-   ``BLOCKS - BITS`` of ``BLOCKS`` blocks, so they share one of the keys with all but ``BITS``
-   blocks. In a bucket of up to ``PAIRS`` fingerprints pairs are compared: distances to
-   ``PIVOTS`` reference fingerprints were worked out once for each fingerprint, a pair whose
-   largest coordinate difference exceeds ``BITS`` is discarded (the triangle inequality rules it
-   out), and survivors are verified on the fingerprints.
-4. A larger bucket is never paired up. Its members list their neighbours at distance 0 and 1;
-   two are linked iff they share a neighbour, and at most 65 fingerprints share one. Members of
-   a key are linked to the smallest, which keeps what is reachable. This exact way covers all
-   that step 3 leaves.
+3. The pivot table: distances of each node to ``2 x PIVOTS`` reference fingerprints for each of
+   ``BLOCKS`` blocks. References come in pairs that differ in just one block, so half the
+   difference of the two distances is a coordinate of that block alone. Two nodes with at most
+   ``BITS`` differing bits have equal coordinates in at least ``BLOCKS - BITS`` blocks: candidates
+   are the nodes that share a key of that many blocks' coordinates. Of these, pairs are discarded
+   if a coordinate differs by more than ``BITS``, or the coordinates of one rank by more than that
+   in sum (the triangle inequality rules them out), and survivors are verified on the fingerprints.
+4. A bucket of more than ``PAIRS`` nodes isn't paired up. Its members list their neighbours at
+   distance 0 and 1; two are linked iff they share a neighbour, and at most 65 fingerprints share
+   one. Members of a key are linked to the smallest, which keeps what is reachable. This exact way
+   covers all that step 3 leaves.
 5. Components of the links, and the smallest document of each.
 
 So rows stay in proportion to the number of distinct fingerprints, however large a group.
 
-Null texts have no words and the fingerprint zero. Null ids are kept; they never become a
-component's id unless a component has no other. Repeated rows are returned as often. Only id
-and text are read. An empty table gives an empty result.
+``representatives`` keeps one row of each group of texts whose shingle sets are alike by
+``LIKENESS`` or more. That is far more than two of 64 bits (a Jaccard likeness of 0.8 is 10 bits),
+so fingerprints have ``LONG`` words here, and candidates share one of ``BANDS`` bands of
+``WIDTH`` bits. Within a bucket the first node leads and is a candidate partner of all nodes whose
+differing bits allow for the likeness; of those that don't seem alike the first leads next, and so
+on. Large buckets are split by a hash into groups of ``GROUP`` nodes, whose leaders meet again in
+the next round, so no task holds a hot bucket. Candidates are verified on their shingle sets.
+Bands may miss a pair: a pair of likeness 0.8 shares one with a chance of 0.81, of 0.85 0.96.
+
+Null texts have no words and the fingerprint zero, and are like other texts without words. Texts
+are read whole, however long. Null ids are kept by ``near_duplicates``; they never become a
+component's id unless a component has no other, and ``representatives`` takes a row with an id
+before one without. Of repeated rows ``near_duplicates`` returns all and ``representatives`` one;
+ties between rows of one id and text are broken by the other columns. Extra columns may have any
+name; ``representatives`` returns them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,13 +48,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import discard, numbered, place, stored, text_of, with_looked_up
 from .components import components
 
 SEED = 42
 BITS = 2
-BLOCKS = 5
-PIVOTS = 16
+BLOCKS = 4
+#: Pairs of reference fingerprints for each block.
+PIVOTS = 6
+#: Of ``representatives``: words of a shingle, likeness, words of a fingerprint, bits of a band,
+#: bands, and nodes of a bucket that one task compares.
+SHINGLE, LIKENESS = 5, 0.8
+LONG = 8
+WIDTH = 24
+BANDS = 84
+GROUP = 20_000
+#: Rows of 33 bytes that are broadcast, at most.
+BROADCAST_ROWS = 500_000
 #: The largest bucket whose pairs are compared.
 PAIRS = 64
 #: Shingles whose bits are counted at once.
@@ -79,34 +105,46 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def references(n: int) -> list[int]:
-    """Reference fingerprints: hashes of their numbers."""
-    return [signed(xxhash.xxh64_intdigest(f"pivot {i}".encode(), SEED)) for i in range(n)]
+def references() -> list[list[tuple[int, int]]]:
+    """For each block pairs of reference fingerprints, which differ in all bits of the block:
+    hashes of their numbers, and these with the block inverted."""
+    edge = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    out = []
+    for i in range(BLOCKS):
+        block = ((1 << (edge[i + 1] - edge[i])) - 1) << edge[i]
+        first = [xxhash.xxh64_intdigest(f"pivot {i} {k}".encode(), SEED) for k in range(PIVOTS)]
+        out.append([(signed(r), signed(r ^ block)) for r in first])
+    return out
 
 
-def block_masks(blocks: int, bits: int) -> list[int]:
-    """For each choice of ``bits`` blocks, the mask of all the others."""
-    edge = [64 * i // blocks for i in range(blocks + 1)]
-    block = [((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in range(blocks)]
-    return [signed(~sum(block[i] for i in left) & ((1 << 64) - 1)) for left in combinations(range(blocks), bits)]
+def pivot_table(nodes: DataFrame) -> DataFrame:
+    """(fp, d): for each block its coordinates. A coordinate is the distance to a reference less
+    that to its partner, halved, plus 32: never negative, and equal up to a constant to the
+    block's own distance."""
+    apart = lambda r: F.bit_count(F.col("fp").bitwiseXOR(F.lit(r)))
+    coordinate = lambda pair: ((apart(pair[0]) - apart(pair[1])) / 2 + 32).cast("tinyint")
+    return nodes.select("fp", F.array(*(F.array(*map(coordinate, pairs)) for pairs in references())).alias("d"))
 
 
 def links(nodes: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` of ``nodes``. Where a bucket is
     large, those to the smallest fingerprint of each shared neighbour only."""
-    masks, refs = block_masks(BLOCKS, BITS), references(PIVOTS)
-    table = nodes.select("fp", F.array(*(F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))).cast("tinyint") for r in refs)).alias("d"))
-    keyed = table.select("fp", "d", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    member = stored(keyed.join(sizes, ["t", "key"]), "buckets")
+    chosen = list(combinations(range(BLOCKS), BLOCKS - BITS))
+    keys = F.array(*(F.xxhash64(F.lit(t), *(F.col("d")[i][k] for i in blocks for k in range(PIVOTS))) for t, blocks in enumerate(chosen)))
+    keyed = pivot_table(nodes).select("fp", "d", F.explode(keys).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    member = stored(keyed.join(sizes, "key"), "buckets")
     few = member.filter(F.col("n") <= pairs)
-    x, y = few.select("t", "key", F.col("fp").alias("a"), F.col("d").alias("da")), few.select("t", "key", F.col("fp").alias("b"), F.col("d").alias("db"))
-    apart = F.greatest(*(F.abs(F.col("da")[i] - F.col("db")[i]) for i in range(PIVOTS)))
-    close = (F.col("a") < F.col("b")) & (apart <= BITS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
-    paired = x.join(y, ["t", "key"]).filter(close).select("a", "b")
+    x, y = few.select("key", F.col("fp").alias("a"), F.col("d").alias("da")), few.select("key", F.col("fp").alias("b"), F.col("d").alias("db"))
+    differ = [[F.abs(F.col("da")[i][k] - F.col("db")[i][k]) for i in range(BLOCKS)] for k in range(PIVOTS)]
+    near = [sum(d[1:], d[0]) <= BITS for d in differ]
+    close = F.col("a") < F.col("b")
+    for test in [*near, F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS]:
+        close = close & test
+    paired = x.join(y, "key").filter(close).select("a", "b")
     many = member.filter(F.col("n") > pairs).select("fp").distinct()
-    near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)))
-    shared = many.select("fp", F.explode(near).alias("near")).groupBy("near").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    around = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)))
+    shared = many.select("fp", F.explode(around).alias("near")).groupBy("near").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     starred = shared.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b")
     return paired.unionByName(starred).distinct()
 
@@ -114,19 +152,187 @@ def links(nodes: DataFrame, pairs: int = PAIRS) -> DataFrame:
 def near_duplicates(df: DataFrame, words: int = 3, seed: int = SEED) -> DataFrame:
     """(doc_id, fp bigint, component_id) for each row of ``df`` (doc_id, text)."""
     prints = stored(fingerprints(df, words, seed), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = components(links(nodes))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def representatives(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the one with the smallest doc_id. Of
-    repeated rows of one doc_id the first by text stays; rows without id stay, as nothing tells
-    them apart."""
-    kept = near_duplicates(df.filter("doc_id is not null")).filter("doc_id = component_id").select("doc_id").distinct()
-    one = df.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *(c for c in df.columns if c not in ("doc_id", "text"))))
-    return one.withColumn("_turn", turn).filter("_turn = 1").drop("_turn").unionByName(df.filter("doc_id is null"))
+    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("nodes"))
+    named = stored(with_looked_up(rooted, least, "root", "nodes", total).select("fp", "n", "component_id"), "named")
+    return with_looked_up(prints, named, "fp", "n", total).select("doc_id", "fp", "component_id")
+
+
+def long_fingerprint(hashes: np.ndarray) -> list[int]:
+    """``LONG`` fingerprints of a set of shingle hashes: of the hashes and of mixtures of them."""
+    h, out = np.unique(hashes), []
+    for i in range(LONG):
+        x = h + np.uint64(0x9E3779B97F4A7C15 * i & 0xFFFFFFFFFFFFFFFF)
+        if i:
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        out.append(fingerprint(x))
+    return out
+
+
+def radius(likeness: float, bits: int = 64 * LONG) -> int:
+    """Bits that differ, on average, between sets of a Jaccard likeness: their vectors' angle."""
+    return round(bits * math.acos(2 * likeness / (1 + likeness)) / math.pi)
+
+
+def band_bits() -> list[np.ndarray]:
+    """The bits of each band: every bit once, then every bit once in another order, and so on."""
+    per, out = 64 * LONG // WIDTH, []
+    for turn in range(-(-BANDS // per)):
+        order = np.random.default_rng(turn).permutation(64 * LONG)
+        out += [order[WIDTH * i : WIDTH * (i + 1)] for i in range(per)]
+    return out[:BANDS]
+
+
+def long_prints(rows: DataFrame, words: int) -> DataFrame:
+    """The columns of ``rows`` but the last, its text, with fps (binary, 8 LONG bytes) and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([long_fingerprint(shingle_hashes(t.as_py(), words, SEED)) for t in b.column(b.num_columns - 1)], np.uint64).reshape(-1, LONG)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x.tobytes() for x in found], pa.binary())], [*names, "fps"])
+
+    names = rows.columns[:-1]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{schema}, fps binary").withColumn("node", F.xxhash64("fps"))
+
+
+def bands(nodes: DataFrame) -> DataFrame:
+    """(key, node): the bands of each node (node, fps)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = np.stack(band_bits())
+        power = 1 << np.arange(WIDTH, dtype=np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * LONG)
+                keys = np.unpackbits(raw, axis=1)[:, chosen] @ power + (np.arange(BANDS, dtype=np.int64) << WIDTH)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["key", "node"])
+
+    return nodes.select("node", "fps").mapInArrow(run, "key bigint, node bigint")
+
+
+def led(members: DataFrame, likeness: float) -> DataFrame:
+    """(key, a, b) of ``members`` (key, part, parts, node, fps): of each part of a bucket, leaders
+    a with the nodes b that may be alike (two standard errors are allowed for); b is a where a
+    leader has to meet those of other parts."""
+    surely = radius(likeness)
+    most = surely + round(2 * math.sqrt(surely * (1 - surely / (64 * LONG))))
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Rows of one bucket's part, which may lie in several batches."""
+        now, nodes, raw = None, [], []
+        for b in batches:
+            for key, part, parts, node, fps in zip(*(c.to_pylist() for c in b.columns)):
+                if now != (key, part, parts):
+                    if nodes:
+                        yield now[0], now[2], np.array(nodes), np.frombuffer(b"".join(raw), np.uint64).reshape(-1, LONG)
+                    now, nodes, raw = (key, part, parts), [], []
+                nodes.append(node)
+                raw.append(fps)
+        if nodes:
+            yield now[0], now[2], np.array(nodes), np.frombuffer(b"".join(raw), np.uint64).reshape(-1, LONG)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int]] = []
+        for key, parts, nodes, prints in groups(batches):
+            left = np.ones(len(nodes), bool)
+            while left.any():
+                lead = int(left.argmax())
+                apart = np.bitwise_count(prints ^ prints[lead]).sum(axis=1)
+                near = apart <= most
+                near[lead] = parts > 1
+                left &= apart > surely
+                out += [(key, int(nodes[lead]), int(n)) for n in nodes[near]]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["key", "a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["key", "a", "b"])
+
+    return members.mapInArrow(run, "key bigint, a bigint, b bigint")
+
+
+def candidates(nodes: DataFrame, total: int, likeness: float, group: int = GROUP) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (node, fps) that share a band and may be alike."""
+    keyed, edges, last = stored(bands(nodes), "bands"), [], None
+    while True:
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        member = with_looked_up(keyed, sizes.withColumn("parts", F.ceil(F.col("n") / group)).withColumn("rows", F.col("n")), "key", "rows", total)
+        member = member.withColumn("part", F.pmod(F.xxhash64("node", F.lit(len(edges))), F.col("parts"))).join(nodes.select("node", "fps"), "node")
+        dealt = member.select("key", "part", "parts", "node", "fps").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+        edges.append(stored(led(dealt, likeness), "alike"))
+        discard(keyed)
+        keyed = edges[-1].filter("a = b").select("key", F.col("a").alias("node"))
+        n = keyed.count()
+        if n == 0 or n == last:  # all buckets have met in one part, or leaders are all unlike
+            break
+        keyed, last = stored(keyed, "leaders"), n
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e)
+    return every.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles binary): sorted distinct hashes of the shingles of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), words, SEED)).tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
+
+    # equal texts may stand for a node more than once
+    return texts.mapInArrow(run, "node bigint, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, likeness: float, most: int = 1000) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have a Jaccard likeness of at least ``likeness``.
+    A node with more than ``most`` pairs is split up, so a hub's pairs spread over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= likeness * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    total = pairs.count()
+    for end in ("a", "b"):
+        sizes = pairs.groupBy(end).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / most))
+        pairs = with_looked_up(pairs, sizes, end, "n", total).withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
+        spread = sets.join(sizes, sets["node"] == sizes[end]).select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+        pairs = pairs.join(spread, [end, "part"]).drop("part", "parts")
+    return pairs.select("a", "b", "a_set", "b_set").mapInArrow(run, "a bigint, b bigint")
+
+
+def representatives(df: DataFrame, words: int = SHINGLE, likeness: float = LIKENESS, group: int = GROUP) -> DataFrame:
+    """The rows of ``df`` that stay: of each group of alike texts the one with the smallest
+    doc_id, of rows with one id the one whose text has the smallest hash."""
+    own = numbered(df)
+    text, key = F.coalesce(F.col(place(df, "text")), F.lit("")), F.col(place(df, "doc_id")).cast("bigint")
+    # a row is told by its id and two hashes of its text; none of these is null
+    told = {"_none": key.isNull(), "_id": F.coalesce(key, F.lit(0)), "_x": F.xxhash64(text), "_y": F.xxhash64(F.lit(1), text)}
+    rows = own.withColumns(told)
+    prints = stored(long_prints(rows.select(*told, text.alias("text")), words), "prints")
+    nodes = stored(prints.groupBy("node").agg(F.min("fps").alias("fps"), F.min(F.struct(*told)).alias("top")), "nodes")
+    discard(prints)
+    total = nodes.count()
+    pairs = stored(candidates(nodes, total * BANDS, likeness, group), "candidates")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    tops = stored(nodes.join(ends, "node", "left_semi").select("node", "top.*"), "ends")
+    few = F.broadcast(tops) if tops.count() <= BROADCAST_ROWS else tops
+    sets = stored(shingle_sets(rows.withColumn("text", text).join(few, list(told)).select("node", "text"), words), "shingles")
+    found = components(verified(pairs, sets, likeness))
+    discard(sets)
+    rooted = nodes.join(found, "node", "left").select("top", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("top").alias("top")).select("top.*")
+    orderable = [f.name for f in own.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "interval"))]
+    turn = F.row_number().over(Window.partitionBy(*told).orderBy(*orderable, F.lit(0)))
+    return rows.join(kept, list(told), "left_semi").withColumn("_turn", turn).filter("_turn = 1").select(own.columns).toDF(*df.columns)

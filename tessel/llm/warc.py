@@ -6,14 +6,22 @@ broadcast if their number is within ``BROADCAST_ROWS``, else by a shuffle join.
 through Spark's text writer with the record end as separator, so files reach any storage that
 Spark knows, a lost task leaves nothing behind, and no text is shuffled.
 
-Reading: each archive is scanned in one task. A record is valid if its version line, headers,
-length, end and (where given) SHA-1 block digest hold. After a failed check the reader looks for
-the next valid gzip member or version line, goes on there, and logs the gap. Archives may be
-plain, or gzip with a member for each record. Where the gaps lie is returned as rows.
+Archives are bounded in bytes: pages go out in ``SIZES`` classes of size, and an archive holds as
+many records as ``ARCHIVE`` bytes allow for the largest page of its class (one, of those beyond).
+
+Reading: each archive is scanned in one task. A record is valid if its version line, the four
+mandatory headers, a type that the standard knows, its length, its end and (where given) SHA-1
+block digest hold. After a failed check the reader goes on behind the record's stated length if a
+valid record or the end lies there, so that a record within a damaged page isn't taken for one of
+the archive; else at the next valid gzip member or version line. What lies between is a gap.
+Archives may be plain, or gzip with a member for each record; a member of over ``MEMBER_BYTES`` is
+a gap. One scan gives records and gaps; ``round_trip`` writes both and returns the records.
 
 Null html is an empty payload; a null url leaves the target header out; a null page_id is
 written as an empty id and read as null, and is never the smallest unless all are null. Rows that
-tie for the smallest page_id of a payload are all responses. An empty table gives no archives.
+tie for the smallest page_id of a payload are all responses, and repeated rows all have records.
+Very long pages are written whole, in an archive of their own. Only page_id, url and html are
+read, so clashing names do no harm. An empty table gives no archives and an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +44,17 @@ ID = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Rows of repeated digests that are broadcast at most (some 100 bytes each).
 BROADCAST_ROWS = 100_000
-#: Records in one archive, which one task reads whole.
-RECORDS = 8192
-RECORD = "path string, at bigint, record_id string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, url string, payload string"
-GAP = "path string, start bigint, length bigint, reason string"
+#: Bytes of an archive, which one task reads whole, and the largest page in bytes of each class.
+ARCHIVE = 256 << 20
+SIZES = (64 << 10, 4 << 20)
+#: Bytes that a gzip member may hold.
+MEMBER_BYTES = 1 << 30
+FOUND = "path string, at bigint, record_id string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, url string, payload string, gap_bytes bigint, reason string"
+RECORD = ["path", "at", "record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "url", "payload"]
+GAP = ["path", "at", "gap_bytes", "reason"]
+#: The record types of the standard, and the headers that it demands.
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+MANDATORY = ("warc-record-id", "content-length", "warc-date", "warc-type")
 
 
 def sha1_base32(data: bytes) -> str:
@@ -74,8 +89,9 @@ def firsts(pages: DataFrame, least_bytes: int) -> DataFrame:
     return pages.select("page_id", F.sha1(payload).alias("digest"), F.length(payload).alias("n")).filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0, records: int = RECORDS) -> None:
-    """One record for each row of ``pages`` (page_id, url, html)."""
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, sizes: tuple[int, ...] = SIZES, archive: int = ARCHIVE) -> None:
+    """One record for each row of ``pages`` (page_id, url, html), in subfolders of ``folder`` by
+    class of size."""
     repeated = stored(firsts(pages, least_bytes), "firsts")
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
@@ -91,11 +107,22 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, records: int = RE
                 cols = [c.to_pylist() for c in b.slice(at, 256).columns]
                 yield pa.RecordBatch.from_arrays([pa.array([record_text(*r) for r in zip(*cols)], pa.string())], ["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(folder)
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    limits = [-1, *sizes, 1 << 40]
+    classes = [(size > low) & (size <= high) for low, high in zip(limits, limits[1:])]
+    used = pages.agg(*(F.count_if(c) for c in classes)).first()
+    for k, (c, n) in enumerate(zip(classes, used)):
+        if n or (k == 0 and not any(used)):  # an empty table gives an empty folder
+            most = max(1, archive // limits[k + 1])
+            rows.filter(c).mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).text(f"{folder}/class{k}")
 
 
 class Bad(Exception):
-    pass
+    """A failed check; ``beyond``: where the next record begins if the stated length is right."""
+
+    def __init__(self, why: str, beyond: int | None = None):
+        super().__init__(why)
+        self.beyond = beyond
 
 
 def one_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -112,21 +139,33 @@ def one_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     except (UnicodeDecodeError, KeyError, ValueError):
         raise Bad("headers can't be read") from None
     start = stop + len(END)
-    block = data[start : start + n]
+    block, beyond = data[start : start + n], start + n + len(END)
     if n < 0 or len(block) < n:
         raise Bad("cut off")
-    if data[start + n : start + n + len(END)] != END:
+    if data[start + n : beyond] != END:
         raise Bad("no record end")
+    if any(h not in head for h in MANDATORY) or head["warc-type"] not in TYPES:
+        raise Bad("a mandatory header is missing or unknown", beyond)
     if (want := head.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != sha1_base32(block):
-        raise Bad("block digest differs")
-    return head, block, start + n + len(END)
+        raise Bad("block digest differs", beyond)
+    return head, block, beyond
+
+
+def valid(data: bytes, at: int) -> bool:
+    try:
+        one_record(data, at)
+    except Bad:
+        return False
+    return True
 
 
 def one_member(data: bytes, at: int) -> tuple[bytes, int]:
     """Content and end of the gzip member at ``at``."""
     z = zlib.decompressobj(31)
     try:
-        got = z.decompress(memoryview(data)[at:])
+        got = z.decompress(memoryview(data)[at:], MEMBER_BYTES)
+        if z.unconsumed_tail:
+            raise Bad("gzip member is too large")
     except zlib.error:
         raise Bad("gzip member is damaged") from None
     if not z.eof:
@@ -156,6 +195,9 @@ def salvage(data: bytes) -> Iterator[tuple]:
         except Bad as e:
             if gap is None:
                 gap, why = at, str(e)
+            if e.beyond is not None and (e.beyond == len(data) or data[e.beyond : e.beyond + len(MEMBER)] == MEMBER or valid(data, e.beyond)):
+                at = e.beyond
+                continue
             after = [x for x in (data.find(b"\n" + VERSION, at), data.find(MEMBER, at + 1)) if x >= 0]
             # a version line begins after a line end; a member may begin anywhere
             at = min((x + 1 if data[x : x + 1] == b"\n" else x for x in after), default=len(data))
@@ -184,51 +226,52 @@ def row_of(path: str, at: int, head: dict[str, str], block: bytes) -> tuple:
     return path, at, page(head.get("warc-record-id")), kind, page(head.get("warc-refers-to")), length, digest, head.get("warc-target-uri"), payload.decode("utf-8", "replace") if kind != "revisit" else None
 
 
-def scan(archives: DataFrame, gaps: bool, payloads: bool) -> DataFrame:
-    schema = GAP if gaps else RECORD
+def scan(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """FOUND: every record that can be read, and every gap (with gap_bytes and a reason)."""
+    fields = [f.split() for f in FOUND.split(", ")]
+    kinds = [pa.int64() if kind == "bigint" else pa.string() for _, kind in fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64() if f.split()[1] == "bigint" else pa.string() for f in schema.split(", ")]
-        names = [f.split()[0] for f in schema.split(", ")]
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [name for name, _ in fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column(0), b.column(1)):
-                rows, path = [], path.as_py()
-                for found in salvage(content.as_py()):
-                    if gaps and found[0] == "gap":
-                        rows.append((path, *found[1:]))
-                    elif not gaps and found[0] == "record":
-                        row = row_of(path, *found[1:])
-                        rows.append(row if payloads else (*row[:-1], None))
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = []
+                for kind, at, *found in salvage(content.as_py()):
+                    if kind == "gap":
+                        rows.append((path, at, *(None,) * 7, *found))
+                    else:
+                        row = row_of(path, at, *found)
+                        rows.append((*(row if payloads else (*row[:-1], None)), None, None))
                     if len(rows) >= 512:
                         yield batch(rows)
                         rows = []
                 if rows:
                     yield batch(rows)
 
-    return archives.select("path", "content").mapInArrow(run, schema)
+    return archives.select("path", "content").mapInArrow(run, FOUND)
 
 
 def archives(spark, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc,gz}").load(folder)
-
-
-def read(spark, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record that can be read."""
-    return scan(archives(spark, folder), False, payloads)
+    """path and content of the archives in ``folder`` and below."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc,gz}").option("recursiveFileLookup", "true").load(folder)
 
 
-def quarantine(spark, folder: str) -> DataFrame:
-    """Every byte gap that was skipped."""
-    return scan(archives(spark, folder), True, False)
+def read(spark, folder: str, payloads: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Records (RECORD) and gaps (GAP) of all archives, of one scan without payloads; with
+    payloads the scan isn't stored, and each of the two is a scan of its own."""
+    found = scan(archives(spark, folder), payloads)
+    found = found if payloads else stored(found, "scanned")
+    return found.filter("reason is null").select(RECORD), found.filter("reason is not null").select(GAP)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes ``pages`` to new archives and reads them back."""
+    """Writes ``pages`` to new archives, reads them back, and logs the gaps in a table beside the
+    archives (there are none if nothing was damaged in between)."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     write(pages, folder, least_bytes)
-    return read(spark, folder, payloads=False)
+    records, gaps = read(spark, folder, payloads=False)
+    gaps.write.parquet(f"{folder}-quarantine")
+    return records
