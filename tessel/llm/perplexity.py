@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACES, stored, text_of
+from .common import WORD_SPACES, discard, stored, text_of
 
 SYMBOLS = "#*$%&|<>"
 #: Documents that the spread of all languages counts for beside a language's own.
@@ -274,7 +274,10 @@ def models(counts: DataFrame) -> DataFrame:
             h = mixed(c, np.array(each, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(4), b.column(5)], ["h", "logp", "freq"])
 
-    return x.filter("freq > 0").select("key", "fold", "hi", "lo", F.ln("p").cast("float").alias("logp"), "freq").mapInArrow(run, "h bigint, logp float, freq bigint")
+    out = stored(x.filter("freq > 0").select("key", "fold", "hi", "lo", F.ln("p").cast("float").alias("logp"), "freq").mapInArrow(run, "h bigint, logp float, freq bigint"), "model")
+    for t in [*levels, d]:
+        discard(t)
+    return out
 
 
 def least_frequent(model: DataFrame, most: int) -> int:
@@ -425,7 +428,7 @@ def if_few(df: DataFrame) -> DataFrame:
 def quality(df: DataFrame) -> DataFrame:
     """Metrics, base_failed, kept, log_ppl, and the band's lower and upper limit."""
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scores = stored(scored(df, stored(models(counted(df)), "models")).withColumn("base_failed", base), "scores")
+    scores = stored(scored(df, models(counted(df))).withColumn("base_failed", base), "scores")
     band = if_few(bands(scores))
     half = SPREADS * F.col("spread") + CHANCE * F.col("dev") / F.sqrt(F.greatest("n_chars", F.lit(1)))
     out = scores.alias("s").join(band.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("lower", F.col("middle") - half).withColumn("upper", F.col("middle") + half)
