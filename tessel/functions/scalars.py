@@ -142,3 +142,13 @@ def upload_fault(media: Column, size: Column, allowed: list[str], most: int, siz
     kind, big = (~media.isin(allowed), "type"), (size > most, "size")
     (c1, n1), (c2, n2) = (big, kind) if size_first else (kind, big)
     return F.when(c1, n1).when(c2, n2)
+
+
+def iso_date(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def random_id() -> Column:
+    """A new random identifier for each row: another one whenever a row is worked out again, so it
+    is to be written before it is used twice."""
+    return F.uuid()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,40 +29,114 @@ def alternates(base: str, route: Column, langs: list[str], default: str) -> Colu
     return F.array(*each, F.struct(F.lit("x-default").alias("lang"), url(base, F.lit(default), route).alias("href")))
 
 
-def replaced_or_inserted(html: Column, pattern: str, tag: Column) -> Column:
-    """The first match becomes ``tag``; without one it goes before the end of the head."""
-    first = F.regexp_replace(html, f"(?is)^(.*?){pattern}", F.concat(F.lit("$1"), quoted(tag)))
-    last = F.regexp_replace(html, "(?is)^(.*?)</head>", F.concat(F.lit("$1"), quoted(tag), F.lit("</head>")))
-    return F.when(html.rlike(f"(?is){pattern}"), first).otherwise(last)
+def meta(kind: str, name: str, value: Column) -> tuple[str, Column]:
+    """A pattern for a meta tag, and the tag."""
+    return f'<meta\\s+{kind}="{name}"[^>]*>', F.concat(F.lit(f'<meta {kind}="{name}" content="'), escaped(value), F.lit('">'))
 
 
-def head_rewritten(html: Column, lang: Column, title: Column, description: Column, canonical: Column) -> Column:
-    out = F.regexp_replace(html, r'(?is)^(.*?<html)(?:\s+lang="[^"]*")?', F.concat(F.lit('$1 lang="'), quoted(lang), F.lit('"')))
-    out = replaced_or_inserted(out, "<title>.*?</title>", F.concat(F.lit("<title>"), escaped(title), F.lit("</title>")))
-    for kind, name, value in (("name", "description", description), ("property", "og:title", title), ("property", "og:url", canonical), ("name", "twitter:title", title)):
-        tag = F.concat(F.lit(f'<meta {kind}="{name}" content="'), escaped(value), F.lit('">'))
-        out = replaced_or_inserted(out, f'<meta\\s+{kind}="{name}"[^>]*>', tag)
-    return replaced_or_inserted(out, '<link\\s+rel="canonical"[^>]*>', F.concat(F.lit('<link rel="canonical" href="'), escaped(canonical), F.lit('">')))
+def alternate_links(links: Column) -> Column:
+    """The link tags of an array of (lang, href)."""
+    tag = lambda x: F.concat(F.lit('<link rel="alternate" hreflang="'), x["lang"], F.lit('" href="'), escaped(x["href"]), F.lit('">'))
+    return F.concat_ws("", F.transform(links, tag))
 
 
-def json_ld(kind: Column, name: Column, address: Column, date: Column) -> Column:
-    """schema.org data of a page as JSON; articles carry their date."""
-    base = [F.lit("https://schema.org").alias("@context"), kind.alias("@type"), name.alias("name"), address.alias("url")]
-    return F.when(kind == "Article", F.to_json(F.struct(*base, date.alias("datePublished")))).otherwise(F.to_json(F.struct(*base)))
+def head_rewritten(html: Column, lang: Column, title: Column, description: Column, canonical: Column, links: Column, locale: Column) -> Column:
+    """A page with its language, title, description, addresses and their copies for shares in the
+    head: the first tag of a kind is replaced, and what is missing goes to the head's end, then the
+    ``links`` to its other languages, in place of those it had. The head is cut off once, and each
+    tag takes one pass over it, so the expression grows by a tag with each tag. A page without an
+    end of the head gets no new tags."""
+    parts = F.split(html, "(?i)</head>", 2)
+    head = F.get(parts, F.lit(0))
+    tags = [
+        ("<title>.*?</title>", F.concat(F.lit("<title>"), escaped(title), F.lit("</title>"))),
+        meta("name", "description", description),
+        meta("property", "og:title", title),
+        meta("property", "og:description", description),
+        meta("property", "og:url", canonical),
+        meta("property", "og:locale", locale),
+        meta("name", "twitter:title", title),
+        meta("name", "twitter:description", description),
+        ('<link\\s+rel="canonical"[^>]*>', F.concat(F.lit('<link rel="canonical" href="'), escaped(canonical), F.lit('">'))),
+    ]
+    out = F.regexp_replace(head, r'(?is)^(.*?<html)(?:\s+lang="[^"]*")?', F.concat(F.lit('$1 lang="'), quoted(lang), F.lit('"')))
+    out = F.regexp_replace(out, r'(?is)<link\s+rel="alternate"\s+hreflang="[^"]*"[^>]*>', F.lit(""))
+    for pattern, tag in tags:
+        out = F.regexp_replace(out, f"(?is)^(.*?){pattern}", F.concat(F.lit("$1"), quoted(tag)))
+    missing = [F.when(head.rlike(f"(?is){pattern}"), "").otherwise(tag) for pattern, tag in tags]
+    rest = F.concat(*missing, alternate_links(links), F.lit("</head>"), F.get(parts, F.lit(1)))
+    return F.concat(out, F.when(F.size(parts) > 1, rest).otherwise(""))
 
 
-def breadcrumb(base: str, names: list[Column]) -> Column:
-    items = [F.struct(F.lit("ListItem").alias("@type"), F.lit(i).alias("position"), n.alias("name")) for i, n in enumerate(names, 1)]
-    return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("BreadcrumbList").alias("@type"), F.array(*items).alias("itemListElement")))
+def typed(kind: str, *fields: Column) -> Column:
+    """A schema.org object."""
+    return F.struct(F.lit(kind).alias("@type"), *fields)
 
 
-def sitemap_entries(routes: DataFrame, base: str, day: str) -> DataFrame:
-    """A row for each url, with its XML: rows, so a site of any size is written in parts."""
+def linked_data(kind: str, *fields: Column) -> Column:
+    """schema.org data of a page as JSON."""
+    return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit(kind).alias("@type"), *fields))
+
+
+def organization(name: str, address: str, logo: str) -> list[Column]:
+    return [F.lit(name).alias("name"), F.lit(address).alias("url"), F.lit(logo).alias("logo")]
+
+
+def web_page(name: Column, address: Column) -> Column:
+    return linked_data("WebPage", name.alias("name"), address.alias("url"))
+
+
+def article(headline: Column, address: Column, published: Column, changed: Column, publisher: list[Column]) -> Column:
+    dates = [published.alias("datePublished"), changed.alias("dateModified")]
+    return linked_data("Article", headline.alias("headline"), address.alias("url"), *dates, typed("Organization", *publisher).alias("publisher"))
+
+
+def blog(name: Column, address: Column, publisher: list[Column]) -> Column:
+    return linked_data("Blog", name.alias("name"), address.alias("url"), typed("Organization", *publisher).alias("publisher"))
+
+
+def faq(entries: Column) -> Column:
+    """``entries``: an array of (q, a); those without a question or an answer are left out."""
+    question = lambda e: typed("Question", e["q"].alias("name"), typed("Answer", e["a"].alias("text")).alias("acceptedAnswer"))
+    return linked_data("FAQPage", F.transform(complete_entries(entries), question).alias("mainEntity"))
+
+
+def application(name: Column, address: Column, category: str) -> Column:
+    """A free application that runs in a browser."""
+    offer = typed("Offer", F.lit("0").alias("price"), F.lit("USD").alias("priceCurrency"))
+    return linked_data("SoftwareApplication", name.alias("name"), address.alias("url"), F.lit(category).alias("applicationCategory"), F.lit("Web").alias("operatingSystem"), offer.alias("offers"))
+
+
+def breadcrumb(names: list[Column]) -> Column:
+    items = [typed("ListItem", F.lit(i).alias("position"), n.alias("name")) for i, n in enumerate(names, 1)]
+    return linked_data("BreadcrumbList", F.array(*items).alias("itemListElement"))
+
+
+def sitemap_entries(routes: DataFrame, base: str, day: str, langs: list[str], default: str) -> DataFrame:
+    """A row for each url of ``routes`` (lang, route, changes, weight), with its XML."""
     address = url(base, F.col("lang"), F.col("route"))
-    xml = F.concat(F.lit("<url><loc>"), escaped(address), F.lit(f"</loc><lastmod>{day}</lastmod></url>"))
+    link = lambda x: F.concat(F.lit('<xhtml:link rel="alternate" hreflang="'), x["lang"], F.lit('" href="'), escaped(x["href"]), F.lit('"/>'))
+    links = F.concat_ws("", F.transform(alternates(base, F.col("route"), langs, default), link))
+    xml = F.concat(F.lit("<url><loc>"), escaped(address), F.lit(f"</loc><lastmod>{day}</lastmod><changefreq>"), "changes", F.lit("</changefreq><priority>"), F.format_number("weight", 1), F.lit("</priority>"), links, F.lit("</url>"))
     return routes.select("lang", "route", address.alias("loc"), xml.alias("xml"))
 
 
+#: Urls of one site map, as its protocol limits them.
+SITEMAP_URLS = 50_000
+
+
+def sitemap_documents(entries: DataFrame) -> DataFrame:
+    """(lang, part, xml, txt): for each language its site map, in parts of ``SITEMAP_URLS``, as XML
+    and as a list of lines."""
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("loc"))
+    parts = entries.withColumn("part", F.floor((at - 1) / SITEMAP_URLS).cast("int"))
+    rows = F.sort_array(F.collect_list(F.struct("loc", "xml")))
+    joined = lambda name, between: F.concat_ws(between, F.transform("rows", lambda x: x[name]))
+    head = '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml">'
+    made = F.concat(F.lit(head), joined("xml", ""), F.lit("</urlset>"))
+    return parts.groupBy("lang", "part").agg(rows.alias("rows")).select("lang", "part", made.alias("xml"), joined("loc", "\n").alias("txt"))
+
+
 def blocked(x: Column, words: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w))
 

@@ -48,17 +48,15 @@ def total(df: DataFrame, q: ListQuery) -> DataFrame:
     return filtered(df, q).agg(F.count("*").alias("total_count"))
 
 
-def page_with_authors(df: DataFrame, authors: DataFrame, q: ListQuery, on: str, key: str, columns: list[str], name: str = "author", orphans: bool = False) -> DataFrame:
-    """The page first, the lookup after. The page has ``limit`` rows and is broadcast to the
-    authors, whose number doesn't matter then. That join is an inner one, as each row has an
-    author; with ``orphans`` rows without one are kept too, by a left join to those authors that
-    the page names, at the cost of a second page."""
+def page_with_authors(df: DataFrame, authors: DataFrame, q: ListQuery, on: str, key: str, columns: list[str], name: str = "author") -> DataFrame:
+    """The page first, the lookup after, in the page's order. The page has ``limit`` rows and is
+    broadcast to the authors, whose number doesn't matter then; those that it names are broadcast
+    back. A row without an author stays, with a null. Keys of authors are unique."""
     rows = page(df, q)
     side = authors.select(F.col(key).alias("_key"), F.struct(*columns).alias(name))
-    if not orphans:
-        return side.join(F.broadcast(rows), F.col(on) == F.col("_key")).drop("_key")
     named = side.join(F.broadcast(rows.select(on)), F.col(on) == F.col("_key"), "left_semi")
-    return rows.join(F.broadcast(named), F.col(on) == F.col("_key"), "left").drop("_key")
+    found = rows.join(F.broadcast(named), F.col(on) == F.col("_key"), "left").drop("_key")
+    return found.orderBy(*ordered(q)).limit(q.limit)
 
 
 def page_count(n: Column, limit: int) -> Column:

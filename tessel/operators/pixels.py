@@ -33,16 +33,20 @@ def keyed(px: DataFrame, colour: tuple[int, int, int], tolerance: float) -> Data
 
 
 def sharpened(px: DataFrame, amount: float) -> DataFrame:
-    """The four-neighbour kernel (1 + 4s, -s), s = amount / 5; border pixels stay."""
+    """The four-neighbour kernel (1 + 4s, -s), s = amount / 5; pixels without four neighbours
+    stay. Both windows are partitioned by image, so pixels are shuffled once."""
     s = amount / 5
-    row, col = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
-    sides = {c: [f(c).over(w) for f in (F.lag, F.lead) for w in (row, col)] for c in RGBA[:3]}
-    out = px.select("*", *(v.alias(f"_{c}{i}") for c, vs in sides.items() for i, v in enumerate(vs)))
-    for c in RGBA[:3]:
-        around = [F.col(f"_{c}{i}") for i in range(4)]
-        inner = around[0].isNotNull() & around[1].isNotNull() & around[2].isNotNull() & around[3].isNotNull()
-        out = out.withColumn(c, F.when(inner, channel(F.col(c) * (1 + 4 * s) - s * sum(around, F.lit(0)))).otherwise(F.col(c)))
-    return out.select(px.columns)
+    around: dict[str, list[Column]] = {c: [] for c in RGBA[:3]}
+    inner = F.lit(True)
+    for along, across in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy("img").orderBy(across, along)
+        for shift, step in ((F.lag, -1), (F.lead, 1)):
+            inner = inner & F.coalesce((shift(along).over(w) == F.col(along) + step) & (shift(across).over(w) == F.col(across)), F.lit(False))
+            for c in around:
+                around[c].append(shift(c).over(w))
+    out = px.select("*", inner.alias("_inner"), *(v.alias(f"_{c}{i}") for c, vs in around.items() for i, v in enumerate(vs)))
+    made = {c: F.when(F.col("_inner"), channel(F.col(c) * (1 + 4 * s) - s * sum((F.col(f"_{c}{i}") for i in range(4)), F.lit(0)))).otherwise(F.col(c)).alias(c) for c in around}
+    return out.select(*(made.get(c, F.col(c)) for c in px.columns))
 
 
 def linear(px: DataFrame, matrix: list[list[float]], offset: float = 0.0) -> DataFrame:
@@ -54,8 +58,9 @@ def linear(px: DataFrame, matrix: list[list[float]], offset: float = 0.0) -> Dat
 LUMA = (0.213, 0.715, 0.072)
 
 
-def adjusted(px: DataFrame, brightness: float = 100, contrast: float = 100, saturate: float = 100, hue: float = 0, invert: float = 0, grayscale: float = 0) -> DataFrame:
-    """The filters in this order, each left out at its neutral value; rounded after each."""
+def adjusted(px: DataFrame, brightness: float = 100, contrast: float = 100, saturate: float = 100, hue: float = 0, invert: float = 0, grayscale: float = 0, sharpen: float = 0) -> DataFrame:
+    """The filters in this order, each left out at its neutral value; rounded after each. Blur,
+    which browsers define, isn't among them."""
     unit = [[1.0 if i == j else 0.0 for j in range(3)] for i in range(3)]
     scale = lambda k: [[k * x for x in row] for row in unit]
     mix = lambda k: [[LUMA[j] + k * (unit[i][j] - LUMA[j]) for j in range(3)] for i in range(3)]
@@ -73,27 +78,27 @@ def adjusted(px: DataFrame, brightness: float = 100, contrast: float = 100, satu
         px = linear(px, scale(1 - 2 * invert / 100), 255 * invert / 100)
     if grayscale:
         px = linear(px, mix(1 - grayscale / 100))
-    return px
+    return sharpened(px, sharpen) if sharpen else px
 
 
-def over(top: Column, under: Column) -> Column:
-    """src-over of two structs r, g, b, a (not premultiplied), rounded to 8 bits."""
-    sa, ua = top["a"] / 255, under["a"] / 255
-    oa = sa + ua * (1 - sa)
-    mixed = [channel((top[c] * sa + under[c] * ua * (1 - sa)) / oa).alias(c) for c in RGBA[:3]]
-    blend = F.struct(*mixed, channel(oa * 255).alias("a"))
-    return F.when(top["a"] <= 0, under).when(oa <= 0, under).otherwise(blend)
+def over(top: Column, alpha: Column, under: Column) -> Column:
+    """src-over of two structs r, g, b, a (not premultiplied), rounded to 8 bits. ``alpha``: the
+    top's, a fraction, its layer's opacity included."""
+    ua = under["a"] / 255
+    oa = alpha + ua * (1 - alpha)
+    mixed = [channel((top[c] * alpha + under[c] * ua * (1 - alpha)) / oa).alias(c) for c in RGBA[:3]]
+    return F.when((alpha <= 0) | (oa <= 0), under).otherwise(F.struct(*mixed, channel(oa * 255).alias("a")))
 
 
 def composite(layers: DataFrame) -> DataFrame:
     """Pixels of stacked layers (img, z, visible, opacity 0..100, x, y, r, g, b, a), bottom to
-    top, rounded after each layer: an ordered fold for each pixel, a handful of layers long."""
-    shown = layers.filter("visible and opacity > 0")
-    alpha = channel(F.col("a") * F.col("opacity") / 100)
-    stack = F.sort_array(F.collect_list(F.struct("z", "r", "g", "b", alpha.alias("a"))))
+    top, rounded after each layer: an ordered fold for each pixel, a handful of layers long. A
+    pixel that no visible layer covers is clear."""
+    alpha = F.when(F.col("visible"), F.col("a") * F.col("opacity") / 25500).otherwise(0.0)
+    stack = F.sort_array(F.collect_list(F.struct("z", "r", "g", "b", alpha.alias("alpha"))))
     clear = F.struct(*(F.lit(0).alias(c) for c in RGBA))
-    fold = F.aggregate("_s", clear, lambda acc, p: over(p, acc))
-    return shown.groupBy("img", "x", "y").agg(stack.alias("_s")).withColumn("_p", fold).select("img", "x", "y", "_p.*")
+    fold = F.aggregate("_s", clear, lambda acc, p: over(p, p["alpha"], acc))
+    return layers.groupBy("img", "x", "y").agg(stack.alias("_s")).withColumn("_p", fold).select("img", "x", "y", "_p.*")
 
 
 def with_over(px: DataFrame, patch: DataFrame) -> DataFrame:
@@ -177,24 +182,60 @@ def checkered(px: DataFrame) -> DataFrame:
     return px.withColumn("dark", (F.col("x") + F.col("y")) % 2 == 0)
 
 
-def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """L1 difference of two images of one size, alpha ignored."""
-    side = b.select("x", "y", *(F.col(c).alias(f"_{c}") for c in RGBA[:3]))
-    return a.join(side, ["x", "y"]).agg(F.sum(sum((F.abs(F.col(c) - F.col(f"_{c}")) for c in RGBA[:3]), F.lit(0))).alias("l1"))
+def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, l1): the L1 difference of each two images of one size, alpha ignored."""
+    side = b.select(*keys, "x", "y", *(F.col(c).alias(f"_{c}") for c in RGBA[:3]))
+    return a.join(side, [*keys, "x", "y"]).groupBy(*keys).agg(F.sum(sum((F.abs(F.col(c) - F.col(f"_{c}")) for c in RGBA[:3]), F.lit(0))).alias("l1"))
 
 
-def blended(px: DataFrame, patch: DataFrame) -> DataFrame:
-    """``px`` with the pixels of ``patch`` laid over its own, by their alpha."""
+def blended(px: DataFrame, patch: DataFrame, opacity: int = 100) -> DataFrame:
+    """``px`` with the pixels of ``patch`` laid over its own, by their alpha times ``opacity``."""
     p = patch.select("img", "x", "y", F.struct(*RGBA).alias("_top"))
-    own = F.struct(*RGBA)
-    mixed = F.when(F.col("_top").isNotNull(), over(F.col("_top"), own)).otherwise(own)
+    own, alpha = F.struct(*(F.col(c).cast("int").alias(c) for c in RGBA)), F.col("_top.a") * opacity / 25500
+    mixed = F.when(F.col("_top").isNotNull(), over(F.col("_top"), alpha, own)).otherwise(own)
     return px.join(p, ["img", "x", "y"], "left").select("img", "x", "y", mixed.alias("_p")).select("img", "x", "y", "_p.*")
 
 
 def merged_down(upper: DataFrame, lower: DataFrame, opacity: int) -> DataFrame:
     """The upper layer, at its opacity, drawn into the lower one, whose own opacity and the
     upper one's visibility don't matter; the lower one's attributes stay."""
-    return blended(lower, upper.withColumn("a", channel(F.col("a") * opacity / 100)))
+    return blended(lower, upper, opacity)
+
+
+def ghosted(frames: DataFrame, seq: str, opacity: int) -> DataFrame:
+    """Each frame (seq, pos, x, y, r, g, b, a) over the one before it, which shows at ``opacity``."""
+    layer = lambda df, z, o: df.select(F.struct(seq, "pos").alias("img"), F.lit(z).alias("z"), F.lit(True).alias("visible"), F.lit(o).alias("opacity"), "x", "y", *RGBA)
+    heads = frames.select(seq, "pos").distinct()
+    before = frames.withColumn("pos", F.col("pos") + 1).join(heads, [seq, "pos"], "left_semi")
+    return composite(layer(before, 0, opacity).unionByName(layer(frames, 1, 100))).select(f"img.{seq}", "img.pos", "x", "y", *RGBA)
+
+
+def resized(px: DataFrame, width: int, height: int, new_width: int, new_height: int, scale: bool) -> DataFrame:
+    """A canvas of another size, 1 to 256 a side: scaled, or cropped at the top left corner."""
+    w, h = (max(1, min(256, v)) for v in (new_width, new_height))
+    return scaled(px, width, height, w, h) if scale else px.filter((F.col("x") < w) & (F.col("y") < h))
+
+
+def suggested_cell(w: Column, h: Column, most: int = 256) -> tuple[Column, Column]:
+    """A cell's sides for images of that size: scaled down to ``most`` where they are larger."""
+    k = F.least(F.lit(1.0), F.lit(most) / F.greatest(w, h))
+    return tuple(F.greatest(F.lit(1), F.floor(v * k + 0.5)) for v in (w, h))
+
+
+def outlined(px: DataFrame, x0: int, y0: int, x1: int, y1: int, colour: tuple[int, int, int, int]) -> DataFrame:
+    """``px`` with the edge of a rectangle in a colour."""
+    inside = F.col("x").between(min(x0, x1), max(x0, x1)) & F.col("y").between(min(y0, y1), max(y0, y1))
+    edge = inside & (F.col("x").isin(x0, x1) | F.col("y").isin(y0, y1))
+    return px.select(*(F.when(edge, F.lit(colour[RGBA.index(c)])).otherwise(F.col(c)).alias(c) if c in RGBA else F.col(c) for c in px.columns))
+
+
+def in_palette(px: DataFrame, palette: list[tuple[int, int, int]]) -> DataFrame:
+    """Extension: each pixel in the nearest colour (L1) of a palette, which callers bring along;
+    the first of colours that tie."""
+    apart = [F.struct(distance(RGBA[:3], c).alias("apart"), F.lit(i).alias("entry")) for i, c in enumerate(palette)]
+    entry = F.array_min(F.array(*apart))["entry"]
+    table = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(p, RGBA))) for p in palette))
+    return px.withColumn("entry", entry).withColumns({c: F.get(table, F.col("entry"))[c] for c in RGBA[:3]})
 
 
 def quantised(px: DataFrame, levels: int = 6) -> DataFrame:

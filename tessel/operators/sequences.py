@@ -159,16 +159,79 @@ def looked_up(order: DataFrame, frames: DataFrame, seq: str, key: str) -> DataFr
 
 
 def restored(frames: DataFrame, backup: DataFrame, seq: str, key: str, columns: list[str]) -> DataFrame:
-    """Frames with the backup's columns where it has them."""
-    old = backup.select(seq, key, *(F.col(c).alias(f"_{c}") for c in columns))
+    """Frames with the backup's columns where it has the frame, nulls too."""
+    old = backup.select(seq, key, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_{c}") for c in columns))
     out = frames.join(old, [seq, key], "left")
-    return out.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in frames.columns))
+    return out.select(*(F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in frames.columns))
 
 
 def extracted(frames: DataFrame, seq: str, pos: str, signature: str, similarity: float) -> DataFrame:
-    """Frames that stay at a similarity of 0 to 100 percent (0: all), numbered without gaps."""
+    """Frames that stay at a similarity of 0 to 100 percent (0: all). ``frame_id`` counts every
+    sampled frame, so ids skip those that were dropped."""
+    frames = renumbered(frames, seq, [F.col(pos)], "frame_id")
     if similarity > 0:
         width = F.size(signature)
         scaled = frames.withColumn("_s", F.transform(signature, lambda x: x / width))
         frames = frames.join(kept_frames(scaled, seq, pos, "_s", (100 - similarity) / 2), [seq, pos], "left_semi")
-    return renumbered(frames, seq, [F.col(pos)], "frame_id")
+    return frames
+
+
+def added(df: DataFrame, seq: str, key: str) -> DataFrame:
+    """One new frame at the end of each sequence, with an id of its own."""
+    new = df.groupBy(seq).agg((F.max(key) + 1).alias(key), (F.max("pos") + 1).alias("pos"))
+    return df.select(seq, key, "pos").unionByName(new)
+
+
+def removed(df: DataFrame, selected: DataFrame, seq: str, key: str) -> DataFrame:
+    """Without the selected frames, renumbered. A sequence keeps one frame at least: where all
+    are selected the first stays."""
+    marks = selected.select(seq, key).distinct().withColumn("_off", F.lit(True))
+    w = Window.partitionBy(seq)
+    out = df.join(marks, [seq, key], "left").withColumn("_left", F.count_if(F.col("_off").isNull()).over(w))
+    stay = out.filter(F.col("_off").isNull() | ((F.col("_left") == 0) & (F.col("pos") == 0))).drop("_off", "_left")
+    return renumbered(stay, seq, [F.col("pos")])
+
+
+def undo_redo(log: DataFrame, frame: str, order: list[str], action: str, snapshot: str, cap: int) -> DataFrame:
+    """(frame, shown, undos, redos): what each frame shows after its log of ``push`` (of a snapshot,
+    a bigint), ``undo`` and ``redo``. At most ``cap`` snapshots can be undone, the oldest go first; a push clears
+    what could be redone; an action that has nothing to act on does nothing. An ordered fold: one task reads
+    a frame's log in order and holds at most the snapshots of one frame that can be undone or redone."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shown, back, ahead, out = None, None, [], [], []
+        for b in batches:
+            for f, a, x in zip(*(c.to_pylist() for c in b.columns[:3])):
+                if now is None or f != now[0]:
+                    if now is not None:
+                        out.append((now[0], shown, len(back), len(ahead)))
+                    now, shown, back, ahead = (f,), None, [], []
+                if a == "push":
+                    back, ahead, shown = [*back, shown][-cap:] if shown is not None else back, [], x
+                elif a == "undo" and back:
+                    ahead.append(shown)
+                    shown = back.pop()
+                elif a == "redo" and ahead:
+                    back.append(shown)
+                    shown = ahead.pop()
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                out = []
+        if now is not None:
+            out.append((now[0], shown, len(back), len(ahead)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    names, kinds = [frame, "shown", "undos", "redos"], [pa.int64()] * 4
+    rows = log.select(F.col(frame).cast("bigint").alias(frame), action, F.col(snapshot).cast("bigint").alias("_x"), *order)
+    return rows.repartition(frame).sortWithinPartitions(frame, *order).mapInArrow(fold, f"{frame} bigint, shown bigint, undos bigint, redos bigint")
+
+
+def layer_added(layers: Column, layer: Column) -> Column:
+    """The stack with a layer on top."""
+    return F.concat(layers, F.array(layer))
+
+
+def layer_removed(layers: Column, at: int) -> Column:
+    """The stack without its layer at ``at`` (from 0); the last one left stays."""
+    return F.when(F.size(layers) > 1, F.filter(layers, lambda x, i: i != at)).otherwise(layers)

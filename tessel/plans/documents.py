@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tessel.catalog import query, table
 from tessel.operators import documents as D
+from tessel.shared import new_folder
+from tessel.sources import files
 
 BASE, DAY, LANGS = "https://example.org", "2024-01-31", ["en", "de", "fr"]
 
@@ -25,29 +27,82 @@ def route_alternates(spark, d):
     return routes(spark, d).select("lang", "route", alt).select("lang", "route", F.col("a.lang").alias("alt"), F.col("a.href").alias("href"))
 
 
-@query(f"""WITH {ROUTES} SELECT lang, route, '{BASE}/' || lang || '/' || route AS loc, '<url><loc>{BASE}/' || lang || '/' || route || '</loc><lastmod>{DAY}</lastmod></url>' AS xml FROM r""")
+#: In SQL: a route's entry of the site map.
+ENTRIES = f"""{ROUTES}, e AS (SELECT lang, route, '{BASE}/' || lang || '/' || route AS loc, '<url><loc>{BASE}/' || lang || '/' || route || '</loc><lastmod>{DAY}</lastmod><changefreq>' || CASE WHEN route = 'asia' THEN 'weekly' ELSE 'monthly' END || '</changefreq><priority>' ||
+CASE WHEN route = 'asia' THEN '0.8' ELSE '0.5' END || '</priority>' || string_agg('<xhtml:link rel="alternate" hreflang="' || alt || '" href="{BASE}/' || CASE alt WHEN 'x-default' THEN 'en' ELSE alt END || '/' || route || '"/>', '' ORDER BY k) || '</url>' AS xml
+FROM (SELECT lang, route, unnest(['en', 'de', 'fr', 'x-default']) AS alt, unnest([1, 2, 3, 4]) AS k FROM r) GROUP BY lang, route)"""
+
+
+def entries(spark, d):
+    weekly = F.col("route") == "asia"
+    rows = routes(spark, d).withColumn("changes", F.when(weekly, "weekly").otherwise("monthly")).withColumn("weight", F.when(weekly, 0.8).otherwise(0.5))
+    return D.sitemap_entries(rows, BASE, DAY, LANGS, "en")
+
+
+@query(f"WITH {ENTRIES} SELECT * FROM e")
 def sitemap(spark, d):
-    return D.sitemap_entries(routes(spark, d), BASE, DAY)
+    return entries(spark, d)
 
 
-@query(f"""WITH {ROUTES} SELECT route, CASE WHEN route = 'asia' THEN '{{"@context":"https://schema.org","@type":"Article","name":"' || route || '","url":"{BASE}/' || lang || '/' || route || '","datePublished":"{DAY}"}}'
-ELSE '{{"@context":"https://schema.org","@type":"WebPage","name":"' || route || '","url":"{BASE}/' || lang || '/' || route || '"}}' END AS data,
-'{{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{{"@type":"ListItem","position":1,"name":"' || lang || '"}},{{"@type":"ListItem","position":2,"name":"' || route || '"}}]}}' AS crumbs FROM r""")
-def structured_data(spark, d):
-    kind = F.when(F.col("route") == "asia", "Article").otherwise("WebPage")
-    data = D.json_ld(kind, F.col("route"), D.url(BASE, F.col("lang"), F.col("route")), F.lit(DAY))
-    return routes(spark, d).select("route", data.alias("data"), D.breadcrumb(BASE, [F.col("lang"), F.col("route")]).alias("crumbs"))
+@query(f"""WITH {ENTRIES} SELECT lang, 0 AS part, '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml">' || string_agg(xml, '' ORDER BY loc) || '</urlset>' AS xml,
+string_agg(loc, chr(10) ORDER BY loc) AS txt FROM e GROUP BY lang""")
+def sitemap_documents(spark, d):
+    return D.sitemap_documents(entries(spark, d))
 
 
-@query("""WITH t AS (SELECT page_id, 'Page ' || page_id || ' & more $1' AS title, html FROM pages)
-SELECT page_id, regexp_extract(html, '(?i)<title>', 0) <> '' AS had_title, '<title>' || replace(title, '&', '&amp;') || '</title>' AS new_title,
-'<meta name="description" content="about ' || page_id || '">' AS description, '<link rel="canonical" href="https://example.org/' || page_id || '">' AS canonical, 'fr' AS lang FROM t""")
+@query(f"WITH {ENTRIES} SELECT lang || '/' || route || '/index.html' AS route, loc AS value FROM e")
+def localized_files(spark, d):
+    """Writes a file for each language and route, and reads them back."""
+    folder = new_folder(spark, "pages")
+    files.put(entries(spark, d).select(F.concat("lang", F.lit("/"), "route", F.lit("/index.html")).alias("key"), F.encode("loc", "UTF-8").alias("content")), folder).count()
+    back = files.files(spark, folder, "index.html")
+    return back.select(F.array_join(F.slice(F.split("path", "/"), -3, 3), "/").alias("route"), F.decode("content", "UTF-8").alias("value"))
+
+
+PUBLISHER = "{'@type': 'Organization', 'name': 'Example', 'url': 'https://example.org', 'logo': 'https://example.org/logo.png'}"
+
+
+@query(f"""WITH {ROUTES}, a AS (SELECT *, '{BASE}/' || lang || '/' || route AS u FROM r) SELECT lang, route, CAST(CASE route
+WHEN 'asia' THEN to_json({{'@context': 'https://schema.org', '@type': 'Article', 'headline': route, 'url': u, 'datePublished': '{DAY}', 'dateModified': '{DAY}', 'publisher': {PUBLISHER}}})
+WHEN 'africa' THEN to_json({{'@context': 'https://schema.org', '@type': 'FAQPage', 'mainEntity': [{{'@type': 'Question', 'name': 'What is ' || route || '?', 'acceptedAnswer': {{'@type': 'Answer', 'text': 'A region.'}}}}]}})
+WHEN 'america' THEN to_json({{'@context': 'https://schema.org', '@type': 'SoftwareApplication', 'name': route, 'url': u, 'applicationCategory': 'DesignApplication', 'operatingSystem': 'Web', 'offers': {{'@type': 'Offer', 'price': '0', 'priceCurrency': 'USD'}}}})
+WHEN 'europe' THEN to_json({{'@context': 'https://schema.org', '@type': 'Blog', 'name': route, 'url': u, 'publisher': {PUBLISHER}}})
+ELSE to_json({{'@context': 'https://schema.org', '@type': 'WebPage', 'name': route, 'url': u}}) END AS VARCHAR) AS data,
+CAST(to_json({{'@context': 'https://schema.org', '@type': 'Organization', 'name': 'Example', 'url': 'https://example.org', 'logo': 'https://example.org/logo.png'}}) AS VARCHAR) AS publisher,
+CAST(to_json({{'@context': 'https://schema.org', '@type': 'BreadcrumbList', 'itemListElement': [{{'@type': 'ListItem', 'position': 1, 'name': lang}}, {{'@type': 'ListItem', 'position': 2, 'name': route}}]}}) AS VARCHAR) AS crumbs FROM a""")
+def structured_data(spark, d):
+    route, address, day = F.col("route"), D.url(BASE, F.col("lang"), F.col("route")), F.lit(DAY)
+    org = D.organization("Example", BASE, f"{BASE}/logo.png")
+    asked = F.array(F.struct(F.concat(F.lit("What is "), route, F.lit("?")).alias("q"), F.lit("A region.").alias("a")), F.struct(F.lit("Unanswered?").alias("q"), F.lit("").alias("a")))
+    data = F.when(route == "asia", D.article(route, address, day, day, org)).when(route == "africa", D.faq(asked)).when(route == "america", D.application(route, address, "DesignApplication")).when(route == "europe", D.blog(route, address, org)).otherwise(D.web_page(route, address))
+    return routes(spark, d).select("lang", "route", data.alias("data"), D.linked_data("Organization", *org).alias("publisher"), D.breadcrumb([F.col("lang"), route]).alias("crumbs"))
+
+
+def rewritten_sql() -> str:
+    """The whole page by RE2's replacements, a step for each tag."""
+    esc = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+    values = {"title": "title", "about": "'about ' || page_id", "address": f"'{BASE}/' || page_id", "locale": "'fr_FR'"}
+    kinds = [("name", "description", "about"), ("property", "og:title", "title"), ("property", "og:description", "about"), ("property", "og:url", "address"), ("property", "og:locale", "locale"), ("name", "twitter:title", "title"), ("name", "twitter:description", "about")]
+    tags = [("<title>.*?</title>", f"'<title>' || {esc('title')} || '</title>'")]
+    tags += [(f'<meta\\s+{kind}="{name}"[^>]*>', f"""'<meta {kind}="{name}" content="' || {esc(values[v])} || '">'""") for kind, name, v in kinds]
+    tags += [('<link\\s+rel="canonical"[^>]*>', f"""'<link rel="canonical" href="' || {esc(values['address'])} || '">'""")]
+    out = """regexp_replace(regexp_replace(head, '(?is)^(.*?<html)(?:\\s+lang="[^"]*")?', '\\1 lang="fr"'), '(?is)<link\\s+rel="alternate"\\s+hreflang="[^"]*"[^>]*>', '', 'g')"""
+    for pattern, tag in tags:
+        out = f"regexp_replace({out}, '(?is)^(.*?){pattern}', '\\1' || replace({tag}, '\\', '\\\\'))"
+    missing = " || ".join(f"CASE WHEN regexp_matches(head, '(?is){pattern}') THEN '' ELSE {tag} END" for pattern, tag in tags)
+    links = " || ".join(f"""'<link rel="alternate" hreflang="{x}" href="{BASE}/{'en' if x == 'x-default' else x}/' || page_id || '">'""" for x in [*LANGS, "x-default"])
+    cut = "length(regexp_extract(html, '(?is)^(.*?)</head>', 1))"
+    return f"""WITH t AS (SELECT page_id, 'Page ' || page_id || ' & more $1' AS title, html, regexp_matches(html, '(?i)</head>') AS cut FROM pages),
+h AS (SELECT *, CASE WHEN cut THEN left(html, {cut}) ELSE html END AS head, CASE WHEN cut THEN substr(html, {cut} + 8) END AS tail FROM t)
+SELECT page_id, CASE WHEN cut THEN {out} || {missing} || {links} || '</head>' || tail ELSE {out} END AS page FROM h"""
+
+
+@query(rewritten_sql())
 def head_rewrite(spark, d):
-    p = table(spark, d, "pages")
     title = F.concat(F.lit("Page "), "page_id", F.lit(" & more $1"))
-    made = D.head_rewritten(F.col("html"), F.lit("fr"), title, F.concat(F.lit("about "), "page_id"), F.concat(F.lit(f"{BASE}/"), "page_id"))
-    tag = lambda pattern: F.regexp_extract("new", pattern, 0)
-    return p.withColumn("new", made).select("page_id", F.col("html").rlike("(?i)<title>").alias("had_title"), tag("<title>.*?</title>").alias("new_title"), tag('<meta name="description"[^>]*>').alias("description"), tag('<link rel="canonical"[^>]*>').alias("canonical"), F.regexp_extract("new", '<html lang="([^"]*)"', 1).alias("lang"))
+    number = F.col("page_id").cast("string")
+    made = D.head_rewritten(F.col("html"), F.lit("fr"), title, F.concat(F.lit("about "), number), F.concat(F.lit(f"{BASE}/"), number), D.alternates(BASE, number, LANGS, "en"), F.lit("fr_FR"))
+    return table(spark, d, "pages").select("page_id", made.alias("page"))
 
 
 @query("""SELECT page_id, contains(url, 'shop') OR contains(url, 'example.net') OR contains(html, 'track(0)') AS blocked, length(replace(html, '</body>', '<p>end</p></body>')) AS n FROM pages""")

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessel.catalog import query
+from tessel.catalog import query, table
 from tessel.operators import kernels as K
 from tessel.operators import pixels as P
 from tessel.plans.raster import PX, SIDE, image
+from tessel.shared import new_folder
+from tessel.sources import files
 
 
 def coarse(spark, d):
@@ -28,26 +30,44 @@ def clear_corners(spark, d):
     return K.each_image(coarse(spark, d), K.clear_from_corners(10))
 
 
-@query("SELECT CAST(x AS INTEGER) AS x, CAST(floor(x * 5 / 15.0 + 0.5) AS INTEGER) AS y FROM range(16) t(x)")
+def shapes(spark, d):
+    """A shape for each part, in a colour of its own."""
+    own = {"r": F.lit(10), "g": F.col("p_size"), "b": F.lit(30), "a": F.lit(255)}
+    return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("img"), *(c.cast("int").alias(k) for k, c in own.items()), (F.col("p_size") % 7).cast("int").alias("rx"), (F.col("p_partkey") % 6).cast("int").alias("ry"), (F.col("p_partkey") % 9).cast("int").alias("size"))
+
+
+@query("""WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS img, p_size AS g, 9 + 2 * (p_size % 3) AS dx, p_partkey % 6 AS dy FROM part)
+SELECT img, CAST(x AS INTEGER) AS x, CAST(floor(x * dy / CAST(dx AS DOUBLE) + 0.5) AS INTEGER) AS y, g FROM (SELECT *, unnest(range(dx + 1)) AS x FROM s)""")
 def draw_line(spark, d):
-    return K.drawn(spark, "line", K.line(0, 0, 15, 5), (0, 0, 0, 255), SIDE, SIDE).select("x", "y")
+    # odd lengths, so no pixel lies half-way and every rule of rounding gives the same line
+    return K.drawn(shapes(spark, d), lambda s: K.line(0, 0, 9 + 2 * (s.g % 3), s.ry), SIDE, SIDE).select("img", "x", "y", "g")
 
 
-@query("""WITH p AS (SELECT 8 + s * floor(6 * sqrt(1 - (j / 4) ** 2) + 0.5) AS x, 8 + j AS y FROM range(-4, 5) a(j), (VALUES (-1), (1)) v(s)
-UNION SELECT 8 + i, 8 + s * floor(4 * sqrt(1 - (i / 6) ** 2) + 0.5) FROM range(-6, 7) b(i), (VALUES (-1), (1)) v(s))
-SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM p""")
+@query()
 def draw_ellipse(spark, d):
-    return K.drawn(spark, "ellipse", K.ellipse(8, 8, 6, 4), (0, 0, 0, 255), SIDE, SIDE).select("x", "y")
+    return K.drawn(shapes(spark, d), lambda s: K.ellipse(8, 8, s.rx, s.ry, s.g % 2 == 0), SIDE, SIDE).select("img", "x", "y", "g")
 
 
-@query("SELECT CAST(8 + i AS INTEGER) AS x, CAST(8 + j AS INTEGER) AS y FROM range(-2, 3) a(i), range(-2, 3) b(j) WHERE i * i + j * j <= 6.25")
+@query("""WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS img, p_size AS g, CAST(p_partkey % 9 AS INTEGER) AS n FROM part), o AS (SELECT *, CASE WHEN n % 2 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS h FROM s),
+p AS (SELECT img, g, n, h, i, j FROM o, range(-8, 9) a(i), range(-8, 9) b(j) WHERE CASE WHEN n <= 1 THEN i = 0 AND j = 0 ELSE (i - h) ** 2 + (j - h) ** 2 <= n * n / CAST(4 AS DOUBLE) END)
+SELECT img, CAST(12 + i AS INTEGER) AS x, CAST(8 + j AS INTEGER) AS y, g FROM p WHERE 12 + i < 16""")
 def stamp_brush(spark, d):
-    return K.drawn(spark, "brush", [(8 + x, 8 + y) for x, y in K.brush(5)], (0, 0, 0, 255), SIDE, SIDE).select("x", "y")
+    return K.drawn(shapes(spark, d), lambda s: [(12 + x, 8 + y) for x, y in K.brush(s.size)], SIDE, SIDE).select("img", "x", "y", "g")
 
 
-@query("SELECT * FROM (VALUES (2, 3), (13, 3), (2, 12), (13, 12)) v(x, y)")
+@query(f"""WITH {PX}, n AS (SELECT *, CAST(regexp_extract(img, '[0-9]+$') AS INTEGER) % 4 = 0 AS hit FROM px)
+SELECT img, x, y, CASE WHEN hit AND x IN (7, 8) AND y IN (7, 8) THEN 0 ELSE a END AS a FROM n""")
+def erase(spark, d):
+    px = image(spark, d)
+    marks = px.select("img").distinct().filter("cast(regexp_extract(img, '([0-9]+)$', 1) as int) % 4 = 0").select("img", *(F.lit(0).alias(c) for c in "rgba"))
+    return P.with_over(px, K.drawn(marks, lambda s: [(7 + x, 7 + y) for x, y in K.brush(2)], SIDE, SIDE)).select("img", "x", "y", "a")
+
+
+@query("""WITH s AS (SELECT p_partkey, CAST(p_size % 16 AS INTEGER) AS x, CAST(p_partkey % 16 AS INTEGER) AS y FROM part)
+SELECT DISTINCT p_partkey, CASE WHEN h = 0 THEN x ELSE 15 - x END AS x, CASE WHEN v = 0 THEN y ELSE 15 - y END AS y FROM s, (VALUES (0), (1)) a(h), (VALUES (0), (1)) b(v)""")
 def symmetric_points(spark, d):
-    return K.drawn(spark, "mirror", sorted(K.mirrored(2, 3, SIDE, SIDE, True, True)), (0, 0, 0, 255), SIDE, SIDE).select("x", "y")
+    every = K.mirrored(F.col("p_size") % 16, F.col("p_partkey") % 16, SIDE, SIDE, True, True)
+    return table(spark, d, "part").select("p_partkey", F.explode(every).alias("p")).select("p_partkey", "p.x", "p.y")
 
 
 @query(f"WITH {PX} SELECT img, 54 + 16 * 48 AS bmp_bytes, 22 + 40 + 16 * 64 + 16 * 4 AS ico_bytes FROM px GROUP BY img")
@@ -81,7 +101,66 @@ def convert_pending(spark, d):
     return K.converted(jobs, px, "bmp").select("img", "done", F.octet_length("out").alias("n"))
 
 
-@query()
+@query(f"""WITH {PX}, f AS (SELECT length(img) AS seq, count(DISTINCT img) AS frames FROM px GROUP BY 1)
+SELECT CAST(seq AS VARCHAR) AS seq, '474946383961' AS magic, 16 AS width, 16 AS height, 13 + 768 + 19 + frames * (8 + 10 + 1 + 292 + 2 + 1) + 1 AS n FROM f""")
 def encode_animation(spark, d):
-    frames = P.quantised(image(spark, d)).select(F.lit("all").alias("seq"), F.regexp_extract("img", "([0-9]+)$", 1).cast("int").alias("pos"), "x", "y", "index")
-    return K.animated(frames.filter("pos <= 8"), 12)
+    frames = P.quantised(image(spark, d)).select(F.length("img").cast("string").alias("seq"), F.regexp_extract("img", "([0-9]+)$", 1).cast("int").alias("pos"), "x", "y", "index")
+    made = K.animated(frames, 12)
+    size = K.dimensions(made.withColumnRenamed("seq", "path")).withColumnRenamed("path", "seq")
+    return made.select("seq", F.hex(F.substring("content", 1, 6)).alias("magic"), F.octet_length("content").cast("bigint").alias("n")).join(size.select("seq", "width", "height"), "seq")
+
+
+@query(f"""WITH {PX}, k AS (SELECT DISTINCT img, CASE length(img) % 4 WHEN 0 THEN 'bmp' WHEN 1 THEN 'ico' WHEN 2 THEN 'gif' ELSE 'png' END AS kind FROM px)
+SELECT img, kind, CASE kind WHEN 'bmp' THEN '424D' WHEN 'ico' THEN '0000' WHEN 'gif' THEN '4749' ELSE '8950' END AS magic FROM k""")
+def convert_dispatch(spark, d):
+    px = image(spark, d)
+    kind = F.element_at(F.array(*map(F.lit, ["bmp", "ico", "gif", "jpg"])), F.length("img") % 4 + 1)
+    made = K.dispatched(px, px.select("img").distinct().withColumn("kind", kind))
+    return made.select("img", "kind", F.hex(F.substring("content", 1, 2)).alias("magic"))
+
+
+@query(f"WITH {PX} SELECT img, kind, x, y, r, g, b, CASE WHEN kind = 'png' THEN a ELSE 255 END AS a FROM px, (VALUES ('png'), ('bmp')) v(kind)")
+def decode_images(spark, d):
+    px = image(spark, d)
+    files = [K.encoded(px, kind).select(F.concat(F.lit(f"{kind}:"), "img").alias("path"), "content") for kind in ("png", "bmp")]
+    return K.decoded(files[0].unionByName(files[1])).select(F.substring("img", 5, 1 << 20).alias("img"), F.left("img", F.lit(3)).alias("kind"), "x", "y", *"rgba")
+
+
+#: The header of a 24-bit BMP of 16 x 16 pixels, then rows from the bottom up.
+@query(f"""WITH {PX}, p AS (SELECT img, string_agg(printf('%02X%02X%02X', b, g, r), '' ORDER BY y DESC, x) AS body FROM px GROUP BY img)
+SELECT img, '424D' || '36030000' || '00000000' || '36000000' || '28000000' || '10000000' || '10000000' || '0100' || '1800' || '00000000' || '00030000' || '130B0000' || '130B0000' || '00000000' || '00000000' || body AS bmp FROM p""")
+def bmp_bytes(spark, d):
+    return K.encoded(image(spark, d), "bmp").select("img", F.hex("content").alias("bmp"))
+
+
+@query(f"""WITH {PX} SELECT DISTINCT 'gallery/' || replace(img, ' ', '_') || '/image.bmp' AS key, 822 AS length, 'image/bmp' AS media, 16 AS width, 16 AS height FROM px""")
+def stored_images(spark, d):
+    """Puts each image under its key and reads the folder back."""
+    px = image(spark, d)
+    folder = new_folder(spark, "objects")
+    keyed = K.encoded(px, "bmp").select(F.concat(F.lit("gallery/"), F.replace("img", F.lit(" "), F.lit("_")), F.lit("/image.bmp")).alias("key"), "content")
+    files.put(keyed, folder).count()
+    found = files.images(spark, folder)
+    return found.select(F.concat(F.lit("gallery/"), F.substring_index("path", "/gallery/", -1)).alias("key"), F.col("length").cast("int").alias("length"), "media", "width", "height")
+
+
+@query("SELECT 's/' || s_suppkey || '.wav' AS key, CAST(s_suppkey % 50 AS DOUBLE) / 10 AS seconds FROM supplier")
+def audio_durations(spark, d):
+    """Puts a sound of some tenths of a second for each supplier and reads durations back."""
+    folder = new_folder(spark, "sounds")
+    n = (F.col("s_suppkey") % 50 * 800).cast("int")
+    little = lambda x: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(x), 8, "0"), 7 - 2 * i, 2) for i in range(4))))
+    head = F.concat(F.encode(F.lit("RIFF"), "UTF-8"), little(n + 36), F.encode(F.lit("WAVEfmt "), "UTF-8"), F.unhex(F.lit("1000000001000100401F0000401F000001000800")), F.encode(F.lit("data"), "UTF-8"), little(n))
+    sound = F.concat(head, F.encode(F.repeat(F.lit("x"), n), "UTF-8"))
+    files.put(table(spark, d, "supplier").select(F.concat(F.lit("s/"), "s_suppkey", F.lit(".wav")).alias("key"), sound.alias("content")), folder).count()
+    return files.files(spark, folder).select(F.concat(F.lit("s/"), F.substring_index("path", "/", -1)).alias("key"), files.wav_seconds("content").alias("seconds"))
+
+
+@query("SELECT lower(r_name) || '/' || lower(n_name) AS route FROM nation JOIN region ON n_regionkey = r_regionkey")
+def page_folders(spark, d):
+    """Writes a page for each route and lists the folders that hold one."""
+    folder = new_folder(spark, "site")
+    pages = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    route = F.concat_ws("/", F.lower("r_name"), F.lower("n_name"))
+    files.put(pages.select(F.concat(route, F.lit("/index.html")).alias("key"), F.encode(F.concat(F.lit("<p>"), route), "UTF-8").alias("content")), folder).count()
+    return files.listing(spark, folder)

@@ -1,8 +1,10 @@
 """Pixel tables. The images are made by arithmetic from the numbers of parts, so that both
-engines have the same: one image of 16 x 16 pixels for each of some parts."""
+engines have the same: one image of 16 x 16 pixels for each part."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessel.catalog import query, table
@@ -10,12 +12,12 @@ from tessel.operators import pixels as P
 
 SIDE = 16
 PX = """px AS (SELECT p_name || p_partkey AS img, CAST(i % 16 AS INTEGER) AS x, CAST(i // 16 AS INTEGER) AS y, CAST((i * 7 + p_size) % 256 AS INTEGER) AS r, CAST((i * 3 + p_partkey) % 256 AS INTEGER) AS g,
-CAST((i * 11) % 256 AS INTEGER) AS b, CAST((i * 5 + p_size * 9) % 256 AS INTEGER) AS a FROM (SELECT *, unnest(range(256)) AS i FROM part WHERE p_partkey <= 20))"""
+CAST((i * 11) % 256 AS INTEGER) AS b, CAST((i * 5 + p_size * 9) % 256 AS INTEGER) AS a FROM (SELECT *, unnest(range(256)) AS i FROM part))"""
 ALL = "img, x, y, r, g, b, a"
 
 
 def image(spark, d):
-    parts = table(spark, d, "part").filter("p_partkey <= 20").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(255))))
+    parts = table(spark, d, "part").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(255))))
     return parts.selectExpr("concat(p_name, p_partkey) AS img", "i % 16 AS x", "cast(floor(i / 16) AS int) AS y", "cast((i * 7 + p_size) % 256 AS int) AS r", "cast((i * 3 + p_partkey) % 256 AS int) AS g", "(i * 11) % 256 AS b", "cast((i * 5 + p_size * 9) % 256 AS int) AS a")
 
 
@@ -44,15 +46,75 @@ def adjust_colours(spark, d):
     return P.adjusted(image(spark, d), brightness=125, contrast=50, invert=100)
 
 
-@query(f"""WITH {PX}, l AS (SELECT img, x, y, r, g, b, {channel('a * 0.5')} AS a, (x + y) % 3 = 0 AS base FROM px)
-SELECT img, x, y, CASE WHEN base AND a > 0 THEN {channel('(r * (a / 255) + 200 * (1 - a / 255)) / 1.0')} WHEN base THEN 200 ELSE CASE WHEN a > 0 THEN r ELSE 0 END END AS r,
-CASE WHEN base THEN 255 ELSE a END AS a FROM l""")
+def linear(weights: list[list[float]], source: str) -> str:
+    """SQL of a colour matrix."""
+    term = lambda row: "0.0 + " + " + ".join(f"{c} * CAST({w!r} AS DOUBLE)" for c, w in zip("rgb", row))
+    return f"SELECT img, x, y, {', '.join(f'{channel(term(row))} AS {c}' for row, c in zip(weights, 'rgb'))}, a FROM {source}"
+
+
+def towards(k: float) -> list[list[float]]:
+    """The published matrix of saturate(k) and, for k = 1 - v, grayscale(v)."""
+    return [[P.LUMA[j] + k * ((i == j) - P.LUMA[j]) for j in range(3)] for i in range(3)]
+
+
+#: hue-rotate(90deg): a cosine of 0 (but for rounding) and a sine of 1.
+COS = math.cos(math.radians(90))
+SINES = [[-0.213, -0.715, 0.928], [0.143, 0.140, -0.283], [-0.787, 0.715, 0.072]]
+TURNED = [[P.LUMA[j] + COS * ((i == j) - P.LUMA[j]) + SINES[i][j] for j in range(3)] for i in range(3)]
+
+
+@query(f"""WITH {PX}, s AS ({linear(towards(1.5), 'px')}), h AS ({linear(TURNED, 's')}), w AS ({linear(towards(0.6), 'h')}), n AS (SELECT *, {', '.join(f'{f}({c}) OVER {w} AS {c}{i}' for c in 'rgb' for i, (f, w) in enumerate((('lag', 'h'), ('lead', 'h'), ('lag', 'v'), ('lead', 'v')), 1))} FROM w
+WINDOW h AS (PARTITION BY img, y ORDER BY x), v AS (PARTITION BY img, x ORDER BY y)) SELECT img, x, y, {', '.join(SHARP.format(c=c) for c in 'rgb')}, a FROM n""")
+def adjust_hue(spark, d):
+    return P.adjusted(image(spark, d), saturate=150, hue=90, grayscale=40, sharpen=2.5)
+
+
+#: src-over of a pixel of alpha s (a fraction) on one of channel u and alpha v (a fraction).
+OVER = "CAST(greatest(0, least(255, floor(({c} * s + {u} * v * (1 - s)) / (s + v * (1 - s)) + 0.5))) AS INTEGER)"
+
+
+@query(f"""WITH {PX}, l AS (SELECT *, a * (10 + length(img) * 7 % 91) / CAST(25500 AS DOUBLE) AS s, CASE WHEN (x + y) % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v, CASE WHEN (x + y) % 3 = 0 THEN 200 ELSE 0 END AS u FROM px)
+SELECT img, x, y, {', '.join(f"CASE WHEN s <= 0 THEN u ELSE {OVER.format(c=c, u='u')} END AS {c}" for c in 'rgb')}, {channel('(s + v * (1 - s)) * 255')} AS a FROM l""")
 def composite_layers(spark, d):
     px = image(spark, d)
-    base = px.filter("(x + y) % 3 = 0").select("img", F.lit(0).alias("z"), F.lit(True).alias("visible"), F.lit(100).alias("opacity"), "x", "y", *(F.lit(200).alias(c) for c in "rgb"), F.lit(255).alias("a"))
-    top = px.select("img", F.lit(1).alias("z"), F.lit(True).alias("visible"), F.lit(50).alias("opacity"), "x", "y", *"rgba")
-    hidden = px.select("img", F.lit(2).alias("z"), F.lit(False).alias("visible"), F.lit(100).alias("opacity"), "x", "y", *"rgba")
-    return P.composite(base.unionByName(top).unionByName(hidden)).select("img", "x", "y", "r", "a")
+    layer = lambda df, z, shown, opacity: df.select("img", F.lit(z).alias("z"), F.lit(shown).alias("visible"), opacity.cast("int").alias("opacity"), "x", "y", *"rgba")
+    base = px.filter("(x + y) % 3 = 0").withColumns({c: F.lit(200) for c in "rgb"}).withColumn("a", F.lit(255))
+    return P.composite(layer(base, 0, True, F.lit(100)).unionByName(layer(px, 1, True, 10 + F.length("img") * 7 % 91)).unionByName(layer(px, 2, False, F.lit(100))))
+
+
+@query(f"""WITH {PX}, f AS (SELECT *, length(img) AS seq, CAST(regexp_extract(img, '[0-9]+$') AS INTEGER) AS pos FROM px),
+l AS (SELECT f.seq, f.pos, f.x, f.y, f.r, f.g, f.b, f.a / CAST(255 AS DOUBLE) AS s, coalesce(p.r, 0) AS ur, coalesce(p.g, 0) AS ug, coalesce(p.b, 0) AS ub, coalesce(floor(p.a * 30 / CAST(25500 AS DOUBLE) * 255 + 0.5), 0) / 255 AS v
+FROM f LEFT JOIN f p ON p.seq = f.seq AND p.pos = f.pos - 1 AND p.x = f.x AND p.y = f.y)
+SELECT seq, pos, x, y, {', '.join(f"CASE WHEN s <= 0 AND v <= 0 THEN 0 WHEN s <= 0 THEN u{c} ELSE {OVER.format(c=c, u=f'u{c}')} END AS {c}" for c in 'rgb')}, {channel('(s + v * (1 - s)) * 255')} AS a FROM l""")
+def ghost_frames(spark, d):
+    frames = image(spark, d).withColumn("seq", F.length("img").cast("bigint")).withColumn("pos", F.regexp_extract("img", "([0-9]+)$", 1).cast("int"))
+    return P.ghosted(frames, "seq", 30)
+
+
+@query(f"WITH {PX} SELECT {ALL} FROM px WHERE x < 12")
+def resize_canvas(spark, d):
+    return P.resized(image(spark, d), SIDE, SIDE, 12, 300, scale=False)
+
+
+@query("""SELECT p_partkey, CAST(greatest(1, floor(w * k + 0.5)) AS BIGINT) AS cell_w, CAST(greatest(1, floor(h * k + 0.5)) AS BIGINT) AS cell_h FROM
+(SELECT *, least(1.0, 256 / greatest(w, h)) AS k FROM (SELECT p_partkey, CAST(p_size * 20 AS DOUBLE) AS w, CAST(1 + p_partkey % 700 AS DOUBLE) AS h FROM part))""")
+def suggested_cells(spark, d):
+    w, h = P.suggested_cell((F.col("p_size") * 20).cast("double"), (1 + F.col("p_partkey") % 700).cast("double"))
+    return table(spark, d, "part").select("p_partkey", w.cast("bigint").alias("cell_w"), h.cast("bigint").alias("cell_h"))
+
+
+EDGE = "x BETWEEN 2 AND 9 AND y BETWEEN 3 AND 6 AND (x IN (2, 9) OR y IN (3, 6))"
+
+
+@query(f"WITH {PX} SELECT img, x, y, {', '.join(f'CASE WHEN {EDGE} THEN {v} ELSE {c} END AS {c}' for c, v in zip('rgba', (255, 0, 9, 128)))} FROM px")
+def outline_rectangle(spark, d):
+    return P.outlined(image(spark, d), 2, 3, 9, 6, (255, 0, 9, 128))
+
+
+@query(f"""WITH {PX}, n AS (SELECT *, abs(r - 0) + abs(g - 0) + abs(b - 0) AS d0, abs(r - 255) + abs(g - 64) + abs(b - 64) AS d1, abs(r - 64) + abs(g - 128) + abs(b - 255) AS d2 FROM px)
+SELECT img, x, y, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS entry, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 255 ELSE 64 END AS r FROM n""")
+def palette_colours(spark, d):
+    return P.in_palette(image(spark, d), [(0, 0, 0), (255, 64, 64), (64, 128, 255)]).select("img", "x", "y", "entry", "r")
 
 
 @query(f"WITH {PX} SELECT img, CAST(y // 4 * 3 + x // 5 AS INTEGER) AS cell, CAST(x % 5 AS INTEGER) AS x, CAST(y % 4 AS INTEGER) AS y, r, g, b, a FROM px WHERE x < 15")
@@ -113,11 +175,11 @@ def clear_images(spark, d):
     return P.all_clear(px)
 
 
-@query(f"WITH {PX}, a AS (SELECT * FROM px WHERE img = (SELECT min(img) FROM px)), b AS (SELECT * FROM px WHERE img = (SELECT max(img) FROM px)) SELECT CAST(sum(abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b)) AS BIGINT) AS l1 FROM a JOIN b USING (x, y)")
+@query(f"""WITH {PX}, n AS (SELECT *, CAST(regexp_extract(img, '[0-9]+$') AS BIGINT) AS num FROM px)
+SELECT n.num, CAST(sum(abs(n.r - m.r) + abs(n.g - m.g) + abs(n.b - m.b)) AS BIGINT) AS l1 FROM n JOIN n m ON m.num = n.num + 1 AND m.x = n.x AND m.y = n.y GROUP BY n.num""")
 def image_difference(spark, d):
-    px = image(spark, d)
-    low, high = px.agg(F.min("img")).first()[0], px.agg(F.max("img")).first()[0]
-    return P.difference(px.filter(F.col("img") == low), px.filter(F.col("img") == high))
+    px = image(spark, d).withColumn("num", F.regexp_extract("img", "([0-9]+)$", 1).cast("bigint"))
+    return P.difference(px, px.withColumn("num", F.col("num") - 1), ["num"])
 
 
 @query("""SELECT p_partkey, CAST(greatest(1, floor(w * k)) AS BIGINT) AS fw, CAST(floor((100 - greatest(1, floor(w * k))) / 2) AS BIGINT) AS left, CAST(floor(w * least(1.0, 300 / w) + 0.5) AS BIGINT) AS thumb,
@@ -128,11 +190,12 @@ def image_sizes(spark, d):
     return table(spark, d, "part").select("p_partkey", fw.cast("bigint").alias("fw"), left.cast("bigint").alias("left"), P.thumbnail_size(w, h)[0].cast("bigint").alias("thumb"), P.other_side(w, F.lit(1.5), 256).cast("bigint").alias("other"), F.floor(w * 35 / 100 + 0.5).alias("export"))
 
 
-@query(f"""WITH {PX}, s AS (SELECT *, {channel('a * 40 / 100')} AS t FROM px) SELECT img, x, y, CASE WHEN t = 0 THEN 100 ELSE {channel('r * (t / 255) + 100 * (1 - t / 255)')} END AS r FROM s""")
+@query(f"""WITH {PX}, l AS (SELECT *, a * 40 / CAST(25500 AS DOUBLE) AS s, (x * 16) / CAST(255 AS DOUBLE) AS v FROM px)
+SELECT img, x, y, {', '.join(f"CASE WHEN s <= 0 THEN 100 ELSE {OVER.format(c=c, u='100')} END AS {c}" for c in 'rgb')}, {channel('(s + v * (1 - s)) * 255')} AS a FROM l""")
 def merge_down(spark, d):
     px = image(spark, d)
-    lower = px.select("img", "x", "y", *(F.lit(100).alias(c) for c in "rgb"), F.lit(255).alias("a"))
-    return P.merged_down(px, lower, 40).select("img", "x", "y", "r")
+    lower = px.select("img", "x", "y", *(F.lit(100).alias(c) for c in "rgb"), (F.col("x") * 16).alias("a"))
+    return P.merged_down(px, lower, 40)
 
 
 @query(f"WITH {PX} SELECT img, x, y, CAST(floor(r / 51 + 0.5) * 36 + floor(g / 51 + 0.5) * 6 + floor(b / 51 + 0.5) AS INTEGER) AS index, CAST(floor(r / 51 + 0.5) * 51 AS INTEGER) AS r FROM px")

@@ -41,10 +41,10 @@ def file_formats(spark, d):
     return table(spark, d, "part").select("p_partkey", S.format_label(file).alias("label"), S.without_extension(file).alias("stem"), S.extension(media).alias("ext"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(left(text, 120), ','), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '') AS l FROM documents)
+@query("""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, len(l) AS n_tags, array_to_string(l, '|') AS tags FROM t""")
 def tag_lists(spark, d):
-    made = S.tags(F.left("text", F.lit(120)))
+    made = S.tags(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(made).cast("bigint").alias("n_tags"), F.concat_ws("|", made).alias("tags"))
 
 
@@ -99,3 +99,19 @@ def upload_faults(spark, d):
     rule = lambda first: S.upload_fault(media, size, ["image/png", "image/jpeg"], 5 * 1024 * 1024, first)
     words = S.lookup(rule(True), {"size": "too large", "type": "unsupported"}, F.lit("ok"))
     return table(spark, d, "part").select("p_partkey", rule(False).alias("fault"), rule(True).alias("fault_size_first"), words.alias("message"))
+
+
+@query("SELECT event_id, nullif(trim(CASE event_id % 3 WHEN 0 THEN '   ' WHEN 1 THEN '  ' || event_type || ' ' ELSE event_type END), '') AS title FROM events")
+def blank_to_null(spark, d):
+    raw = F.when(F.col("event_id") % 3 == 0, "   ").when(F.col("event_id") % 3 == 1, F.concat(F.lit("  "), "event_type", F.lit(" "))).otherwise(F.col("event_type"))
+    return table(spark, d, "events").select("event_id", S.blank_to_null(raw).alias("title"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def iso_dates(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", S.iso_date(F.col("o_orderdate")).alias("day"))
+
+
+@query()
+def random_ids(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", S.random_id().alias("id"))

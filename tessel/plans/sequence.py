@@ -122,25 +122,45 @@ def last_after_quiet(spark, d):
     return Q.after_quiet(table(spark, d, "events"), "user_id", "ts", "event_id", "30 minutes").select("user_id", "event_id")
 
 
-@query(f"SELECT label, vec_id, true AS chosen, false AS cleared, lag(vec_id) OVER (PARTITION BY label ORDER BY pos) AS ghost FROM ({FRAMES})")
-def selection_and_ghost(spark, d):
-    from pyspark.sql import Window
+@query(f"""WITH f AS ({FRAMES}), g AS (SELECT label, vec_id, pos FROM f UNION ALL SELECT label, max(vec_id) + 1, max(pos) + 1 FROM f GROUP BY label)
+SELECT label, vec_id, pos FROM g""")
+def add_frames(spark, d):
+    return Q.added(frames(spark, d), "label", "vec_id")
 
-    ghost = F.lag("vec_id").over(Window.partitionBy("label").orderBy("pos"))
-    return frames(spark, d).select("label", "vec_id", F.lit(True).alias("chosen"), F.lit(False).alias("cleared"), ghost.alias("ghost"))
+
+@query(f"""WITH f AS (SELECT *, label % 2 = 0 OR vec_id % 3 = 0 AS gone FROM ({FRAMES})), g AS (SELECT *, count(*) FILTER (NOT gone) OVER (PARTITION BY label) AS left_over FROM f)
+SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY pos) - 1 AS pos FROM g WHERE NOT gone OR (left_over = 0 AND pos = 0)""")
+def remove_frames(spark, d):
+    f = frames(spark, d)
+    return Q.removed(f, f.filter("label % 2 = 0 or vec_id % 3 = 0"), "label", "vec_id").select("label", "vec_id", "pos")
+
+
+@query()
+def undo_redo(spark, d):
+    action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("push")
+    log = table(spark, d, "events").withColumn("action", action)
+    return Q.undo_redo(log, "user_id", ["ts", "event_id"], "action", "event_id", 10)
+
+
+@query(f"SELECT label, vec_id, vec_id % 3 = 0 AS before, true AS chosen, false AS cleared FROM ({FRAMES})")
+def select_and_clear(spark, d):
+    picked = frames(spark, d).withColumn("before", F.col("vec_id") % 3 == 0)
+    return picked.select("label", "vec_id", "before", (F.col("before") | True).alias("chosen"), (F.col("before") & False).alias("cleared"))
 
 
 LAYERS = "SELECT conv_id, list({'name': role || turn, 'visible': turn % 3 <> 0, 'opacity': 100 - turn} ORDER BY turn) AS layers FROM conversations GROUP BY conv_id"
 
 
-@query(f"""SELECT conv_id, len(layers) + 1 AS n_added, len(layers) - 1 AS n_removed, layers[2].name AS first_after_swap,
+@query(f"""SELECT conv_id, array_to_string(list_append(list_transform(layers, lambda l: l.name), 'new'), ' ') AS added, array_to_string(list_transform(layers[:1] || layers[3:], lambda l: l.name), ' ') AS removed, layers[2].name AS first_after_swap,
 array_to_string(list_transform(layers, lambda l: l.name || ':' || (NOT l.visible) || ':' || greatest(0, l.opacity - 50)), ' ') AS edited FROM ({LAYERS}) WHERE len(layers) > 1""")
 def layer_edits(spark, d):
     layer = F.struct(F.col("turn"), F.concat("role", F.col("turn").cast("string")).alias("name"), (F.col("turn") % 3 != 0).alias("visible"), (100 - F.col("turn")).alias("opacity"))
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(layer)).alias("layers")).filter(F.size("layers") > 1)
     swapped = F.concat(F.array(F.get("layers", F.lit(1)), F.get("layers", F.lit(0))), F.slice("layers", 3, 1 << 20))
+    new = F.struct(F.lit(999).cast("bigint").alias("turn"), F.lit("new").alias("name"), F.lit(True).alias("visible"), F.lit(100).cast("bigint").alias("opacity"))
+    named = lambda layers: F.concat_ws(" ", F.transform(layers, lambda x: x["name"]))
     text = lambda x: F.concat_ws(":", x["name"], (~x["visible"]).cast("string"), F.greatest(F.lit(0), x["opacity"] - 50).cast("string"))
-    return rows.select("conv_id", (F.size("layers") + 1).cast("bigint").alias("n_added"), F.greatest(F.lit(1), F.size("layers") - 1).cast("bigint").alias("n_removed"), F.get(swapped, F.lit(0))["name"].alias("first_after_swap"), F.concat_ws(" ", F.transform("layers", text)).alias("edited"))
+    return rows.select("conv_id", named(Q.layer_added(F.col("layers"), new)).alias("added"), named(Q.layer_removed(F.col("layers"), 1)).alias("removed"), F.get(swapped, F.lit(0))["name"].alias("first_after_swap"), F.concat_ws(" ", F.transform("layers", text)).alias("edited"))
 
 
 @query(f"SELECT o.label, o.vec_id, o.pos FROM (SELECT label, vec_id + 3 AS vec_id, pos FROM ({FRAMES})) o JOIN embeddings e ON e.label = o.label AND e.vec_id = o.vec_id")
@@ -158,6 +178,6 @@ def backup_overlay(spark, d):
 EXTRACTED = KEPT.format(least=0.14).replace("abs(e.v[k] - f.ref[k])", "abs(e.v[k] / len(e.v) - f.ref[k] / len(e.v))")
 
 
-@query(EXTRACTED.replace("WITH RECURSIVE", "WITH RECURSIVE k AS (WITH RECURSIVE", 1) + ") SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_id FROM k")
+@query(EXTRACTED.replace("WITH RECURSIVE", "WITH RECURSIVE k AS (WITH RECURSIVE", 1) + f") SELECT label, vec_id, pos AS frame_id FROM k JOIN ({FRAMES}) USING (label, vec_id)")
 def extract_frames(spark, d):
     return Q.extracted(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 99.72).select("label", "vec_id", "frame_id")

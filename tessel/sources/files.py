@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +30,44 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(route): the sub-folders that hold an index page."""
+    """(route): the folders below ``folder`` that hold an index page, by their path from there."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "index.html").option("recursiveFileLookup", True).load(folder).select("path")
-    return found.select(F.regexp_extract("path", "/([^/]+)/index\\.html$", 1).alias("route")).filter("route <> ''").distinct()
+    base = folder.rstrip("/").rsplit("/", 1)[-1]
+    route = F.regexp_extract("path", f"/\\Q{base}\\E/(.+)/index\\.html$", 1)
+    return found.select(route.alias("route")).filter("route <> ''").distinct()
 
 
 def wav_seconds(content):
-    """Duration of a WAV file by its header (bytes per second, and the data that follow a
-    44-byte header); 0 if the file is of another kind."""
-    h = F.hex(F.substring(content, 1, 44))
-    rate = F.conv(F.concat(*(F.substring(h, 2 * i + 1, 2) for i in (31, 30, 29, 28))), 16, 10).cast("bigint")
-    return F.when(h.startswith("52494646") & (rate > 0), (F.octet_length(content) - 44) / rate).otherwise(F.lit(0.0))
+    """Duration of a WAV file: the data chunk's length, wherever it begins in the first 4 kB, over
+    the bytes per second; 0 if the file is of another kind or names none."""
+    h = F.hex(F.substring(content, 1, 4096))
+    little = lambda at: F.conv(F.concat(*(F.substring(h, at + 2 * i, F.lit(2)) for i in (3, 2, 1, 0))), 16, 10).cast("bigint")
+    form, data = F.instr(h, "666D7420"), F.instr(h, "64617461")
+    rate = F.when(h.startswith("52494646") & (form > 0) & (data > 0), little(form + 32))
+    return F.coalesce(F.when(rate > 0, little(data + 8) / rate), F.lit(0.0))
+
+
+def put(objects: DataFrame, folder: str) -> DataFrame:
+    """Writes each of ``objects`` (key string, content binary) as a file under its key and returns
+    (key, length); what is written is written by the tasks when the result is used. A file appears
+    under its name when it is complete, so a task that runs again replaces it with the same. Keys
+    with an empty or a parent part are refused."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for b in batches:
+            for key, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if any(part in ("", ".", "..") for part in key.split("/")):
+                    raise ValueError(f"no key: {key}")
+                path = f"{root}/{key}"
+                at = f"{root}/.part-{uuid.uuid4().hex}"
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(at) as out:
+                    out.write(content)
+                fs.move(at, path)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(c) for c in b.column(1).to_pylist()], pa.int64())], ["key", "length"])
+
+    return objects.select("key", "content").mapInArrow(run, "key string, length bigint")
 
 
 def append(df: DataFrame, folder: str, by: list[str] | None = None) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessel.llm.common import new_folder
+from tessel.shared import new_folder
 
 
 def stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
