@@ -1,9 +1,11 @@
-"""Folders that driver and executors share."""
+"""What driver and executors share: folders, and this package."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once for each context, so that tasks can
+    import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tessel_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        out = Path(tempfile.mkdtemp(prefix="tessel-")) / "tessel.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for f in sorted((root / "tessel").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(out))
+        sc._tessel_shipped = True
+    return spark
