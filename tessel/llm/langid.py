@@ -150,9 +150,14 @@ def centroids(train: DataFrame, idf: np.ndarray) -> DataFrame:
     size = train.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(LANGUAGES)
     lots = train.withColumn("lot", F.xxhash64("doc_id", "text"))
     first = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order)) <= SAMPLE
-    # each task keeps its smallest hashes of a language before the shuffle; no text goes along
-    least = lots.select("lang", "lot").withColumn("in", first("lot")).filter("in").groupBy("lang").agg(F.max("lot").alias("last")).join(F.broadcast(size), "lang").select("lang", "last")
-    drawn = lots.join(F.broadcast(least), "lang").filter("lot <= last")
+    # where in the order of hashes the first SAMPLE rows of a language end: from the numbers of
+    # rows in 512 stretches, so that no text and no row but these numbers is shuffled
+    stretch = F.shiftright("lot", 55)  # -256 to 255
+    counted = lots.groupBy("lang", stretch.alias("stretch")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    needed = counted.withColumn("before", before).filter(F.col("before") < SAMPLE)
+    least = needed.groupBy("lang").agg(F.max("stretch").alias("last")).join(F.broadcast(size), "lang").select("lang", "last")
+    drawn = lots.join(F.broadcast(least), "lang").filter(stretch <= F.col("last"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -25,7 +25,9 @@ so fingerprints have ``LONG`` words here, and candidates share one of ``BANDS``
 ``WIDTH`` bits. Within a bucket the first node leads and is a candidate partner of all nodes whose
 differing bits allow for the likeness; of those that don't seem alike the first leads next, and so
 on. Large buckets are split by a hash into groups of ``GROUP`` nodes, whose leaders meet again in
-the next round, so no task holds a hot bucket. Candidates are verified on their shingle sets.
+the next round, so no task holds a hot bucket. Candidates are verified on their shingle sets. A
+first dozen bands goes ahead: nodes that it links are no candidates of each other any more, so
+large groups don't list a partner for each band.
 Bands may miss a pair: a pair of likeness 0.8 shares one with a chance of 0.81, of 0.85 0.96.
 
 Null texts have no words and the fingerprint zero, and are like other texts without words. Texts
@@ -62,6 +64,8 @@ SHINGLE, LIKENESS = 5, 0.8
 LONG = 8
 WIDTH = 24
 BANDS = 84
+#: Bands that are worked on together: what the first ones link needs no more candidates.
+PHASES = ((0, 12), (12, BANDS))
 GROUP = 20_000
 #: Rows of 33 bytes that are broadcast, at most.
 BROADCAST_ROWS = 500_000
@@ -201,51 +205,53 @@ def long_prints(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, fps binary").withColumn("node", F.xxhash64("fps"))
 
 
-def bands(nodes: DataFrame) -> DataFrame:
-    """(key, node): the bands of each node (node, fps)."""
+def bands(nodes: DataFrame, first: int = 0, last: int = BANDS) -> DataFrame:
+    """(key, node): some of the bands of each node (node, fps)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = np.stack(band_bits())
+        chosen = np.stack(band_bits()[first:last])
         power = 1 << np.arange(WIDTH, dtype=np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * LONG)
-                keys = np.unpackbits(raw, axis=1)[:, chosen] @ power + (np.arange(BANDS, dtype=np.int64) << WIDTH)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["key", "node"])
+                keys = np.unpackbits(raw, axis=1)[:, chosen] @ power + (np.arange(first, last, dtype=np.int64) << WIDTH)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), last - first))], ["key", "node"])
 
     return nodes.select("node", "fps").mapInArrow(run, "key bigint, node bigint")
 
 
 def led(members: DataFrame, likeness: float) -> DataFrame:
-    """(key, a, b) of ``members`` (key, part, parts, node, fps): of each part of a bucket, leaders
-    a with the nodes b that may be alike (two standard errors are allowed for); b is a where a
-    leader has to meet those of other parts."""
+    """(key, a, b) of ``members`` (key, part, parts, node, fps, root): of each part of a bucket,
+    leaders a with the nodes b that may be alike (two standard errors are allowed for) and have
+    another root, as those of one root are linked already; b is a where a leader has to meet those
+    of other parts."""
     surely = radius(likeness)
     most = surely + round(2 * math.sqrt(surely * (1 - surely / (64 * LONG))))
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Rows of one bucket's part, which may lie in several batches."""
-        now, nodes, raw = None, [], []
+        now, nodes, raw, roots = None, [], [], []
         for b in batches:
-            for key, part, parts, node, fps in zip(*(c.to_pylist() for c in b.columns)):
+            for key, part, parts, node, fps, root in zip(*(c.to_pylist() for c in b.columns)):
                 if now != (key, part, parts):
                     if nodes:
-                        yield now[0], now[2], np.array(nodes), np.frombuffer(b"".join(raw), np.uint64).reshape(-1, LONG)
-                    now, nodes, raw = (key, part, parts), [], []
+                        yield now[0], now[2], np.array(nodes), np.frombuffer(b"".join(raw), np.uint64).reshape(-1, LONG), np.array(roots)
+                    now, nodes, raw, roots = (key, part, parts), [], [], []
                 nodes.append(node)
                 raw.append(fps)
+                roots.append(root)
         if nodes:
-            yield now[0], now[2], np.array(nodes), np.frombuffer(b"".join(raw), np.uint64).reshape(-1, LONG)
+            yield now[0], now[2], np.array(nodes), np.frombuffer(b"".join(raw), np.uint64).reshape(-1, LONG), np.array(roots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
-        for key, parts, nodes, prints in groups(batches):
+        for key, parts, nodes, prints, roots in groups(batches):
             left = np.ones(len(nodes), bool)
             while left.any():
                 lead = int(left.argmax())
                 apart = np.bitwise_count(prints ^ prints[lead]).sum(axis=1)
-                near = apart <= most
+                near = (apart <= most) & (roots != roots[lead])
                 near[lead] = parts > 1
                 left &= apart > surely
                 out += [(key, int(nodes[lead]), int(n)) for n in nodes[near]]
@@ -258,14 +264,15 @@ def led(members: DataFrame, likeness: float) -> DataFrame:
     return members.mapInArrow(run, "key bigint, a bigint, b bigint")
 
 
-def candidates(nodes: DataFrame, total: int, likeness: float, group: int = GROUP) -> DataFrame:
-    """(a, b), a < b: pairs of nodes (node, fps) that share a band and may be alike."""
-    keyed, edges, last = stored(bands(nodes), "bands"), [], None
+def candidates(nodes: DataFrame, total: int, likeness: float, group: int = GROUP, phase: tuple[int, int] = (0, BANDS)) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (node, fps, root) that share a band and may be alike."""
+    keyed, edges, last = stored(bands(nodes, *phase), "bands"), [], None
+    total *= phase[1] - phase[0]
     while True:
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
         member = with_looked_up(keyed, sizes.withColumn("parts", F.ceil(F.col("n") / group)).withColumn("rows", F.col("n")), "key", "rows", total)
-        member = member.withColumn("part", F.pmod(F.xxhash64("node", F.lit(len(edges))), F.col("parts"))).join(nodes.select("node", "fps"), "node")
-        dealt = member.select("key", "part", "parts", "node", "fps").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+        member = member.withColumn("part", F.pmod(F.xxhash64("node", F.lit(len(edges))), F.col("parts"))).join(nodes.select("node", "fps", "root"), "node")
+        dealt = member.select("key", "part", "parts", "node", "fps", "root").repartition("key", "part").sortWithinPartitions("key", "part", "node")
         edges.append(stored(led(dealt, likeness), "alike"))
         discard(keyed)
         keyed = edges[-1].filter("a = b").select("key", F.col("a").alias("node"))
@@ -324,14 +331,18 @@ def representatives(df: DataFrame, words: int = SHINGLE, likeness: float = LIKEN
     nodes = stored(prints.groupBy("node").agg(F.min("fps").alias("fps"), F.min(F.struct(*told)).alias("top")), "nodes")
     discard(prints)
     total = nodes.count()
-    pairs = stored(candidates(nodes, total * BANDS, likeness, group), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    tops = stored(nodes.join(ends, "node", "left_semi").select("node", "top.*"), "ends")
-    few = F.broadcast(tops) if tops.count() <= BROADCAST_ROWS else tops
-    sets = stored(shingle_sets(rows.withColumn("text", text).join(few, list(told)).select("node", "text"), words), "shingles")
-    found = components(verified(pairs, sets, likeness))
-    discard(sets)
-    rooted = nodes.join(found, "node", "left").select("top", F.coalesce("root", "node").alias("root"))
+    rooted, edges = nodes.withColumn("root", F.col("node")), None
+    for phase in PHASES:
+        pairs = stored(candidates(rooted, total, likeness, group, phase), "candidates")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        tops = stored(nodes.join(ends, "node", "left_semi").select("node", "top.*"), "ends")
+        few = F.broadcast(tops) if tops.count() <= BROADCAST_ROWS else tops
+        sets = stored(shingle_sets(rows.withColumn("text", text).join(few, list(told)).select("node", "text"), words), "shingles")
+        good = stored(verified(pairs, sets, likeness), "links")
+        for t in (pairs, tops, sets):
+            discard(t)
+        edges = edges.unionByName(good) if edges is not None else good
+        rooted = stored(nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     kept = rooted.groupBy("root").agg(F.min("top").alias("top")).select("top.*")
     orderable = [f.name for f in own.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "interval"))]
     turn = F.row_number().over(Window.partitionBy(*told).orderBy(*orderable, F.lit(0)))
