@@ -146,14 +146,15 @@ def range_number(key: Column, bounds: list[int]) -> Column:
 
 
 def with_next(df: DataFrame) -> DataFrame:
-    """``df`` (doc_id, text) with anchors, sketch, and next_text and next_sketch of the row that follows
+    """``df`` (doc_id, text) with sketch, and next_text and next_sketch of the row that follows
     by descending doc_id (after the last: the first)."""
     rows, none = df.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     cuts = max(1, min(RANGES, (rows - none) // RANGE))
     bounds = df.select(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], 100_000).alias("b")).first()["b"] if cuts > 1 else []
     without = -1 - F.pmod(F.xxhash64("text"), F.lit(max(1, min(RANGES, none // RANGE)))).cast("int")
     df = df.withColumn("_range", F.coalesce(range_number(F.col("doc_id"), sorted(set(bounds or []))), without))
-    sketched = lambda x: with_anchors(x, "text", "anchors").withColumn("sketch", sketch(F.col("anchors")))
+    # anchors are as large as the text, so they aren't shuffled with it
+    sketched = lambda x: with_anchors(x, "text", "_a").withColumn("sketch", sketch(F.col("_a"))).drop("_a")
     # the first row of each range: its largest id, a table of at most 2 RANGES numbers
     tops = stored(df.groupBy("_range").agg(F.max("doc_id").alias("_top")), "tops")
     heads = df.join(F.broadcast(tops.withColumnRenamed("_range", "_of")), (F.col("_range") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_top")))
@@ -174,5 +175,5 @@ def fingerprints(df: DataFrame) -> DataFrame:
     linked = with_next(base).withColumn("n_chars", F.char_length("text").cast("bigint"))
     tail = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - tail), F.substring("next_text", F.lit(1), tail))
-    done = with_anchors(linked.withColumn("edited", edited), "edited", "_e").withColumn("edited_sketch", sketch(F.col("_e"))).withColumn("in_place", in_place(F.col("anchors"), F.col("_e")))
+    done = with_anchors(with_anchors(linked.withColumn("edited", edited), "edited", "_e"), "text", "anchors").withColumn("edited_sketch", sketch(F.col("_e"))).withColumn("in_place", in_place(F.col("anchors"), F.col("_e")))
     return done.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), digits(F.col("sketch")).alias("fingerprint"), digits(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"), "in_place")
