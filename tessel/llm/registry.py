@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lattice, nbsvm, packing, perplexity, simhash, syncmers, toxicity, warc
+from . import bpe, conversations, langid, lattice, nbsvm, oracles, packing, perplexity, simhash, syncmers, tokencounts, toxicity, vectorcodes, warc
 from .common import table
 
 
@@ -75,9 +75,23 @@ def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected", "margin")
 
 
+def op11_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencounts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_segment_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bucket_queue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_salvage": OP8}
+    return {"op8_warc_salvage": OP8, "op12_segment_bounds": oracles.codes_sql(), "op13_bucket_queue_repair": oracles.repair_sql()}
