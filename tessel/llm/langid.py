@@ -10,9 +10,9 @@ own training texts need is rejected.
 
 Document frequencies are counted over all training texts, summed in each task. k-means is fitted
 on at most ``SAMPLE`` texts of a language, a documented bound, those whose id and text have the
-smallest hashes, each language in a task of its own. The ``LANGUAGES`` most frequent values of
-lang are learned at most, a documented bound on the model (0.1 MB for each), which is collected
-and broadcast; every row gets one of them, whatever its own lang.
+smallest hashes, each language in a task of its own. Every value of lang is learned. The model (0.1 MB
+for each) is broadcast in parts of about ``LANGUAGES`` values; texts are compared with one part after
+the other, carrying the best so far.
 
 A text that is null or has no letter is ``und`` with score 0; in ``identified`` it isn't rejected
 as too far, and ``accepted`` leaves it out. Texts are read whole, however long. Null languages and
@@ -23,15 +23,15 @@ columns may have any name; ``accepted`` returns them. An empty table gives an em
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, place, remainder, shipped, stored
+from .common import numbered, place, remainder, shipped, stored, with_looked_up
 
 BUCKETS = 8192
 CENTROIDS = 3
@@ -41,13 +41,15 @@ TRIES = 4
 SMALL = 0.02
 #: Texts of a language that k-means sees at most.
 SAMPLE = 1000
-#: Languages that are learned, at most.
+#: Languages of one part of the model, about.
 LANGUAGES = 1000
 #: Share of a language's training texts beyond the reach that calibrates rejection.
 OUTSIDE = 0.01
 REACH = 1.25
 AT_ONCE = 1 << 20
 UND = "und"
+#: What is found for a text; second: the score of the next language.
+FOUND = "lang_pred string, score double, rejected boolean, second double"
 
 
 def letters() -> np.ndarray:
@@ -147,7 +149,8 @@ def clustered(x: np.ndarray, k: int = CENTROIDS) -> np.ndarray:
 
 def centroids(train: DataFrame, idf: np.ndarray) -> DataFrame:
     """(lang, centroids binary, least): centroids and the least cosine that is accepted."""
-    size = train.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(LANGUAGES)
+    size = stored(train.groupBy("lang").agg(F.count("*").alias("docs")), "languages")
+    total = size.agg(F.sum("docs")).first()[0] or 0
     lots = train.withColumn("lot", F.xxhash64("doc_id", "text"))
     first = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order)) <= SAMPLE
     # where in the order of hashes the first SAMPLE rows of a language end: from the numbers of
@@ -156,8 +159,8 @@ def centroids(train: DataFrame, idf: np.ndarray) -> DataFrame:
     counted = lots.groupBy("lang", stretch.alias("stretch")).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     needed = counted.withColumn("before", before).filter(F.col("before") < SAMPLE)
-    least = needed.groupBy("lang").agg(F.max("stretch").alias("last")).join(F.broadcast(size), "lang").select("lang", "last")
-    drawn = lots.join(F.broadcast(least), "lang").filter(stretch <= F.col("last"))
+    least = needed.groupBy("lang").agg(F.max("stretch").alias("last")).join(size, "lang")
+    drawn = with_looked_up(lots, least, "lang", "docs", total).filter(stretch <= F.col("last"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,45 +181,57 @@ def centroids(train: DataFrame, idf: np.ndarray) -> DataFrame:
     return kept.groupBy("lang").applyInPandas(run, "lang string, centroids binary, least double")
 
 
-def identified(df: DataFrame, keep: list[str] | None = None, rest: int = 2, divisor: int = 4) -> DataFrame:
+def nearer(spark: SparkSession, part: list, idf: np.ndarray) -> Callable:
+    """A function of texts and what was found for them so far (lang_pred, score, rejected, second):
+    the same, with the languages of ``part`` (lang, centroids, least) considered too."""
+    shared = spark.sparkContext.broadcast((part, idf))
+
+    @F.pandas_udf(FOUND)
+    def compared(texts: pd.Series, so_far: pd.DataFrame) -> pd.DataFrame:
+        rows, idf = shared.value
+        names = [r["lang"] for r in rows]
+        each = [np.frombuffer(bytes(r["centroids"]), np.float32).reshape(-1, BUCKETS) for r in rows]
+        start, matrix = np.cumsum([0, *(len(c) for c in each)])[:-1], np.concatenate(each)
+        out = []
+        for text, old in zip(texts, so_far.itertuples(index=False, name=None)):
+            counts = trigram_counts(text) if text else None
+            if counts is None:
+                out.append((UND, 0.0, False, None))
+                continue
+            near = np.maximum.reduceat(matrix @ vector(counts, idf), start)
+            k = int(near.argmax())
+            score = float(near[k])
+            others = float(np.delete(near, k).max()) if len(near) > 1 else None
+            new = (names[k], score, bool(score < rows[k]["least"]), others)
+            if old[0] != UND:
+                best, other = (old, new) if (-old[1], old[0]) < (-score, names[k]) else (new, old)
+                new = (*best[:3], max(x for x in (best[3], other[1]) if x is not None and x == x))
+            out.append(new)
+        return pd.DataFrame(out, columns=["lang_pred", "score", "rejected", "second"])
+
+    return compared
+
+
+def identified(df: DataFrame, keep: list[str] | None = None, rest: int = 2, divisor: int = 4, languages: int | None = None) -> DataFrame:
     """The columns ``keep`` of ``df`` (doc_id if none are named) with held_out, lang_pred, score
-    (cosine, 0 to 1), rejected and margin (to the next language)."""
+    (cosine, 0 to 1), rejected and margin (to the next language). Only the text goes through Python, so
+    columns of any type may be kept."""
     spark = shipped(df.sparkSession)
     part = remainder(df["doc_id"], divisor)
     train = df.filter((part != rest) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     idf, _ = frequencies(train)
-    rows = sorted(stored(centroids(train, idf), "centroids").collect(), key=lambda r: r["lang"])
-    names = [r["lang"] for r in rows]
-    each = [np.frombuffer(bytes(r["centroids"]), np.float32).reshape(-1, BUCKETS) for r in rows]
-    shared = spark.sparkContext.broadcast((names, each, [r["least"] for r in rows], idf))
-    keep = keep or ["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, each, least, idf = shared.value
-        start = np.cumsum([0, *(len(c) for c in each)])[:-1]
-        matrix = np.concatenate(each) if each else np.zeros((0, BUCKETS), np.float32)
-        for b in batches:
-            pred, score, reject, margin = [], [], [], []
-            for t in b.column(b.num_columns - 1):
-                t = t.as_py()
-                c = trigram_counts(t) if t and names else None
-                if c is None:
-                    pred.append(UND), score.append(0.0), reject.append(False), margin.append(0.0)
-                    continue
-                near = np.maximum.reduceat(matrix @ vector(c, idf), start)
-                k = int(near.argmax())
-                pred.append(names[k])
-                score.append(float(min(max(near[k], 0.0), 1.0)))
-                reject.append(bool(near[k] < least[k]))
-                margin.append(float(near[k] - np.delete(near, k).max()) if len(near) > 1 else float(near[k]))
-            made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_()), pa.array(margin, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], schema=None, names=[*out_names, "lang_pred", "score", "rejected", "margin"])
-
+    model = stored(centroids(train, idf), "centroids")
+    parts = -(-model.count() // (languages or LANGUAGES))
     held = F.coalesce(part == rest, F.lit(False)).alias("held_out")
-    chosen = df.select(*keep, held, df["text"].alias("_text"))
-    out_names = chosen.columns[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean, margin double")
+    rows = df.select(*(keep or ["doc_id"]), held, df["text"].alias("_text"), F.struct(F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"), F.lit(None).cast("double").alias("second")).alias("_found"))
+    for i in range(parts):
+        some = model.filter(F.pmod(F.xxhash64("lang"), F.lit(parts)) == i).collect()
+        if some:
+            rows = rows.withColumn("_found", nearer(spark, sorted(some, key=lambda r: r["lang"]), idf)("_text", "_found"))
+    found = F.col("_found")
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), found["score"])).alias("score")
+    margin = found["score"] - F.coalesce(found["second"], F.lit(0.0))
+    return rows.select(*(c for c in rows.columns if c not in ("_text", "_found")), found["lang_pred"].alias("lang_pred"), score, found["rejected"].alias("rejected"), margin.alias("margin"))
 
 
 def accepted(df: DataFrame) -> DataFrame:

@@ -33,13 +33,13 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,7 +224,7 @@ SCORES = ["base", "model", "lattice"]
 
 def short(word: bytes) -> bytes:
     """What a word is looked up by: itself, or a hash if it is long."""
-    return word if len(word) <= LONG else b"\0" + xxhash.xxh128_digest(word)
+    return word if len(word) <= LONG else b"\0" + hashlib.sha256(word).digest()
 
 
 #: Numbers of the broadcast words, in this Python worker, by the query they are for.
@@ -245,8 +245,10 @@ def likelihoods(df: DataFrame, path: str, train_rest: int = 1, divisor: int = 5)
     seen = words.agg(F.sum("seen")).first()[0] or 0
     least = max(2, math.ceil(SHARE * seen))
     often = words.filter(F.col("seen") >= least).select("word")
-    frequent = weights.join(often, "word", "left_semi").toArrow()  # at most 1 / SHARE rows
-    names = [short(w.encode()) for w in frequent["word"].to_pylist()]
+    raw = F.encode("word", "UTF-8")  # shortened here, so that no long word reaches the driver
+    name = F.when(F.length(raw) <= LONG, raw).otherwise(F.concat(F.unhex(F.lit("00")), F.unhex(F.sha2(raw, 256))))
+    frequent = weights.join(often, "word", "left_semi").select(name.alias("word"), "c", *SCORES).toArrow()  # at most 1 / SHARE rows
+    names = frequent["word"].to_pylist()
     shared = spark.sparkContext.broadcast((names, frequent["c"].to_numpy() > 0, np.stack([frequent[k].to_numpy() for k in SCORES], axis=1).reshape(-1, len(SCORES))))
     folder = new_folder(spark, "parts")
 

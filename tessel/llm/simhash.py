@@ -14,7 +14,7 @@
 4. A bucket of more than ``PAIRS`` nodes isn't paired up. Its members list their neighbours at
    distance 0 and 1; two are linked iff they share a neighbour, and at most 65 fingerprints share
    one. Members of a key are linked to the smallest, which keeps what is reachable. This exact way
-   covers all that step 3 leaves.
+   covers all that step 3 leaves, so dense buckets are linked without the pivots.
 5. Components of the links, and the smallest document of each.
 
 So rows stay in proportion to the number of distinct fingerprints, however large a group.
@@ -47,7 +47,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, numbered, place, stored, text_of, with_looked_up
@@ -265,7 +265,7 @@ def led(members: DataFrame, likeness: float) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, total: int, likeness: float, group: int = GROUP, phase: tuple[int, int] = (0, BANDS)) -> DataFrame:
-    """(a, b), a < b: pairs of nodes (node, fps, root) that share a band and may be alike."""
+    """(a, b): pairs of nodes (node, fps, root) that share a band and may be alike; a led b."""
     keyed, edges, last = stored(bands(nodes, *phase), "bands"), [], None
     total *= phase[1] - phase[0]
     while True:
@@ -283,7 +283,10 @@ def candidates(nodes: DataFrame, total: int, likeness: float, group: int = GROUP
     every = edges[0]
     for e in edges[1:]:
         every = every.unionByName(e)
-    return every.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # each pair once, its leader (of some bucket) first
+    ends = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+    once = every.filter("a <> b").groupBy(*ends).agg(F.min("a").alias("a"))
+    return once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -297,9 +300,10 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, likeness: float, most: int = 1000) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets have a Jaccard likeness of at least ``likeness``.
-    A node with more than ``most`` pairs is split up, so a hub's pairs spread over tasks."""
+    Hubs are leaders, so b's set is joined first: a leader's pairs then are as large as their sets, and
+    Spark's skew join splits them over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,12 +314,8 @@ def verified(pairs: DataFrame, sets: DataFrame, likeness: float, most: int = 100
                 keep.append(both >= likeness * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    total = pairs.count()
-    for end in ("a", "b"):
-        sizes = pairs.groupBy(end).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / most))
-        pairs = with_looked_up(pairs, sizes, end, "n", total).withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
-        spread = sets.join(sizes, sets["node"] == sizes[end]).select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-        pairs = pairs.join(spread, [end, "part"]).drop("part", "parts")
+    for end in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set")).hint("merge"), end)
     return pairs.select("a", "b", "a_set", "b_set").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -345,5 +345,6 @@ def representatives(df: DataFrame, words: int = SHINGLE, likeness: float = LIKEN
         rooted = stored(nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     kept = rooted.groupBy("root").agg(F.min("top").alias("top")).select("top.*")
     orderable = [f.name for f in own.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "interval"))]
-    turn = F.row_number().over(Window.partitionBy(*told).orderBy(*orderable, F.lit(0)))
-    return rows.join(kept, list(told), "left_semi").withColumn("_turn", turn).filter("_turn = 1").select(own.columns).toDF(*df.columns)
+    # repeats of a row are reduced to one in each task, before the shuffle
+    one = F.min_by(F.struct(*own.columns), F.struct(*orderable, F.lit(0)))
+    return rows.join(kept, list(told), "left_semi").groupBy(*told).agg(one.alias("_row")).select("_row.*").toDF(*df.columns)

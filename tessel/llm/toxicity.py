@@ -11,7 +11,8 @@ labelled sample, whose bound bounds it.
 
 Trees and calibration are Spark's own (``pyspark.ml``), fitted on at most ``SAMPLE`` labelled
 documents, a documented bound; words and trees are learned from one share of it, the calibration
-from the other. Scoring is one pass over the texts without a shuffle.
+from the other. Where one of the two shares lacks a class (a few labels), both are fitted on all of it, so
+the calibration then sees what the trees were taught and is too sure. Scoring is one pass over the texts without a shuffle.
 
 Null and empty texts have features of zero; very long texts and words are read whole, in time
 that grows with their length. Null ids aren't held out and not learned from. Labels, lang, source
@@ -28,10 +29,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,18 +198,14 @@ def learned_lexicon(sample: DataFrame) -> frozenset[str]:
 def featured(df: DataFrame, keep: list[str], learned: frozenset[str]) -> DataFrame:
     """The columns ``keep`` of ``df`` and NAMES."""
     shared = df.sparkSession.sparkContext.broadcast(learned)
-    chosen = df.select(*keep, text_of(df).alias("_text"))
-    names = chosen.columns[:-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("array<double>")
+    def dense(texts: pd.Series) -> pd.Series:
         f = loaded(shared.value)
-        for b in batches:
-            rows = [f.of(t.as_py()) for t in b.column(b.num_columns - 1)]
-            x = np.array(rows, np.float64).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(x[:, i]) for i in range(len(NAMES)))], [*names, *(f"_{n}" for n in NAMES)])
+        return pd.Series([f.of(t) for t in texts])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), *(f"_{n} double" for n in NAMES)])
-    return VectorAssembler(inputCols=[f"_{n}" for n in NAMES], outputCol="_x").transform(chosen.mapInArrow(run, schema)).drop(*(f"_{n}" for n in NAMES))
+    # only the text goes through Python, so columns of any type may be kept
+    return df.select(*keep, array_to_vector(dense(text_of(df))).alias("_x"))
 
 
 class Model:

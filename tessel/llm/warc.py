@@ -117,6 +117,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, sizes: tuple[int,
             rows.filter(c).mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).text(f"{folder}/class{k}")
 
 
+#: Bytes that a gzip member is read by.
+PIECE = 1 << 14
+
+
 class Bad(Exception):
     """A failed check; ``beyond``: where the next record begins if the stated length is right."""
 
@@ -161,16 +165,20 @@ def valid(data: bytes, at: int) -> bool:
 
 def one_member(data: bytes, at: int) -> tuple[bytes, int]:
     """Content and end of the gzip member at ``at``."""
-    z = zlib.decompressobj(31)
+    z, view, end = zlib.decompressobj(31), memoryview(data), at
+    out, size = [], 0
     try:
-        got = z.decompress(memoryview(data)[at:], MEMBER_BYTES)
-        if z.unconsumed_tail:
-            raise Bad("gzip member is too large")
+        while not z.eof and end < len(data):  # in pieces, as what lies behind a member is copied
+            piece = view[end : end + PIECE]
+            out.append(z.decompress(piece, MEMBER_BYTES + 1 - size))
+            end, size = end + len(piece), size + len(out[-1])
+            if size > MEMBER_BYTES:
+                raise Bad("gzip member is too large")
     except zlib.error:
         raise Bad("gzip member is damaged") from None
     if not z.eof:
         raise Bad("gzip member is cut off")
-    return got, len(data) - len(z.unused_data)
+    return b"".join(out), end - len(z.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
