@@ -3,31 +3,50 @@ most of them; tests compare them with hand-made results and with plain versions.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessel.catalog import query, table
+from tessel.operators import codecs as C
+from tessel.operators import dense as D
 from tessel.operators import kernels as K
 from tessel.operators import pixels as P
-from tessel.plans.raster import PX, SIDE, image
+from tessel.plans.raster import PX, SIDE, dense_image, image
 from tessel.shared import new_folder
 from tessel.sources import files
 
 
 def coarse(spark, d):
     """Images of few colours, so that regions are large."""
-    return image(spark, d).select("img", "x", "y", (F.floor(F.col("r") / 128) * 128).cast("int").alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"), F.lit(255).alias("a"))
+    few = lambda s: np.stack([s[..., 0] // 128 * 128, *(np.full(s.shape[:3], v) for v in (0, 0, 255))], axis=3)
+    return D.changed(dense_image(spark, d), few)
 
 
 @query(f"""WITH RECURSIVE {PX}, c AS (SELECT img, x, y, CAST(r // 128 * 128 AS INTEGER) AS r FROM px), s AS (SELECT img, r FROM c WHERE x = 5 AND y = 5),
 f AS (SELECT img, 5 AS x, 5 AS y FROM s UNION SELECT c.img, c.x, c.y FROM f JOIN c ON c.img = f.img AND abs(c.x - f.x) + abs(c.y - f.y) = 1 JOIN s ON s.img = c.img AND s.r = c.r)
 SELECT c.img, c.x, c.y, CASE WHEN f.img IS NULL THEN c.r ELSE 7 END AS r FROM c LEFT JOIN f USING (img, x, y)""")
 def flood_fill(spark, d):
-    return K.each_image(coarse(spark, d), K.flood_fill(5, 5, (7, 0, 0, 255))).select("img", "x", "y", "r")
+    return D.to_pixels(D.changed(coarse(spark, d), D.flood_fill(5, 5, (7, 0, 0, 255)))).select("img", "x", "y", "r")
 
 
-@query()
+def corners_sql() -> str:
+    """Four searches, each on what those before have not seen: what they found and its neighbours."""
+    steps, seen = [], "SELECT NULL::VARCHAR AS img, 0 AS x, 0 AS y WHERE false"
+    for k, (x, y) in enumerate(((0, 0), (15, 0), (0, 15), (15, 15))):
+        steps.append(f"""
+s{k} AS MATERIALIZED ({seen}),
+o{k} AS MATERIALIZED (SELECT c.img, c.x, c.y FROM c JOIN (SELECT img, r FROM c WHERE x = {x} AND y = {y}) k ON k.img = c.img AND abs(k.r - c.r) <= 10 * 765 / 100.0 ANTI JOIN s{k} s ON s.img = c.img AND s.x = c.x AND s.y = c.y),
+f{k} AS (SELECT img, x, y FROM o{k} WHERE x = {x} AND y = {y} UNION SELECT o.img, o.x, o.y FROM f{k} f, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) v(i, j), o{k} o WHERE o.img = f.img AND o.x = f.x + i AND o.y = f.y + j)""")
+        seen = f"SELECT img, x, y FROM s{k} UNION SELECT img, x + i, y + j FROM f{k}, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) v(i, j)"
+    return f"""WITH RECURSIVE {PX}, c AS MATERIALIZED (SELECT img, x, y, CAST(r // 128 * 128 AS INTEGER) AS r FROM px),{','.join(steps)},
+cleared AS (SELECT img, x, y FROM f0 UNION SELECT img, x, y FROM f1 UNION SELECT img, x, y FROM f2 UNION SELECT img, x, y FROM f3)
+SELECT c.img, c.x, c.y, c.r, 0 AS g, 0 AS b, CASE WHEN k.img IS NULL THEN 255 ELSE 0 END AS a FROM c LEFT JOIN cleared k ON k.img = c.img AND k.x = c.x AND k.y = c.y"""
+
+
+@query(corners_sql())
 def clear_corners(spark, d):
-    return K.each_image(coarse(spark, d), K.clear_from_corners(10))
+    return D.to_pixels(D.changed(coarse(spark, d), D.clear_from_corners(10)))
 
 
 def shapes(spark, d):
@@ -43,7 +62,18 @@ def draw_line(spark, d):
     return K.drawn(shapes(spark, d), lambda s: K.line(0, 0, 9 + 2 * (s.g % 3), s.ry), SIDE, SIDE).select("img", "x", "y", "g")
 
 
-@query()
+#: One step of the midpoint rule: flat columns first, then steep rows (radii of 1 to 6).
+ELLIPSE = """WITH RECURSIVE s AS (SELECT CAST(p_partkey AS VARCHAR) AS img, p_size AS g, CAST(p_size % 7 AS BIGINT) AS rx, CAST(p_partkey % 6 AS BIGINT) AS ry FROM part),
+q AS (SELECT img, g, rx * rx AS a, ry * ry AS b, CAST(0 AS BIGINT) AS x, ry AS y, CAST(0 AS BIGINT) <= rx * rx * ry AS flat FROM s WHERE rx > 0 AND ry > 0
+UNION ALL SELECT img, g, a, b, nx, ny, flat AND b * nx <= a * ny FROM (
+  SELECT img, g, a, b, flat, CASE WHEN flat THEN x + 1 WHEN b * (2 * x + 1) ** 2 + 4 * a * (y - 1) ** 2 <= 4 * a * b THEN x + 1 ELSE x END AS nx,
+    CASE WHEN NOT flat THEN y - 1 WHEN 4 * b * (x + 1) ** 2 + a * (2 * y - 1) ** 2 >= 4 * a * b THEN y - 1 ELSE y END AS ny FROM q) WHERE ny >= 0),
+spans AS (SELECT img, g, x AS rx, y AS ry, g % 2 = 0 AS filled FROM q UNION ALL SELECT img, g, greatest(rx, 0), j, true FROM (SELECT *, unnest(range(ry + 1)) AS j FROM s WHERE rx <= 0 OR ry <= 0)),
+p AS (SELECT img, g, rx, ry, filled, unnest(range(-rx, rx + 1)) AS i FROM spans)
+SELECT DISTINCT img, CAST(8 + i AS INTEGER) AS x, CAST(8 + m * ry AS INTEGER) AS y, g FROM p, (VALUES (1), (-1)) v(m) WHERE (filled OR abs(i) = rx) AND 8 + i < 16 AND 8 + m * ry < 16"""
+
+
+@query(ELLIPSE)
 def draw_ellipse(spark, d):
     return K.drawn(shapes(spark, d), lambda s: K.ellipse(8, 8, s.rx, s.ry, s.g % 2 == 0), SIDE, SIDE).select("img", "x", "y", "g")
 
@@ -72,21 +102,61 @@ def symmetric_points(spark, d):
 
 @query(f"WITH {PX} SELECT img, 54 + 16 * 48 AS bmp_bytes, 22 + 40 + 16 * 64 + 16 * 4 AS ico_bytes FROM px GROUP BY img")
 def encode_files(spark, d):
-    px = image(spark, d)
-    b = K.encoded(px, "bmp").select("img", F.octet_length("content").alias("bmp_bytes"))
-    return b.join(K.encoded(px, "ico").select("img", F.octet_length("content").alias("ico_bytes")), "img")
+    both = [D.encoded(dense_image(spark, d), kind).select("img", F.octet_length("content").alias(f"{kind}_bytes")) for kind in ("bmp", "ico")]
+    return both[0].join(both[1], "img")
 
 
 @query(f"WITH {PX} SELECT img, kind, 16 AS width, 16 AS height FROM (SELECT DISTINCT img FROM px), (VALUES ('png'), ('bmp')) v(kind)")
 def image_dimensions(spark, d):
-    px = image(spark, d)
-    files = K.encoded(px, "png").unionByName(K.encoded(px, "bmp")).withColumnRenamed("img", "path")
-    return K.dimensions(files).withColumnRenamed("path", "img")
+    px = dense_image(spark, d)
+    files = D.encoded(px, "png").unionByName(D.encoded(px, "bmp")).withColumnRenamed("img", "path")
+    return C.dimensions(files).withColumnRenamed("path", "img")
+
+
+def little(x, n: int):
+    """``x`` as ``n`` bytes, the lowest first."""
+    h = F.lpad(F.hex(x.cast("bigint")), 2 * n, "0")
+    return F.unhex(F.concat(*(F.substring(h, 2 * (n - i) - 1, 2) for i in range(n))))
+
+
+def big(x, n: int):
+    return F.unhex(F.lpad(F.hex(x.cast("bigint")), 2 * n, "0"))
+
+
+def headers(w, h, extra) -> dict:
+    """The beginning of a file of each kind whose image is w x h, with ``extra`` (a binary of an even length) as metadata before the size."""
+    fixed = lambda s: F.unhex(F.lit(s.replace(" ", "")))
+    n = F.octet_length(extra)
+    return {
+        "png": F.concat(fixed("89504E470D0A1A0A 0000000D 49484452"), big(w, 4), big(h, 4), fixed("0806000000")),
+        "gif": F.concat(fixed("474946383961"), little(w, 2), little(h, 2), fixed("000000")),
+        "bmp": F.concat(fixed("424D 00000000 00000000 36000000 28000000"), little(w, 4), little(h, 4), fixed("01001800 0000")),
+        "jpeg": F.concat(fixed("FFD8 FFE1"), big(n + 2, 2), extra, fixed("FFDB 0003 00 FFFF FFC4 0003 00 FFC2 0011 08"), big(h, 2), big(w, 2), fixed("03")),
+        "webp": F.concat(fixed("52494646 00000000 57454250 45584946"), little(n, 4), extra, fixed("5650384C 05000000 2F"), little((w - 1) + (h - 1) * 16384, 4)),
+        "ico": F.concat(fixed("0000 0100 0200 0101 0000 0100 2000 00000000 00000000"), little(w % 256, 1), little(h % 256, 1), fixed("0000 0100 2000 00000000 00000000")),
+    }
+
+
+@query("""SELECT p_partkey, kind, CAST(CASE WHEN kind = 'ico' THEN 1 + w % 256 ELSE w END AS INTEGER) AS width, CAST(CASE WHEN kind = 'ico' THEN 1 + h % 256 ELSE h END AS INTEGER) AS height
+FROM (SELECT p_partkey, 1 + p_size * 97 % 5000 AS w, 1 + p_partkey * 31 % 9000 AS h FROM part), (VALUES ('png'), ('gif'), ('bmp'), ('jpeg'), ('webp'), ('ico')) v(kind)""")
+def header_sizes(spark, d):
+    """Sizes of files of each kind; those of JPEG and WebP lie behind metadata of varying length."""
+    parts = table(spark, d, "part").select("p_partkey", (1 + F.col("p_size") * 97 % 5000).alias("w"), (1 + F.col("p_partkey") * 31 % 9000).alias("h"), F.encode(F.repeat(F.lit("ff"), F.col("p_size") * 20), "UTF-8").alias("extra"))
+    made = headers(F.col("w"), F.col("h"), F.col("extra")) | {"ico": headers(1 + F.col("w") % 256, 1 + F.col("h") % 256, F.col("extra"))["ico"]}
+    files = parts.select("p_partkey", F.explode(F.create_map(*(x for k, c in made.items() for x in (F.lit(k), c)))).alias("wanted", "content"))
+    found = C.dimensions(files.select(F.concat_ws(":", "wanted", "p_partkey").alias("path"), "content"))
+    return found.filter(F.col("kind") == F.substring_index("path", ":", 1)).select(F.substring_index("path", ":", -1).cast("bigint").alias("p_partkey"), "kind", "width", "height")
+
+
+@query(f"""WITH {PX}, p AS (SELECT img, string_agg(printf('%02X%02X%02X%02X', b, g, r, a), '' ORDER BY y DESC, x) AS body FROM px GROUP BY img)
+SELECT img, '000001000100' || '10100000' || '01002000' || '68040000' || '16000000' || '28000000' || '10000000' || '20000000' || '01002000' || '00000000' || '40040000' || repeat('00', 16) || body || repeat('00', 64) AS ico FROM p""")
+def ico_bytes(spark, d):
+    return D.encoded(dense_image(spark, d), "ico").select("img", F.hex("content").alias("ico"))
 
 
 @query(f"WITH {PX} SELECT img, min(CAST(floor(r * (a / 255) + 255 * (1 - a / 255) + 0.5) AS INTEGER)) AS least_r FROM px GROUP BY img")
 def flatten_on_white(spark, d):
-    return K.each_image(image(spark, d), K.on_white).groupBy("img").agg(F.min("r").alias("least_r"))
+    return D.to_pixels(D.changed(dense_image(spark, d), D.on_white)).groupBy("img").agg(F.min("r").alias("least_r"))
 
 
 @query(f"WITH {PX}, k AS (SELECT img, CAST(y // 8 * 2 + x // 8 AS INTEGER) AS cell, max(a) AS most FROM px GROUP BY ALL) SELECT * FROM k WHERE most > 250")
@@ -96,49 +166,125 @@ def opaque_cells(spark, d):
 
 @query(f"WITH {PX} SELECT img, true AS done, CASE WHEN length(img) % 2 = 0 THEN 4 ELSE 54 + 16 * 48 END AS n FROM px GROUP BY img")
 def convert_pending(spark, d):
-    px = image(spark, d)
+    px = dense_image(spark, d)
     jobs = px.select("img").distinct().withColumn("done", F.length("img") % 2 == 0).withColumn("out", F.when(F.col("done"), F.lit("kept").cast("binary")))
-    return K.converted(jobs, px, "bmp").select("img", "done", F.octet_length("out").alias("n"))
+    return C.converted(jobs, px, "bmp").select("img", "done", F.octet_length("out").alias("n"))
+
+
+def cube_frames(spark, d):
+    """Sequences of 24 images each, as entries of the fixed cube."""
+    levels = lambda x: np.floor(x[..., :3] / 51 + 0.5).astype(np.int64) @ np.array([36, 6, 1])
 
+    def run(batches):
+        for b in batches:
+            grids = (np.frombuffer(x.as_py(), np.uint8).reshape(SIDE, SIDE, 4) for x in b.column(2))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([levels(g).astype(np.uint8).tobytes() for g in grids], pa.binary())], ["seq", "pos", "data"])
 
-@query(f"""WITH {PX}, f AS (SELECT length(img) AS seq, count(DISTINCT img) AS frames FROM px GROUP BY 1)
-SELECT CAST(seq AS VARCHAR) AS seq, '474946383961' AS magic, 16 AS width, 16 AS height, 13 + 768 + 19 + frames * (8 + 10 + 1 + 292 + 2 + 1) + 1 AS n FROM f""")
+    px = dense_image(spark, d, "p_partkey")
+    seq, pos = F.floor(F.col("p_partkey") / 24).cast("bigint").alias("seq"), (F.col("p_partkey") % 24).cast("int").alias("pos")
+    made = px.select(seq, pos, "data").mapInArrow(run, "seq bigint, pos int, data binary")
+    return made.select("seq", "pos", F.lit(SIDE).alias("w"), F.lit(SIDE).alias("h"), "data", F.lit(K.cube()[:648]).alias("palette"))
+
+
+@query("""SELECT CAST(p_partkey // 24 AS VARCHAR) AS seq, '474946383961' AS magic, 16 AS width, 16 AS height, count(*) AS frames FROM part GROUP BY p_partkey // 24""")
 def encode_animation(spark, d):
-    frames = P.quantised(image(spark, d)).select(F.length("img").cast("string").alias("seq"), F.regexp_extract("img", "([0-9]+)$", 1).cast("int").alias("pos"), "x", "y", "index")
-    made = K.animated(frames, 12)
-    size = K.dimensions(made.withColumnRenamed("seq", "path")).withColumnRenamed("path", "seq")
-    return made.select("seq", F.hex(F.substring("content", 1, 6)).alias("magic"), F.octet_length("content").cast("bigint").alias("n")).join(size.select("seq", "width", "height"), "seq")
+    made = C.animated(cube_frames(spark, d), 12).select(F.col("seq").cast("string").alias("path"), "content")
+    size, frames = C.dimensions(made), C.decoded(made).filter("reason is null").groupBy(F.col("img").alias("path")).agg(F.count("*").alias("frames"))
+    return made.select("path", F.hex(F.substring("content", 1, 6)).alias("magic")).join(size, "path").join(frames, "path").select(F.col("path").alias("seq"), "magic", "width", "height", "frames")
+
+
+@query(f"""WITH {PX}, k AS (SELECT *, CAST(regexp_extract(img, '[0-9]+$') AS BIGINT) AS key FROM px)
+SELECT key // 24 AS seq, row_number() OVER (PARTITION BY key // 24, x, y ORDER BY key) - 1 AS pos, 8 AS delay, x, y, {', '.join(f'CAST(floor({c} / 51 + 0.5) * 51 AS INTEGER) AS {c}' for c in 'rgb')}, 255 AS a FROM k""")
+def read_animations(spark, d):
+    """Animations written with growing codes, read back frame by frame."""
+    made = C.animated(cube_frames(spark, d), 12).select(F.col("seq").cast("string").alias("path"), "content")
+    frames = C.decoded(made).filter("reason is null").select(F.col("img").cast("bigint").alias("seq"), F.col("pos").cast("bigint").alias("pos"), "delay", "w", "h", "data")
+    return D.to_pixels(frames, ["seq", "pos", "delay"])
+
+
+@query()
+def adaptive_palettes(spark, d):
+    """Sequences of 24 images in 16 colours of their own each: the palette, and the squared error over all
+    their pixels."""
+    px = dense_image(spark, d, "p_partkey").withColumn("seq", F.floor(F.col("p_partkey") / 24).cast("bigint"))
+    tables = C.palettes(C.colour_counts(px, "seq"), "seq", 16)
+    coded = C.indexed(px.select("seq", "img", "w", "h", "data"), tables, "seq").withColumnRenamed("data", "entries")
+    both = px.select("img", "data").join(coded, "img")
+
+    def run(batches):
+        for b in batches:
+            own = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 4)[:, :3].astype(np.int64) for x in b.column(1)]
+            new = [np.frombuffer(p.as_py(), np.uint8).reshape(-1, 3).astype(np.int64)[np.frombuffer(e.as_py(), np.uint8)] for e, p in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array([int(((x - y) ** 2).sum()) for x, y in zip(own, new)], pa.int64())], ["seq", "palette", "error"])
+
+    errors = both.select("seq", "data", "entries", "palette").mapInArrow(run, "seq bigint, palette binary, error bigint")
+    return errors.groupBy("seq", F.hex("palette").alias("palette")).agg(F.sum("error").alias("error"))
 
 
 @query(f"""WITH {PX}, k AS (SELECT DISTINCT img, CASE length(img) % 4 WHEN 0 THEN 'bmp' WHEN 1 THEN 'ico' WHEN 2 THEN 'gif' ELSE 'png' END AS kind FROM px)
 SELECT img, kind, CASE kind WHEN 'bmp' THEN '424D' WHEN 'ico' THEN '0000' WHEN 'gif' THEN '4749' ELSE '8950' END AS magic FROM k""")
 def convert_dispatch(spark, d):
-    px = image(spark, d)
+    px = dense_image(spark, d)
     kind = F.element_at(F.array(*map(F.lit, ["bmp", "ico", "gif", "jpg"])), F.length("img") % 4 + 1)
-    made = K.dispatched(px, px.select("img").distinct().withColumn("kind", kind))
+    made = C.dispatched(px, px.select("img").withColumn("kind", kind))
     return made.select("img", "kind", F.hex(F.substring("content", 1, 2)).alias("magic"))
 
 
+LAID = "CAST(floor({c} * (a / 255) + 255 * (1 - a / 255) + 0.5) AS INTEGER)"
+
+
+@query(f"""WITH {PX}, k AS (SELECT *, length(img) % 4 AS k FROM px)
+SELECT img, x, y, {', '.join(f"CASE k WHEN 0 THEN {LAID.format(c=c)} WHEN 2 THEN CAST(floor({c} / 51 + 0.5) * 51 AS INTEGER) ELSE {c} END AS {c}" for c in 'rgb')}, CASE WHEN k % 2 = 0 THEN 255 ELSE a END AS a FROM k""")
+def converted_pixels(spark, d):
+    """Images written in the wanted formats and read back."""
+    px = dense_image(spark, d)
+    kind = F.element_at(F.array(*map(F.lit, ["bmp", "ico", "gif", "png"])), F.length("img") % 4 + 1)
+    made = C.dispatched(px, px.select("img").withColumn("kind", kind))
+    return D.to_pixels(C.decoded(made.select(F.col("img").alias("path"), "content")).filter("reason is null"))
+
+
 @query(f"WITH {PX} SELECT img, kind, x, y, r, g, b, CASE WHEN kind = 'png' THEN a ELSE 255 END AS a FROM px, (VALUES ('png'), ('bmp')) v(kind)")
 def decode_images(spark, d):
-    px = image(spark, d)
-    files = [K.encoded(px, kind).select(F.concat(F.lit(f"{kind}:"), "img").alias("path"), "content") for kind in ("png", "bmp")]
-    return K.decoded(files[0].unionByName(files[1])).select(F.substring("img", 5, 1 << 20).alias("img"), F.left("img", F.lit(3)).alias("kind"), "x", "y", *"rgba")
+    px = dense_image(spark, d)
+    files = [D.encoded(px, kind).select(F.concat(F.lit(f"{kind}:"), "img").alias("path"), "content") for kind in ("png", "bmp")]
+    found = D.to_pixels(C.decoded(files[0].unionByName(files[1])).filter("reason is null"))
+    return found.select(F.substring("img", 5, 1 << 20).alias("img"), F.left("img", F.lit(3)).alias("kind"), "x", "y", *"rgba")
+
+
+@query(f"""WITH {PX}, k AS (SELECT *, CAST(1 << (CAST(regexp_extract(img, '[0-9]+$') AS BIGINT) % 5) AS INTEGER) AS depth FROM px),
+v AS (SELECT img, depth, x, y, CASE WHEN depth = 16 THEN r * 256 + g ELSE r >> (8 - depth) END AS v, (1 << depth) - 1 AS most FROM k)
+SELECT img, depth, x, y, CAST(floor(v * 255 / CAST(most AS DOUBLE) + 0.5) AS INTEGER) AS grey FROM v""")
+def decode_depths(spark, d):
+    """Grey PNG files of 1, 2, 4, 8 and 16 bits, by image."""
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for key, raw in zip(b.column(1).to_pylist(), b.column(2)):
+                x, depth = np.frombuffer(raw.as_py(), np.uint8).reshape(SIDE, SIDE, 4).astype(np.int64), 1 << key % 5
+                grey = x[..., 0] * 256 + x[..., 1] if depth == 16 else x[..., 0] >> (8 - depth)
+                made.append(C.png_bytes(grey[..., None], depth, 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["path", "content"])
+
+    files = dense_image(spark, d, "p_partkey").select("img", "p_partkey", "data").mapInArrow(run, "path string, content binary")
+    found = D.to_pixels(C.decoded(files).filter("reason is null"))
+    depth = F.pow(F.lit(2), F.regexp_extract("img", "([0-9]+)$", 1).cast("bigint") % 5).cast("int")
+    return found.select("img", depth.alias("depth"), "x", "y", F.col("r").alias("grey"))
 
 
 #: The header of a 24-bit BMP of 16 x 16 pixels, then rows from the bottom up.
 @query(f"""WITH {PX}, p AS (SELECT img, string_agg(printf('%02X%02X%02X', b, g, r), '' ORDER BY y DESC, x) AS body FROM px GROUP BY img)
 SELECT img, '424D' || '36030000' || '00000000' || '36000000' || '28000000' || '10000000' || '10000000' || '0100' || '1800' || '00000000' || '00030000' || '130B0000' || '130B0000' || '00000000' || '00000000' || body AS bmp FROM p""")
 def bmp_bytes(spark, d):
-    return K.encoded(image(spark, d), "bmp").select("img", F.hex("content").alias("bmp"))
+    return D.encoded(dense_image(spark, d), "bmp").select("img", F.hex("content").alias("bmp"))
 
 
 @query(f"""WITH {PX} SELECT DISTINCT 'gallery/' || replace(img, ' ', '_') || '/image.bmp' AS key, 822 AS length, 'image/bmp' AS media, 16 AS width, 16 AS height FROM px""")
 def stored_images(spark, d):
     """Puts each image under its key and reads the folder back."""
-    px = image(spark, d)
+    px = dense_image(spark, d)
     folder = new_folder(spark, "objects")
-    keyed = K.encoded(px, "bmp").select(F.concat(F.lit("gallery/"), F.replace("img", F.lit(" "), F.lit("_")), F.lit("/image.bmp")).alias("key"), "content")
+    keyed = D.encoded(px, "bmp").select(F.concat(F.lit("gallery/"), F.replace("img", F.lit(" "), F.lit("_")), F.lit("/image.bmp")).alias("key"), "content")
     files.put(keyed, folder).count()
     found = files.images(spark, folder)
     return found.select(F.concat(F.lit("gallery/"), F.substring_index("path", "/gallery/", -1)).alias("key"), F.col("length").cast("int").alias("length"), "media", "width", "height")

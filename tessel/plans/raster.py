@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessel.catalog import query, table
+from tessel.operators import dense as D
 from tessel.operators import pixels as P
 
 SIDE = 16
@@ -21,6 +24,23 @@ def image(spark, d):
     return parts.selectExpr("concat(p_name, p_partkey) AS img", "i % 16 AS x", "cast(floor(i / 16) AS int) AS y", "cast((i * 7 + p_size) % 256 AS int) AS r", "cast((i * 3 + p_partkey) % 256 AS int) AS g", "(i * 11) % 256 AS b", "cast((i * 5 + p_size * 9) % 256 AS int) AS a")
 
 
+def dense_image(spark, d, *more):
+    """The same images as dense rows, with ``more`` columns of the parts."""
+    parts = table(spark, d, "part")
+    names = [str(c) for c in more]
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in parts.select(*names).schema)
+
+    def run(batches):
+        i = np.arange(SIDE * SIDE)
+        for b in batches:
+            size, key = (b.column(c).to_numpy().astype(np.int64)[:, None] for c in (1, 2))
+            data = np.stack([i * 7 + size, i * 3 + key, i * 11 + 0 * key, i * 5 + size * 9], axis=2).astype(np.uint8)
+            side = pa.array(np.full(b.num_rows, SIDE, np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), side, side, pa.array([x.tobytes() for x in data], pa.binary()), *b.columns[3:]], ["img", "w", "h", "data", *names])
+
+    return parts.select(F.concat("p_name", "p_partkey"), "p_size", "p_partkey", *names).mapInArrow(run, f"img string, w int, h int, data binary{kinds}")
+
+
 @query(f"WITH {PX} SELECT img, x, y, r, g, b, CASE WHEN abs(r - 40) + abs(g - 90) + abs(b - 120) < 20 * 765 / 100.0 THEN 0 ELSE a END AS a FROM px")
 def chroma_key(spark, d):
     return P.keyed(image(spark, d), (40, 90, 120), 20)
@@ -32,7 +52,7 @@ SHARP = "CASE WHEN {c}1 IS NULL OR {c}2 IS NULL OR {c}3 IS NULL OR {c}4 IS NULL
 @query(f"""WITH {PX}, n AS (SELECT *, {', '.join(f'{f}({c}) OVER {w} AS {c}{i}' for c in 'rgb' for i, (f, w) in enumerate((('lag', 'h'), ('lead', 'h'), ('lag', 'v'), ('lead', 'v')), 1))} FROM px
 WINDOW h AS (PARTITION BY img, y ORDER BY x), v AS (PARTITION BY img, x ORDER BY y)) SELECT img, x, y, {', '.join(SHARP.format(c=c) for c in 'rgb')}, a FROM n""")
 def sharpen(spark, d):
-    return P.sharpened(image(spark, d), 2.5)
+    return D.to_pixels(D.changed(dense_image(spark, d), D.sharpen(2.5)))
 
 
 def channel(e: str) -> str:
@@ -66,7 +86,34 @@ TURNED = [[P.LUMA[j] + COS * ((i == j) - P.LUMA[j]) + SINES[i][j] for j in range
 @query(f"""WITH {PX}, s AS ({linear(towards(1.5), 'px')}), h AS ({linear(TURNED, 's')}), w AS ({linear(towards(0.6), 'h')}), n AS (SELECT *, {', '.join(f'{f}({c}) OVER {w} AS {c}{i}' for c in 'rgb' for i, (f, w) in enumerate((('lag', 'h'), ('lead', 'h'), ('lag', 'v'), ('lead', 'v')), 1))} FROM w
 WINDOW h AS (PARTITION BY img, y ORDER BY x), v AS (PARTITION BY img, x ORDER BY y)) SELECT img, x, y, {', '.join(SHARP.format(c=c) for c in 'rgb')}, a FROM n""")
 def adjust_hue(spark, d):
-    return P.adjusted(image(spark, d), saturate=150, hue=90, grayscale=40, sharpen=2.5)
+    return D.to_pixels(D.changed(dense_image(spark, d), D.adjust(saturate=150, hue=90, grayscale=40, sharpened=2.5)))
+
+
+def taps(spans: list[tuple[int, int]]) -> dict[int, int]:
+    """Weight of each shift in a convolution of boxes, worked out by plain convolution."""
+    out = {0: 1}
+    for before, after in spans:
+        more: dict[int, int] = {}
+        for at, weight in out.items():
+            for k in range(-before, after + 1):
+                more[at + k] = more.get(at + k, 0) + weight
+        out = more
+    return out
+
+
+TAPS = taps(D.boxes(1.5))
+WEIGHTS = ", ".join(f"({k}, {v})" for k, v in sorted(TAPS.items()))
+WHOLE = sum(TAPS.values()) ** 2
+
+
+@query(f"""WITH {PX}, t(k, v) AS (VALUES {WEIGHTS}), m AS (SELECT img, x, y, r * a AS r, g * a AS g, b * a AS b, a FROM px),
+u AS (SELECT img, x - k AS x, y, {', '.join(f'sum({c} * v) AS {c}' for c in 'rgba')} FROM m, t WHERE x - k BETWEEN 0 AND 15 GROUP BY ALL),
+w AS (SELECT img, x, y - k AS y, {', '.join(f'CAST(sum({c} * v) AS BIGINT) AS {c}' for c in 'rgba')} FROM u, t WHERE y - k BETWEEN 0 AND 15 GROUP BY ALL),
+f AS (SELECT img, x, y, {', '.join(f'CASE WHEN a > 0 THEN CAST(floor({c} / CAST(a AS DOUBLE) + 0.5) AS INTEGER) ELSE 0 END AS {c}' for c in 'rgb')}, CAST(floor(a / CAST({WHOLE} AS DOUBLE) + 0.5) AS INTEGER) AS a FROM w)
+SELECT img, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, {', '.join(f"{channel(f'255 - {c}')} AS {c}" for c in 'rgb')}, a FROM f""")
+def blur_colours(spark, d):
+    """Blur, in its place before the other filters: three boxes, the standard's approximation of a Gaussian."""
+    return D.to_pixels(D.changed(dense_image(spark, d), D.adjust(blurred=1.5, invert=100)))
 
 
 #: src-over of a pixel of alpha s (a fraction) on one of channel u and alpha v (a fraction).
@@ -76,19 +123,21 @@ OVER = "CAST(greatest(0, least(255, floor(({c} * s + {u} * v * (1 - s)) / (s + v
 @query(f"""WITH {PX}, l AS (SELECT *, a * (10 + length(img) * 7 % 91) / CAST(25500 AS DOUBLE) AS s, CASE WHEN (x + y) % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v, CASE WHEN (x + y) % 3 = 0 THEN 200 ELSE 0 END AS u FROM px)
 SELECT img, x, y, {', '.join(f"CASE WHEN s <= 0 THEN u ELSE {OVER.format(c=c, u='u')} END AS {c}" for c in 'rgb')}, {channel('(s + v * (1 - s)) * 255')} AS a FROM l""")
 def composite_layers(spark, d):
-    px = image(spark, d)
-    layer = lambda df, z, shown, opacity: df.select("img", F.lit(z).alias("z"), F.lit(shown).alias("visible"), opacity.cast("int").alias("opacity"), "x", "y", *"rgba")
-    base = px.filter("(x + y) % 3 = 0").withColumns({c: F.lit(200) for c in "rgb"}).withColumn("a", F.lit(255))
-    return P.composite(layer(base, 0, True, F.lit(100)).unionByName(layer(px, 1, True, 10 + F.length("img") * 7 % 91)).unionByName(layer(px, 2, False, F.lit(100))))
+    px = dense_image(spark, d)
+    layer = lambda df, z, shown, opacity: df.select("img", F.lit(z).alias("z"), F.lit(shown).alias("visible"), opacity.cast("int").alias("opacity"), "w", "h", "data")
+    every_third = np.zeros((SIDE, SIDE, 4), np.int32)
+    every_third[np.add.outer(range(SIDE), range(SIDE)) % 3 == 0] = (200, 200, 200, 255)
+    base = D.changed(px, lambda s: np.broadcast_to(every_third, s.shape))
+    return D.to_pixels(D.composite(layer(base, 0, True, F.lit(100)).unionByName(layer(px, 1, True, 10 + F.length("img") * 7 % 91)).unionByName(layer(px, 2, False, F.lit(100)))))
 
 
 @query(f"""WITH {PX}, f AS (SELECT *, length(img) AS seq, CAST(regexp_extract(img, '[0-9]+$') AS INTEGER) AS pos FROM px),
-l AS (SELECT f.seq, f.pos, f.x, f.y, f.r, f.g, f.b, f.a / CAST(255 AS DOUBLE) AS s, coalesce(p.r, 0) AS ur, coalesce(p.g, 0) AS ug, coalesce(p.b, 0) AS ub, coalesce(floor(p.a * 30 / CAST(25500 AS DOUBLE) * 255 + 0.5), 0) / 255 AS v
-FROM f LEFT JOIN f p ON p.seq = f.seq AND p.pos = f.pos - 1 AND p.x = f.x AND p.y = f.y)
+p AS (SELECT seq, pos, x, y, r, g, b, a, {', '.join(f'CASE WHEN lag(pos) OVER w = pos - 1 THEN lag({c}) OVER w END AS p{c}' for c in 'rgba')} FROM f WINDOW w AS (PARTITION BY seq, x, y ORDER BY pos)),
+l AS (SELECT seq, pos, x, y, r, g, b, a / CAST(255 AS DOUBLE) AS s, coalesce(pr, 0) AS ur, coalesce(pg, 0) AS ug, coalesce(pb, 0) AS ub, coalesce(floor(pa * 30 / CAST(25500 AS DOUBLE) * 255 + 0.5), 0) / 255 AS v FROM p)
 SELECT seq, pos, x, y, {', '.join(f"CASE WHEN s <= 0 AND v <= 0 THEN 0 WHEN s <= 0 THEN u{c} ELSE {OVER.format(c=c, u=f'u{c}')} END AS {c}" for c in 'rgb')}, {channel('(s + v * (1 - s)) * 255')} AS a FROM l""")
 def ghost_frames(spark, d):
-    frames = image(spark, d).withColumn("seq", F.length("img").cast("bigint")).withColumn("pos", F.regexp_extract("img", "([0-9]+)$", 1).cast("int"))
-    return P.ghosted(frames, "seq", 30)
+    frames = dense_image(spark, d).withColumn("seq", F.length("img").cast("bigint")).withColumn("pos", F.regexp_extract("img", "([0-9]+)$", 1).cast("int"))
+    return D.to_pixels(D.ghosted(frames, "seq", 30), ["seq", "pos"])
 
 
 @query(f"WITH {PX} SELECT {ALL} FROM px WHERE x < 12")
@@ -193,9 +242,10 @@ def image_sizes(spark, d):
 @query(f"""WITH {PX}, l AS (SELECT *, a * 40 / CAST(25500 AS DOUBLE) AS s, (x * 16) / CAST(255 AS DOUBLE) AS v FROM px)
 SELECT img, x, y, {', '.join(f"CASE WHEN s <= 0 THEN 100 ELSE {OVER.format(c=c, u='100')} END AS {c}" for c in 'rgb')}, {channel('(s + v * (1 - s)) * 255')} AS a FROM l""")
 def merge_down(spark, d):
-    px = image(spark, d)
-    lower = px.select("img", "x", "y", *(F.lit(100).alias(c) for c in "rgb"), (F.col("x") * 16).alias("a"))
-    return P.merged_down(px, lower, 40)
+    lower = np.full((SIDE, SIDE, 4), 100, np.uint8)
+    lower[..., 3] = 16 * np.arange(SIDE)
+    both = dense_image(spark, d).withColumnRenamed("data", "top").withColumn("data", F.lit(lower.tobytes()))
+    return D.to_pixels(D.blended(both, "top", 40))
 
 
 @query(f"WITH {PX} SELECT img, x, y, CAST(floor(r / 51 + 0.5) * 36 + floor(g / 51 + 0.5) * 6 + floor(b / 51 + 0.5) AS INTEGER) AS index, CAST(floor(r / 51 + 0.5) * 51 AS INTEGER) AS r FROM px")

@@ -10,7 +10,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.operators import kernels
+from tessel.operators import codecs
 
 #: Media types by extension.
 MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "ico": "image/x-icon", "wav": "audio/wav", "mp3": "audio/mpeg"}
@@ -26,7 +26,7 @@ def files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """Image files with ids and the sizes that their headers name."""
     found = files(spark, folder).filter(F.col("media").startswith("image/"))
-    return found.join(kernels.dimensions(found), "path").withColumn("id", F.xxhash64("path"))
+    return found.join(codecs.dimensions(found), "path").withColumn("id", F.xxhash64("path"))
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
