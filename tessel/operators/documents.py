@@ -95,6 +95,38 @@ def blog(name: Column, address: Column, publisher: list[Column]) -> Column:
     return linked_data("Blog", name.alias("name"), address.alias("url"), typed("Organization", *publisher).alias("publisher"))
 
 
+def person(name: Column) -> Column:
+    return typed("Person", name.alias("name"))
+
+
+def blog_posting(headline: Column, address: Column, published: Column, author: Column, words: Column) -> Column:
+    return linked_data("BlogPosting", headline.alias("headline"), address.alias("url"), published.alias("datePublished"), person(author).alias("author"), words.alias("wordCount"))
+
+
+def page_of(kind: str, name: Column, address: Column, parts: Column | None = None) -> Column:
+    """A CollectionPage, ContactPage or the like, with the pages that it lists, an array of (name, url)."""
+    listed = [] if parts is None else [F.transform(parts, lambda p: typed("WebPage", p["name"].alias("name"), p["url"].alias("url"))).alias("hasPart")]
+    return linked_data(kind, name.alias("name"), address.alias("url"), *listed)
+
+
+def image_gallery(name: Column, address: Column, images: Column) -> Column:
+    """``images``: an array of (name, url)."""
+    return linked_data("ImageGallery", name.alias("name"), address.alias("url"), F.transform(images, lambda i: typed("ImageObject", i["name"].alias("name"), i["url"].alias("contentUrl"))).alias("image"))
+
+
+def music_playlist(name: Column, address: Column, tracks: Column) -> Column:
+    """``tracks``: an array of (name, seconds); durations are in ISO 8601."""
+    length = lambda s: F.format_string("PT%dM%dS", F.floor(s / 60), (s % 60).cast("bigint"))
+    made = F.transform(tracks, lambda t: typed("MusicRecording", t["name"].alias("name"), length(t["seconds"]).alias("duration")))
+    return linked_data("MusicPlaylist", name.alias("name"), address.alias("url"), F.size(tracks).alias("numTracks"), made.alias("track"))
+
+
+def forum_posting(headline: Column, address: Column, author: Column, published: Column, comments: Column) -> Column:
+    """``comments``: an array of (author, text)."""
+    made = F.transform(comments, lambda c: typed("Comment", person(c["author"]).alias("author"), c["text"].alias("text")))
+    return linked_data("DiscussionForumPosting", headline.alias("headline"), address.alias("url"), person(author).alias("author"), published.alias("datePublished"), F.size(comments).alias("commentCount"), made.alias("comment"))
+
+
 def faq(entries: Column) -> Column:
     """``entries``: an array of (q, a); those without a question or an answer are left out."""
     question = lambda e: typed("Question", e["q"].alias("name"), typed("Answer", e["a"].alias("text")).alias("acceptedAnswer"))
@@ -127,9 +159,12 @@ SITEMAP_URLS = 50_000
 
 def sitemap_documents(entries: DataFrame) -> DataFrame:
     """(lang, part, xml, txt): for each language its site map, in parts of ``SITEMAP_URLS``, as XML
-    and as a list of lines."""
-    at = F.row_number().over(Window.partitionBy("lang").orderBy("loc"))
-    parts = entries.withColumn("part", F.floor((at - 1) / SITEMAP_URLS).cast("int"))
+    and as a list of lines. Parts are ranges of a hash, so that no task has to number all of a language;
+    should a range still hold too many, it is cut by order into further parts."""
+    n = entries.groupBy("lang").agg(F.ceil(F.count("*") / (0.9 * SITEMAP_URLS)).cast("int").alias("_parts"))
+    dealt = entries.join(n, "lang").withColumn("_range", F.pmod(F.xxhash64("loc"), F.col("_parts")).cast("int"))
+    at = F.row_number().over(Window.partitionBy("lang", "_range").orderBy("loc"))
+    parts = dealt.withColumn("part", (F.col("_range") + F.col("_parts") * F.floor((at - 1) / SITEMAP_URLS)).cast("int"))
     rows = F.sort_array(F.collect_list(F.struct("loc", "xml")))
     joined = lambda name, between: F.concat_ws(between, F.transform("rows", lambda x: x[name]))
     head = '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml">'

@@ -14,12 +14,22 @@ def counts(events: DataFrame, key: str, name: str = "n") -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias(name))
 
 
-def saturating(events: DataFrame, key: str, order: list[str], step: str) -> DataFrame:
+def saturating(events: DataFrame, key: str, order: list[str], step: str, part: str | None = None) -> DataFrame:
     """The running counter that never falls below 0: with running sums S it is S minus the
-    least of 0 and the smallest S so far. Order matters, so each key is ordered in one task."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = events.withColumn("_s", F.sum(step).over(w))
-    return run.withColumn("counter", F.col("_s") - F.least(F.lit(0), F.min("_s").over(w))).drop("_s")
+    least of 0 and the smallest S so far. Order matters, so each key is ordered in one task; with
+    ``part`` (a column that cuts the order into stretches, as a day does) each stretch of a key is, and
+    starts from the sum and the lowest point of those before it."""
+    keys = [key, part] if part else [key]
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = events.withColumn("_s", F.sum(step).over(w)).withColumn("_m", F.min("_s").over(w))
+    if not part:
+        return run.withColumn("counter", F.col("_s") - F.least(F.lit(0), F.col("_m"))).drop("_s", "_m")
+    stretch = run.groupBy(*keys).agg(F.sum(step).alias("_all"), F.min("_s").alias("_low"))
+    before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    start = stretch.withColumn("_from", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    start = start.withColumn("_least", F.min(F.col("_from") + F.col("_low")).over(before)).select(*keys, "_from", "_least")
+    low = F.least(F.lit(0), "_least", F.col("_from") + F.col("_m"))
+    return run.join(start, keys).withColumn("counter", F.col("_from") + F.col("_s") - low).select(*events.columns, "counter")
 
 
 def final_counter(events: DataFrame, key: str, order: list[str], step: str, part: str | None = None) -> DataFrame:
@@ -47,9 +57,12 @@ def latest(log: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, tie)).alias("_row")).select(*keys, "_row.*")
 
 
-def updated(table: DataFrame, changes: DataFrame, key: str, owner: str, columns: list[str]) -> DataFrame:
-    """``table`` with the columns of ``changes`` where key and owner both agree."""
-    side = changes.select(F.col(key).alias("_k"), F.col(owner).alias("_o"), *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_hit"))
+def updated(table: DataFrame, changes: DataFrame, key: str, owner: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """``table`` with the columns of ``changes`` where key and owner both agree. Of several changes of
+    one key by one owner the last by ``order`` counts (without an order the one with the largest values)."""
+    last = F.max_by(F.struct(*columns), F.struct(*(order or columns)))
+    side = changes.groupBy(key, owner).agg(last.alias("_last")).select(key, owner, "_last.*")
+    side = side.select(F.col(key).alias("_k"), F.col(owner).alias("_o"), *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_hit"))
     out = table.join(side, (F.col(key) == F.col("_k")) & (F.col(owner) == F.col("_o")), "left")
     return out.select(*(F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns))
 

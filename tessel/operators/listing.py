@@ -51,8 +51,9 @@ def total(df: DataFrame, q: ListQuery) -> DataFrame:
 def page_with_authors(df: DataFrame, authors: DataFrame, q: ListQuery, on: str, key: str, columns: list[str], name: str = "author") -> DataFrame:
     """The page first, the lookup after, in the page's order. The page has ``limit`` rows and is
     broadcast to the authors, whose number doesn't matter then; those that it names are broadcast
-    back. A row without an author stays, with a null. Keys of authors are unique."""
-    rows = page(df, q)
+    back. A row without an author stays, with a null. Keys of authors are unique. The page is kept
+    for its second use, so that the content is scanned and cut once; it is made anew if it is lost."""
+    rows = page(df, q).persist()
     side = authors.select(F.col(key).alias("_key"), F.struct(*columns).alias(name))
     named = side.join(F.broadcast(rows.select(on)), F.col(on) == F.col("_key"), "left_semi")
     found = rows.join(F.broadcast(named), F.col(on) == F.col("_key"), "left").drop("_key")

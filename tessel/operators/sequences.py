@@ -6,9 +6,12 @@ windows and folds are partitioned by sequence.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,9 @@ def kept_frames(frames: DataFrame, seq: str, pos: str, signature: str, least: fl
     """Positions that stay when a frame must differ from the last kept one by at least ``least``
     in the L1 norm of its signature. An ordered fold: the reference only moves when a frame is
     kept, so lag() doesn't do. One task reads a sequence in order, holding the last kept
-    signature and a batch; Spark's sort spills. Frames that can't be compared with it (nulls,
-    other lengths) are dropped."""
+    signature and a batch; Spark's sort spills. A batch is a matrix: the frames after a kept one are compared
+    with it in blocks, which double until one is far enough. Frames that can't be compared (nulls, other
+    lengths) are dropped."""
     rows = frames.select(F.col(seq), F.col(pos).cast("bigint").alias(pos), F.transform(signature, lambda x: x.cast("double")).alias("_s"))
 
     def far_enough(ref: list, now: list | None) -> bool:
@@ -46,10 +50,46 @@ def kept_frames(frames: DataFrame, seq: str, pos: str, signature: str, least: fl
             far += abs(a - b)
         return far >= least or far != far  # as in Spark, NaN is above all numbers
 
+    def next_far(rows: np.ndarray, at: int, end: int, ref: np.ndarray) -> int:
+        """The first row from ``at`` on that is far enough from ``ref``, or ``end``."""
+        size = 16
+        while at < end:
+            block = np.abs(rows[at : min(at + size, end)] - ref)
+            far = np.cumsum(block, axis=1)[:, -1] if block.shape[1] else np.zeros(len(block))  # added from left to right
+            hit = np.flatnonzero((far >= least) | np.isnan(far))
+            if len(hit):
+                return at + int(hit[0])
+            at, size = at + size, 2 * size
+        return end
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         started, current, ref = False, None, None
         for b in batches:
             stay = []
+            lists, values = b.column(2), b.column(2).flatten()
+            width = len(values) // b.num_rows if b.num_rows else 0
+            even = b.num_rows and not lists.null_count and not values.null_count and pc.all(pc.equal(pc.list_value_length(lists), width)).as_py()
+            if even and (ref is None or None not in ref):
+                rows, names = values.to_numpy().reshape(b.num_rows, width), b.column(0).to_pylist()
+                at = 0
+                while at < b.num_rows:
+                    if not started or names[at] != current:
+                        started, current, ref = True, names[at], None
+                    end = at + 1
+                    while end < b.num_rows and names[end] == current:
+                        end += 1
+                    if ref is None:
+                        stay.append(at)
+                        ref, at = rows[at].tolist(), at + 1
+                    now = np.array(ref)
+                    while at < end and len(ref) == width:
+                        at = next_far(rows, at, end, now)
+                        if at < end:
+                            stay.append(at)
+                            now, at = rows[at], at + 1
+                    ref, at = now.tolist(), end
+                yield b.select([0, 1]).take(pa.array(stay, pa.int64()))
+                continue
             for i, (s, x) in enumerate(zip(b.column(0).to_pylist(), b.column(2))):
                 if not started or s != current:
                     started, current, ref = True, s, None
@@ -195,19 +235,22 @@ def removed(df: DataFrame, selected: DataFrame, seq: str, key: str) -> DataFrame
 def undo_redo(log: DataFrame, frame: str, order: list[str], action: str, snapshot: str, cap: int) -> DataFrame:
     """(frame, shown, undos, redos): what each frame shows after its log of ``push`` (of a snapshot,
     a bigint), ``undo`` and ``redo``. At most ``cap`` snapshots can be undone, the oldest go first; a push clears
-    what could be redone; an action that has nothing to act on does nothing. An ordered fold: one task reads
+    what could be redone; an action that has nothing to act on does nothing. Rows that tie in ``order`` are taken
+    by action and snapshot. An ordered fold: one task reads
     a frame's log in order and holds at most the snapshots of one frame that can be undone or redone."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shown, back, ahead, out = None, None, [], [], []
+        now, shown, back, ahead, out = None, None, deque(maxlen=cap), [], []
         for b in batches:
             for f, a, x in zip(*(c.to_pylist() for c in b.columns[:3])):
                 if now is None or f != now[0]:
                     if now is not None:
                         out.append((now[0], shown, len(back), len(ahead)))
-                    now, shown, back, ahead = (f,), None, [], []
+                    now, shown, back, ahead = (f,), None, deque(maxlen=cap), []
                 if a == "push":
-                    back, ahead, shown = [*back, shown][-cap:] if shown is not None else back, [], x
+                    if shown is not None:
+                        back.append(shown)  # the oldest goes when the stack is full
+                    ahead, shown = [], x
                 elif a == "undo" and back:
                     ahead.append(shown)
                     shown = back.pop()
@@ -224,7 +267,7 @@ def undo_redo(log: DataFrame, frame: str, order: list[str], action: str, snapsho
 
     names, kinds = [frame, "shown", "undos", "redos"], [pa.int64()] * 4
     rows = log.select(F.col(frame).cast("bigint").alias(frame), action, F.col(snapshot).cast("bigint").alias("_x"), *order)
-    return rows.repartition(frame).sortWithinPartitions(frame, *order).mapInArrow(fold, f"{frame} bigint, shown bigint, undos bigint, redos bigint")
+    return rows.repartition(frame).sortWithinPartitions(frame, *order, action, "_x").mapInArrow(fold, f"{frame} bigint, shown bigint, undos bigint, redos bigint")
 
 
 def layer_added(layers: Column, layer: Column) -> Column:

@@ -78,6 +78,24 @@ def structured_data(spark, d):
     return routes(spark, d).select("lang", "route", data.alias("data"), D.linked_data("Organization", *org).alias("publisher"), D.breadcrumb([F.col("lang"), route]).alias("crumbs"))
 
 
+@query(f"""WITH {ROUTES}, a AS (SELECT *, '{BASE}/' || lang || '/' || route AS u, length(route) AS n FROM r), p AS (SELECT *, [{{'name': route || ' 1', 'url': u || '/1'}}, {{'name': route || ' 2', 'url': u || '/2'}}] AS parts FROM a)
+SELECT lang, route,
+CAST(to_json({{'@context': 'https://schema.org', '@type': 'BlogPosting', 'headline': route, 'url': u, 'datePublished': '{DAY}', 'author': {{'@type': 'Person', 'name': lang}}, 'wordCount': n}}) AS VARCHAR) AS posting,
+CAST(to_json({{'@context': 'https://schema.org', '@type': 'CollectionPage', 'name': route, 'url': u, 'hasPart': list_transform(parts, lambda x: {{'@type': 'WebPage', 'name': x.name, 'url': x.url}})}}) AS VARCHAR) AS collection,
+CAST(to_json({{'@context': 'https://schema.org', '@type': 'ContactPage', 'name': route, 'url': u}}) AS VARCHAR) AS contact,
+CAST(to_json({{'@context': 'https://schema.org', '@type': 'ImageGallery', 'name': route, 'url': u, 'image': list_transform(parts, lambda x: {{'@type': 'ImageObject', 'name': x.name, 'contentUrl': x.url}})}}) AS VARCHAR) AS gallery,
+CAST(to_json({{'@context': 'https://schema.org', '@type': 'MusicPlaylist', 'name': route, 'url': u, 'numTracks': 2, 'track': list_transform(parts, lambda x: {{'@type': 'MusicRecording', 'name': x.name, 'duration': 'PT' || (n * 20 // 60) || 'M' || (n * 20 % 60) || 'S'}})}}) AS VARCHAR) AS playlist,
+CAST(to_json({{'@context': 'https://schema.org', '@type': 'DiscussionForumPosting', 'headline': route, 'url': u, 'author': {{'@type': 'Person', 'name': lang}}, 'datePublished': '{DAY}', 'commentCount': 2, 'comment': list_transform(parts, lambda x: {{'@type': 'Comment', 'author': {{'@type': 'Person', 'name': x.name}}, 'text': x.url}})}}) AS VARCHAR) AS thread FROM p""")
+def structured_pages(spark, d):
+    route, lang, day = F.col("route"), F.col("lang"), F.lit(DAY)
+    address, n = D.url(BASE, lang, route), F.char_length("route")
+    parts = F.array(*(F.struct(F.concat(route, F.lit(f" {i}")).alias("name"), F.concat(address, F.lit(f"/{i}")).alias("url")) for i in (1, 2)))
+    tracks = F.transform(parts, lambda p: F.struct(p["name"].alias("name"), (n * 20).alias("seconds")))
+    comments = F.transform(parts, lambda p: F.struct(p["name"].alias("author"), p["url"].alias("text")))
+    made = {"posting": D.blog_posting(route, address, day, lang, n), "collection": D.page_of("CollectionPage", route, address, parts), "contact": D.page_of("ContactPage", route, address), "gallery": D.image_gallery(route, address, parts), "playlist": D.music_playlist(route, address, tracks), "thread": D.forum_posting(route, address, lang, day, comments)}
+    return routes(spark, d).select("lang", "route", *(c.alias(k) for k, c in made.items()))
+
+
 def rewritten_sql() -> str:
     """The whole page by RE2's replacements, a step for each tag."""
     esc = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"

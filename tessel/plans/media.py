@@ -14,7 +14,7 @@ from tessel.operators import kernels as K
 from tessel.operators import pixels as P
 from tessel.plans.raster import PX, SIDE, dense_image, image
 from tessel.shared import new_folder
-from tessel.sources import files
+from tessel.sources import files, objects, sounds
 
 
 def coarse(spark, d):
@@ -302,6 +302,40 @@ def audio_durations(spark, d):
     return files.files(spark, folder).select(F.concat(F.lit("s/"), F.substring_index("path", "/", -1)).alias("key"), files.wav_seconds("content").alias("seconds"))
 
 
+@query("""SELECT s_suppkey, kind, CASE kind WHEN 'mp3' THEN (s_suppkey % 50) * CAST(1152 AS DOUBLE) / 44100 WHEN 'vbr' THEN (s_suppkey % 50) * CAST(576 AS DOUBLE) / 24000 ELSE (s_suppkey % 50) * 1000 / CAST(8000 AS DOUBLE) END AS seconds
+FROM supplier, (VALUES ('mp3'), ('vbr'), ('ogg')) v(kind)""")
+def sound_durations(spark, d):
+    """Sounds of some frames for each supplier: MP3 of a fixed rate, MP3 whose header names its frames, and Ogg."""
+    fixed = lambda s: F.unhex(F.lit(s.replace(" ", "")))
+    n = (F.col("s_suppkey") % 50).cast("int")
+    zeros = lambda k: F.unhex(F.repeat(F.lit("00"), F.lit(k) if isinstance(k, int) else k))
+    frame = "FFFB9000" + "00" * 413
+    id3 = F.concat(fixed("494433 0400 00 00000010"), zeros(16))
+    page = lambda kind, place, body, size: F.concat(fixed("4F676753 00"), fixed(kind), little(place, 8), fixed("07000000 00000000 00000000 01"), little(size, 1), body)
+    vorbis = F.concat(fixed("01 766F72626973 00000000 01"), little(F.lit(8000), 4), zeros(14))
+    made = {
+        "mp3": F.concat(id3, F.unhex(F.repeat(F.lit(frame), n))),
+        "vbr": F.concat(fixed("FFF3 8400"), zeros(17), fixed("58696E67 00000001"), big(n, 4), zeros(300)),
+        "ogg": F.concat(page("02", F.lit(0), vorbis, F.lit(30)), page("00", n * 500, zeros(200), F.lit(200)), page("04", n * 1000, zeros(9), F.lit(9))),
+    }
+    rows = table(spark, d, "supplier").select("s_suppkey", F.explode(F.create_map(*(x for k, c in made.items() for x in (F.lit(k), c)))).alias("kind", "content"))
+    found = sounds.durations(rows.select(F.concat_ws(":", "kind", "s_suppkey").alias("path"), "content"))
+    return found.select(F.substring_index("path", ":", -1).cast("bigint").alias("s_suppkey"), F.substring_index("path", ":", 1).alias("kind"), "seconds")
+
+
+@query(f"""WITH {PX} SELECT DISTINCT 'gallery/' || replace(img, ' ', '_') || '/image.png' AS key, 16 AS width, 16 AS height FROM px WHERE img NOT LIKE '%7'""")
+def object_source(spark, d):
+    """Images written through the data source, some of them twice, and read back through it."""
+    objects.registered(spark)
+    folder = new_folder(spark, "objects")
+    key = F.concat(F.lit("gallery/"), F.replace("img", F.lit(" "), F.lit("_")), F.lit("/image.png"))
+    made = D.encoded(dense_image(spark, d), "png").filter(~F.col("img").endswith("7")).select(key.alias("key"), "content")
+    made.withColumn("content", F.lit(b"older")).write.format("objects").mode("append").save(folder)
+    made.write.format("objects").mode("append").save(folder)
+    found = spark.read.format("objects").option("bytesPerPartition", 4 << 20).load(folder)
+    return C.dimensions(found.select(F.col("key").alias("path"), "content")).select(F.col("path").alias("key"), "width", "height")
+
+
 @query("SELECT lower(r_name) || '/' || lower(n_name) AS route FROM nation JOIN region ON n_regionkey = r_regionkey")
 def page_folders(spark, d):
     """Writes a page for each route and lists the folders that hold one."""

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tessel.catalog import query, table
 from tessel.operators import engagement, listing
 from tessel.operators.listing import ListQuery
+from tessel.shared import new_folder
+from tessel.sources.versions import VersionedTable
 
 LIST = ListQuery(equal={"o_orderstatus": "O"}, search="urgent", search_in="o_orderpriority", sort=["o_totalprice", "o_orderdate"], key="o_orderkey", page=1)
 AUTHOR = ["c_name", "c_mktsegment", "c_acctbal"]
@@ -120,7 +122,8 @@ def steps(spark, d):
 @query(f"""WITH s AS (SELECT event_id, user_id, ts, sum({STEPS}) OVER w AS s FROM events WHERE event_type IN ('signup', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
 SELECT event_id, user_id, CAST(s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS counter FROM s""")
 def counter_history(spark, d):
-    return engagement.saturating(steps(spark, d), "user_id", ["ts", "event_id"], "step").select("event_id", "user_id", "counter")
+    by_day = steps(spark, d).withColumn("day", F.to_date("ts"))
+    return engagement.saturating(by_day, "user_id", ["ts", "event_id"], "step", "day").select("event_id", "user_id", "counter")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT user_id, {STEPS} AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('signup', 'error')),
@@ -151,7 +154,9 @@ def owner_update(spark, d):
     o = orders(spark, d).select("o_orderkey", "o_custkey", "o_orderpriority")
     # changes by even users count; by others they name the wrong owner
     changes = o.filter("o_orderkey % 7 = 0").select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).otherwise(-1).alias("o_custkey"), F.lit("edited").alias("o_orderpriority"))
-    return engagement.updated(o, changes, "o_orderkey", "o_custkey", ["o_orderpriority"])
+    earlier = changes.withColumns({"o_orderpriority": F.lit("zzz"), "at": F.lit(1)})  # of two changes the later one counts
+    both = earlier.unionByName(changes.withColumn("at", F.lit(2)))
+    return engagement.updated(o, both, "o_orderkey", "o_custkey", ["o_orderpriority"], ["at"])
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_custkey % 3 = 0)")
@@ -216,3 +221,19 @@ def outcome_tally(spark, d):
 @query("SELECT max(o_orderkey) + 1 AS next_id, max(o_totalprice) AS most FROM orders")
 def next_id(spark, d):
     return orders(spark, d).agg((F.max("o_orderkey") + 1).alias("next_id"), F.max("o_totalprice").alias("most"))
+
+
+@query("""SELECT 'now' AS version, o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 AND o_custkey % 2 = 0 THEN 'last' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_custkey % 3 = 0)
+UNION ALL SELECT 'first', o_orderkey, o_custkey, o_orderpriority FROM orders""")
+def versioned_orders(spark, d):
+    """A table with changes, two of some keys and some by others than the owner, and deletions, compacted; and its first version."""
+    o = orders(spark, d).select("o_orderkey", "o_custkey", "o_orderpriority")
+    kept = VersionedTable(spark, new_folder(spark, "orders"), "o_orderkey")
+    first = kept.put(o)
+    some = o.filter("o_orderkey % 7 = 0").withColumn("o_custkey", F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).otherwise(-1))
+    twice = some.withColumn("at", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("o_orderpriority", F.when(F.col("at") == 2, "last").otherwise("zzz"))
+    kept.change(twice, "o_custkey", ["o_orderpriority"], order="at")
+    kept.delete(o.filter("o_orderkey % 5 = 0").withColumn("o_custkey", F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).otherwise(-1)), "o_custkey")
+    kept.compact()
+    named = lambda df, name: df.select(F.lit(name).alias("version"), *o.columns)
+    return named(kept.read(), "now").unionByName(named(kept.read(first), "first"))

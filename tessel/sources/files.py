@@ -60,8 +60,9 @@ def put(objects: DataFrame, folder: str) -> DataFrame:
                 if any(part in ("", ".", "..") for part in key.split("/")):
                     raise ValueError(f"no key: {key}")
                 path = f"{root}/{key}"
-                at = f"{root}/.part-{uuid.uuid4().hex}"
-                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                at = f"{root}/_temporary/{uuid.uuid4().hex}"  # readers skip this folder
+                for parent in (at, path):
+                    fs.create_dir(parent.rsplit("/", 1)[0], recursive=True)
                 with fs.open_output_stream(at) as out:
                     out.write(content)
                 fs.move(at, path)

@@ -14,14 +14,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessel.shared import new_folder
 
 
-def stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The files of a table as they come. ``path`` is a folder of part files or a single file;
+def stream(spark: SparkSession, path: str, like: DataFrame, files: int = 64) -> DataFrame:
+    """The files of a table as they come, so many a micro-batch at most. ``path`` is a folder of part files or a single file;
     Spark streams from folders only, so a single file is named by a glob that fits just it."""
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         path = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 64).parquet(path)
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def saturating(events: DataFrame, key: str, ts: str, tie: str, step: str) -> DataFrame:
