@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tessel.catalog import query, table
 from tessel.operators import dense as D
 from tessel.operators import pixels as P
+from tessel.operators import sequences as Q
+from tessel.operators import tiles as T
 
 SIDE = 16
 PX = """px AS (SELECT p_name || p_partkey AS img, CAST(i % 16 AS INTEGER) AS x, CAST(i // 16 AS INTEGER) AS y, CAST((i * 7 + p_size) % 256 AS INTEGER) AS r, CAST((i * 3 + p_partkey) % 256 AS INTEGER) AS g,
@@ -258,3 +260,34 @@ def edit_colours(spark, d):
     both = table(spark, d, "nation").withColumn("one", F.struct(F.lit(9).alias("r"), F.lit(8).alias("g"), F.lit(7).alias("b"), F.lit(255).alias("a"))).withColumn("two", F.struct(F.lit(1).alias("r")))
     edited = both.withColumn("one", F.col("one").withField("a", F.col("n_nationkey") * 10))
     return edited.select("n_nationkey", F.col("one.a").alias("alpha"), F.col("two.r").alias("first"), F.col("one.r").alias("second"))
+
+
+@query(f"""WITH RECURSIVE {PX}, k AS (SELECT *, CAST(regexp_extract(img, '[0-9]+$') AS BIGINT) AS key FROM px),
+m AS (SELECT key, x // 4 AS i, y // 4 AS j, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM k GROUP BY ALL),
+e AS (SELECT key // 24 AS seq, key % 24 AS pos, list(CAST(floor(v + 0.5) AS DOUBLE) ORDER BY j, i, c) AS v FROM (SELECT key, i, j, unnest([r, g, b]) AS v, unnest([0, 1, 2]) AS c FROM m) GROUP BY key),
+n AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY pos) AS i FROM e),
+f AS (SELECT seq, pos, i, v AS ref, true AS keep FROM n WHERE i = 1
+UNION ALL SELECT seq, pos, i, CASE WHEN far >= 48 * CAST(15 AS DOUBLE) THEN v ELSE ref END, far >= 48 * CAST(15 AS DOUBLE) FROM
+(SELECT n.seq, n.pos, n.i, n.v, f.ref, list_sum(list_transform(range(1, len(n.v) + 1), lambda k: abs(n.v[k] - f.ref[k]))) AS far FROM f JOIN n ON n.seq = f.seq AND n.i = f.i + 1))
+SELECT seq, pos FROM f WHERE keep""")
+def kept_images(spark, d):
+    """Sequences of 24 images without those that are near the last kept one: a mean difference of at least 1.5 times 10 of signatures of 4 x 4."""
+    frames = dense_image(spark, d, "p_partkey").select(F.floor(F.col("p_partkey") / 24).cast("bigint").alias("seq"), (F.col("p_partkey") % 24).alias("pos"), "w", "h", "data")
+    return Q.kept_frames(D.signatures(frames, 4), "seq", "pos", "signature", 1.5 * 10 * 48)
+
+
+@query(f"""WITH RECURSIVE {PX}, k AS (SELECT *, CAST(regexp_extract(img, '[0-9]+$') AS BIGINT) AS key FROM px),
+c AS MATERIALIZED (SELECT key // 64 AS sheet, CAST(key % 8 * 16 + x AS INTEGER) AS x, CAST(key % 64 // 8 * 16 + y AS INTEGER) AS y, CAST(r // 128 * 128 AS INTEGER) AS r FROM k),
+s AS (SELECT sheet, r FROM c WHERE x = 21 AND y = 5),
+o AS MATERIALIZED (SELECT c.sheet, c.x, c.y FROM c JOIN s ON s.sheet = c.sheet AND s.r = c.r),
+f AS (SELECT sheet, 21 AS x, 5 AS y FROM s UNION SELECT o.sheet, o.x, o.y FROM f, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) v(i, j), o WHERE o.sheet = f.sheet AND o.x = f.x + i AND o.y = f.y + j)
+SELECT c.sheet, c.x, c.y, CASE WHEN f.sheet IS NULL THEN c.r ELSE 7 END AS r FROM c LEFT JOIN f ON f.sheet = c.sheet AND f.x = c.x AND f.y = c.y""")
+def fill_sheets(spark, d):
+    """Sheets of 8 x 8 images, each image a tile, filled as one."""
+    key = F.col("p_partkey")
+    few = lambda s: np.stack([s[..., 0] // 128 * 128, *(np.full(s.shape[:3], v) for v in (0, 0, 255))], axis=3)
+    px = D.changed(dense_image(spark, d, "p_partkey"), few)
+    cells = px.select(F.floor(key / 64).cast("string").alias("img"), (key % 8).cast("int").alias("tx"), F.floor(key % 64 / 8).cast("int").alias("ty"), "w", "h", "data")
+    seeds = cells.select("img", F.lit(21).alias("x"), F.lit(5).alias("y")).distinct()
+    done = T.to_pixels(T.flood_fill(cells, seeds, (7, 0, 0, 255), SIDE), SIDE)
+    return done.select(F.col("img").cast("bigint").alias("sheet"), "x", "y", "r")

@@ -396,3 +396,96 @@ def test_jobs_are_converted_once(spark):
     made_ = {x["img"]: (x["kind"], bytes(x["content"])) for x in codecs.dispatched(table(spark, images), wanted).collect()}
     assert [made_[f"i{i}"][0] for i in range(4)] == ["bmp", "ico", "gif", "png"]
     assert (next(codecs.frames_of(made_["i1"][1]))[1] == dict(images)["i1"]).all()
+
+
+# Tiles
+
+
+def blobs(seed, n=3):
+    """Images of few colours whose regions wind through several tiles."""
+    r = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        h, w = int(r.integers(1, 150)), int(r.integers(1, 150))
+        coarse = r.integers(0, 2, (h // 3 + 1, w // 2 + 1)) * 90
+        grid = np.zeros((h, w, 4), np.uint8)
+        grid[..., 0] = np.kron(coarse, np.ones((3, 2), int))[:h, :w]
+        grid[..., 3] = 255
+        out.append((f"b{i}", grid))
+    spiral = np.zeros((61, 61, 4), np.uint8)
+    spiral[..., 3] = 255
+    for k in range(0, 30, 2):
+        spiral[k, k : 61 - k, 0] = spiral[60 - k, k : 61 - k, 0] = spiral[k : 61 - k, 60 - k, 0] = spiral[k + 2 : 61 - k, k, 0] = 200
+        spiral[k + 2, k + 1, 0] = 200
+    return [*out, ("spiral", spiral)]
+
+
+@pytest.mark.parametrize("side", [7, 64])
+def test_tiles_equal_the_kernels_of_whole_images(spark, side):
+    from tessel.operators import tiles
+
+    images = blobs(side)
+    df = tiles.cut(table(spark, images), side)
+    whole = {tuple(x) for x in tiles.to_pixels(df, side).collect()}
+    assert whole == {(k, x, y, *map(int, g[y, x])) for k, g in images for y in range(g.shape[0]) for x in range(g.shape[1])}
+    seeds = spark.createDataFrame([(k, g.shape[1] // 2, g.shape[0] // 3) for k, g in images if k != "b0"] + [("b0", 5000, 0)], "img string, x int, y int")
+    filled = {tuple(x) for x in tiles.to_pixels(tiles.flood_fill(df, seeds, (1, 2, 3, 4), side), side).collect()}
+    cleared = {tuple(x) for x in tiles.to_pixels(tiles.clear_from_corners(df, 10, side), side).collect()}
+    for k, g in images:
+        f = kernels.flood_fill(g.shape[1] // 2, g.shape[0] // 3, (1, 2, 3, 4))(g.astype(np.int32)) if k != "b0" else g
+        c = kernels.clear_from_corners(10)(g.astype(np.int32))
+        for want, got in ((f, filled), (c, cleared)):
+            assert {(k, x, y, *map(int, want[y, x])) for y in range(g.shape[0]) for x in range(g.shape[1])} == {p for p in got if p[0] == k}, k
+
+
+def test_components_in_one_task_and_beyond(spark):
+    from tessel.operators import graph
+
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)] + [(3, None)]
+    root = {i: i for e in edges for i in e if i is not None}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if b is not None:
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(4)
+    for bound in (0, 10_000):
+        assert {x.node: x.root for x in graph.components(df, bound).collect()} == {i: top(i) for i in root if top(i) != i}
+    assert graph.components(df.limit(0)).count() == 0
+
+
+def test_parts_of_a_tile():
+    from tessel.operators import tiles
+
+    r = np.random.default_rng(6)
+    for _ in range(40):
+        kind = r.integers(-1, 2, (int(r.integers(1, 12)), int(r.integers(1, 12))))
+        got = tiles.parts(kind)
+        for y, x in np.ndindex(*kind.shape):
+            if kind[y, x] < 0:
+                assert got[y, x] == -1
+                continue
+            same = kernels.region(kind == kind[y, x], x, y)
+            assert got[y, x] == np.flatnonzero(same.ravel())[0]
+
+
+@pytest.mark.parametrize("side", [1, 3, 8])
+def test_signatures_by_plain_means(spark, side):
+    images = made(13, 20)
+    got = {r["img"]: list(r["signature"]) for r in dense.signatures(table(spark, images), side).collect()}
+    for k, g in images:
+        h, w = g.shape[:2]
+        want = []
+        for j in range(side):
+            for i in range(side):
+                ys, xs = range(j * h // side, max(j * h // side + 1, (j + 1) * h // side)), range(i * w // side, max(i * w // side + 1, (i + 1) * w // side))
+                for c in range(3):
+                    cells = [int(g[y, x, c]) for y in ys for x in xs]
+                    want.append(int(sum(cells) / len(cells) + 0.5))
+        assert got[k] == want
