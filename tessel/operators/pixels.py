@@ -229,6 +229,16 @@ def outlined(px: DataFrame, x0: int, y0: int, x1: int, y1: int, colour: tuple[in
     return px.select(*(F.when(edge, F.lit(colour[RGBA.index(c)])).otherwise(F.col(c)).alias(c) if c in RGBA else F.col(c) for c in px.columns))
 
 
+def with_alpha(colour: Column, alpha: Column) -> Column:
+    """A colour (r, g, b, a) with another alpha, 0 to 255."""
+    return colour.withField("a", F.greatest(F.lit(0), F.least(F.lit(255), alpha)).cast("int"))
+
+
+def swapped_colours(df: DataFrame, first: str, second: str) -> DataFrame:
+    """The two colours in each other's place."""
+    return df.withColumns({first: F.col(second), second: F.col(first)})
+
+
 def in_palette(px: DataFrame, palette: list[tuple[int, int, int]]) -> DataFrame:
     """Extension: each pixel in the nearest colour (L1) of a palette, which callers bring along;
     the first of colours that tie."""

@@ -120,6 +120,15 @@ def active(frames: DataFrame, selected: DataFrame, seq: str, key: str) -> DataFr
     return frames.join(marks, [seq, key], "left").withColumn("_any", F.max("_on").over(w)).filter("_any is null or _on = 1").drop("_on", "_any")
 
 
+def selection_after(frames: DataFrame, selected: DataFrame, actions: DataFrame, seq: str, key: str) -> DataFrame:
+    """The selection (seq, key) of each sequence after its action (``actions``: seq, action): ``all`` selects every frame,
+    ``none`` clears, anything else, or no action, leaves the frames that were selected; ids without a frame drop out."""
+    marks = selected.select(seq, key).distinct().withColumn("_on", F.lit(True))
+    told = frames.select(seq, key).join(actions.select(seq, "action"), seq, "left").join(marks, [seq, key], "left")
+    chosen = F.when(F.col("action") == "all", True).when(F.col("action") == "none", False).otherwise(F.coalesce("_on", F.lit(False)))
+    return told.filter(chosen).select(seq, key)
+
+
 def with_size(df: DataFrame, seq: str) -> DataFrame:
     return df.withColumn("n", F.count("*").over(Window.partitionBy(seq)))
 

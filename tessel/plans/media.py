@@ -62,6 +62,14 @@ def draw_line(spark, d):
     return K.drawn(shapes(spark, d), lambda s: K.line(0, 0, 9 + 2 * (s.g % 3), s.ry), SIDE, SIDE).select("img", "x", "y", "g")
 
 
+@query("""WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS img, p_size AS g, CAST(2 * (1 + p_size % 5) AS BIGINT) AS dx, CAST(p_partkey % 6 AS BIGINT) AS dy FROM part), t AS (SELECT *, least(dx, dy) AS short, greatest(dx, dy) AS long FROM s),
+p AS (SELECT img, g, dx, dy, t, (2 * t * short + long) // (2 * long) AS u FROM (SELECT *, unnest(range(long + 1)) AS t FROM t))
+SELECT img, CAST(CASE WHEN dx >= dy THEN t ELSE u END AS INTEGER) AS x, CAST(CASE WHEN dx >= dy THEN u ELSE t END AS INTEGER) AS y, g FROM p""")
+def draw_tied_lines(spark, d):
+    """Lines with pixels half-way between two rows or columns: the one farther from the start is taken."""
+    return K.drawn(shapes(spark, d), lambda s: K.line(0, 0, 2 * (1 + s.g % 5), s.ry), SIDE, SIDE).select("img", "x", "y", "g")
+
+
 #: One step of the midpoint rule: flat columns first, then steep rows (radii of 1 to 6).
 ELLIPSE = """WITH RECURSIVE s AS (SELECT CAST(p_partkey AS VARCHAR) AS img, p_size AS g, CAST(p_size % 7 AS BIGINT) AS rx, CAST(p_partkey % 6 AS BIGINT) AS ry FROM part),
 q AS (SELECT img, g, rx * rx AS a, ry * ry AS b, CAST(0 AS BIGINT) AS x, ry AS y, CAST(0 AS BIGINT) <= rx * rx * ry AS flat FROM s WHERE rx > 0 AND ry > 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessel.catalog import query, table
 from tessel.operators import dense as D
+from tessel.operators import kernels as K
 from tessel.operators import pixels as P
 from tessel.operators import sequences as Q
 from tessel.operators import tiles as T
@@ -147,6 +148,12 @@ def resize_canvas(spark, d):
     return P.resized(image(spark, d), SIDE, SIDE, 12, 300, scale=False)
 
 
+@query(f"""WITH {PX}, u AS (SELECT CAST(unnest(range(24)) AS INTEGER) AS t), v AS (SELECT CAST(unnest(range(9)) AS INTEGER) AS t)
+SELECT img, u.t AS x, v.t AS y, r, g, b, a FROM px JOIN u ON x = floor((u.t + 0.5) * 16 / 24) JOIN v ON y = floor((v.t + 0.5) * 16 / 9)""")
+def scale_canvas(spark, d):
+    return P.resized(image(spark, d), SIDE, SIDE, 24, 9, scale=True)
+
+
 @query("""SELECT p_partkey, CAST(greatest(1, floor(w * k + 0.5)) AS BIGINT) AS cell_w, CAST(greatest(1, floor(h * k + 0.5)) AS BIGINT) AS cell_h FROM
 (SELECT *, least(1.0, 256 / greatest(w, h)) AS k FROM (SELECT p_partkey, CAST(p_size * 20 AS DOUBLE) AS w, CAST(1 + p_partkey % 700 AS DOUBLE) AS h FROM part))""")
 def suggested_cells(spark, d):
@@ -250,16 +257,28 @@ def merge_down(spark, d):
     return D.to_pixels(D.blended(both, "top", 40))
 
 
+@query(f"""WITH {PX}, l AS (SELECT *, CASE WHEN (x - 7) ** 2 + (y - 7) ** 2 <= 25 / CAST(4 AS DOUBLE) THEN 128 / CAST(255 AS DOUBLE) ELSE 0.0::DOUBLE END AS s, a / CAST(255 AS DOUBLE) AS v FROM px)
+SELECT img, x, y, {', '.join(f"CASE WHEN s <= 0 THEN {c} ELSE {OVER.format(c=w, u=c)} END AS {c}" for c, w in zip('rgb', (200, 30, 90)))}, CASE WHEN s <= 0 THEN a ELSE {channel('(s + v * (1 - s)) * 255')} END AS a FROM l""")
+def stamp_colours(spark, d):
+    """A half-transparent brush laid over each image."""
+    px = image(spark, d)
+    marks = table(spark, d, "part").select(F.concat("p_name", "p_partkey").alias("img"), *(F.lit(v).alias(c) for c, v in zip("rgba", (200, 30, 90, 128))))
+    return P.blended(px, K.drawn(marks, lambda s: [(7 + x, 7 + y) for x, y in K.brush(5)], SIDE, SIDE))
+
+
 @query(f"WITH {PX} SELECT img, x, y, CAST(floor(r / 51 + 0.5) * 36 + floor(g / 51 + 0.5) * 6 + floor(b / 51 + 0.5) AS INTEGER) AS index, CAST(floor(r / 51 + 0.5) * 51 AS INTEGER) AS r FROM px")
 def quantise_colours(spark, d):
     return P.quantised(image(spark, d)).select("img", "x", "y", "index", "r")
 
 
-@query("SELECT n_nationkey, {'r': 9, 'g': 8, 'b': 7, 'a': n_nationkey * 10}.a AS alpha, 1 AS first, 9 AS second FROM nation")
+@query("""SELECT p_partkey, p_size * 3 % 256 AS first_r, p_size AS first_g, 255 AS first_a, CAST(p_partkey % 256 AS INTEGER) AS second_r, CAST(p_partkey * 7 % 256 AS INTEGER) AS second_b, CAST(least(255, p_size * 10) AS INTEGER) AS second_a FROM part""")
 def edit_colours(spark, d):
-    both = table(spark, d, "nation").withColumn("one", F.struct(F.lit(9).alias("r"), F.lit(8).alias("g"), F.lit(7).alias("b"), F.lit(255).alias("a"))).withColumn("two", F.struct(F.lit(1).alias("r")))
-    edited = both.withColumn("one", F.col("one").withField("a", F.col("n_nationkey") * 10))
-    return edited.select("n_nationkey", F.col("one.a").alias("alpha"), F.col("two.r").alias("first"), F.col("one.r").alias("second"))
+    """The first of two colours gets another alpha; then they change places."""
+    colour = lambda r, g, b: F.struct(*(c.cast("int").alias(k) for k, c in zip("rgba", (r, g, b, F.lit(255)))))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    both = table(spark, d, "part").select("p_partkey", "p_size", colour(key % 256, size, key * 7 % 256).alias("one"), colour(size * 3 % 256, size, key % 7).alias("two"))
+    done = P.swapped_colours(both.withColumn("one", P.with_alpha(F.col("one"), size * 10)), "one", "two")
+    return done.select("p_partkey", *(F.col(f"one.{c}").alias(f"first_{c}") for c in "rga"), *(F.col(f"two.{c}").alias(f"second_{c}") for c in "rba"))
 
 
 @query(f"""WITH RECURSIVE {PX}, k AS (SELECT *, CAST(regexp_extract(img, '[0-9]+$') AS BIGINT) AS key FROM px),

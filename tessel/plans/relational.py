@@ -10,6 +10,7 @@ from tessel.catalog import query, table
 from tessel.operators import engagement, listing
 from tessel.operators.listing import ListQuery
 from tessel.shared import new_folder
+from tessel.sources import files
 from tessel.sources.versions import VersionedTable
 
 LIST = ListQuery(equal={"o_orderstatus": "O"}, search="urgent", search_in="o_orderpriority", sort=["o_totalprice", "o_orderdate"], key="o_orderkey", page=1)
@@ -180,6 +181,16 @@ def append_rows(spark, d):
     return e.unionByName(new)
 
 
+@query("SELECT event_type, event_id, user_id FROM events WHERE event_type <> 'error' UNION ALL SELECT 'view', event_id + 1000000000, user_id FROM events WHERE event_type = 'click'")
+def append_table(spark, d):
+    """Rows written to a table in partitions by type, more of them added later, and some types read back."""
+    folder = new_folder(spark, "events")
+    e = table(spark, d, "events").select("event_type", "event_id", "user_id")
+    files.append(e, folder, ["event_type"])
+    files.append(e.filter("event_type = 'click'").select(F.lit("view").alias("event_type"), F.col("event_id") + 1_000_000_000, "user_id").toDF(*e.columns), folder, ["event_type"])
+    return spark.read.schema(e.schema).parquet(folder).filter("event_type <> 'error'").select("event_type", "event_id", "user_id")
+
+
 @query("SELECT o_orderkey, true AS can_read, coalesce(o_custkey = 5, false) AS can_write, false AS can_purge FROM orders")
 def row_policies(spark, d):
     rules, me = {"select": "all", "update": "owner"}, F.lit(5)

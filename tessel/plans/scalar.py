@@ -31,6 +31,13 @@ def byte_sizes(spark, d):
     return table(spark, d, "pages").select("page_id", S.byte_size(n).alias("size"))
 
 
+@query("""SELECT page_id, CASE WHEN n < 1048576 THEN printf('%.1f', round(n / 1024, 1)) || ' KB' ELSE printf('%.2f', round(n / 1048576, 2)) || ' MB' END AS size
+FROM (SELECT page_id, length(html) * (1 + page_id % 4000) + 1024 AS n FROM pages)""")
+def byte_sizes_fine(spark, d):
+    n = F.char_length("html").cast("bigint") * (1 + F.col("page_id") % 4000) + 1024
+    return table(spark, d, "pages").select("page_id", S.byte_size(n, 2).alias("size"))
+
+
 @query("""WITH f AS (SELECT p_partkey, p_name || '.' || (['png', 'JPG', 'tiff', 'webp'])[1 + p_partkey % 4] AS file FROM part)
 SELECT p_partkey, CASE lower(split_part(file, '.', -1)) WHEN 'png' THEN 'PNG' WHEN 'jpg' THEN 'JPEG' WHEN 'webp' THEN 'WebP' ELSE upper(split_part(file, '.', -1)) END AS label,
 regexp_replace(file, '\\.[^.]+$', '') AS stem, CASE p_partkey % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'mp3' ELSE 'bin' END AS ext FROM f""")
@@ -90,6 +97,25 @@ def token_claims(spark, d):
     return users.select("user_id", got["sub"].alias("sub"), (got["exp"] > 1700000000).alias("valid"))
 
 
+@query("""SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'site' END AS aud, CASE user_id % 2 WHEN 0 THEN 'member' ELSE 'guest' END AS role, user_id % 3 = 0 AND user_id % 2 = 0 AS accepted FROM (SELECT DISTINCT user_id FROM events)""")
+def token_audiences(spark, d):
+    users = table(spark, d, "events").select("user_id").distinct()
+    aud = F.when(F.col("user_id") % 3 == 0, F.lit(',"aud":"site"')).otherwise("")
+    body = F.concat(F.lit('{"role":"'), F.when(F.col("user_id") % 2 == 0, "member").otherwise("guest"), F.lit('"'), aud, F.lit("}"))
+    token = F.concat(F.lit("e30."), F.rtrim(F.translate(F.base64(F.encode(body, "UTF-8")), "+/\r\n", "-_"), F.lit("=")), F.lit(".sig"))
+    got = users.withColumn("c", S.claims(token, "aud string, role string"))
+    return got.select("user_id", "c.aud", "c.role", F.coalesce((F.col("c.aud") == "site") & (F.col("c.role") == "member"), F.lit(False)).alias("accepted"))
+
+
+@query("""SELECT event_id, nullif(regexp_replace(regexp_replace(t, '^[\\s\\x{A0}\\x{2003}\\x{3000}]+', ''), '[\\s\\x{A0}\\x{2003}\\x{3000}]+$', ''), '') AS title
+FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN chr(12288) || chr(9) || chr(160) WHEN 1 THEN chr(8195) || event_type || chr(160) || ' ' ELSE event_type || chr(10) END AS t FROM events)""")
+def wide_blanks(spark, d):
+    """White space beyond ASCII is trimmed too."""
+    kind = F.col("event_id") % 3
+    raw = F.when(kind == 0, F.lit("\u3000\t\u00a0")).when(kind == 1, F.concat(F.lit("\u2003"), "event_type", F.lit("\u00a0 "))).otherwise(F.concat("event_type", F.lit("\n")))
+    return table(spark, d, "events").select("event_id", S.blank_to_null(raw).alias("title"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'type' WHEN p_size * 200000 > 5242880 THEN 'size' END AS fault,
 CASE WHEN p_size * 200000 > 5242880 THEN 'size' WHEN p_size % 3 = 0 THEN 'type' END AS fault_size_first,
 CASE WHEN p_size * 200000 > 5242880 THEN 'too large' WHEN p_size % 3 = 0 THEN 'unsupported' ELSE 'ok' END AS message FROM part""")

@@ -142,10 +142,12 @@ def undo_redo(spark, d):
     return Q.undo_redo(log, "user_id", ["ts", "event_id"], "action", "event_id", 10)
 
 
-@query(f"SELECT label, vec_id, vec_id % 3 = 0 AS before, true AS chosen, false AS cleared FROM ({FRAMES})")
+@query("SELECT label, vec_id FROM embeddings WHERE label % 3 = 1 OR (label % 3 = 2 AND vec_id % 4 = 0)")
 def select_and_clear(spark, d):
-    picked = frames(spark, d).withColumn("before", F.col("vec_id") % 3 == 0)
-    return picked.select("label", "vec_id", "before", (F.col("before") | True).alias("chosen"), (F.col("before") & False).alias("cleared"))
+    """Of three sequences one is cleared, one selected whole, and one left with every fourth frame."""
+    e = table(spark, d, "embeddings").select("label", "vec_id")
+    actions = e.select("label").distinct().withColumn("action", F.when(F.col("label") % 3 == 0, "none").when(F.col("label") % 3 == 1, "all"))
+    return Q.selection_after(e, e.filter("vec_id % 4 = 0"), actions, "label", "vec_id")
 
 
 LAYERS = "SELECT conv_id, list({'name': role || turn, 'visible': turn % 3 <> 0, 'opacity': 100 - turn} ORDER BY turn) AS layers FROM conversations GROUP BY conv_id"
