@@ -444,11 +444,12 @@ def in_kind(grid: Grid, kind: str) -> tuple[str, bytes]:
 
 
 def dispatched(images: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(img, kind, content): each dense image in the format that ``wanted`` (img, kind) names, as far as it can be written."""
+    """(img, kind, content): each dense image in the format that ``wanted`` (img, kind) names, as far as it can be written; no
+    content without data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [in_kind(np.frombuffer(d, np.uint8).reshape(h, w, 4).astype(np.int32), k) for w, h, d, k in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)))]
+            made = [(k, None) if d is None else in_kind(np.frombuffer(d, np.uint8).reshape(h, w, 4).astype(np.int32), k) for w, h, d, k in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)))]
             kind, content = zip(*made) if made else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kind, pa.string()), pa.array(content, pa.binary())], ["img", "kind", "content"])
 
@@ -482,7 +483,7 @@ BIN = 8
 def colour_counts(images: DataFrame, group: str) -> DataFrame:
     """(group, bin, n, r, g, b): how many pixels of each group of dense images fall in a bin of 8 x 8 x 8 colours, and
     the sums of their channels. A task sums a batch first; a group has at most 32,768 bins."""
-    rows = images.select(group, "data")
+    rows = images.filter(F.col("data").isNotNull()).select(group, "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -550,7 +551,7 @@ def palettes(counts: DataFrame, group: str, entries: int = 256) -> DataFrame:
 
 def indexed(images: DataFrame, tables: DataFrame, group: str) -> DataFrame:
     """``images`` with palette, and data as the entry of each pixel's bin in its group's palette (one byte a pixel)."""
-    rows = images.join(tables, group)
+    rows = images.filter(F.col("data").isNotNull()).join(tables, group)
     names = images.columns
     data = names.index("data")
 

@@ -61,7 +61,7 @@ def by_size(w: list[int], h: list[int]) -> Iterator[tuple[int, int, list[int]]]:
 
 
 def changed(images: DataFrame, change: Change) -> DataFrame:
-    """``images`` (w, h, data and further columns) with ``change`` made to each; no shuffle."""
+    """``images`` (w, h, data and further columns) with ``change`` made to each; those without data stay so. No shuffle."""
     names = images.columns
     w, h, data = (names.index(c) for c in SHAPE)
 
@@ -69,9 +69,10 @@ def changed(images: DataFrame, change: Change) -> DataFrame:
         for batch in batches:
             for b in sliced(batch, data):
                 raw = b.column(data).to_pylist()
-                new: list = [None] * len(raw)
-                sizes: list = [None] * len(raw)
-                for x, y, at in by_size(b.column(w).to_pylist(), b.column(h).to_pylist()):
+                new, sizes = list(raw), list(zip(b.column(w).to_pylist(), b.column(h).to_pylist()))
+                for x, y, at in by_size(*zip(*sizes)):
+                    if not (at := [i for i in at if raw[i] is not None]):
+                        continue
                     made = change(stack_of([raw[i] for i in at], x, y))
                     for i, m in zip(at, bytes_of(made)):
                         new[i], sizes[i] = m, made.shape[2:0:-1]
@@ -124,8 +125,8 @@ def from_pixels(px: DataFrame, keys: list[str] = ["img"]) -> DataFrame:  # noqa:
 
 
 def to_pixels(images: DataFrame, keep: list[str] = ["img"]) -> DataFrame:  # noqa: B006
-    """A row (keep, x, y, r, g, b, a) for each pixel; no shuffle."""
-    rows = images.select(*keep, *SHAPE)
+    """A row (keep, x, y, r, g, b, a) for each pixel; images without data have none. No shuffle."""
+    rows = images.filter(F.col("data").isNotNull()).select(*keep, *SHAPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -381,7 +382,7 @@ def blended(images: DataFrame, top: str = "top", opacity: int = 100) -> DataFram
             for b in sliced(batch, data):
                 new, above = b.column(data).to_pylist(), b.column(len(names)).to_pylist()
                 for x, y, at in by_size(b.column(w).to_pylist(), b.column(h).to_pylist()):
-                    at = [i for i in at if above[i] is not None]
+                    at = [i for i in at if above[i] is not None and new[i] is not None]
                     if at:
                         upper = stack_of([above[i] for i in at], x, y)
                         made = over(upper, upper[..., 3] * opacity / 25500, stack_of([new[i] for i in at], x, y))
@@ -405,14 +406,14 @@ def ghosted(frames: DataFrame, seq: str, opacity: int) -> DataFrame:
 
 
 def encoded(images: DataFrame, kind: str, keep: list[str] = ["img"]) -> DataFrame:  # noqa: B006
-    """(keep, content): each image as a file of that kind; no shuffle."""
+    """(keep, content): each image as a file of that kind, null without data; no shuffle."""
     rows = images.select(*keep, *SHAPE)
     n, encode = len(keep), kernels.ENCODERS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in sliced(batch, n + 2):
-                made = [encode(stack_of([d], w, h)[0]) for w, h, d in zip(*(b.column(n + i).to_pylist() for i in range(3)))]
+                made = [None if d is None else encode(stack_of([d], w, h)[0]) for w, h, d in zip(*(b.column(n + i).to_pylist() for i in range(3)))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(made, pa.binary())], [*keep, "content"])
 
     return rows.mapInArrow(run, f"{schema_of(rows, keep)}, content binary")

@@ -489,3 +489,13 @@ def test_signatures_by_plain_means(spark, side):
                     cells = [int(g[y, x, c]) for y in ys for x in xs]
                     want.append(int(sum(cells) / len(cells) + 0.5))
         assert got[k] == want
+
+
+def test_images_without_data(spark):
+    rows = [("a", 1, 1, bytes([9] * 4)), ("b", 2, 2, None), ("c", None, None, None)]
+    df = spark.createDataFrame(rows, IMAGE)
+    assert {tuple(r)[:3] + (r["data"] and bytes(r["data"]),) for r in dense.changed(df, dense.on_white).collect()} == {("a", 1, 1, bytes([246, 246, 246, 255])), ("b", 2, 2, None), ("c", None, None, None)}
+    assert dense.to_pixels(df).count() == 1 and {r["img"]: r["content"] is None for r in dense.encoded(df, "bmp").collect()} == {"a": False, "b": True, "c": True}
+    wanted = spark.createDataFrame([("a", "gif"), ("b", "gif")], "img string, kind string")
+    assert {(r["img"], r["content"] is None) for r in codecs.dispatched(df, wanted).collect()} == {("a", False), ("b", True)}
+    assert codecs.colour_counts(df, "img").count() == 1
