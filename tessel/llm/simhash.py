@@ -136,8 +136,8 @@ def links(nodes: DataFrame, pairs: int = PAIRS) -> DataFrame:
     chosen = list(combinations(range(BLOCKS), BLOCKS - BITS))
     keys = F.array(*(F.xxhash64(F.lit(t), *(F.col("d")[i][k] for i in blocks for k in range(PIVOTS))) for t, blocks in enumerate(chosen)))
     keyed = pivot_table(nodes).select("fp", "d", F.explode(keys).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    member = stored(keyed.join(sizes, "key"), "buckets")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("rows", F.col("n"))
+    member = stored(with_looked_up(keyed, sizes, "key", "rows", nodes.count() * len(chosen)), "buckets")
     few = member.filter(F.col("n") <= pairs)
     x, y = few.select("key", F.col("fp").alias("a"), F.col("d").alias("da")), few.select("key", F.col("fp").alias("b"), F.col("d").alias("db"))
     differ = [[F.abs(F.col("da")[i][k] - F.col("db")[i][k]) for i in range(BLOCKS)] for k in range(PIVOTS)]
