@@ -5,6 +5,7 @@ A commit writes its rows into a new folder and then renames a finished manifest
 fails if another writer has taken it: a version is there whole or not at all, and two writers can't both make it.
 Readers take a version; writers later than it don't touch its files. Rows carry the number of the version that wrote
 them, and of a key's rows the last one counts; a deletion is such a row. ``compact`` replaces the log by the rows it stands for.
+Keys aren't null. A folder holds one row of a key.
 
 Manifests name folders only (one a commit), so the driver holds little; rows are read, joined and reduced by Spark.
 """
@@ -99,13 +100,16 @@ class VersionedTable:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, the last one if it isn't given."""
         at = self._base(version)
-        found = self.manifest(at)
-        rows = self.spark.read.parquet(*(f"{self.folder}/{x}" for x in found["folders"]))
-        names = [c for c in rows.columns if c not in ("_version", "_gone")]
-        if len(found["folders"]) == 1:
-            return rows.filter(~F.col("_gone")).select(*names)
+        first, *later = (f"{self.folder}/{x}" for x in self.manifest(at)["folders"])
+        base = self.spark.read.parquet(first)
+        names = [c for c in base.columns if c not in ("_version", "_gone")]
+        if not later:
+            return base.filter(~F.col("_gone")).select(*names)
+        # rows of the first folder that nothing has touched pass without being grouped
+        rows = self.spark.read.parquet(*later)
         last = rows.groupBy(self.key).agg(F.max_by(F.struct(*names, "_gone"), "_version").alias("_row"))
-        return last.filter(~F.col("_row._gone")).select(*(F.col(f"_row.{c}").alias(c) for c in names))
+        changed = last.filter(~F.col("_row._gone")).select(*(F.col(f"_row.{c}").alias(c) for c in names))
+        return base.filter(~F.col("_gone")).join(rows.select(self.key).distinct(), self.key, "left_anti").select(*names).unionByName(changed)
 
     def compact(self, base: int | None = None) -> int:
         """A version of the same rows in one folder."""
