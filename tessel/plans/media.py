@@ -14,7 +14,7 @@ from tessel.operators import kernels as K
 from tessel.operators import pixels as P
 from tessel.plans.raster import PX, SIDE, dense_image, image
 from tessel.shared import new_folder
-from tessel.sources import files, objects, sounds
+from tessel.sources import files, objects, sounds, videos
 
 
 def coarse(spark, d):
@@ -352,3 +352,57 @@ def page_folders(spark, d):
     route = F.concat_ws("/", F.lower("r_name"), F.lower("n_name"))
     files.put(pages.select(F.concat(route, F.lit("/index.html")).alias("key"), F.encode(F.concat(F.lit("<p>"), route), "UTF-8").alias("content")), folder).count()
     return files.listing(spark, folder)
+
+
+def films_of(w: int, h: int, n: int, unit: int, name: bytes) -> dict[str, bytes]:
+    """A file of each kind of container of a video of w x h pixels and ``n`` frames, ``unit`` a second, behind
+    ``name`` as padding and, in two of them, a stream of another kind."""
+    box = lambda kind, *body: (8 + len(b"".join(body))).to_bytes(4, "big") + kind + b"".join(body)
+    element = lambda tag, *body: bytes.fromhex(tag) + (0x10000000 + len(b"".join(body))).to_bytes(4, "big") + b"".join(body)
+    four = lambda x: x.to_bytes(4, "big")
+
+    def chunk(kind: bytes, *body: bytes) -> bytes:
+        whole = b"".join(body)
+        return kind + len(whole).to_bytes(4, "little") + whole + bytes(len(whole) % 2)
+
+    sizes, rate = (b"".join(x.to_bytes(4, "little") for x in xs) for xs in ((40, w, h), (1, unit)))
+    stream = chunk(b"LIST", b"strl", chunk(b"strh", b"vids", bytes(16), rate, bytes(28)), chunk(b"strf", sizes, b"\1\0\x18\0", bytes(24)))
+    length = bytes(12) + four(unit) + four(n) + bytes(80)
+    kind = lambda x: box(b"hdlr", bytes(8), x, bytes(13))
+    media = box(b"mdia", box(b"mdhd", length), kind(b"vide"), box(b"minf", box(b"stbl", box(b"stsz", bytes(8), four(n)))))
+    tracks = box(b"trak", box(b"tkhd", bytes(84)), box(b"mdia", kind(b"soun"))) + box(b"trak", box(b"tkhd", bytes(76), four(w << 16), four(h << 16)), media)
+    picture = element("E0", element("B0", four(w)), element("BA", four(h)))
+    entries = element("AE", element("83", b"\2")) + element("AE", element("83", b"\1"), element("23E383", four(1_000_000_000 // unit)), picture)
+    info = element("1549A966", element("2AD7B1", four(500_000)), element("4489", bytes.fromhex("40C3880000000000")))
+    return {
+        "avi": chunk(b"RIFF", b"AVI ", chunk(b"JUNK", name), chunk(b"LIST", b"hdrl", stream), chunk(b"LIST", b"movi", n * chunk(b"00db", b"\0"))),
+        "mp4": box(b"ftyp", b"isom") + box(b"free", name) + box(b"moov", box(b"mvhd", length), tracks),
+        "webm": bytes.fromhex("1A45DFA380") + element("18538067", element("EC", name), info, element("1654AE6B", entries)),
+    }
+
+
+@query("""WITH p AS (SELECT p_partkey, 1 + p_size * 97 % 5000 AS w, 1 + p_partkey * 31 % 9000 AS h, p_partkey % 40 + 1 AS n, CASE p_size % 3 WHEN 0 THEN 25 WHEN 1 THEN 20 ELSE 50 END AS unit FROM part)
+SELECT p_partkey, kind, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, CASE WHEN kind = 'webm' THEN CAST(5 AS DOUBLE) ELSE n / CAST(unit AS DOUBLE) END AS seconds, CAST(unit AS DOUBLE) AS rate FROM p, (VALUES ('avi'), ('mp4'), ('webm')) v(kind)""")
+def video_facts(spark, d):
+    """What containers of three kinds say, each behind padding of varying length and, in two, a stream of another kind."""
+    unit = F.element_at(F.array(F.lit(25), F.lit(20), F.lit(50)), F.col("p_size") % 3 + 1)
+    parts = table(spark, d, "part").select("p_partkey", (1 + F.col("p_size") * 97 % 5000).alias("w"), (1 + F.col("p_partkey") * 31 % 9000).alias("h"), (F.col("p_partkey") % 40 + 1).alias("n"), unit.alias("unit"), F.col("p_name").alias("name"))
+
+    def run(batches):
+        for b in batches:
+            made = [(f"{kind}:{row[0]}", x) for row in zip(*(c.to_pylist() for c in b.columns)) for kind, x in films_of(*row[1:5], row[5].encode()).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], ["path", "content"])
+
+    found = videos.facts(parts.mapInArrow(run, "path string, content binary"))
+    return found.filter(F.col("kind") == F.substring_index("path", ":", 1)).select(F.substring_index("path", ":", -1).cast("bigint").alias("p_partkey"), "kind", "width", "height", "seconds", "rate")
+
+
+@query(f"""WITH {PX}, k AS (SELECT *, CAST(regexp_extract(img, '[0-9]+$') AS BIGINT) AS key FROM px), o AS (SELECT *, key // 24 AS seq, row_number() OVER (PARTITION BY key // 24, x, y ORDER BY key) - 1 AS pos FROM k)
+SELECT seq, CAST(pos // 4 AS INTEGER) AS idx, x, y, {', '.join(f"{LAID.format(c=c)} AS {c}" for c in 'rgb')} FROM o WHERE pos % 4 = 0""")
+def sampled_videos(spark, d):
+    """Videos of 12 frames a second, sampled each 10 frames of an assumed rate of 30: each fourth frame."""
+    key = F.col("p_partkey")
+    frames = dense_image(spark, d, "p_partkey").select(F.floor(key / 24).cast("bigint").alias("seq"), (key % 24).cast("int").alias("pos"), "w", "h", "data")
+    made = videos.written(frames, 12).select(F.col("seq").cast("string").alias("path"), "content")
+    shown = videos.sampled(made, 10).filter("reason is null").withColumn("seq", F.col("path").cast("bigint"))
+    return D.to_pixels(shown.select("seq", "idx", "w", "h", "data"), ["seq", "idx"]).drop("a")
