@@ -419,30 +419,37 @@ def encoded(images: DataFrame, kind: str, keep: list[str] = ["img"]) -> DataFram
     return rows.mapInArrow(run, f"{schema_of(rows, keep)}, content binary")
 
 
+def cell_means(stack: Stack, side: int) -> np.ndarray:
+    """(n, side * side * 3): red, green and blue of each of ``side`` x ``side`` cells, the mean of the pixels that fall in
+    a cell (of the one that it falls in, where there are fewer pixels than cells)."""
+
+    def sides(length: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(side) * length // side
+        return at, np.maximum(at + 1, np.arange(1, side + 1) * length // side)
+
+    total = np.pad(stack[..., :3].astype(np.int64), ((0, 0), (1, 0), (1, 0), (0, 0))).cumsum(axis=1).cumsum(axis=2)
+    (top, bottom), (left, right) = sides(stack.shape[1]), sides(stack.shape[2])
+    cell = lambda y, x: total[:, y][:, :, x]
+    sums = cell(bottom, right) - cell(top, right) - cell(bottom, left) + cell(top, left)
+    return channel(sums / ((bottom - top)[:, None] * (right - left))[..., None]).reshape(len(stack), -1)
+
+
 def signatures(images: DataFrame, side: int = 64) -> DataFrame:
-    """(columns of ``images`` but w, h and data, signature array<int>): red, green and blue of each image scaled to ``side`` x ``side``,
-    by the mean of the pixels that fall in a cell (of the one that it falls in, where there are fewer pixels than cells). What
+    """(columns of ``images`` but w, h and data, signature array<int>): ``cell_means`` of each image, null without data. What
     frames are compared by; made where the image is read."""
     keep = [c for c in images.columns if c not in SHAPE]
     rows = images.select(*keep, *SHAPE)
     n = len(keep)
 
-    def sides(length: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(side) * length // side
-        return at, np.maximum(at + 1, np.arange(1, side + 1) * length // side)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in sliced(batch, n + 2):
                 raw, out = b.column(n + 2).to_pylist(), [None] * b.num_rows
                 for w, h, at in by_size(b.column(n).to_pylist(), b.column(n + 1).to_pylist()):
-                    total = np.pad(stack_of([raw[i] for i in at], w, h)[..., :3].astype(np.int64), ((0, 0), (1, 0), (1, 0), (0, 0))).cumsum(axis=1).cumsum(axis=2)
-                    (top, bottom), (left, right) = sides(h), sides(w)
-                    cell = lambda y, x: total[:, y][:, :, x]
-                    sums = cell(bottom, right) - cell(top, right) - cell(bottom, left) + cell(top, left)
-                    mean = channel(sums / ((bottom - top)[:, None] * (right - left))[..., None])
-                    for i, m in zip(at, mean):
-                        out[i] = m.ravel().tolist()
+                    if not (at := [i for i in at if raw[i] is not None]):
+                        continue
+                    for i, m in zip(at, cell_means(stack_of([raw[i] for i in at], w, h), side)):
+                        out[i] = m.tolist()
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.list_(pa.int32()))], [*keep, "signature"])
 
     return rows.mapInArrow(run, ", ".join([schema_of(rows, keep), "signature array<int>"]))

@@ -397,12 +397,29 @@ def video_facts(spark, d):
     return found.filter(F.col("kind") == F.substring_index("path", ":", 1)).select(F.substring_index("path", ":", -1).cast("bigint").alias("p_partkey"), "kind", "width", "height", "seconds", "rate")
 
 
+def films(spark, d):
+    """Uncompressed videos of 24 images each, 12 a second."""
+    key = F.col("p_partkey")
+    frames = dense_image(spark, d, "p_partkey").select(F.floor(key / 24).cast("bigint").alias("seq"), (key % 24).cast("int").alias("pos"), "w", "h", "data")
+    return videos.written(frames, 12).select(F.col("seq").cast("string").alias("path"), "content")
+
+
 @query(f"""WITH {PX}, k AS (SELECT *, CAST(regexp_extract(img, '[0-9]+$') AS BIGINT) AS key FROM px), o AS (SELECT *, key // 24 AS seq, row_number() OVER (PARTITION BY key // 24, x, y ORDER BY key) - 1 AS pos FROM k)
 SELECT seq, CAST(pos // 4 AS INTEGER) AS idx, x, y, {', '.join(f"{LAID.format(c=c)} AS {c}" for c in 'rgb')} FROM o WHERE pos % 4 = 0""")
 def sampled_videos(spark, d):
     """Videos of 12 frames a second, sampled each 10 frames of an assumed rate of 30: each fourth frame."""
-    key = F.col("p_partkey")
-    frames = dense_image(spark, d, "p_partkey").select(F.floor(key / 24).cast("bigint").alias("seq"), (key % 24).cast("int").alias("pos"), "w", "h", "data")
-    made = videos.written(frames, 12).select(F.col("seq").cast("string").alias("path"), "content")
-    shown = videos.sampled(made, 10).filter("reason is null").withColumn("seq", F.col("path").cast("bigint"))
+    shown = videos.sampled(films(spark, d), 10).filter("reason is null").withColumn("seq", F.col("path").cast("bigint"))
     return D.to_pixels(shown.select("seq", "idx", "w", "h", "data"), ["seq", "idx"]).drop("a")
+
+
+@query(f"""WITH RECURSIVE {PX}, k AS (SELECT CAST(regexp_extract(img, '[0-9]+$') AS BIGINT) AS key, x, y, {', '.join(f"{LAID.format(c=c)} AS {c}" for c in 'rgb')} FROM px),
+m AS (SELECT key, x // 4 AS i, y // 4 AS j, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM k WHERE key % 24 % 4 = 0 GROUP BY ALL),
+e AS (SELECT key // 24 AS seq, key % 24 // 4 AS idx, list(CAST(floor(v + 0.5) AS BIGINT) ORDER BY j, i, c) AS v FROM (SELECT key, i, j, unnest([r, g, b]) AS v, unnest([0, 1, 2]) AS c FROM m) GROUP BY key),
+f AS (SELECT seq, idx, v AS ref, true AS keep FROM e WHERE idx = 0
+UNION ALL SELECT seq, idx, CASE WHEN far >= 1000 THEN v ELSE ref END, far >= 1000 FROM
+(SELECT e.seq, e.idx, e.v, f.ref, list_sum(list_transform(range(1, 49), lambda k: abs(e.v[k] - f.ref[k]))) AS far FROM f JOIN e ON e.seq = f.seq AND e.idx = f.idx + 1))
+SELECT seq, CAST(idx AS INTEGER) AS idx, 16 AS w, 16 AS h FROM f WHERE keep""")
+def extracted_frames(spark, d):
+    """The sampled frames of each video that differ enough from the last one that stayed."""
+    shown = videos.sampled(films(spark, d), 10, least=1000, side=4).filter("reason is null")
+    return shown.select(F.col("path").cast("bigint").alias("seq"), "idx", "w", "h")

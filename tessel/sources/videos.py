@@ -222,10 +222,12 @@ def unreadable(v: Video | None) -> str | None:
     return None if v.places and v.rate >= SLOWEST and v.width > 0 and v.height > 0 else "no frames"
 
 
-def sampled(files: DataFrame, every: int, rate: float = 30.0) -> DataFrame:
+def sampled(files: DataFrame, every: int, rate: float = 30.0, least: float | None = None, side: int = 64) -> DataFrame:
     """(path, idx, ts, w, h, data, reason): the frame that is shown at each of the times of ``sequences.sample_times``,
     ``every`` frames of an assumed ``rate`` apart. A video that can't be read is one row with a reason and no
-    frame; a frame with too few bytes has a reason too."""
+    frame; a frame with too few bytes has a reason too. With ``least`` a frame stays if its signature (``side`` x ``side``
+    cells) differs by at least that much, in the L1 norm, from that of the last one that stayed, as in
+    ``sequences.kept_frames``: a file is read in order in one task, so frames are compared there and none is shuffled."""
     names = ["path", "idx", "ts", "w", "h", "data", "reason"]
     kinds = [pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
     step = every / rate
@@ -237,10 +239,17 @@ def sampled(files: DataFrame, every: int, rate: float = 30.0) -> DataFrame:
         if why := unreadable(v):
             yield path, None, None, None, None, None, why
             return
+        last = None
         for i in range(math.ceil(v.seconds / step)):
-            if i * step < v.seconds:
-                grid = pixels_of(data, v, min(len(v.places) - 1, int(i * step * v.rate + EARLY)))
-                yield (path, i, i * step, v.width, v.height, None, "cut off") if grid is None else (path, i, i * step, v.width, v.height, grid.tobytes(), None)
+            if not i * step < v.seconds:
+                break
+            grid = pixels_of(data, v, min(len(v.places) - 1, int(i * step * v.rate + EARLY)))
+            if grid is not None and least is not None:
+                own = dense.cell_means(grid[None], side)[0].astype(np.int64)
+                if last is not None and np.abs(own - last).sum() < least:
+                    continue
+                last = own
+            yield (path, i, i * step, v.width, v.height, None, "cut off") if grid is None else (path, i, i * step, v.width, v.height, grid.tobytes(), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

@@ -499,3 +499,4 @@ def test_images_without_data(spark):
     wanted = spark.createDataFrame([("a", "gif"), ("b", "gif")], "img string, kind string")
     assert {(r["img"], r["content"] is None) for r in codecs.dispatched(df, wanted).collect()} == {("a", False), ("b", True)}
     assert codecs.colour_counts(df, "img").count() == 1
+    assert {r["img"]: r["signature"] for r in dense.signatures(df, 1).collect()} == {"a": [9, 9, 9], "b": None, "c": None}

@@ -136,3 +136,11 @@ def test_written_films_read_back(spark):
         laid = np.floor(a[..., :3] * (a[..., 3:] / 255) + 255 * (1 - a[..., 3:] / 255) + 0.5)
         assert (got[f"1:{i // 3}", i % 3][..., :3] == laid).all()
     assert videos.written(frames.limit(0), 10).count() == 0
+
+
+def test_frames_like_the_last_kept_one_go(spark):
+    grey = lambda v: np.full((4, 4, 3), v, np.uint8)
+    frames = [grey(v) for v in (0, 1, 2, 3, 1, 0, 9)]  # steps of one add up until they are three away
+    files = spark.createDataFrame([("a", film(frames)), ("b", film(frames[:1])), ("c", b"none")], "path string, content binary")
+    got = {(r.path, r.idx, r.reason) for r in videos.sampled(files, 3, least=3 * 2 * 2 * 3, side=2).select("path", "idx", "reason").collect()}
+    assert got == {("a", 0, None), ("a", 3, None), ("a", 5, None), ("a", 6, None), ("b", 0, None), ("c", None, "no video")}
