@@ -102,8 +102,9 @@ def composite(layers: DataFrame) -> DataFrame:
 
 
 def with_over(px: DataFrame, patch: DataFrame) -> DataFrame:
-    """``px`` with the pixels of ``patch`` in place of its own."""
-    p = patch.select("img", "x", "y", *(F.col(c).alias(f"_{c}") for c in RGBA), F.lit(True).alias("_hit"))
+    """``px`` with the pixels of ``patch`` in place of its own. Spark takes a table of pixels for as small as what it is made
+    from, so the joins of pixels here say that it isn't to be broadcast."""
+    p = patch.select("img", "x", "y", *(F.col(c).alias(f"_{c}") for c in RGBA), F.lit(True).alias("_hit")).hint("merge")
     return px.join(p, ["img", "x", "y"], "left").select("img", "x", "y", *(F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in RGBA))
 
 

@@ -24,6 +24,7 @@ def plan_of(df) -> str:
 #: Queries that joined tables of images, which Spark takes for as small as the parts that they are made from.
 SHUFFLED = [
     "adaptive_palettes",
+    "fill_rectangle",
 ]
 
 
@@ -39,3 +40,31 @@ def test_an_image_meets_a_small_lookup(spark):
     made = codecs.indexed(df, codecs.palettes(codecs.colour_counts(df, "seq"), "seq", 4), "seq")
     assert plan_of(made).count("MapInArrow") > plan_of(codecs.palettes(codecs.colour_counts(df, "seq"), "seq", 4)).count("MapInArrow") + 1
     assert [len(r["data"]) for r in made.collect()] == [64]
+
+
+def stack(seed, n=20):
+    r = np.random.default_rng(seed)
+    return [(f"i{i}", r.integers(0, 256, (int(r.integers(1, 9)), int(r.integers(1, 12)), 4)).astype(np.uint8)) for i in range(n)]
+
+
+def table(spark, images):
+    return spark.createDataFrame([(k, g.shape[1], g.shape[0], g.tobytes()) for k, g in images] + [("none", 3, 3, None)], IMAGE)
+
+
+@pytest.mark.parametrize("laid", [False, True])
+def test_marks_on_dense_rows(spark, monkeypatch, laid):
+    """Points beyond the edges are left out; images without marks and without data stay."""
+    monkeypatch.setattr(dense, "BYTES_AT_ONCE", 300)
+    images = stack(3)
+    colour = lambda i: (i, 200, 9, 120 + i)
+    marks = spark.createDataFrame([(f"i{i}", *colour(i)) for i in range(0, 20, 2)] + [("none", 1, 1, 1, 1)], "img string, r int, g int, b int, a int")
+    points = [(x, y) for x in range(-1, 5) for y in (0, 2, 2, 50)]
+    got = {r["img"]: r["data"] for r in dense.marked(table(spark, images), kernels.placed(marks, lambda s: points), laid, 70).collect()}
+    assert got.pop("none") is None and len(got) == 20
+    for i, (k, g) in enumerate(images):
+        want = g.astype(np.int32)
+        if i % 2 == 0:
+            for x, y in {p for p in points if 0 <= p[0] < g.shape[1] and 0 <= p[1] < g.shape[0]}:
+                top = np.array([[colour(i)]], np.int32)
+                want[y, x] = dense.over(top, top[..., 3] * 70 / 25500, want[y : y + 1, x : x + 1])[0, 0] if laid else top[0, 0]
+        assert (np.frombuffer(bytes(got[k]), np.uint8).reshape(g.shape) == want).all(), k
