@@ -191,7 +191,7 @@ def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def blended(px: DataFrame, patch: DataFrame, opacity: int = 100) -> DataFrame:
     """``px`` with the pixels of ``patch`` laid over its own, by their alpha times ``opacity``."""
-    p = patch.select("img", "x", "y", F.struct(*RGBA).alias("_top"))
+    p = patch.select("img", "x", "y", F.struct(*RGBA).alias("_top")).hint("merge")
     own, alpha = F.struct(*(F.col(c).cast("int").alias(c) for c in RGBA)), F.col("_top.a") * opacity / 25500
     mixed = F.when(F.col("_top").isNotNull(), over(F.col("_top"), alpha, own)).otherwise(own)
     return px.join(p, ["img", "x", "y"], "left").select("img", "x", "y", mixed.alias("_p")).select("img", "x", "y", "_p.*")
