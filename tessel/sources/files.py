@@ -26,7 +26,7 @@ def files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """Image files with ids and the sizes that their headers name."""
     found = files(spark, folder).filter(F.col("media").startswith("image/"))
-    return found.join(codecs.dimensions(found), "path").withColumn("id", F.xxhash64("path"))
+    return found.join(codecs.dimensions(found).hint("merge"), "path").withColumn("id", F.xxhash64("path"))
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:

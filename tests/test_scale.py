@@ -24,6 +24,8 @@ def plan_of(df) -> str:
 #: Queries that joined tables of images, which Spark takes for as small as the parts that they are made from.
 SHUFFLED = [
     "adaptive_palettes",
+    "encode_files",
+    "convert_pending",
     "stamp_colours",
     "ghost_frames",
     "fill_rectangle",
