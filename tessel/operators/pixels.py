@@ -130,7 +130,7 @@ def assemble(cells: DataFrame, w: int, h: int, cols: int) -> DataFrame:
 def centred(px: DataFrame, sizes: DataFrame) -> DataFrame:
     """Images padded to the largest size among ``sizes`` (img, w, h) and centred."""
     most = sizes.agg(F.max("w").alias("_W"), F.max("h").alias("_H"))
-    s = sizes.crossJoin(F.broadcast(most))  # one row
+    s = sizes.crossJoin(F.broadcast(most)).hint("merge")  # one row is broadcast
     return px.join(s, "img").select("img", (F.col("x") + F.floor((F.col("_W") - F.col("w")) / 2)).cast("int").alias("x"), (F.col("y") + F.floor((F.col("_H") - F.col("h")) / 2)).cast("int").alias("y"), *RGBA)
 
 

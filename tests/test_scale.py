@@ -72,3 +72,19 @@ def test_marks_on_dense_rows(spark, monkeypatch, laid):
                 top = np.array([[colour(i)]], np.int32)
                 want[y, x] = dense.over(top, top[..., 3] * 70 / 25500, want[y : y + 1, x : x + 1])[0, 0] if laid else top[0, 0]
         assert (np.frombuffer(bytes(got[k]), np.uint8).reshape(g.shape) == want).all(), k
+
+
+def test_cropped_and_centred_images(spark):
+    """Each image knows its size, so no table of sizes is made from pixels or joined."""
+    images = stack(4)
+    small = dense.cropped(table(spark, images), F.lit(4), F.col("h") - 1)
+    sizes = small.select("w", "h").unionByName(spark.createDataFrame([(9, 13)], "w int, h int"))
+    got = {tuple(r) for r in dense.centred(small, sizes).collect()}
+    want = set()
+    for k, g in images:
+        cut = g[: g.shape[0] - 1, :4]
+        left, top = (9 - cut.shape[1]) // 2, (13 - cut.shape[0]) // 2
+        want |= {(k, left + x, top + y, *map(int, cut[y, x])) for y in range(cut.shape[0]) for x in range(cut.shape[1])}
+    assert got == want
+    plan = plan_of(QUERIES["centre_images"](spark, SF))
+    assert "SortMergeJoin" not in plan and "hashpartitioning(img" not in plan
