@@ -185,7 +185,7 @@ def checkered(px: DataFrame) -> DataFrame:
 
 def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, l1): the L1 difference of each two images of one size, alpha ignored."""
-    side = b.select(*keys, "x", "y", *(F.col(c).alias(f"_{c}") for c in RGBA[:3]))
+    side = b.select(*keys, "x", "y", *(F.col(c).alias(f"_{c}") for c in RGBA[:3])).hint("merge")
     return a.join(side, [*keys, "x", "y"]).groupBy(*keys).agg(F.sum(sum((F.abs(F.col(c) - F.col(f"_{c}")) for c in RGBA[:3]), F.lit(0))).alias("l1"))
 
 

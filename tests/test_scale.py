@@ -88,3 +88,15 @@ def test_cropped_and_centred_images(spark):
     assert got == want
     plan = plan_of(QUERIES["centre_images"](spark, SF))
     assert "SortMergeJoin" not in plan and "hashpartitioning(img" not in plan
+
+
+def test_differences_of_dense_rows(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BYTES_AT_ONCE", 300)
+    a, b = stack(5), stack(6, 15)
+    got = {r["img"]: r["l1"] for r in dense.difference(table(spark, a), table(spark, b), ["img"]).collect()}
+    want = {}
+    for (k, g), (_, o) in zip(a, b):
+        h, w = min(g.shape[0], o.shape[0]), min(g.shape[1], o.shape[1])
+        want[k] = int(np.abs(g[:h, :w, :3].astype(int) - o[:h, :w, :3].astype(int)).sum())
+    assert got == want
+    assert "x#" not in plan_of(QUERIES["image_difference"](spark, SF))  # no pixel is shuffled
