@@ -1,6 +1,8 @@
-"""The last value of each burst over a stream, a burst ending with a pause: state with timers.
+"""The last value of each burst over a stream, a burst ending with a pause.
 
-State of a key is the bursts that are still open (start, end, tie, value, in microseconds of event time), a handful, as the
+``after_quiet`` keeps bursts as session windows, which Spark merges and frees by the watermark, so a row costs no call into
+Python. ``after_quiet_by_timers`` tells the same by state with timers; it calls the state store several times a burst, so it is for
+streams whose rows need Python anyway. State of a key is then the bursts that are still open (start, end, tie, value, in microseconds of event time), a handful, as the
 watermark bounds how late rows may come. A row joins, and may link, the bursts within a pause of it. A timer for each burst
 fires when the watermark has passed its end by a pause: no row can join it any more, its last value is
 told once, and its state and timers are freed. Rows that are later than the watermark are dropped by Spark.
@@ -78,15 +80,25 @@ class Bursts(StatefulProcessor):
         pass
 
 
+def marked(events: DataFrame, key: str, ts: str, tie: str, value: str, late: str) -> DataFrame:
+    """(key, _ts, tie, value, at) of the rows without a null, with a watermark."""
+    named = {"tie": tie, "value": value}
+    rows = events.select(F.col(key).cast("bigint").alias(key), F.col(ts).cast("timestamp").alias("_ts"), *(F.col(c).cast("bigint").alias(n) for n, c in named.items()))
+    return rows.dropna().withWatermark("_ts", late).withColumn("at", F.unix_micros("_ts"))
+
+
 def after_quiet(events: DataFrame, key: str, ts: str, tie: str, value: str, pause: str, late: str) -> DataFrame:
     """(key, value, at): the last value of each burst of a stream, told when a pause has passed. ``key``, ``tie`` and ``value``
-    are bigints; ``late``: how far behind the latest row a row may come. Rows with a null in one of these are left out. The session's
-    state store must be RocksDB (``with_timers``)."""
+    are bigints; ``late``: how far behind the latest row a row may come. Rows with a null in one of these are left out."""
+    bursts = marked(events, key, ts, tie, value, late).groupBy(key, F.session_window("_ts", pause).alias("_burst"))
+    return bursts.agg(F.max(F.struct("at", "tie", "value")).alias("_last")).select(key, "_last.value", "_last.at")
+
+
+def after_quiet_by_timers(events: DataFrame, key: str, ts: str, tie: str, value: str, pause: str, late: str) -> DataFrame:
+    """As ``after_quiet``, by state with timers; the session's state store must be RocksDB (``with_timers``)."""
     spark = events.sparkSession
     micros = spark.sql(f"SELECT CAST(unix_micros(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {pause}) AS BIGINT)").first()[0]
-    longs = {c: F.col(c).cast("bigint").alias(c) for c in (key,)}
-    rows = events.select(longs[key], F.col(ts).cast("timestamp").alias("_ts"), F.col(tie).cast("bigint").alias("tie"), F.col(value).cast("bigint").alias("value"))
-    rows = rows.dropna().withWatermark("_ts", late).withColumn("at", F.unix_micros("_ts"))
+    rows = marked(events, key, ts, tie, value, late)
     out = f"{key} bigint, value bigint, at bigint"
     return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=Bursts(key, micros), outputStructType=out, outputMode="Append", timeMode="EventTime")
 

@@ -100,3 +100,25 @@ def test_differences_of_dense_rows(spark, monkeypatch):
         want[k] = int(np.abs(g[:h, :w, :3].astype(int) - o[:h, :w, :3].astype(int)).sum())
     assert got == want
     assert "x#" not in plan_of(QUERIES["image_difference"](spark, SF))  # no pixel is shuffled
+
+
+def test_bursts_are_kept_without_python(spark, tmp_path):
+    """A row of a stream costs no call into Python; timers tell the same."""
+    import datetime
+    import random
+
+    from tessel.streaming import counters, quiet
+
+    start, r = datetime.datetime(2024, 1, 1), random.Random(7)
+    rows = [(i % 3, start + datetime.timedelta(minutes=r.randrange(600)), i) for i in range(100)] + [(9, start + datetime.timedelta(days=3), 100)]
+    for some in (rows[:50], rows[50:100], rows[100:]):
+        spark.createDataFrame(some, "u bigint, ts timestamp, i bigint").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    like = spark.read.parquet(f"{tmp_path}/log")
+    told, plans = [], []
+    for way in (quiet.after_quiet, quiet.after_quiet_by_timers):
+        with quiet.with_timers(spark):
+            bursts = way(counters.stream(spark, f"{tmp_path}/log", like, 1), "u", "ts", "i", "i", "30 minutes", "15 hours")
+            plans.append(plan_of(bursts))
+            told.append(sorted((x.u, x.value, x.at) for x in counters.drained(bursts, "bursts", "append").collect() if x.u != 9))
+    assert told[0] == told[1] and len(told[0]) > 10
+    assert "Python" not in plans[0] and "Pandas" not in plans[0]
