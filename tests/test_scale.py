@@ -155,3 +155,8 @@ DEALT = [
 @pytest.mark.parametrize("name", DEALT)
 def test_queries_deal_their_images_out(spark, name):
     assert "REPARTITION_BY_NUM" in plan_of(QUERIES[name](spark, SF))
+
+
+def test_animations_are_made_once(spark):
+    """The sizes and the frames read what was written; neither makes the files again."""
+    assert "FlatMapGroupsInPandas" not in plan_of(QUERIES["encode_animation"](spark, SF))
