@@ -140,6 +140,7 @@ def test_images_are_dealt_out_by_their_count(spark, tmp_path):
 #: Queries that read images by that step.
 DEALT = [
     # queries
+    "blur_colours",
     "palette_colours",
     "outline_rectangle",
     "adjust_colours",
@@ -167,3 +168,12 @@ def test_queries_deal_their_images_out(spark, name):
 def test_animations_are_made_once(spark):
     """The sizes and the frames read what was written; neither makes the files again."""
     assert "FlatMapGroupsInPandas" not in plan_of(QUERIES["encode_animation"](spark, SF))
+
+
+def test_a_kernel_holds_a_megabyte_of_images_at_once(spark):
+    """However large the Arrow batch: a filter makes tens of bytes of each."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes(1024)] * 10_000, pa.binary())], ["data"])
+    parts = [b.num_rows for b in dense.sliced(batch, 0)]
+    assert sum(parts) == 10_000 and max(parts) <= 1024
