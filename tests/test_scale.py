@@ -140,6 +140,7 @@ def test_images_are_dealt_out_by_their_count(spark, tmp_path):
 #: Queries that read images by that step.
 DEALT = [
     # queries
+    "image_dimensions",
     "blur_colours",
     "palette_colours",
     "outline_rectangle",
