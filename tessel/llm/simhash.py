@@ -21,9 +21,12 @@ So rows stay in proportion to the number of distinct fingerprints, however large
 
 ``representatives`` keeps one row of each group of texts whose shingle sets are alike by
 ``LIKENESS`` or more. That is far more than two of 64 bits (a Jaccard likeness of 0.8 is 10 bits),
-so fingerprints have ``LONG`` words here, and candidates share one of ``BANDS`` bands of
-``WIDTH`` bits. Within a bucket the first node leads and is a candidate partner of all nodes whose
-differing bits allow for the likeness; of those that don't seem alike the first leads next, and so
+so fingerprints have ``LONG`` words here, and there are ``BANDS`` blocks of ``WIDTH`` bits, the bands. Each band has
+``LONG_PIVOTS`` pairs of references that differ in just that band, so again half the difference of the two distances is a
+coordinate of the band alone; candidates share all coordinates of a band (nodes with the same bits of a band always do). Within a bucket
+the first node leads. Nodes are discarded if the triangle inequality rules them out: if the coordinates of one rank, over the
+bands of a turn, which have no bit in common, differ by more in sum than the bits may. It is a candidate partner of those left
+whose differing bits allow for the likeness; of those that don't seem alike the first leads next, and so
 on. Large buckets are split by a hash into groups of ``GROUP`` nodes, whose leaders meet again in
 the next round, so no task holds a hot bucket. Candidates are verified on their shingle sets. A
 first dozen bands goes ahead: nodes that it links are no candidates of each other any more, so
@@ -49,6 +52,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, numbered, place, stored, text_of, with_looked_up
 from .components import components
@@ -67,6 +71,9 @@ BANDS = 84
 #: Bands that are worked on together: what the first ones link needs no more candidates.
 PHASES = ((0, 12), (12, BANDS))
 GROUP = 20_000
+#: Pairs of reference fingerprints for each band (all their coordinates are a number below 25 ** 12, so that with the band it has
+#: 63 bits), and of how many ranks of them the triangle inequality is tried.
+LONG_PIVOTS, RANKS = 12, 2
 #: Rows of 33 bytes that are broadcast, at most.
 BROADCAST_ROWS = 500_000
 #: The largest bucket whose pairs are compared.
@@ -192,6 +199,39 @@ def band_bits() -> list[np.ndarray]:
     return out[:BANDS]
 
 
+def band_references() -> np.ndarray:
+    """(band, WIDTH, LONG_PIVOTS): a band's bits in the first reference of each pair. In the second these are inverted, and
+    outside the band the two are equal, so what they are there doesn't matter."""
+    made = [[xxhash.xxh64_intdigest(f"band {t} {k}".encode(), SEED) for k in range(LONG_PIVOTS)] for t in range(BANDS)]
+    return (np.array(made, np.uint64)[:, None] >> np.arange(WIDTH, dtype=np.uint64)[:, None] & np.uint64(1)).astype(np.float32)
+
+
+def band_coordinates(fps: list[bytes], first: int, last: int) -> np.ndarray:
+    """(n, bands, LONG_PIVOTS): the distance to a reference less that to its partner, halved, plus half of ``WIDTH``, for some of
+    the bands: what is outside the band cancels out, so it is the distance within the band. From 0 to ``WIDTH``."""
+    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(-1, 8 * LONG), axis=1)
+    own = bits[:, np.stack(band_bits()[first:last])].transpose(1, 0, 2).astype(np.float32)
+    pivots = band_references()[first:last]
+    apart = own.sum(axis=2)[..., None] + pivots.sum(axis=1)[:, None] - 2 * own @ pivots
+    return apart.transpose(1, 0, 2).astype(np.int64)
+
+
+def with_pivots(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (fps and others) with pivots (binary): ``RANKS`` times the coordinates of the bands of the first turn."""
+    names = nodes.columns
+    at = names.index("fps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
+                made = band_coordinates(part.column(at).to_pylist(), 0, 64 * LONG // WIDTH)[..., :RANKS]
+                made = np.ascontiguousarray(made.transpose(0, 2, 1)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in made], pa.binary())], [*names, "pivots"])
+
+    return nodes.mapInArrow(run, T.StructType([*nodes.schema.fields, T.StructField("pivots", T.BinaryType())]))
+
+
 def long_prints(rows: DataFrame, words: int) -> DataFrame:
     """The columns of ``rows`` but the last, its text, with fps (binary, 8 LONG bytes) and node."""
 
@@ -206,23 +246,21 @@ def long_prints(rows: DataFrame, words: int) -> DataFrame:
 
 
 def bands(nodes: DataFrame, first: int = 0, last: int = BANDS) -> DataFrame:
-    """(key, node): some of the bands of each node (node, fps)."""
+    """(key, node): of some of the bands of each node (node, fps) the coordinates, as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = np.stack(band_bits()[first:last])
-        power = 1 << np.arange(WIDTH, dtype=np.int64)
+        power = (WIDTH + 1) ** np.arange(LONG_PIVOTS + 1, dtype=np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * LONG)
-                keys = np.unpackbits(raw, axis=1)[:, chosen] @ power + (np.arange(first, last, dtype=np.int64) << WIDTH)
+                keys = band_coordinates(part.column(1).to_pylist(), first, last) @ power[:-1] + np.arange(first, last) * power[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), last - first))], ["key", "node"])
 
     return nodes.select("node", "fps").mapInArrow(run, "key bigint, node bigint")
 
 
 def led(members: DataFrame, likeness: float) -> DataFrame:
-    """(key, a, b) of ``members`` (key, part, parts, node, fps, root): of each part of a bucket,
+    """(key, a, b) of ``members`` (key, part, parts, node, fps, root, pivots): of each part of a bucket,
     leaders a with the nodes b that may be alike (two standard errors are allowed for) and have
     another root, as those of one root are linked already; b is a where a leader has to meet those
     of other parts."""
@@ -231,26 +269,33 @@ def led(members: DataFrame, likeness: float) -> DataFrame:
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Rows of one bucket's part, which may lie in several batches."""
-        now, nodes, raw, roots = None, [], [], []
+
+        def whole() -> tuple:
+            nodes, raw, roots, pivots = zip(*rows)
+            near = np.frombuffer(b"".join(pivots), np.uint8).reshape(len(rows), RANKS, -1).astype(np.int16)
+            return now[0], now[2], np.array(nodes), np.frombuffer(b"".join(raw), np.uint64).reshape(-1, LONG), np.array(roots), near
+
+        now, rows = None, []
         for b in batches:
-            for key, part, parts, node, fps, root in zip(*(c.to_pylist() for c in b.columns)):
+            for key, part, parts, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if now != (key, part, parts):
-                    if nodes:
-                        yield now[0], now[2], np.array(nodes), np.frombuffer(b"".join(raw), np.uint64).reshape(-1, LONG), np.array(roots)
-                    now, nodes, raw, roots = (key, part, parts), [], [], []
-                nodes.append(node)
-                raw.append(fps)
-                roots.append(root)
-        if nodes:
-            yield now[0], now[2], np.array(nodes), np.frombuffer(b"".join(raw), np.uint64).reshape(-1, LONG), np.array(roots)
+                    if rows:
+                        yield whole()
+                    now, rows = (key, part, parts), []
+                rows.append(row)
+        if rows:
+            yield whole()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
-        for key, parts, nodes, prints, roots in groups(batches):
+        for key, parts, nodes, prints, roots, pivots in groups(batches):
             left = np.ones(len(nodes), bool)
             while left.any():
                 lead = int(left.argmax())
-                apart = np.bitwise_count(prints ^ prints[lead]).sum(axis=1)
+                # the triangle inequality first; only what it leaves is compared
+                may = np.flatnonzero((np.abs(pivots - pivots[lead]).sum(axis=2) <= most).all(axis=1))
+                apart = np.full(len(nodes), 64 * LONG + 1)
+                apart[may] = np.bitwise_count(prints[may] ^ prints[lead]).sum(axis=1)
                 near = (apart <= most) & (roots != roots[lead])
                 near[lead] = parts > 1
                 left &= apart > surely
@@ -265,14 +310,14 @@ def led(members: DataFrame, likeness: float) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, total: int, likeness: float, group: int = GROUP, phase: tuple[int, int] = (0, BANDS)) -> DataFrame:
-    """(a, b): pairs of nodes (node, fps, root) that share a band and may be alike; a led b."""
+    """(a, b): pairs of nodes (node, fps, root, pivots) that share the coordinates of a band and may be alike; a led b."""
     keyed, edges, last = stored(bands(nodes, *phase), "bands"), [], None
     total *= phase[1] - phase[0]
     while True:
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
         member = with_looked_up(keyed, sizes.withColumn("parts", F.ceil(F.col("n") / group)).withColumn("rows", F.col("n")), "key", "rows", total)
-        member = member.withColumn("part", F.pmod(F.xxhash64("node", F.lit(len(edges))), F.col("parts"))).join(nodes.select("node", "fps", "root"), "node")
-        dealt = member.select("key", "part", "parts", "node", "fps", "root").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+        member = member.withColumn("part", F.pmod(F.xxhash64("node", F.lit(len(edges))), F.col("parts"))).join(nodes.select("node", "fps", "root", "pivots"), "node")
+        dealt = member.select("key", "part", "parts", "node", "fps", "root", "pivots").repartition("key", "part").sortWithinPartitions("key", "part", "node")
         edges.append(stored(led(dealt, likeness), "alike"))
         discard(keyed)
         keyed = edges[-1].filter("a = b").select("key", F.col("a").alias("node"))
@@ -328,7 +373,7 @@ def representatives(df: DataFrame, words: int = SHINGLE, likeness: float = LIKEN
     told = {"_none": key.isNull(), "_id": F.coalesce(key, F.lit(0)), "_x": F.xxhash64(text), "_y": F.xxhash64(F.lit(1), text)}
     rows = own.withColumns(told)
     prints = stored(long_prints(rows.select(*told, text.alias("text")), words), "prints")
-    nodes = stored(prints.groupBy("node").agg(F.min("fps").alias("fps"), F.min(F.struct(*told)).alias("top")), "nodes")
+    nodes = stored(with_pivots(prints.groupBy("node").agg(F.min("fps").alias("fps"), F.min(F.struct(*told)).alias("top"))), "nodes")
     discard(prints)
     total = nodes.count()
     rooted, edges = nodes.withColumn("root", F.col("node")), None

@@ -860,3 +860,38 @@ def test_pipeline_takes_empty_tables(spark, docs, tmp_path):
 
 def test_names():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 14))
+
+
+def test_near_copies_come_from_the_pivots_of_bands(spark):
+    """Coordinates are half the differences of real distances to pairs of references, equal bands share them, and the triangle
+    inequality loses no pair that is near enough."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 256, (6, 8 * simhash.LONG), np.uint8)
+    prints = np.concatenate([base] + [base ^ np.packbits(r.random((6, 64 * simhash.LONG)) < share, axis=1) for share in (0.02, 0.06, 0.1, 0.15)])
+    raw, bits, chosen = [p.tobytes() for p in prints], np.unpackbits(prints, axis=1), simhash.band_bits()
+    made, pivots = simhash.band_coordinates(raw, 0, simhash.BANDS), simhash.band_references()
+    for t in (0, 20, simhash.BANDS - 1):
+        for k in range(simhash.LONG_PIVOTS):
+            one = r.integers(0, 2, 64 * simhash.LONG)
+            one[chosen[t]] = pivots[t, :, k]
+            other = one.copy()
+            other[chosen[t]] ^= 1
+            assert (made[:, t, k] == ((bits != one).sum(axis=1) - (bits != other).sum(axis=1)) / 2 + simhash.WIDTH / 2).all()
+    df = spark.createDataFrame([(i, x, i) for i, x in enumerate(raw)], "node bigint, fps binary, root bigint")
+    keys = {}
+    for row in simhash.bands(df).collect():
+        keys.setdefault(row["node"], set()).add(row["key"])
+    for i in range(len(raw)):
+        for j in range(i):
+            same = sum((bits[i][c] == bits[j][c]).all() for c in chosen)
+            assert len(keys[i] & keys[j]) >= same
+    one = simhash.with_pivots(df).selectExpr("1L AS key", "0L AS part", "1L AS parts", "node", "fps", "root", "pivots").coalesce(1).sortWithinPartitions("node")
+    got = {(x["a"], x["b"]) for x in simhash.led(one, 0.8).collect()}
+    surely = simhash.radius(0.8)
+    most = surely + round(2 * np.sqrt(surely * (1 - surely / (64 * simhash.LONG))))
+    left, want = list(range(len(raw))), set()
+    while left:
+        lead, apart = left[0], (bits != bits[left[0]]).sum(axis=1)
+        want |= {(lead, j) for j in range(len(raw)) if j != lead and apart[j] <= most}
+        left = [j for j in left if apart[j] > surely]
+    assert got == want and len(want) > 10
