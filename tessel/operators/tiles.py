@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.operators import dense
-from tessel.operators.graph import components, written
+from tessel.operators.graph import BOUND, components, forest, written
 
 LARGEST = 64
 #: Labels of a tile: its number times this, plus the place of the part's first pixel.
@@ -50,23 +50,26 @@ def to_pixels(tiles: DataFrame, side: int = LARGEST) -> DataFrame:
 
 
 def parts(kind: Grid) -> Grid:
-    """Of each cell of a kind of 0 or more the place of the first cell of its connected part; -1 for other cells. The
-    smallest place spreads along runs of rows and of columns in turn."""
-    h, w = kind.shape
-    label = np.arange(h * w).reshape(h, w)
+    """Of each cell of a kind of 0 or more the place of the first cell of its connected part; -1 for other cells. Of one tile, or of a
+    stack of tiles of one size (n, h, w). The smallest place spreads along runs of rows and of columns in turn."""
+    h, w = kind.shape[-2:]
+    stack = kind.reshape(-1, h, w)
+    n = len(stack)
+    label = np.broadcast_to(np.arange(h * w).reshape(h, w), stack.shape)
 
     def runs(k: Grid) -> tuple[np.ndarray, np.ndarray]:
         fresh = np.ones(k.shape, bool)
-        fresh[:, 1:] = k[:, 1:] != k[:, :-1]
+        fresh[..., 1:] = k[..., 1:] != k[..., :-1]
         return np.flatnonzero(fresh.ravel()), np.cumsum(fresh.ravel()) - 1
 
-    across, down = runs(kind), runs(kind.T)
-    while True:
+    across, down = runs(stack), runs(stack.swapaxes(1, 2))
+    while n:
         before = label
-        label = np.minimum.reduceat(label.ravel(), across[0])[across[1]].reshape(h, w)
-        label = np.minimum.reduceat(label.T.ravel(), down[0])[down[1]].reshape(w, h).T
+        label = np.minimum.reduceat(label.ravel(), across[0])[across[1]].reshape(n, h, w)
+        label = np.minimum.reduceat(label.swapaxes(1, 2).ravel(), down[0])[down[1]].reshape(n, w, h).swapaxes(1, 2)
         if (label == before).all():
-            return np.where(kind >= 0, label, -1)
+            break
+    return np.where(stack >= 0, label, -1).reshape(kind.shape)
 
 
 def told(rows: DataFrame, schema: str, each: Callable[[dict], Iterator[tuple]]) -> DataFrame:
@@ -94,30 +97,111 @@ def labels_of(row: dict) -> Grid:
     return np.frombuffer(row["labels"], np.int16).reshape(row["h"], row["w"])
 
 
+def borders(labelled: DataFrame, side: int) -> DataFrame:
+    """(img, down, tx, ty, near, tile, kinds, labels): the cells of each tile at a border that another tile may touch, as a row. A border is
+    named by the tile behind it; near is 1 of that tile's own cells, and 0 of those of the tile before it."""
+    names = ["img", "down", "tx", "ty", "near", "tile", "kinds", "labels"]
+    types = [pa.string(), *[pa.int32()] * 4, pa.int64(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in dense.sliced(batch, 6):
+                out = []
+                for img, tx, ty, w, h, tile, kinds, labels in zip(*(c.to_pylist() for c in b.columns)):
+                    k, l = np.frombuffer(kinds, np.int64).reshape(h, w), np.frombuffer(labels, np.int16).reshape(h, w)
+                    if tx:
+                        out.append((img, 0, tx, ty, 1, tile, k[:, 0].tobytes(), l[:, 0].tobytes()))
+                    if ty:
+                        out.append((img, 1, tx, ty, 1, tile, k[0].tobytes(), l[0].tobytes()))
+                    if w == side:
+                        out.append((img, 0, tx + 1, ty, 0, tile, k[:, -1].tobytes(), l[:, -1].tobytes()))
+                    if h == side:
+                        out.append((img, 1, tx, ty + 1, 0, tile, k[-1].tobytes(), l[-1].tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    rows = labelled.select("img", "tx", "ty", "w", "h", "tile", "kinds", "labels")
+    return rows.mapInArrow(run, "img string, down int, tx int, ty int, near int, tile bigint, kinds binary, labels binary")
+
+
+def met(pairs: DataFrame) -> DataFrame:
+    """(img, a, b): parts of two tiles that go on across a border. Borders of one length are compared at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, labels = ([b.column(c).to_pylist() for c in pair] for pair in ((2, 5), (3, 6)))
+            tiles = [b.column(c).to_numpy() for c in (1, 4)]
+            for n, m, at in dense.by_size([len(x) // 8 for x in kinds[0]], [len(x) // 8 for x in kinds[1]]):
+                least = min(n, m)
+                stack = lambda x, width, kind: np.frombuffer(b"".join([x[i] for i in at]), kind).reshape(len(at), width)[:, :least]
+                k, o = (stack(x, width, np.int64) for x, width in zip(kinds, (n, m)))
+                ends = [t[at][:, None] * CELLS + stack(x, width, np.int16) for t, x, width in zip(tiles, labels, (n, m))]
+                same = (k == o) & (k >= 0)
+                # cells after one another that tell the same are told once
+                again = np.zeros(same.shape, bool)
+                again[:, 1:] = same[:, :-1] & (ends[0][:, 1:] == ends[0][:, :-1]) & (ends[1][:, 1:] == ends[1][:, :-1])
+                row, col = np.nonzero(same & ~again)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(at)[row])), *(pa.array(e[row, col]) for e in ends)], ["img", "a", "b"])
+
+    return pairs.select("img", "tile0", "kinds0", "labels0", "tile1", "kinds1", "labels1").mapInArrow(run, "img string, a bigint, b bigint")
+
+
+def regions(edges: DataFrame, bound: int = BOUND) -> DataFrame:
+    """(node, root) of edges (img, a, b) as ``components`` tells them. Edges never leave an image, so those of an image are linked in the task
+    that reads them, which holds one image's at a time; what is left of images of more than ``bound`` goes the way of ``components``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, held, n, out, size = None, [], 0, [], 0
+
+        def linked(whole: bool) -> Iterator[pa.RecordBatch]:
+            for b in forest(iter([pa.RecordBatch.from_arrays([pa.concat_arrays([h.column(c) for h in held]) for c in (1, 2)], ["a", "b"])])):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, whole))], ["node", "root", "whole"])
+
+        large = False
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            start = 0
+            for i in range(1, len(keys) + 1):
+                if i < len(keys) and keys[i] == keys[start]:
+                    continue
+                if keys[start] != image:
+                    if held:
+                        out += linked(not large)
+                    image, held, n, large = keys[start], [], 0, False
+                held.append(batch.slice(start, i - start))
+                n += i - start
+                if n > bound:
+                    large = True
+                    out += linked(False)
+                    held, n = [], 0
+                start = i
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(o.num_rows for o in out) else out[0]
+                out = []
+        if held:
+            yield from linked(not large)
+
+    dealt = edges.repartition("img").sortWithinPartitions("img")
+    found = written(dealt.mapInArrow(run, "node bigint, root bigint, whole boolean"), "regions")
+    done, rest = found.filter("whole").select("node", "root"), found.filter("not whole").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return done.unionByName(components(rest)) if rest.limit(1).count() else done
+
+
 def region(labelled: DataFrame, seeds: DataFrame, side: int) -> DataFrame:
     """(tile, found): the labels in each tile that belong to the region of its image's seed. ``labelled``: tiles with their
     number (tile), labels, and kinds of the cells; ``seeds``: img, x, y."""
 
-    def borders(row: dict) -> Iterator[tuple]:
-        """(img, down, x, y, kind, node): the cells at each border, by the cell behind it."""
-        label, kind = labels_of(row), np.frombuffer(row["kinds"], np.int64).reshape(row["h"], row["w"])
-        h, w = label.shape
-        x0, y0 = row["tx"] * side, row["ty"] * side
-        lines = [(0, label[:, 0], kind[:, 0], x0, None), (0, label[:, -1], kind[:, -1], x0 + w, None), (1, label[0], kind[0], None, y0), (1, label[-1], kind[-1], None, y0 + h)]
-        for down, l, k, x, y in lines:
-            for i in np.flatnonzero(k >= 0).tolist():
-                yield row["img"], down, x0 + i if x is None else x, y0 + i if y is None else y, int(k[i]), row["tile"] * CELLS + int(l[i])
-
-    cells = told(labelled, "img string, down int, x int, y int, kind bigint, node bigint", borders)
-    met = cells.groupBy("img", "down", "x", "y", "kind").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    root = components(met.filter("a < b").select("a", "b").distinct())
+    sides = written(borders(labelled, side), "sides")
+    place = ["img", "down", "tx", "ty"]
+    ends = [sides.filter(F.col("near") == near).select(*place, *(F.col(c).alias(f"{c}{near}") for c in ("tile", "kinds", "labels"))) for near in (0, 1)]
+    root = regions(met(ends[0].join(ends[1].hint("merge"), place)))
 
     def start(row: dict) -> Iterator[tuple]:
         x, y = row["x"] - row["tx"] * side, row["y"] - row["ty"] * side
         if 0 <= x < row["w"] and 0 <= y < row["h"] and labels_of(row)[y, x] >= 0:
             yield row["img"], row["tile"] * CELLS + int(labels_of(row)[y, x])
 
-    here = labelled.join(seeds, [labelled["img"] == seeds["img"], F.col("tx") == F.floor(F.col("x") / side), F.col("ty") == F.floor(F.col("y") / side)]).select(labelled["img"], "tile", "tx", "ty", "w", "h", "labels", "x", "y")
+    here = labelled.join(seeds.hint("merge"), [labelled["img"] == seeds["img"], F.col("tx") == F.floor(F.col("x") / side), F.col("ty") == F.floor(F.col("y") / side)]).select(labelled["img"], "tile", "tx", "ty", "w", "h", "labels", "x", "y")
     first = told(here, "img string, node bigint", start).join(root, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
     nodes = root.join(first, "root").select("node").unionByName(first.select(F.col("root").alias("node")))
     tile, place = F.floor(F.col("node") / CELLS).cast("bigint"), (F.col("node") % CELLS).cast("int")
@@ -125,15 +209,22 @@ def region(labelled: DataFrame, seeds: DataFrame, side: int) -> DataFrame:
 
 
 def with_labels(tiles: DataFrame, kinds: Callable[[dict], Grid]) -> DataFrame:
-    """``tiles`` with kinds of their cells and labels of the parts, stored."""
+    """``tiles`` with kinds of their cells and labels of the parts, stored. Tiles of one size are labelled at once."""
     names = tiles.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema)
+    data = names.index("data")
 
-    def each(row: dict) -> Iterator[tuple]:
-        kind = kinds(row)
-        yield *(row[n] for n in names), kind.astype(np.int64).tobytes(), parts(kind).astype(np.int16).tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in dense.sliced(batch, data):
+                made = [kinds(row).astype(np.int64) for row in b.to_pylist()]
+                labels = [b""] * len(made)
+                for _, _, at in dense.by_size([k.shape[1] for k in made], [k.shape[0] for k in made]):
+                    for i, l in zip(at, parts(np.stack([made[i] for i in at])).astype(np.int16)):
+                        labels[i] = l.tobytes()
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k.tobytes() for k in made], pa.binary()), pa.array(labels, pa.binary())], [*names, "kinds", "labels"])
 
-    return written(told(tiles, f"{schema}, kinds binary, labels binary", each), "tiles")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema)
+    return written(tiles.mapInArrow(run, f"{schema}, kinds binary, labels binary"), "tiles")
 
 
 def packed(grid: Grid) -> Grid:

@@ -178,3 +178,25 @@ def test_a_kernel_holds_a_megabyte_of_images_at_once(spark):
     batch = pa.RecordBatch.from_arrays([pa.array([bytes(1024)] * 10_000, pa.binary())], ["data"])
     parts = [b.num_rows for b in dense.sliced(batch, 0)]
     assert sum(parts) == 10_000 and max(parts) <= 1024
+
+
+def test_regions_of_many_images(spark):
+    """Edges of an image are linked where they are read; those of one too large for that go on to ``components``."""
+    from tessel.operators import graph, tiles
+
+    r = np.random.default_rng(8)
+    rows = [(f"i{k}", 1000 * k + int(a), 1000 * k + int(b)) for k in range(12) for a, b in r.integers(0, 60, (50, 2))]
+    edges = spark.createDataFrame(rows, "img string, a bigint, b bigint").repartition(5)
+    want = {tuple(x) for x in graph.components(edges).collect()}
+    for bound in (10, 10**6):
+        assert {tuple(x) for x in tiles.regions(edges, bound).select("node", "root").collect()} == want
+    assert tiles.regions(edges.limit(0)).count() == 0
+
+
+def test_a_border_is_a_row_not_a_row_a_cell(spark):
+    from tessel.operators import tiles
+
+    df = tiles.cut(spark.createDataFrame([("a", 16, 16, bytes(1024))], IMAGE), 8).withColumn("tile", F.monotonically_increasing_id())
+    labelled = tiles.with_labels(df, lambda row: tiles.packed(tiles.grid_of(row)))
+    sides = tiles.borders(labelled, 8)
+    assert sides.filter("tx between 0 and 1 and ty between 0 and 1").count() == 8  # two sides each of four borders
