@@ -137,6 +137,14 @@ def test_images_are_dealt_out_by_their_count(spark, tmp_path):
     assert group.agg(F.max("n")).first()[0] == 1  # sequences and sheets stay together
 
 
+def test_many_images_are_larger_tasks():
+    """In proportion to their count at both ends, and never a handful between."""
+    from tessel.plans import raster
+
+    assert [raster.tasks_of(n) for n in (0, 1, 2048, 2049, 120_000)] == [1, 1, 1, 2, 59]
+    assert [raster.tasks_of(n) for n in (1_200_000, 7_200_000, 72_000_000)] == [96, 440, 4395]
+
+
 #: Queries that read images by that step.
 DEALT = [
     # queries
