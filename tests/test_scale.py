@@ -236,3 +236,14 @@ def test_pixels_of_dense_rows(spark, monkeypatch, at_once):
         assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("img", "string"), ("more key", "int"), *((c, "int") for c in "xyrgba")]
         want = [(k, len(k), x, y, *map(int, made(g)[y, x])) for k, g in images for y in range(made(g).shape[0]) for x in range(made(g).shape[1])]
         assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("deviation", [1.5, 20])
+def test_running_sums_of_a_blur_may_go_round(monkeypatch, deviation):
+    """Sums of narrow boxes have 32 bits; a long white image still is white, and its kernel holds no wider numbers."""
+    kinds = set()
+    cumsum = np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda x, **how: (kinds.add(x.dtype), cumsum(x, **how))[1])
+    made = dense.blur(deviation)(np.full((1, 300, 400, 4), 255, np.int32))
+    assert (made[..., :3] == 255).all() and (made[:, 120:180, 120:280] == 255).all()
+    assert kinds == {np.dtype(np.int32 if deviation == 1.5 else np.int64)}
