@@ -181,6 +181,13 @@ def test_a_name_is_read_once_an_image(spark, name, of_the_name):
     assert 0 <= plan.index("MapInArrow") < plan.index(of_the_name)
 
 
+@pytest.mark.parametrize("name", ["split_sheet", "adjust_colours", "outline_rectangle", "chroma_key", "quantise_colours"])
+def test_a_name_is_put_together_once_an_image(spark, name):
+    """Beneath the step that makes the pixels (plans begin at the top)."""
+    plan = plan_of(QUERIES[name](spark, SF))
+    assert 0 <= plan.index("Generate explode") < plan.index("concat(")
+
+
 def test_animations_are_made_once(spark):
     """The sizes and the frames read what was written; neither makes the files again."""
     assert "FlatMapGroupsInPandas" not in plan_of(QUERIES["encode_animation"](spark, SF))
