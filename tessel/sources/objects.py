@@ -4,6 +4,7 @@ Reading: rows (key, length, content), in partitions of about ``bytesPerPartition
 share a task. Writing: rows (key, content). A task writes into a folder of its own below ``_temporary``, which
 readers skip, and tells the driver what it wrote; the driver moves the files of those tasks that it
 commits to their keys. A task that fails leaves no file under a key, and of a task that ran twice one result is taken.
+Tasks that still write when the job ends can't: the job's folder is the driver's, and they make none above their own.
 Mode append adds and replaces objects, overwrite removes those that were there first.
 """
 
@@ -75,6 +76,18 @@ class Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([path.removeprefix(f"{root}/")]), pa.array([len(content)], pa.int64()), pa.array([content], pa.binary())], ["key", "length", "content"])
 
 
+def without(fs: pafs.FileSystem, folder: str, tries: int = 20) -> None:
+    """Deletes the folder; again, where a task that still writes has put a file beside those that were being deleted."""
+    for left in reversed(range(tries)):
+        if fs.get_file_info(folder).type != pafs.FileType.Directory:
+            return
+        try:
+            fs.delete_dir(folder)
+        except OSError:
+            if not left:
+                raise
+
+
 @dataclass
 class Written(WriterCommitMessage):
     folder: str
@@ -83,16 +96,27 @@ class Written(WriterCommitMessage):
 
 class Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+        self.path, self.overwrite, self.job, self.begun = path, overwrite, uuid.uuid4().hex, False
+
+    def begin(self) -> Writer:
+        """Makes the job's folder, without which no task writes from here on."""
+        fs, root = opened(self.path)
+        fs.create_dir(f"{root}/{TEMPORARY}/{self.job}", recursive=True)
+        self.begun = True
+        return self
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, root = opened(self.path)
         folder, keys = f"{root}/{TEMPORARY}/{self.job}/{uuid.uuid4().hex}", []
+        fs.create_dir(folder, recursive=not self.begun)
+        made = {folder}
         for b in batches:
             names = b.schema.names
             for key, content in zip(b.column(names.index("key")).to_pylist(), b.column(names.index("content"))):
                 at = f"{folder}/{checked(key)}"
-                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                for end in (i for i in range(len(folder) + 1, len(at)) if at[i] == "/" and at[:i] not in made):
+                    fs.create_dir(at[:end], recursive=False)
+                    made.add(at[:end])
                 with fs.open_output_stream(at) as out:
                     out.write(content.as_py() or b"")
                 keys.append(key)
@@ -114,7 +138,7 @@ class Writer(DataSourceArrowWriter):
         for folder in (f"{root}/{TEMPORARY}/{self.job}", f"{root}/{TEMPORARY}"):
             selector = pafs.FileSelector(folder, allow_not_found=True)
             if fs.get_file_info(folder).type == pafs.FileType.Directory and (folder.endswith(self.job) or not fs.get_file_info(selector)):
-                fs.delete_dir(folder)
+                without(fs, folder)
 
 
 class Objects(DataSource):
@@ -134,7 +158,7 @@ class Objects(DataSource):
         kinds = {f.name: f.dataType.simpleString() for f in schema}
         if kinds.get("key") != "string" or kinds.get("content") != "binary":
             raise ValueError("objects have a key (string) and a content (binary)")
-        return Writer(self.options["path"], overwrite)
+        return Writer(self.options["path"], overwrite).begin()
 
 
 def registered(spark: SparkSession) -> SparkSession:

@@ -47,6 +47,26 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
         spark.range(3).write.format("objects").mode("append").save(str(tmp_path))
 
 
+@pytest.mark.parametrize("key", ["b", "b/c/d"])
+def test_tasks_that_still_write_leave_nothing(tmp_path, key):
+    """A task in the midst of its rows, and one that starts, when the job is given up."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    w = objects.Objects({"path": str(tmp_path)}).writer(StructType().add("key", "string").add("content", "binary"), False)
+    batch = lambda k: pa.RecordBatch.from_pydict({"key": [k], "content": [b"x"]})
+
+    def rows():
+        yield batch("a/b")
+        w.abort([])
+        yield batch(key)
+
+    for batches in (rows(), iter([batch(key)])):
+        with pytest.raises(OSError):
+            w.write(batches)
+        assert stored(tmp_path) == {} and not list(tmp_path.iterdir())
+
+
 def test_two_tries_of_a_task_leave_one_result(tmp_path):
     """The files of a try that the driver doesn't commit never get a name."""
     import pyarrow as pa
