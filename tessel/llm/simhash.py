@@ -31,6 +31,11 @@ on. Large buckets are split by a hash into groups of ``GROUP`` nodes, whose lead
 the next round, so no task holds a hot bucket. Candidates are verified on their shingle sets. A
 first dozen bands goes ahead: nodes that it links are no candidates of each other any more, so
 large groups don't list a partner for each band.
+Leaders only make groups small; they decide nothing. What they leave is done by ``rest``: of each bucket all pairs of
+nodes that aren't linked by then, but those whose shingle sets can't be alike for sure. That is told by ``ODD`` bits of a set, each the
+parity of its hashes in one class: sets differ in as many shingles as these bits, at least, and as their sizes. Its pairs are verified
+too, so no two alike texts that share a band stay apart. Buckets beyond ``GROUP`` nodes are compared part by part; the nodes of
+a bucket's largest group are linked already, so they meet only the others.
 Bands may miss a pair: a pair of likeness 0.8 shares one with a chance of 0.81, of 0.85 0.96.
 
 Null texts have no words and the fingerprint zero, and are like other texts without words. Texts
@@ -74,6 +79,8 @@ GROUP = 20_000
 #: Pairs of reference fingerprints for each band (all their coordinates are a number below 25 ** 12, so that with the band it has
 #: 63 bits), and of how many ranks of them the triangle inequality is tried.
 LONG_PIVOTS, RANKS = 12, 2
+#: Classes of hashes whose parities tell that two sets can't be alike.
+ODD = 2048
 #: Rows of 33 bytes that are broadcast, at most.
 BROADCAST_ROWS = 500_000
 #: The largest bucket whose pairs are compared.
@@ -232,21 +239,32 @@ def with_pivots(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, T.StructType([*nodes.schema.fields, T.StructField("pivots", T.BinaryType())]))
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """``ODD`` bits of a set of hashes: a bit is 1 if an odd number of them is in its class."""
+    return np.packbits((np.bincount((hashes % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8)).tobytes()
+
+
 def long_prints(rows: DataFrame, words: int) -> DataFrame:
-    """The columns of ``rows`` but the last, its text, with fps (binary, 8 LONG bytes) and node."""
+    """The columns of ``rows`` but the last, its text, with fps (binary, 8 LONG bytes), many (its distinct shingles), odd
+    (their parities) and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([long_fingerprint(shingle_hashes(t.as_py(), words, SEED)) for t in b.column(b.num_columns - 1)], np.uint64).reshape(-1, LONG)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x.tobytes() for x in found], pa.binary())], [*names, "fps"])
+            fps, many, odd = [], [], []
+            for t in b.column(b.num_columns - 1):
+                own = np.unique(shingle_hashes(t.as_py(), words, SEED))
+                fps.append(np.array(long_fingerprint(own), np.uint64).tobytes())
+                many.append(len(own))
+                odd.append(parities(own))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.binary()), pa.array(many, pa.int32()), pa.array(odd, pa.binary())], [*names, "fps", "many", "odd"])
 
     names = rows.columns[:-1]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, fps binary").withColumn("node", F.xxhash64("fps"))
+    return rows.mapInArrow(run, f"{schema}, fps binary, many int, odd binary").withColumn("node", F.xxhash64("fps"))
 
 
-def bands(nodes: DataFrame, first: int = 0, last: int = BANDS) -> DataFrame:
-    """(key, node): of some of the bands of each node (node, fps) the coordinates, as one number."""
+def bands(nodes: DataFrame, first: int = 0, last: int = BANDS, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, node): of some of the bands of each node (node, fps) the coordinates, as one number; and columns ``also`` (bigint) of the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = (WIDTH + 1) ** np.arange(LONG_PIVOTS + 1, dtype=np.int64)
@@ -254,9 +272,10 @@ def bands(nodes: DataFrame, first: int = 0, last: int = BANDS) -> DataFrame:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 keys = band_coordinates(part.column(1).to_pylist(), first, last) @ power[:-1] + np.arange(first, last) * power[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), last - first))], ["key", "node"])
+                same = [pa.array(np.repeat(part.column(i).to_numpy(), last - first)) for i in (0, *range(2, 2 + len(also)))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *same], ["key", "node", *also])
 
-    return nodes.select("node", "fps").mapInArrow(run, "key bigint, node bigint")
+    return nodes.select("node", "fps", *also).mapInArrow(run, ", ".join(f"{c} bigint" for c in ("key", "node", *also)))
 
 
 def led(members: DataFrame, likeness: float) -> DataFrame:
@@ -334,6 +353,90 @@ def candidates(nodes: DataFrame, total: int, likeness: float, group: int = GROUP
     return once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
 
+def parts_of(keyed: DataFrame, group: int) -> DataFrame:
+    """(key, n, top, apart, whole) of each bucket of ``keyed`` (key, node, root) with several roots: its nodes, the root
+    that most of them have, and of how many parts the others and those of that root are, ``group`` nodes each, about. Small buckets are one part."""
+    per = keyed.repartition("key").groupBy("key", "root").agg(F.count("*").alias("m"))
+    sizes = per.groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("most")).filter("roots > 1")
+    small = F.col("n") <= group
+    apart = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("most.m")) / group)).alias("apart")
+    return sizes.select("key", "n", F.when(~small, F.col("most.root")).alias("top"), apart, F.when(small, 0).otherwise(F.ceil(F.col("most.m") / group)).alias("whole"))
+
+
+def unlinked(members: DataFrame, likeness: float) -> DataFrame:
+    """(a, b) of ``members`` (key, one, two, part, node, root, many, odd): the pairs of a block whose roots differ and whose sets may be
+    alike, a's the smaller. A block is a part ``one`` of a bucket with itself, or the pairs that two parts have between them."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list]]:
+        now, rows = None, []
+        for b in batches:
+            for key, one, two, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if now != (key, one, two):
+                    if rows:
+                        yield now[1] != now[2], rows
+                    now, rows = (key, one, two), []
+                rows.append(row)
+        if rows:
+            yield now[1] != now[2], rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], ["a", "b"])
+            made.clear()
+            return out
+
+        for between, rows in groups(batches):
+            part, node, root, many = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
+            order = np.lexsort((node, many))
+            part, node, root, many = part[order], node[order], root[order], many[order]
+            odd = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)[order]
+            # a set of fewer shingles than this share of another's isn't like it; one more, as shares are rounded
+            ends, held = np.searchsorted(many, many / likeness + 1, "right"), 0
+            for i, end in enumerate(ends.tolist()):
+                may = root[i + 1 : end] != root[i]
+                if between:
+                    may &= part[i + 1 : end] != part[i]
+                at = np.flatnonzero(may) + i + 1
+                if not len(at):
+                    continue
+                apart = np.maximum(np.bitwise_count(odd[at] ^ odd[i]).sum(axis=1, dtype=np.int64), many[at] - many[i])
+                both = many[at] + many[i]
+                at = at[both - apart >= likeness * (both + apart) - 1e-6 * both]
+                if len(at):
+                    made.append((np.full(len(at), node[i]), node[at]))
+                    held += len(at)
+                if held > 100_000:
+                    yield told()
+                    held = 0
+            if len(made) > 1000:
+                yield told()
+        if made:
+            yield told()
+
+    return members.mapInArrow(run, "a bigint, b bigint")
+
+
+def rest(nodes: DataFrame, total: int, likeness: float, group: int = GROUP) -> DataFrame:
+    """(a, b): all pairs of nodes (node, fps, root, many, odd) that share the coordinates of a band, have different roots and may be
+    alike. Each is there once. Nothing but what is sure is left out."""
+    keyed = stored(bands(nodes, also=("root",)), "bands")
+    parts = stored(parts_of(keyed, group), "parts")
+    member = with_looked_up(keyed, parts, "key", "n", total * BANDS)
+    h = lambda n: F.pmod(F.xxhash64("node", F.lit("part")), n)
+    whole = F.coalesce(F.col("root") == F.col("top"), F.lit(False))
+    part = F.when(whole, F.col("apart") + h(F.greatest("whole", F.lit(1)))).otherwise(h(F.col("apart")))
+    others = F.sequence(F.lit(0).cast("bigint"), F.when(whole, F.col("apart")).otherwise(F.col("apart") + F.col("whole")) - 1)
+    dealt = member.select("key", "node", part.alias("part"), F.explode(others).alias("other"))
+    blocks = dealt.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "node").join(nodes.select("node", "root", "many", "odd"), "node")
+    sorted_ = blocks.select("key", "one", "two", "part", "node", "root", "many", "odd").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    pairs = stored(unlinked(sorted_, likeness).distinct(), "rest")
+    for t in (keyed, parts):
+        discard(t)
+    return pairs
+
+
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """(node, shingles binary): sorted distinct hashes of the shingles of (node, text)."""
 
@@ -373,12 +476,14 @@ def representatives(df: DataFrame, words: int = SHINGLE, likeness: float = LIKEN
     told = {"_none": key.isNull(), "_id": F.coalesce(key, F.lit(0)), "_x": F.xxhash64(text), "_y": F.xxhash64(F.lit(1), text)}
     rows = own.withColumns(told)
     prints = stored(long_prints(rows.select(*told, text.alias("text")), words), "prints")
-    nodes = stored(with_pivots(prints.groupBy("node").agg(F.min("fps").alias("fps"), F.min(F.struct(*told)).alias("top"))), "nodes")
+    top = F.struct(*told)
+    nodes = prints.groupBy("node").agg(F.min("fps").alias("fps"), F.min(F.struct(top.alias("top"), "many", "odd")).alias("first"))
+    nodes = stored(with_pivots(nodes.select("node", "fps", "first.*")), "nodes")
     discard(prints)
     total = nodes.count()
     rooted, edges = nodes.withColumn("root", F.col("node")), None
-    for phase in PHASES:
-        pairs = stored(candidates(rooted, total, likeness, group, phase), "candidates")
+    for phase in (*PHASES, None):
+        pairs = stored(candidates(rooted, total, likeness, group, phase), "candidates") if phase else rest(rooted, total, likeness, group)
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         tops = stored(nodes.join(ends, "node", "left_semi").select("node", "top.*"), "ends")
         few = F.broadcast(tops) if tops.count() <= BROADCAST_ROWS else tops

@@ -895,3 +895,59 @@ def test_near_copies_come_from_the_pivots_of_bands(spark):
         want |= {(lead, j) for j in range(len(raw)) if j != lead and apart[j] <= most}
         left = [j for j in left if apart[j] > surely]
     assert got == want and len(want) > 10
+
+
+@pytest.mark.parametrize("group", [20_000, 3])
+def test_leaders_leave_no_link_out(spark, group):
+    """Whatever leads a bucket, and whichever of its parts they are in, all alike texts that share a band are linked. Groups here have
+    likenesses around the limit, so many a text is as near to a leader as linked ones are, in bits, and isn't linked to it."""
+    r = random.Random(31)
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(r.randint(2, 4)):
+                w[r.randrange(150)] = f"v{r.random()}"
+            rows.append((len(rows), " ".join(w)))
+    hashes = [np.unique(simhash.shingle_hashes(t, simhash.SHINGLE, simhash.SEED)) for _, t in rows]
+    raw = [np.array(simhash.long_fingerprint(h), np.uint64).tobytes() for h in hashes]
+    keys = simhash.band_coordinates(raw, 0, simhash.BANDS)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a + 1, min(len(rows), a - a % 14 + 14)):
+            both = len(np.intersect1d(hashes[a], hashes[b]))
+            if both >= 0.8 * (len(hashes[a]) + len(hashes[b]) - both) and (keys[a] == keys[b]).all(axis=1).any():
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {find(a) for a in range(len(rows))}
+    assert 60 < len(want) < len(rows)
+    assert {x.doc_id for x in simhash.representatives(spark.createDataFrame(rows, SCHEMA), group=group).collect()} == want
+
+
+def test_unlinked_pairs_by_brute_force(spark):
+    """All pairs of a bucket with different roots whose sets are alike, in blocks of parts too; each bucket tells its largest root."""
+    r = np.random.default_rng(3)
+    base, rows, sets = r.integers(0, 1 << 63, 400).astype(np.uint64), [], []
+    for i in range(120):
+        own = np.unique(np.concatenate([r.choice(base, int(r.integers(300, 400)), replace=False), r.integers(0, 1 << 63, int(r.integers(0, 60))).astype(np.uint64)]))
+        sets.append(own)
+        rows.append((i, bytes(8 * simhash.LONG), 7 if i < 80 else i, len(own), simhash.parities(own)))
+    df = spark.createDataFrame(rows, "node bigint, fps binary, root bigint, many int, odd binary")
+    want = set()
+    for a in range(120):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if rows[a][2] != rows[b][2] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                want.add((b, a))
+    assert want and len(want) < 120 * 40 / 2
+    for group in (1000, 9):
+        got = [tuple(sorted(x)) for x in simhash.rest(df, 120, 0.8, group).collect()]
+        assert len(got) == len(set(got)) and set(got) >= want and all(rows[a][2] != rows[b][2] for a, b in got)
+    parts = [x.asDict() for x in simhash.parts_of(simhash.bands(df, 0, 1, ("root",)), 9).collect()]
+    assert [(x["n"], x["top"], x["apart"], x["whole"]) for x in parts] == [(120, 7, 5, 9)]
