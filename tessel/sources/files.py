@@ -1,32 +1,116 @@
-"""Files and tables as sources and sinks: Spark's own readers and writers do the work."""
+"""Files and tables as sources and sinks. Tables go through Spark's own readers and writers. Folders of files are listed,
+read and written by tasks: Spark's reader of files would hold all their names in the driver."""
 
 from __future__ import annotations
 
+import fnmatch
+import os
+import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.operators import codecs
+from tessel.operators.graph import written
+from tessel.shared import shipped
+from tessel.sources.objects import batched, moved, opened, put_file, tasks_of
 
 #: Media types by extension.
 MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "ico": "image/x-icon", "wav": "audio/wav", "mp3": "audio/mpeg"}
 
 
+def matcher(pattern: str) -> re.Pattern:
+    """Hadoop's patterns of names: *, ?, [abc], [^abc] and {one,other}."""
+    if found := re.search(r"\{([^{}]*)\}", pattern):
+        names = [pattern[: found.start()] + x + pattern[found.end() :] for x in found[1].split(",")]
+        return re.compile("|".join(matcher(n).pattern for n in names))
+    return re.compile(fnmatch.translate(pattern.replace("[^", "[!")))
+
+
+def entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(path, length, whether it is a folder) of what lies in a folder; names that begin with _ or . are hidden."""
+    if isinstance(fs, pafs.LocalFileSystem):  # one after the other, however many
+        with os.scandir(folder) as found:
+            for x in found:
+                if x.name[0] not in "._":
+                    yield x.path, 0 if x.is_dir() else x.stat().st_size, x.is_dir()
+    else:
+        for x in fs.get_file_info(pafs.FileSelector(folder)):
+            if x.base_name[:1] not in "._":
+                yield x.path, x.size or 0, x.type == pafs.FileType.Directory
+
+
+def listed(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """(path, length) of the files below a folder, level by level: a folder's entries are read by a task, and names stay in tables."""
+    fs, root = opened(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[str, int, bool]] = []
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.string(), pa.int64(), pa.bool_()))], ["path", "length", "folder"])
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                for x in entries(fs, at):
+                    out.append(x)
+                    if len(out) == 10_000:
+                        yield told()
+                        out.clear()
+        if out:
+            yield told()
+
+    level, found = shipped(spark).createDataFrame([(root,)], "path string").coalesce(1), []
+    while True:
+        found.append(written(level.mapInArrow(run, "path string, length bigint, folder boolean"), "listing"))
+        folders = found[-1].filter("folder").select("path")
+        n = folders.count() if recursive else 0
+        if not n:
+            return reduce(DataFrame.unionByName, found).filter("not folder").select("path", "length")
+        level = folders.repartition(tasks_of(n))
+
+
+def readable(folder: str) -> bool:
+    """Whether tasks can list it themselves: one folder, of a file system that is known here."""
+    try:
+        fs, root = opened(folder)
+        return not re.search(r"[*?\[\]{}]", folder) and fs.get_file_info(root).type == pafs.FileType.Directory
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
 def files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, length, content, media) of each file; Spark splits the work by file."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder)
+    """(path, length, content, media) of each file. What only Spark can open, and patterns of folders, its reader lists."""
     pairs = [F.lit(x) for kv in MEDIA.items() for x in kv]
-    return df.select("path", "length", "content", F.try_element_at(F.create_map(*pairs), F.lower(F.substring_index("path", ".", -1))).alias("media"))
+    media = F.try_element_at(F.create_map(*pairs), F.lower(F.substring_index("path", ".", -1))).alias("media")
+    if not readable(folder):
+        df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder)
+        return df.select("path", "length", "content", media)
+    fs, root = opened(folder)
+    # paths are told as Spark tells them
+    start = "file:" + root if isinstance(fs, pafs.LocalFileSystem) else folder.rstrip("/")
+    wanted = matcher(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = (path for b in batches for path in b.column(0).to_pylist() if wanted.match(path.rsplit("/", 1)[-1]))
+        for some in batched(fs, paths):
+            names, contents = zip(*some)
+            columns = [pa.array([start + n[len(root) :] for n in names]), pa.array([len(c) for c in contents], pa.int64()), pa.array(contents, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "length", "content"])
+
+    found = listed(spark, folder, recursive)
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    dealt = found.select("path").repartition(max(tasks_of(n), -(-size // (128 << 20))))
+    return dealt.mapInArrow(run, "path string, length bigint, content binary").select("path", "length", "content", media)
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    """Image files with ids and the sizes that their headers name."""
+    """Image files with ids and the sizes that their headers name. Each file is read once."""
     found = files(spark, folder).filter(F.col("media").startswith("image/"))
-    return found.join(codecs.dimensions(found).hint("merge"), "path").withColumn("id", F.xxhash64("path"))
+    return codecs.dimensions(found, found.columns).withColumn("id", F.xxhash64("path"))
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,18 +139,16 @@ def put(objects: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
+        own = f"{root}/_temporary/{uuid.uuid4().hex}"  # readers skip this folder
+        fs.create_dir(own, recursive=True)
         for b in batches:
-            for key, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for key, content in zip(b.column(0).to_pylist(), b.column(1)):
                 if any(part in ("", ".", "..") for part in key.split("/")):
                     raise ValueError(f"no key: {key}")
-                path = f"{root}/{key}"
-                at = f"{root}/_temporary/{uuid.uuid4().hex}"  # readers skip this folder
-                for parent in (at, path):
-                    fs.create_dir(parent.rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(at) as out:
-                    out.write(content)
-                fs.move(at, path)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(c) for c in b.column(1).to_pylist()], pa.int64())], ["key", "length"])
+                put_file(fs, f"{own}/part", content.as_py())
+                moved(fs, f"{own}/part", f"{root}/{key}")
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.cast(pc.binary_length(b.column(1)), pa.int64())], ["key", "length"])
+        fs.delete_dir(own)
 
     return objects.select("key", "content").mapInArrow(run, "key string, length bigint")
 

@@ -84,6 +84,22 @@ def test_two_tries_of_a_task_leave_one_result(tmp_path):
     assert stored(tmp_path) == {"a": b"kept", "b/c": b"kept"}
 
 
+def test_folders_of_files_are_listed_by_tasks(spark, tmp_path):
+    """The same rows as Spark's reader of files gives, which isn't used; each file is read once for its sizes."""
+    for name in ("x/1/a.png", "x/1/b.bmp", "x/2/c d.PNG", "e", "x/_hidden/a.png", ".b.png", "x/_c.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    for pattern, recursive in (("*", True), ("*", False), ("*.png", True), ("*.{png,bmp}", True), ("[^a].bmp", True)):
+        df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(str(tmp_path))
+        got = files.files(spark, str(tmp_path), pattern, recursive)
+        assert sorted((r.path, r.length, bytes(r.content)) for r in got.collect()) == sorted((r.path, r.length, bytes(r.content)) for r in df.collect())
+        assert "binaryFile" not in got._jdf.queryExecution().toString()
+    assert files.files(spark, f"{tmp_path}/x/*", "*.png").count() == 2
+    found = files.images(spark, str(tmp_path))
+    assert found.columns == ["path", "length", "content", "media", "kind", "width", "height", "id"]
+    assert found.count() == 3 and "Join" not in found._jdf.queryExecution().toString()
+
+
 def test_put_hides_unfinished_files(spark, tmp_path):
     (tmp_path / "_temporary").mkdir()
     (tmp_path / "_temporary" / "part").write_text("half")
